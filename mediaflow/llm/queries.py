@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from mediaflow.llm.bpe import op1_bpe
+from mediaflow.llm.chat import OP3_SQL, op3_chat
 from mediaflow.llm.packing import op2_packing
+from mediaflow.llm.quality_rules import OP6_SQL, op6_quality_rules
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_chat": op3_chat, "op6_quality_rules": op6_quality_rules}
+ORACLE_SQL = {"op3_chat": OP3_SQL, "op6_quality_rules": OP6_SQL}
