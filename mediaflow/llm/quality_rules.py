@@ -92,12 +92,10 @@ class Measures:
         owner = np.searchsorted(offsets, starts, "right") - 1
         kept = data != 10
         rank = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])
-        ends = np.append(starts[1:], len(data))
         n_words = np.diff(np.searchsorted(self.words.starts, np.append(starts, len(data))))
         bounds = np.append(rank[starts], rank[-1]).astype(np.int32)
         array = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[kept]))])
         codes = array.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        assert len(ends) == len(codes)
         return owner[n_words > 0], codes[n_words > 0]
 
     @cached_property
