@@ -6,10 +6,12 @@ of `rows` minhashes each are computed, and a table key is a pair of one collecti
 probability at most 2 * (1 - J**rows)**side, which is 2e-5 at J = 0.85 for the standing parameters.
 
 1. Equal sets become one node. 2. Collections that no other node shares are left out, and with them their tables' keys.
-3. Of each bucket, some pivots at a time are compared with the members that aren't linked to them already, in any chain;
-every further round takes four times the pivots, until each pair of a bucket is either linked in some chain or compared. So a
-group of thousands of copies costs a few comparisons per copy, and no link is lost. 4. A pair to compare must have sizes that
-allow the threshold and share `agree` collections (both ways of telling that are all but certain), then its sets decide.
+3. In each bucket all members are compared with one of them. That joins the copies of most groups into chains at one
+comparison a copy. 4. Members of buckets that still hold several chains are told apart exactly: two sets can only reach the
+threshold if they share one of their rarest shingles (the prefix that the threshold leaves). Among these smaller buckets, some
+pivots at a time are compared with the members of other chains, many times as many each round, until every pair of a bucket
+is in one chain or compared. So no link between candidates is lost, and no group is expanded into all its pairs. 5. A pair to
+compare must have sizes that allow the threshold and share `agree` collections, then its whole sets decide.
 
 Words are runs of anything but space and \\t to \\r, A-Z lowered. A text with fewer words than `words` has its whole sequence
 as the one shingle; a text without words (empty, null) has the empty set and no links. Rows with one id are one document with
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mediaflow.llm.common import Words, cut, documents, drop_cut, ragged, slices
-from mediaflow.llm.graph import components
+from mediaflow.llm.graph import link
 
 SHINGLE, ROWS, SIDE, AGREE = 5, 3, 12, 4
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -105,16 +107,27 @@ def full_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def buckets(nodes: DataFrame, side: int) -> DataFrame:
-    """(key, id): the table keys that two nodes or more share."""
-    parts = nodes.select("id", F.posexplode("bands").alias("i", "h"))
+    """(key, id, n, at): the table keys that two nodes or more share; n is the set's size, at is 0."""
+    parts = nodes.select("id", "n_shingles", F.posexplode("bands").alias("i", "h"))
     shared = parts.groupBy("i", "h").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    kept = parts.join(shared, ["i", "h"]).groupBy("id").agg(F.collect_list(F.when(F.col("i") < side, F.struct("i", "h"))).alias("x"), F.collect_list(F.when(F.col("i") >= side, F.struct("i", "h"))).alias("y"))
-    pairs = kept.select("id", F.explode("x").alias("x"), "y").select("id", "x", F.explode("y").alias("y"))
-    keys = pairs.select(F.xxhash64("x.i", "x.h", "y.i", "y.h").alias("key"), "id")
+    kept = parts.join(shared, ["i", "h"]).groupBy("id").agg(F.first("n_shingles").alias("n"), F.collect_list(F.when(F.col("i") < side, F.struct("i", "h"))).alias("x"), F.collect_list(F.when(F.col("i") >= side, F.struct("i", "h"))).alias("y"))
+    pairs = kept.select("id", "n", F.explode("x").alias("x"), "y").select("id", "n", "x", F.explode("y").alias("y"))
+    keys = pairs.select(F.xxhash64("x.i", "x.h", "y.i", "y.h").alias("key"), "id", F.col("n").cast("int").alias("n"), F.lit(0).alias("at"))
     many = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     return keys.join(many, "key")
 
 
+def prefixes(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, at): of each set (of n shingles) the n - ceil(n * percent / 100) + 1 rarest ones, those that another set
+    has too, with their place in the order of rareness."""
+    rows = sets.join(ids, "id", "left_semi").select("id", F.size("s").alias("n"), F.explode("s").alias("key"))
+    again = rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    held = rows.join(again, "key").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", "key"))).alias("r"))
+    take = F.size("r") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1  # its n - size(r) own shingles come first
+    own = F.col("n") - F.size("r")
+    return held.where(take > 0).select("id", "n", own.alias("own"), F.posexplode(F.slice("r", F.lit(1), take)).alias("at", "x")).select("x.key", "id", "n", (F.col("own") + F.col("at")).alias("at"))
+
+
 def compare(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, agree: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     one = nodes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("bands").alias("ba"))
@@ -137,41 +150,23 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     sets = cut(full_sets(joined, key, text, size))
     near = cut(nodes.join(ids, "id", "left_semi").drop("set_key"))
     state = cut(ids.select("id", F.col("id").alias("c")))
-    tested: list[DataFrame] = []
-    turn = 0
-    while True:
-        live = table.join(state, "id")
-        stats = live.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("first")).where("lo <> hi").select("key", "n", "first")
-        live = cut(live.join(stats, "key"))
-        most = live.agg(F.max("n")).first()[0]
-        if not most:
-            drop_cut(live)
-            break
-        draw = F.shiftrightunsigned(F.xxhash64("key", "id"), 11) / float(1 << 53)
-        if turn == 0:
-            pivot, done = F.col("id") == F.col("first"), F.lit(False)
-        else:
-            pivot, done = draw * F.col("n") < 4.0**turn, draw * F.col("n") < (4.0 ** (turn - 1) if turn > 1 else 0.0)
-        left = live.where(pivot & ~done).select("key", F.col("id").alias("p"), F.col("c").alias("pc"))
-        right = live.where(~done).select("key", "id", "c")
-        pairs = left.join(right, "key").where(F.col("pc") != F.col("c")).select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested.append(pairs)
-        links = cut(compare(pairs, near, sets, percent, agree))
-        drop_cut(live)
-        of = lambda x: state.select(F.col("id").alias(x), F.col("c").alias(f"c{x}"))
-        moved = components(links.join(of("a"), "a").join(of("b"), "b"), "ca", "cb").select(F.col("id").alias("c"), F.col("c").alias("to"))
-        after = cut(state.join(moved, "c", "left").select("id", F.coalesce("to", "c").alias("c")))
-        drop_cut(state, links)
-        state = after
-        turn += 1
-        if turn > 1 and 4.0 ** (turn - 1) >= most:
-            break
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return compare(pairs, near, sets, percent, agree)
+
+    def able(one: str, two: str):
+        """At most the shingles from the shared one on are common, if it is the first that both have."""
+        n, m, i, j = (F.col(f"{x}{c}") for c in ("n", "at") for x in (one, two))
+        return (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
+
+    state = link(table, state, linked, able, rounds=1)
+    chains = table.join(state, "id").groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    contested = table.join(chains, "key").select("id").distinct()
+    rare = cut(prefixes(contested, sets, percent))
+    state = link(rare, state, linked, able)
     owner = nodes.select("set_key", "id").join(state, "id", "left").select("set_key", F.coalesce("c", "id").alias("component_id"))
     out = cut(sketches.select(key, "n_shingles", "set_key").join(owner, "set_key", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id")))
-    drop_cut(sketches, nodes, table, sets, near, state, *tested)
+    drop_cut(sketches, nodes, table, sets, near, rare, state)
     return out
 
 

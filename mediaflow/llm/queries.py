@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from mediaflow.llm.bpe import op1_bpe
 from mediaflow.llm.chat import OP3_SQL, op3_chat
+from mediaflow.llm.line_dedup import op7_line_dedup
 from mediaflow.llm.minhash import OP4_SQL, op4_minhash
 from mediaflow.llm.packing import op2_packing
 from mediaflow.llm.quality_classifier import op5_quality_pu
@@ -11,5 +12,5 @@ from mediaflow.llm.quality_rules import OP6_SQL, op6_quality_rules
 from mediaflow.llm.spotsigs import OP8_SQL, op8_spotsigs
 from mediaflow.llm.toxicity import op9_toxicity
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_chat": op3_chat, "op4_minhash": op4_minhash, "op5_quality_pu": op5_quality_pu, "op6_quality_rules": op6_quality_rules, "op8_spotsigs": op8_spotsigs, "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_chat": op3_chat, "op4_minhash": op4_minhash, "op5_quality_pu": op5_quality_pu, "op6_quality_rules": op6_quality_rules, "op7_line_dedup": op7_line_dedup, "op8_spotsigs": op8_spotsigs, "op9_toxicity": op9_toxicity}
 ORACLE_SQL = {"op3_chat": OP3_SQL, "op4_minhash": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_spotsigs": OP8_SQL}
