@@ -32,36 +32,42 @@ ANCHORS = (
 
 
 def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Column:
-    """The sorted distinct signatures of a text."""
+    """The sorted distinct signatures of a text: 32-bit hashes, as integers from -2^31 on."""
     bare = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     mark = lambda w: F.when(w.isin(*anchors), F.concat(F.lit("\x01"), w, F.lit("\x02"))).otherwise(F.concat(F.lit(" "), w, F.lit(" ")))
     marked = F.concat(F.lit("\x02"), F.array_join(F.transform(F.split(bare, " "), mark), ""))
-    return F.sort_array(F.array_distinct(F.filter(_spots(F.split(marked, "\x01"), chain), lambda s: s != "")))
+    spots = F.array_distinct(_spots(F.split(marked, "\x01"), chain))
+    number = lambda s: (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") - F.lit(1 << 31)).cast("int")
+    return F.sort_array(F.array_distinct(F.transform(F.filter(spots, lambda s: ~F.endswith(s, F.lit(" "))), number)))
 
 
 def _spots(pieces: Column, chain: int) -> Column:
-    """Of pieces `anchor \\2 words`: each one's signature, or the empty text where no word follows."""
+    """Of pieces `anchor \\2 words`: each anchor, a space, and the chain that follows (nothing, where no word does)."""
     body = lambda x: F.substring_index(x, "\x02", -1)
     bodies = F.concat(F.transform(pieces, body), F.array(F.lit(""), F.lit("")))
     join = lambda a, b: F.concat(a, b)
-    zipped = F.zip_with(F.zip_with(pieces, F.slice(bodies, 2, F.size(pieces)), join), F.slice(bodies, 3, F.size(pieces)), join)
+    after = F.zip_with(F.slice(bodies, 2, F.size(pieces)), F.slice(bodies, 3, F.size(pieces)), join)
 
-    def spot(x: Column) -> Column:
-        follows = F.substring_index(F.trim(F.replace(F.substr(x, F.instr(x, "\x02") + 1), F.lit("  "), F.lit(" "))), " ", chain)
-        return F.when(follows == "", "").otherwise(F.substring(F.md5(F.concat(F.substring_index(x, "\x02", 1), F.lit(" "), follows)), 1, 8))
+    def spot(x: Column, y: Column) -> Column:
+        follows = F.trim(F.replace(F.concat(body(x), y), F.lit("  "), F.lit(" ")))
+        return F.concat(F.substring_index(x, "\x02", 1), F.lit(" "), F.substring_index(follows, " ", chain))
 
-    return F.transform(zipped, spot)
+    return F.zip_with(pieces, after, spot)
+
+
+def written(signatures: Column) -> Column:
+    """A fingerprint's text."""
+    return F.lower(F.array_join(F.transform(signatures, lambda x: F.lpad(F.hex(x.cast("long") + F.lit(1 << 31)), 8, "0")), " "))
 
 
 def fingerprint(text: Column) -> Column:
-    return F.array_join(signatures(text), " ")
+    return written(signatures(text))
 
 
-def likeness(one: Column, other: Column) -> Column:
-    """Jaccard likeness of two fingerprints."""
-    a, b = F.split(one, " "), F.split(other, " ")
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard likeness of two sets of signatures."""
     both = F.size(F.array_intersect(a, b))
-    return F.when(one == other, 1.0).when((one == "") | (other == ""), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def similar_pairs(prints: DataFrame, key: str = "doc_id", column: str = "fingerprint", threshold: float = 0.8) -> DataFrame:
@@ -81,8 +87,9 @@ def similar_pairs(prints: DataFrame, key: str = "doc_id", column: str = "fingerp
     return out.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("likeness")).where(F.col("likeness") >= threshold - 1e-12)
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], most_buckets: int = 1024, rows_in_bucket: int = 4096) -> DataFrame:
-    """docs (key, text, …) with next_<column> of the row that follows by (key, text), the first one after the last.
+def with_next(docs: DataFrame, key: str, derived: dict[str, Column], most_buckets: int = 1024, rows_in_bucket: int = 4096) -> DataFrame:
+    """docs (key, text) with the derived columns, and next_<column> of the row that follows by (key, text), the first after
+    the last.
 
     Rows are dealt into key ranges, each ordered on its own; only the ranges' ends look across."""
     n = docs.count()
@@ -90,34 +97,34 @@ def with_next(docs: DataFrame, key: str, columns: list[str], most_buckets: int =
     bounds = sorted(set(docs.select(F.col(key).cast("double").alias("x")).approxQuantile("x", [i / k for i in range(1, k)], 0.1 / k))) if k > 1 else []
     order = [F.col(key).asc_nulls_first(), F.col("text").asc_nulls_first()]
     place = F.size(F.filter(F.array(*(F.lit(float(b)) for b in bounds)), lambda b: b <= F.col(key).cast("double"))) if bounds else F.lit(0)
-    dealt = docs.withColumn("__part__", F.coalesce(place, F.lit(-1)))
+    dealt = docs.withColumn("__part__", F.when(F.col(key).isNull(), -1).otherwise(place))
+    columns = ["text", *derived]
     # the first row of each range goes to the range before it
     ids = dealt.groupBy("__part__").agg(F.min(key).alias("__first__"))
-    each = Window.orderBy("__part__")  # one row per range: 1024 at most
+    each = Window.orderBy("__part__")  # one row per range: 1025 at most
     ids = ids.select("__first__", F.col("__part__").alias("__own__"), F.lag("__part__").over(each).alias("__before__"), F.max("__part__").over(Window.partitionBy(F.lit(1))).alias("__last__"))
     heads = dealt.join(F.broadcast(ids), (F.col("__part__") == F.col("__own__")) & F.col(key).eqNullSafe(F.col("__first__")))
-    heads = heads.groupBy(F.coalesce("__before__", "__last__").alias("__part__")).agg(F.min(F.struct("text", *columns)).alias("__head__"))
+    heads = heads.groupBy(F.coalesce("__before__", "__last__").alias("__part__")).agg(F.min("text").alias("text"))
+    heads = heads.withColumns(derived).select("__part__", F.struct(*columns).alias("__head__"))
     within = Window.partitionBy("__part__").orderBy(*order)
-    after = dealt.withColumn("__next__", F.lead(F.struct("text", *columns)).over(within)).join(heads, "__part__", "left")
+    after = dealt.withColumns(derived).withColumn("__next__", F.lead(F.struct(*columns)).over(within)).join(heads, "__part__", "left")
     found = F.coalesce("__next__", "__head__")
-    return after.select(*docs.columns, *(found[c].alias(f"next_{c}") for c in ["text", *columns]))
+    return after.select(key, *columns, *(found[c].alias(f"next_{c}") for c in columns))
 
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and their likeness and the next document's."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("fingerprint", fingerprint(F.col("text")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    pairs = with_next(docs, "doc_id", ["fingerprint"]).select(
-        "doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint",
+    pairs = with_next(docs, "doc_id", {"s": signatures(F.col("text"))}).select(
+        "doc_id", n.cast("long").alias("n_chars"), "s", "next_s",
         F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half)).alias("edited"),
     )
-    pairs = pairs.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    pairs = pairs.withColumn("edited_s", signatures(F.col("edited")))
     return pairs.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written(F.col("s")).alias("fingerprint"), written(F.col("edited_s")).alias("edited_fingerprint"),
+        likeness(F.col("s"), F.col("edited_s")).alias("near_edited"), likeness(F.col("s"), F.col("next_s")).alias("near_next"),
     )
 
 
