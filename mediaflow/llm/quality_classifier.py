@@ -4,7 +4,8 @@ Trusted positives and unlabelled web text are all it learns from; documents that
 model over measures of the text minimises the non-negative unbiased risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)).
 The class prior is estimated first: no set of documents can hold a larger share of the positives, times the prior, than its
-share of the unlabelled text, so the prior is the least ratio of the two shares over the upper sets of a first model's score.
+share of the unlabelled text, so the prior is the least ratio of the two shares over the upper sets of a first model's score
+(of two, in fact, each scoring the rows that the other one learnt from).
 
 The fit uses at most `most_rows` positives and `most_rows` unlabelled documents, those with the smallest hashes of their ids
 (documented bound; the driver holds that many rows of about 20 numbers). Every document is scored over its whole text.
@@ -146,8 +147,11 @@ def fit(positives: DataFrame, unlabelled: DataFrame, key: str = "doc_id", text:
         return Model(None, None, 0.5)
     basis = Basis(np.concatenate([xp, xu]))
     p, u = basis(xp), basis(xu)
-    first = fit_nnpu(p, u, 0.5)
-    prior = estimate_prior(p @ first, u @ first)
+    # scores for the prior come from models that haven't seen their rows, else positives only look apart
+    folds = [np.arange(len(x)) % 2 for x in (p, u)]
+    firsts = [fit_nnpu(p[folds[0] != k], u[folds[1] != k], 0.5) for k in (0, 1)] if min(len(p), len(u)) > 1 else []
+    held = lambda x, fold: np.concatenate([sigmoid(x[fold == k] @ w) for k, w in enumerate(firsts)]) if firsts else np.zeros(0)
+    prior = estimate_prior(held(p, folds[0]), held(u, folds[1]))
     return Model(basis, fit_nnpu(p, u, prior), prior)
 
 

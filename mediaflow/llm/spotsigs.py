@@ -15,6 +15,8 @@ for the next document, rows with one id follow each other by text.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,8 +80,7 @@ def similar_pairs(prints: DataFrame, key: str = "doc_id", column: str = "fingerp
     df = rows.groupBy("sig").agg(F.count("*").alias("df"))
     # the rarest n - ceil(t n) + 1 signatures of each set
     ranked = rows.join(df, "sig").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("r"))
-    step = F.lit(1 / threshold)
-    prefix = ranked.select("id", "n", F.explode(F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("x")).select("id", "n", F.col("x.sig").alias("sig"), F.floor(F.log(step, F.col("n").cast("double")) + 1e-9).alias("part"))
+    prefix = ranked.select("id", "n", F.explode(F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("x")).select("id", "n", F.col("x.sig").alias("sig"), F.floor(F.log("n") / math.log(1 / threshold) + 1e-9).alias("part"))
     near = prefix.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(F.array(F.col("part"), F.col("part") - 1, F.col("part") + 1)).alias("part"))
     met = prefix.select("sig", "part", F.col("id").alias("a"), F.col("n").alias("na")).join(near, ["sig", "part"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
     out = met.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
