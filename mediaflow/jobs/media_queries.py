@@ -50,6 +50,17 @@ def d21(spark, sf):
     return decoded(spark, sf).drop("raw")
 
 
+@query("s8_ts_files", " SELECT CAST(f AS VARCHAR) AS path, unit_idx, pid, cc FROM t", UNITS)
+def s8(spark, sf):
+    """The units of each path as one file's bytes, walked back into units."""
+    from mediaflow.operators.walkers import ts_units, walk
+
+    whole = units(spark, sf).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("unit_idx", F.hex("raw").alias("h")))).alias("u"))
+    files = whole.select("path", F.unhex(F.array_join(F.transform("u", lambda x: x["h"]), "")).alias("content"))
+    found = walk(files, ts_units, "unit_idx long, unit binary", "content", ("path",)).withColumnRenamed("unit", "raw")
+    return mpegts.decode(found).select("path", "unit_idx", "pid", "cc")
+
+
 @query("d22_adaptation", " SELECT CAST(f AS VARCHAR) AS path, unit_idx, CASE afc WHEN 2 THEN 183 ELSE 14 END AS af_length, 1 AS discontinuity, 0 AS random_access, pcr, pcr + 7 AS opcr, CAST(CASE WHEN s % 256 >= 128 THEN s % 256 - 256 ELSE s % 256 END AS INT) AS splice_countdown FROM t WHERE afc >= 2", UNITS)
 def d22(spark, sf):
     a = mpegts.adaptation(decoded(spark, sf)).where("afc >= 2")

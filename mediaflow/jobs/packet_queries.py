@@ -120,6 +120,11 @@ def w1(spark, sf):
     return unwrapped(spark, sf).select("event_id", "copy", "ssrc", "ext")
 
 
+@query("w1_unwrap_sliced", duck(" SELECT event_id, copy, ssrc, ext FROM unwrapped", PACKETS, EXT))
+def w1s(spark, sf):
+    return sq.unwrap_sliced(packets(spark, sf), slice_ms=700).select("event_id", "copy", "ssrc", "ext")
+
+
 W2_SQL = """,
 o AS (SELECT *, row_number() OVER (PARTITION BY ssrc ORDER BY arrival_ms, event_id, copy) AS k FROM packets),
 st(ssrc, k, event_id, copy, ok, prob, top, bad, cyc) AS (
@@ -284,6 +289,18 @@ def j3(spark, sf):
     return routing.conflicts(contexts(spark, sf))
 
 
+@query("j3_channel_clashes", duck(""", e AS (SELECT session_id % 97 AS client_id, session_id, data_ch AS channel FROM contexts UNION SELECT session_id % 97, session_id, ctrl_ch FROM contexts)
+SELECT client_id, channel, count(*) AS sessions FROM e GROUP BY 1, 2 HAVING count(*) > 1""", CONTEXTS))
+def j3c(spark, sf):
+    return routing.channel_clashes(contexts(spark, sf).withColumn("client_id", F.col("session_id") % 97))
+
+
+@query("j3_own_source", duck(", shifted AS (SELECT event_id, copy, ssrc + CASE WHEN event_id % 9 = 0 THEN 100000 ELSE 0 END AS ssrc FROM packets) SELECT * FROM shifted WHERE ssrc IN (SELECT local_ssrc FROM contexts)", PACKETS, CONTEXTS))
+def j3o(spark, sf):
+    p = packets(spark, sf).withColumn("ssrc", F.col("ssrc") + F.when(F.col("event_id") % 9 == 0, 100000).otherwise(0))
+    return routing.own_source(p, contexts(spark, sf)).select("event_id", "copy", "ssrc")
+
+
 @query("j4_channels", duck(""", ch AS (SELECT channel, max(session_id) AS session_id FROM (SELECT session_id, data_ch AS channel FROM contexts UNION ALL SELECT session_id, ctrl_ch FROM contexts) GROUP BY channel)
 SELECT event_id, copy, CAST(event_id % 20 AS INT) AS channel, session_id, CASE WHEN session_id IS NULL THEN NULL WHEN event_id % 20 % 2 = 0 THEN 'data' ELSE 'control' END AS carries FROM packets LEFT JOIN ch ON ch.channel = event_id % 20""", PACKETS, CONTEXTS))
 def j4(spark, sf):

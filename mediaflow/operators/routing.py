@@ -36,12 +36,23 @@ def known_types(packets: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def conflicts(contexts: DataFrame) -> DataFrame:
-    """(a, b, kind) of contexts a < b that share a remote source and a payload type, or the channels."""
+    """(a, b, kind) of contexts a < b that share a remote source and a payload type."""
     one = contexts.select(F.col("session_id").alias("a"), "remote_ssrc", "pt").distinct()
     two = contexts.select(F.col("session_id").alias("b"), "remote_ssrc", "pt").distinct()
     return one.join(two, ["remote_ssrc", "pt"]).where("a < b").select("a", "b", F.lit("identity").alias("kind"))
 
 
+def channel_clashes(contexts: DataFrame, client: str = "client_id") -> DataFrame:
+    """(client, channel, sessions): channels that more than one of a client's contexts uses. No pairs are made."""
+    each = contexts.select(client, "session_id", F.explode(F.array("data_ch", "ctrl_ch")).alias("channel")).distinct()
+    return each.groupBy(client, "channel").agg(F.count(F.lit(1)).alias("sessions")).where("sessions > 1")
+
+
+def own_source(packets: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Packets that carry a context's own (local) source: a loop, or a clash of identities."""
+    return packets.join(contexts.select(F.col("local_ssrc").alias("ssrc")).distinct(), "ssrc", "left_semi").select(*packets.columns)
+
+
 def by_channel(frames: DataFrame, contexts: DataFrame) -> DataFrame:
     """frames (channel) with the contexts' session_id and whether the channel carries data or control."""
     each = contexts.select("session_id", F.explode(F.array(F.struct(F.col("data_ch").alias("channel"), F.lit("data").alias("carries")), F.struct(F.col("ctrl_ch").alias("channel"), F.lit("control").alias("carries")))).alias("x"))

@@ -29,6 +29,24 @@ def unwrap(df: DataFrame, column: str = "seq", out: str = "ext", bits: int = 16,
     return df.withColumn("__step__", step).withColumn(out, F.sum("__step__").over(w)).drop("__step__")
 
 
+def unwrap_sliced(df: DataFrame, slice_ms: int, column: str = "seq", out: str = "ext", bits: int = 16, keys=KEYS, order=ORDER) -> DataFrame:
+    """unwrap() for hot sources: time slices of a source are ordered on their own, by as many tasks as there are slices. Of each
+    slice only its first and last number and the sum of its steps are carried to the next ones, and added back."""
+    parts = df.withColumn("__slice__", F.floor(F.col("arrival_ms") / slice_ms))
+    own = unwrap(parts, column, "__own__", bits, (*keys, "__slice__"), order)
+    at = F.struct(*order)
+    ends = parts.groupBy(*keys, "__slice__").agg(F.min_by(column, at).alias("first"), F.max_by(column, at).alias("last"))
+    totals = own.groupBy(*keys, "__slice__").agg(F.max_by("__own__", at).alias("end"))
+    w = Window.partitionBy(*keys).orderBy("__slice__")
+    small = ends.join(totals, [*keys, "__slice__"])
+    # where a slice starts: the end of the one before, and the step between both
+    step = F.coalesce(signed_step(F.col("first"), F.lag("last").over(w), bits), F.col("first")).cast("long")
+    small = small.withColumn("step", step).withColumn("within", F.col("end") - F.col("first"))
+    start = F.sum("step").over(w) + F.coalesce(F.sum("within").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = small.select(*keys, "__slice__", (start - F.col("first")).alias("__shift__"))
+    return own.join(shift, [*keys, "__slice__"]).withColumn(out, F.col("__own__") + F.col("__shift__")).drop("__own__", "__shift__", "__slice__")
+
+
 def _states(part: pd.DataFrame) -> pd.DataFrame:
     """The sequential rules of RFC 3550 A.1 over one source's packets in order of arrival."""
     rows = []
