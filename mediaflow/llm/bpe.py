@@ -1,6 +1,6 @@
 """BPE encoding and decoding through a minimal acyclic transducer of the corpus's frequent words.
 
-The words of all documents are counted; the most frequent ones (at most `lexicon_words`, ties by word) are compiled into
+The words of all documents are counted; the most frequent ones (at most `lexicon_words`) are compiled into
 an acyclic automaton whose equal suffixes are shared. The outputs along a word's path sum to the word's number, and that
 number points at its ids. The automaton is one flat file: it is broadcast (its size is bounded by `lexicon_words`), each
 executor writes it once beside its other scratch files, and its Python workers map it into memory. A word that is not in
@@ -13,6 +13,7 @@ aren't touched: `keep` names those to carry along.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import mmap
 import os
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaflow.llm.common import Words, ragged, slices
+from mediaflow.llm.common import Words, cut, drop_cut, ragged, slices
 
 LEXICON_WORDS = 1 << 16
 #: Unseen words that a Python worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 # -- the automaton -----------------------------------------------------------------------------------------------------
@@ -47,11 +48,13 @@ class Transducer:
         at = 48
         self.bits, self.words = bits, words
         parts = []
-        for kind, n in ((np.int64, 1 << bits), (np.int32, 1 << bits), (np.int32, 1 << bits), (np.uint8, -(-states // 8) * 8), (np.int32, words + 1), (np.int32, n_ids)):
+        for kind, n in ((np.uint32, 1 << bits), (np.int32, 1 << bits), (np.int32, 1 << bits), (np.uint8, -(-states // 8) * 8), (np.int32, words + 1), (np.int32, n_ids)):
             parts.append(np.frombuffer(buffer, kind, n, at))
             at += -(-n * np.dtype(kind).itemsize // 8) * 8
         self.keys, self.target, self.output, self.final, self.starts, self.ids = parts
 
+    EMPTY = np.uint32(0xFFFFFFFF)
+
     @staticmethod
     def slot(keys: np.ndarray, bits: int) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
@@ -73,7 +76,7 @@ class Transducer:
             alive = alive[~ended]
             if not len(alive):
                 break
-            keys = state[alive] << 8 | data[pos[alive]]
+            keys = (state[alive] << 8 | data[pos[alive]]).astype(np.uint32)
             at = self.slot(keys, self.bits)
             open_ = np.arange(len(alive))
             hit = np.full(len(alive), -1)
@@ -81,7 +84,7 @@ class Transducer:
                 seen = self.keys[at[open_]]
                 same = seen == keys[open_]
                 hit[open_[same]] = at[open_[same]]
-                open_ = open_[~same & (seen >= 0)]
+                open_ = open_[~same & (seen != self.EMPTY)]
                 at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
             alive, hit = alive[hit >= 0], hit[hit >= 0]
             state[alive] = self.target[hit]
@@ -137,13 +140,15 @@ def compile_lexicon(words: list[str], ids: list[list[int]]) -> bytes:
             target.append(to)
             output.append(passed)
             passed += below[to]
-    bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
-    table = [np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)]
+    if len(arcs) >= 1 << 24:
+        raise ValueError("too many words for one lexicon")
+    bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) / 0.75))))
+    table = [np.full(1 << bits, Transducer.EMPTY), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)]
     keys_, target_, output_ = np.array(keys, np.int64), np.array(target, np.int32), np.array(output, np.int32)
     at, left = Transducer.slot(keys_, bits), np.arange(len(keys_))
     while len(left):
         _, first = np.unique(at[left], return_index=True)
-        first = first[table[0][at[left[first]]] < 0]
+        first = first[table[0][at[left[first]]] == Transducer.EMPTY]
         put = left[first]
         for column, values in zip(table, (keys_, target_, output_), strict=True):
             column[at[put]] = values[put]
@@ -159,13 +164,18 @@ def compile_lexicon(words: list[str], ids: list[list[int]]) -> bytes:
 
 
 def mapped(blob: bytes) -> Transducer:
-    """The lexicon from a memory-mapped file; workers of one executor share it by its content's name."""
+    """The lexicon from a memory-mapped file; workers of one executor share it by its content's name. Earlier lexicons go
+    (who has mapped one keeps it)."""
     path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(blob).hexdigest()[:32]}.bin")
     if not os.path.exists(path):
         handle, part = tempfile.mkstemp(dir=tempfile.gettempdir())
         with os.fdopen(handle, "wb") as out:
             out.write(blob)
         os.replace(part, path)
+        for name in os.listdir(tempfile.gettempdir()):
+            if re.fullmatch(r"lexicon-[0-9a-f]{32}\.bin", name) and name != os.path.basename(path):
+                with contextlib.suppress(FileNotFoundError):  # another worker was first
+                    os.unlink(os.path.join(tempfile.gettempdir(), name))
     with open(path, "rb") as f:
         return Transducer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
@@ -268,7 +278,7 @@ class Encoder:
 
 
 # -- Spark -------------------------------------------------------------------------------------------------------------
-def count_words(docs: DataFrame, text: str = "text", lower: bool = False, most: int = 300_000) -> DataFrame:
+def count_words(docs: DataFrame, text: str = "text", lower: bool = False, most: int = 150_000) -> DataFrame:
     """(word, n) over all texts. A task adds up its own counts and hands them on whenever it holds `most` words."""
 
     def tally(batches):
@@ -287,17 +297,33 @@ def count_words(docs: DataFrame, text: str = "text", lower: bool = False, most:
     return docs.select(text).mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts (word, n) above the least count that at most `most` words reach, told in steps of a twelfth of an
+    octave: a few hundred rows of statistics decide, and ties go or stay together."""
+    level = F.floor(F.log2("n") * 12).cast("int")
+    held, least = 0, 1 << 30
+    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        held += row["count"]
+        if held > most:
+            break
+        least = row["level"]
+    return counts.where(level >= least)
+
+
 def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", lexicon_words: int = LEXICON_WORDS) -> bytes:
     """The compiled lexicon of the most frequent words of all texts; the driver holds `lexicon_words` words at most."""
-    top = count_words(docs, text).orderBy(F.desc("n"), "word").limit(lexicon_words).select("word").toPandas()["word"].tolist()
+    counts = cut(count_words(docs, text))
+    top = sorted(r.word for r in frequent(counts, lexicon_words).select("word").collect())
+    drop_cut(counts)
     merger = Merger(tokenizer)
     return compile_lexicon(top, [merger.merge(w) for w in top])
 
 
-def encode(docs: DataFrame, tokenizer: str, blob: bytes | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, blob: bytes | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """`keep`, and the ids of `text` as packed little-endian unsigned 32-bit integers in `ids`.
 
-    blob: a lexicon from build_lexicon; without one, every word is merged (and remembered) by the workers."""
+    blob: a lexicon from build_lexicon; without one, every word is merged (and remembered) by the workers.
+    decoded: a column for the ids' text as decode() gives it, made in the same pass."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(blob) if blob else None
     columns = [c for c in keep]
@@ -308,31 +334,36 @@ def encode(docs: DataFrame, tokenizer: str, blob: bytes | None = None, text: str
             for part in slices(batch, text):
                 flat, bounds = encoder(part.column(text))
                 packed = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((bounds * 4).astype(np.int64)), pa.py_buffer(flat.astype("<u4"))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), packed], [*columns, ids])
+                more = [_texts(flat, bounds, tokenizer)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), packed, *more], [*columns, ids, *([decoded] if decoded else [])])
 
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(ids, T.BinaryType())])
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(ids, T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])])
     return docs.select(*columns, text).mapInArrow(run, schema)
 
 
+def _texts(flat: np.ndarray, bounds: np.ndarray, tokenizer: str) -> pa.Array:
+    """The texts of runs of ids: their tokens with one space between."""
+    known = _kept(("merger", tokenizer), lambda: Merger(tokenizer)).tokenizer
+    tokens = _kept(("tokens", tokenizer), lambda: pa.array([(known.id_to_token(i) or "") + " " for i in range(known.get_vocab_size())], pa.string()))
+    pieces = tokens.take(pa.array(flat, pa.uint32() if flat.dtype.kind == "u" else pa.int32()))
+    ends = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1) if len(pieces) else np.zeros(1, np.int32)
+    data = memoryview(pieces.buffers()[2]) if len(pieces) else memoryview(b"")
+    cuts = ends[bounds].tolist()
+    return pa.array([bytes(data[a : b - 1]).decode() if b > a else "" for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.string())
+
+
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with `text`: the tokens of the packed `ids`, one space between them, as a tokenizer without a decoder joins them."""
     columns = df.columns
 
     def run(batches):
-        tokenizer_ = _kept(("merger", tokenizer), lambda: Merger(tokenizer)).tokenizer
-        tokens = _kept(("tokens", tokenizer), lambda: pa.array([(tokenizer_.id_to_token(i) or "") + " " for i in range(tokenizer_.get_vocab_size())], pa.string()))
         for batch in batches:
             for part in slices(batch, ids):
                 column = part.column(ids).fill_null(b"")
                 sizes = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
                 raw = column.buffers()[2]
                 flat = np.frombuffer(raw, np.uint8)[sizes[0] : sizes[-1]].view("<u4") if raw is not None else np.zeros(0, "<u4")
-                pieces = tokens.take(pa.array(flat, pa.uint32()))
-                ends = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1) if len(pieces) else np.zeros(1, np.int32)
-                data = bytes(pieces.buffers()[2] or b"") if len(pieces) else b""
-                cuts = ends[(sizes - sizes[0]) // 4].tolist()
-                out = [data[a : b - 1].decode() if b > a else "" for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*columns, text])
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(flat, (sizes - sizes[0]) // 4, tokenizer)], [*columns, text])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
 
@@ -348,8 +379,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediaflow.llm.common import documents
 
     path, docs = tokenizer_path(), documents(spark, sf_dir)
-    coded = encode(docs, path, build_lexicon(docs, path))
-    return decode(coded, path).select(
+    return encode(docs, path, build_lexicon(docs, path), decoded="decoded").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# memory that Arrow frees goes back to the system, so that idle Python workers stay small
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Words are runs of anything but these six bytes.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,7 +70,7 @@ def text_or_empty(column: pa.Array) -> pa.Array:
     return pa.concat_arrays([column]) if column.offset else column
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
     """The batch in runs of rows with at most `most` bytes of text each (a longer text stands alone)."""
     sizes = np.fromiter((0 if x is None else x for x in _byte_lengths(batch.column(column))), np.int64, batch.num_rows)
     ends = np.cumsum(sizes)

@@ -27,6 +27,8 @@ def rows(spark, texts):
 def test_round_trip_matches_library(spark, reference, with_lexicon):
     docs = rows(spark, ODD).repartition(3)
     blob = bpe.build_lexicon(docs, bpe.tokenizer_path(), lexicon_words=20) if with_lexicon else None
+    once = {r.doc_id: r.text for r in bpe.encode(docs, bpe.tokenizer_path(), blob, decoded="text").collect()}
+    assert once == {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(docs, bpe.tokenizer_path(), blob), bpe.tokenizer_path()).collect()}
     got = {r.doc_id: (bytes(r.ids), r.decoded) for r in bpe.decode(bpe.encode(docs, bpe.tokenizer_path(), blob), bpe.tokenizer_path()).collect()}
     for i, text in enumerate(ODD):
         ids = reference.encode(text or "", add_special_tokens=False).ids
