@@ -131,6 +131,32 @@ def test_line_dedup_fuzzy_and_emptied(spark):
     assert line_dedup.dedup(table(spark, rows), flips=12, blocks=14, drop_emptied=False).count() == 4
 
 
+@pytest.mark.parametrize("n", [11, 21, 51])
+def test_line_dedup_recall_at_production_values(spark, n):
+    """Two rows for each line: it and a near one. Of those that brute force finds 0.9 alike, the second goes."""
+    rng = random.Random(n)
+    spell = lambda: "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randrange(3, 9)))
+    rows, pairs = [], []
+    for k in range(240):
+        one = [spell() for _ in range(n)]
+        two = list(" ".join(one))
+        if k % 2:
+            w = one.copy()
+            w[rng.randrange(n)] = spell()
+            two = list(" ".join(w))
+        else:
+            for _ in range(1 + k // 2 % 3):
+                two[rng.choice([i for i, c in enumerate(two) if c != " "])] = rng.choice("qxz")
+        a, b = " ".join(one), "".join(two)
+        pairs.append((a, b, 2 * k + 1))
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    alike = F.expr("a <> b AND levenshtein(a, b) <= 0.1D * greatest(length(a), length(b))")
+    wanted = {r.d for r in spark.createDataFrame(pairs, "a string, b string, d long").where(alike).collect()}
+    gone = set(range(480)) - {r.doc_id for r in line_dedup.dedup(table(spark, rows), flips=None).collect()}
+    print("recall", n, len(gone & wanted), len(wanted))
+    assert len(wanted) > 150 and gone <= wanted and len(gone) >= 0.95 * len(wanted)
+
+
 def test_line_group_of_thousands(spark):
     line = " ".join(words(5, 40))
     rows = [(d, line + "\n" + " ".join(words(1000 + d, 12))) for d in range(3000)]
