@@ -157,6 +157,15 @@ def test_line_dedup_recall_at_production_values(spark, n):
     assert len(wanted) > 150 and gone <= wanted and len(gone) >= 0.95 * len(wanted)
 
 
+def test_pipeline_keeps_short_lines_of_emptied_documents(spark):
+    import corpus_pipeline
+
+    shared = "a licence line that several of the documents have in common"
+    rows = [(1, shared), (2, shared + "\nshort verse\nof its own"), (3, shared + "\n \n"), (4, None), (5, " ")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, table(spark, rows), None).collect()}
+    assert got == {1: shared, 2: "short verse\nof its own", 4: None, 5: " "}
+
+
 def test_line_group_of_thousands(spark):
     line = " ".join(words(5, 40))
     rows = [(d, line + "\n" + " ".join(words(1000 + d, 12))) for d in range(3000)]
