@@ -1,7 +1,8 @@
 """Packing by the dot-product heuristic of vector bin packing.
 
 A piece of a document weighs (tokens, 1 segment, loss-bearing tokens); a sequence holds at most `max_tokens`,
-`max_segments` and `max_loss` of them. The open sequence takes, among the waiting pieces that fit, the one whose weight has
+`max_segments` and `max_loss` of them. Which tokens bear loss a column says (`loss`): how many of the text's last tokens, the
+end id among them; null or no column means all. The open sequence takes, among the waiting pieces that fit, the one whose weight has
 the largest dot product with the room that is left, all as parts of the limits. When none fits and more than `slack` tokens
 of room are left, the longest waiting piece is cut to fill it (`cut=False` forbids that, and then a longer document alone is
 cut, at the limits). A sequence short of the limit at the end of a task is cut into runs whose lengths are powers of two,
@@ -76,13 +77,14 @@ class Packer:
                 score = (table[fits] / self.limits) @ (room / self.limits)
                 at = int(fits[int(score.argmax())])
                 piece = self._pop(at)
-            elif self.cut and room[0] > self.slack and room[2] >= 1:
+            elif self.cut and room[0] > self.slack:
+                tokens, loss = self.order[-1]
+                most = int(min(room[0], tokens - 1, tokens - loss + room[2]))  # cut where the loss still fits
+                if most < 1:
+                    break
                 piece = self._pop(len(self.order) - 1)
                 row, start, length, loss = piece
-                most = int(min(room[0], length - 1))
                 first = self._loss(piece, most)
-                if first > room[2]:  # cut where the loss still fits
-                    most, first = int(room[2]), self._loss(piece, int(room[2]))
                 self.add((row, start + most, length - most, loss - first))
                 piece = (row, start, most, first)
             else:
@@ -119,7 +121,7 @@ def binary_runs(pieces: list[tuple]) -> list[list[tuple]]:
     return runs
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, max_segments: int = 128, max_loss: int = MAX_TOKENS, end_id: int = END_ID, window: int = 6_000_000, cut: bool = True, slack: int = 4, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, max_segments: int = 128, max_loss: int = MAX_TOKENS, end_id: int = END_ID, window: int = 6_000_000, cut: bool = True, slack: int = 4, with_ids: bool = False, loss: str | None = None) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset (and `ids`, packed)."""
     fields = [("start", T.LongType(), pa.int64()), ("length", T.LongType(), pa.int64()), ("ids_crc32", T.LongType(), pa.int64()), ("doc_tokens", T.LongType(), pa.int64()), ("loss_tokens", T.LongType(), pa.int64()), ("sequence_id", T.LongType(), pa.int64()), ("offset", T.LongType(), pa.int64())]
     if with_ids:
@@ -157,12 +159,16 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             for part in slices(batch, text):
                 flat, bounds = encoder(part.column(text))
                 flat = flat.astype("<u4")
-                for name, a, b in zip(part.column(key).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                tails = part.column(loss).to_pylist() if loss else [None] * part.num_rows
+                for name, a, b, tail in zip(part.column(key).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), tails, strict=True):
                     own = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")
                     ids[n] = (name, own, len(own))
-                    whole = min(max_tokens, max_loss)
-                    for start in range(0, len(own), whole):
-                        piece = (n, start, min(whole, len(own) - start), min(whole, len(own) - start))
+                    bare = 0 if tail is None else len(own) - max(0, min(tail, len(own)))  # tokens before the loss
+                    start = 0
+                    while start < len(own):
+                        length = min(max_tokens, len(own) - start, max(0, bare - start) + max_loss)
+                        piece = (n, start, length, max(0, start + length - max(start, bare)))
+                        start += length
                         if piece[2] == max_tokens:
                             place([piece])
                         else:
@@ -181,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             yield out()
 
     schema = T.StructType([docs.schema[key], *(T.StructField(name, kind) for name, kind, _ in fields)])
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text, *([loss] if loss else [])).mapInArrow(run, schema)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

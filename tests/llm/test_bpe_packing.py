@@ -93,6 +93,24 @@ def test_packing_rules(spark, reference):
     check_packing(pieces, texts, reference, segments=3, loss=1000)
 
 
+def test_packing_loss_column(spark, reference):
+    """Only replies bear loss: prompts don't fill the loss limit, and each piece's loss is its part of the reply."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "of", "word"]) for _ in range(rng.choice([1500, 1900, 6000]))) for _ in range(60)]
+    tails = [(0, 50, 120, 900, 10**6, None)[i % 6] if i % 12 >= 6 else 90 for i in range(60)]
+    docs = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(zip(texts, tails, strict=True))], "doc_id long, text string, reply long").coalesce(1)
+    pieces = packing.pack(docs, bpe.tokenizer_path(), max_loss=1000, loss="reply").collect()
+    check_packing(pieces, texts, reference, loss=1000)
+    for r in pieces:
+        bare = 0 if tails[r.doc_id] is None else max(0, r.doc_tokens - tails[r.doc_id])
+        assert r.loss_tokens == max(0, r.start + r.length - max(r.start, bare))
+    short = docs.where("reply = 90")
+    pieces = packing.pack(short, bpe.tokenizer_path(), max_loss=1000, loss="reply").collect()
+    total = sum(r.length for r in pieces)
+    assert len({r.sequence_id for r in pieces}) <= total / 4096 + 12  # the last one's runs of powers of two among them
+    assert sum(r.loss_tokens for r in pieces) == 90 * short.count()
+
+
 def test_query_digests(spark, reference):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
