@@ -315,6 +315,12 @@ def j5(spark, sf):
     return routing.fan_out(packets(spark, sf), contexts(spark, sf).where("session_id % 50 = 1").select("session_id", "pt"), ["pt"]).select("event_id", "copy", "session_id")
 
 
+@query("j5_fan_out_all")
+def j5_all(spark, sf):
+    """Every packet to every session of its type. Tests hold it against brute force."""
+    return routing.fan_out(packets(spark, sf), contexts(spark, sf).select("session_id", "pt"), ["pt"]).select("event_id", "copy", "session_id")
+
+
 @query("j5_fan_out_totals", duck(" SELECT session_id, count(*) AS packets, CAST(sum(payload_len) AS BIGINT) AS octets FROM packets JOIN contexts USING (pt) GROUP BY session_id", PACKETS, CONTEXTS))
 def j5t(spark, sf):
     return routing.fan_out_totals(packets(spark, sf), contexts(spark, sf).select("session_id", "pt"), ["pt"])
@@ -426,6 +432,14 @@ def j8(spark, sf):
     return reports.activity(r.select("session_id", F.col("arrival_ms").alias("at_ms"), "event_id", "copy"), active, 4960)
 
 
+@query("j8_activity_all")
+def j8_all(spark, sf):
+    """As j8, with every routed packet as activity. Tests hold it against brute force."""
+    r = routed(spark, sf)
+    active = r.select("session_id", F.col("arrival_ms").alias("active_ms"), F.col("event_id").alias("active_event"), F.col("copy").alias("active_copy"))
+    return reports.activity(r.select("session_id", F.col("arrival_ms").alias("at_ms"), "event_id", "copy"), active, 4960)
+
+
 @query("t3_interval_reports", duck(" SELECT ssrc, arrival_ms // 4960 AS bucket, count(*) AS packets, CAST(sum(payload_len) AS BIGINT) AS octets FROM packets GROUP BY 1, 2", PACKETS))
 def t3(spark, sf):
     return reports.tumbling(packets(spark, sf))

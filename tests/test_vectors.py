@@ -208,3 +208,23 @@ def test_messages(spark):
     t = one(spark, messages.transport(F.lit('RTP/AVP/UDP;unicast;client_port=10000-10001;mode="PLAY"')).alias("a"), messages.transport(F.lit("RTP/AVP;multicast;destination=232.248.50.1;source=10.0.57.24;port=18888-18889;ttl=255")).alias("b"))
     assert (t.a.multicast, t.a.client_low, t.a.client_high, t.a.mode, t.a.ttl) == (False, 10000, 10001, "play", 127)
     assert (t.b.multicast, t.b.destination, t.b.source, t.b.port_low, t.b.port_high, t.b.ttl) == (True, "232.248.50.1", "10.0.57.24", 18888, 18889, 255)
+
+
+def test_whole_fan_out_and_activity_against_brute_force(spark):
+    from collections import Counter
+
+    from mediaflow.jobs import packet_queries as jobs
+
+    sf = "/root/testdata/sf0.001"
+    sent = jobs.packets(spark, sf).select("event_id", "copy", "pt").collect()
+    by_type = {}
+    for c in jobs.contexts(spark, sf).select("session_id", "pt").collect():
+        by_type.setdefault(c.pt, []).append(c.session_id)
+    want = Counter((p.event_id, p.copy, s) for p in sent for s in by_type.get(p.pt, ()))
+    assert want and Counter(map(tuple, jobs.QUERIES["j5_fan_out_all"](spark, sf).collect())) == want
+    own = {}
+    for r in jobs.routed(spark, sf).where("session_id IS NOT NULL").select("session_id", "arrival_ms", "event_id", "copy").collect():
+        own.setdefault(r.session_id, []).append(r)
+    want = Counter((s, a.event_id, a.copy, b.event_id, b.copy) for s, rows in own.items() for a in rows for b in rows if 0 <= a.arrival_ms - b.arrival_ms <= 4960)
+    got = jobs.QUERIES["j8_activity_all"](spark, sf).select("session_id", "event_id", "copy", "active_event", "active_copy").collect()
+    assert want and Counter(map(tuple, got)) == want
