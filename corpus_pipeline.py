@@ -29,7 +29,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that another occurrence stands for; those with nothing but white space left go."""
-    return line_dedup.dedup(docs, drop_emptied=False, drop_blank=True, flips=None)
+    return line_dedup.dedup(docs, drop_emptied=False, drop_blank=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,13 +38,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 STEP = 256
 
 
-def link(table: DataFrame, state: DataFrame, compare: Callable[[DataFrame], DataFrame], able: Callable[[str, str], Column] | None = None, rounds: int | None = None) -> DataFrame:
+def link(table: DataFrame, state: DataFrame, compare: Callable[[DataFrame], DataFrame], able: Callable[[str, str], Column] | None = None, rounds: int | None = None, step: int = STEP) -> DataFrame:
     """state with the chains joined that links within buckets make.
 
     table: (key, id, …), who meets in which bucket; state: (id, c), every id's chain so far; compare: of pairs (a, b) those
     that are linked; able: a condition on the columns that two entries must meet, by the prefixes of their names.
-    In each bucket one member (the least id) is compared with all members of other chains; then members drawn by hash are, STEP
-    times as many each round, until every pair of the bucket is in one chain or compared (or for `rounds` rounds)."""
+    In each bucket one member (the least id) is compared with all members of other chains; then members drawn by hash are, `step`
+    times as many each round, until every pair of the bucket is in one chain or compared (or for `rounds` rounds). The stored
+    `state` is given up: once chains are joined, its files go."""
     columns = [c for c in table.columns if c != "key"] + ["c"]
     tested: list[DataFrame] = []
     turn = 0
@@ -60,7 +61,7 @@ def link(table: DataFrame, state: DataFrame, compare: Callable[[DataFrame], Data
         if turn == 0:
             pivot, done = F.col("id") == F.col("first"), F.lit(False)
         else:
-            pivot, done = place < float(STEP**turn), place < float(STEP ** (turn - 1) if turn > 1 else 0)
+            pivot, done = place < float(step**turn), place < float(step ** (turn - 1) if turn > 1 else 0)
         left = live.where(pivot & ~done).select("key", *(F.col(c).alias(f"l_{c}") for c in columns))
         right = live.where(~done).select("key", *(F.col(c).alias(f"r_{c}") for c in columns))
         met = left.join(right, "key").where((F.col("l_c") != F.col("r_c")) & (able("l_", "r_") if able else F.lit(True)))
@@ -74,10 +75,10 @@ def link(table: DataFrame, state: DataFrame, compare: Callable[[DataFrame], Data
         of = lambda x: state.select(F.col("id").alias(x), F.col("c").alias(f"c{x}"))  # noqa: E731, B023
         moved = components(links.join(of("a"), "a").join(of("b"), "b"), "ca", "cb").select(F.col("id").alias("c"), F.col("c").alias("to"))
         after = cut(state.join(moved, "c", "left").select("id", F.coalesce("to", "c").alias("c")))
-        drop_cut(links)
+        drop_cut(links, moved, state)
         state = after
         turn += 1
-        if turn > 1 and STEP ** (turn - 1) >= most:
+        if turn > 1 and step ** (turn - 1) >= most:
             break
     drop_cut(*tested)
     return state

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; and line dedup against a plain version."""
 
+import math
 import random
 import re
 from itertools import combinations
@@ -100,14 +101,35 @@ def test_components_match_union_find(spark):
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
 
 
-def plain_dedup(rows):
-    """Groups of equal or alike lines (edit similarity 0.9, SimHash within three bits not asked), first occurrence stays."""
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_dedup(rows, similarity=0.9):
+    """Groups of equal or alike lines, by brute force over all pairs; of each, the first occurrence stays."""
+    norm = lambda line: " ".join(re.findall(r"[^\W_]+", line.lower()))
+    lines = {n: n for _, text in rows for n in map(norm, text.split("\n")) if len(n.split()) >= 5}
+
+    def root(n):
+        while lines[n] != n:
+            n = lines[n]
+        return n
+
+    for a, b in combinations(list(lines), 2):
+        most = math.floor((1 - similarity) * max(len(a), len(b)) + 1e-9)
+        if abs(len(a) - len(b)) <= most and edits(a, b) <= most:
+            lines[root(b)] = root(a)
     seen, out = {}, {}
     for d, text in sorted(rows):
         kept = []
         for i, line in enumerate(text.split("\n")):
-            n = " ".join(re.findall(r"[^\W_]+", line.lower()))
-            if len(n.split()) >= 5 and seen.setdefault(n, (d, i)) != (d, i):
+            n = norm(line)
+            if n in lines and seen.setdefault(root(n), (d, i)) != (d, i):
                 continue
             kept.append(line)
         out[d] = "\n".join(kept)
@@ -118,7 +140,7 @@ def test_line_dedup_exact_lines(spark):
     rng = random.Random(4)
     pool = [" ".join(words(100 + k, rng.choice([3, 8, 30]))) for k in range(40)]
     rows = [(d, "\n".join(rng.choice([str.upper, str, lambda x: x + "!"])(rng.choice(pool)) for _ in range(6)) + f"\nunique line of the document number {d} xx{d}{d * 7}") for d in range(40)]
-    got = {r.doc_id: r.text for r in line_dedup.dedup(table(spark, rows)).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup(table(spark, rows), drop_emptied=False).collect()}
     assert got == plain_dedup(rows)
 
 
@@ -126,9 +148,9 @@ def test_line_dedup_fuzzy_and_emptied(spark):
     line = " ".join(words(77, 120))
     near = line.replace(line.split()[50], line.split()[50] + "x", 1)
     rows = [(1, line + "\nshort tail"), (2, near + "\nshort tail"), (3, near + "\nanother quite long line that only this document has"), (4, "short tail")]
-    got = {r.doc_id: r.text for r in line_dedup.dedup(table(spark, rows), flips=12, blocks=14).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup(table(spark, rows)).collect()}
     assert got == {1: rows[0][1], 3: "another quite long line that only this document has", 4: "short tail"}
-    assert line_dedup.dedup(table(spark, rows), flips=12, blocks=14, drop_emptied=False).count() == 4
+    assert line_dedup.dedup(table(spark, rows), drop_emptied=False).count() == 4
 
 
 @pytest.mark.parametrize("n", [11, 21, 51])
@@ -152,7 +174,7 @@ def test_line_dedup_recall_at_production_values(spark, n):
         rows += [(2 * k, a), (2 * k + 1, b)]
     alike = F.expr("a <> b AND levenshtein(a, b) <= 0.1D * greatest(length(a), length(b))")
     wanted = {r.d for r in spark.createDataFrame(pairs, "a string, b string, d long").where(alike).collect()}
-    gone = set(range(480)) - {r.doc_id for r in line_dedup.dedup(table(spark, rows), flips=None).collect()}
+    gone = set(range(480)) - {r.doc_id for r in line_dedup.dedup(table(spark, rows)).collect()}
     print("recall", n, len(gone & wanted), len(wanted))
     assert len(wanted) > 150 and gone <= wanted and len(gone) >= 0.95 * len(wanted)
 
