@@ -34,6 +34,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return held.select(F.col("u").alias("id"), F.col("v").alias("c")).unionByName(roots)
 
 
+def joined(state: DataFrame, links: DataFrame) -> DataFrame:
+    """state (id, c) with the chains joined that links (a, b) connect; the stored `state` is given up."""
+    of = lambda x: state.select(F.col("id").alias(x), F.col("c").alias(f"c{x}"))
+    moved = components(links.join(of("a"), "a").join(of("b"), "b"), "ca", "cb").select(F.col("id").alias("c"), F.col("c").alias("to"))
+    after = cut(state.join(moved, "c", "left").select("id", F.coalesce("to", "c").alias("c")))
+    drop_cut(moved, state)
+    return after
+
+
 #: Times as many pivots in each further round.
 STEP = 256
 
@@ -72,11 +81,8 @@ def link(table: DataFrame, state: DataFrame, compare: Callable[[DataFrame], Data
         tested.append(pairs)
         links = cut(compare(pairs))
         drop_cut(live)
-        of = lambda x: state.select(F.col("id").alias(x), F.col("c").alias(f"c{x}"))  # noqa: E731, B023
-        moved = components(links.join(of("a"), "a").join(of("b"), "b"), "ca", "cb").select(F.col("id").alias("c"), F.col("c").alias("to"))
-        after = cut(state.join(moved, "c", "left").select("id", F.coalesce("to", "c").alias("c")))
-        drop_cut(links, moved, state)
-        state = after
+        state = joined(state, links)
+        drop_cut(links)
         turn += 1
         if turn > 1 and step ** (turn - 1) >= most:
             break
