@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mediaflow.functions.bits import be
+from mediaflow.functions.storage import new_folder
 from mediaflow.jobs.rtcp_queries import C, parts
 from mediaflow.operators import mpegts, payloads, rtcp, rtp
 from mediaflow.sources import capture
@@ -176,3 +177,87 @@ def d23(spark, sf):
     raw = F.concat(be(0x47, 1), be(0x4000, 2), be(0x10, 1), body)
     u = t.select(F.col("f").cast("string").alias("path"), "unit_idx", F.concat(raw, F.unhex(F.repeat(F.lit("FF"), mpegts.UNIT - F.octet_length(raw)))).alias("raw"))
     return mpegts.programs(mpegts.decode(u))
+
+
+@query("s7_archive", " SELECT CAST(ssrc % 7 AS VARCHAR) AS stream_id, event_id, copy, seq, arrival_ms FROM packets", PACKETS)
+def s7(spark, sf):
+    """The packets written under one directory per stream, and read back."""
+    folder = new_folder(spark, "archive")
+    capture.archive(packets(spark, sf).select((F.col("ssrc") % 7).cast("string").alias("stream_id"), "event_id", "copy", "seq", "arrival_ms"), folder)
+    return spark.read.schema("event_id bigint, copy int, seq int, arrival_ms bigint, stream_id string").parquet(folder).select("stream_id", "event_id", "copy", "seq", "arrival_ms")
+
+
+#: A connection carries one source's packets of a second; every fifth is followed by a message, some with a body.
+CONNECTIONS = """
+pieces AS (
+  SELECT ssrc, arrival_ms // 1000 AS second, arrival_ms, event_id, copy, 0 AS after, CAST(event_id % 4 AS INT) AS channel, props AS part, 4 + payload_len AS octets FROM packets
+  UNION ALL
+  SELECT ssrc, arrival_ms // 1000, arrival_ms, event_id, copy, 1, -1, 'PING ' || event_id || chr(13) || chr(10) || CASE WHEN event_id % 2 = 0 THEN 'Content-Length: 3' || chr(13) || chr(10) ELSE '' END || chr(13) || chr(10) || CASE WHEN event_id % 2 = 0 THEN '$$$' ELSE '' END,
+    9 + length(CAST(event_id AS VARCHAR)) + CASE WHEN event_id % 2 = 0 THEN 22 ELSE 0 END FROM packets WHERE event_id % 5 = 0)"""
+
+
+@query("s6_interleaved", " SELECT ssrc, second, CAST(row_number() OVER w - 1 AS INT) AS idx, channel, CAST(coalesce(sum(octets) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at, hex(encode(part)) AS part FROM pieces WINDOW w AS (PARTITION BY ssrc, second ORDER BY arrival_ms, event_id, copy, after)", PACKETS, CONNECTIONS)
+def s6(spark, sf):
+    """The bytes of each connection, frames and messages mixed, taken apart."""
+    p = packets(spark, sf)
+    size = F.octet_length("props")
+    frame = F.concat(be(0x24, 1), be(F.col("event_id") % 4, 1), be(size, 2), F.encode("props", "UTF-8"))
+    even = F.col("event_id") % 2 == 0
+    ping = F.encode(F.concat(F.lit("PING "), F.col("event_id").cast("string"), F.lit("\r\n"), F.when(even, "Content-Length: 3\r\n").otherwise(""), F.lit("\r\n"), F.when(even, "$$$").otherwise("")), "UTF-8")
+    each = p.select("ssrc", F.floor(F.col("arrival_ms") / 1000).alias("second"), F.struct("arrival_ms", "event_id", "copy", F.hex(F.when(F.col("event_id") % 5 == 0, F.concat(frame, ping)).otherwise(frame)).alias("h")).alias("x"))
+    sent = each.groupBy("ssrc", "second").agg(F.sort_array(F.collect_list("x")).alias("x")).select("ssrc", "second", F.unhex(F.array_join(F.transform("x", lambda x: x["h"]), "")).alias("raw"))
+    return capture.split_interleaved(sent, ("ssrc", "second")).withColumn("part", F.hex("part"))
+
+
+#: Payloads of video: single units, two units in one packet, and both ends of a unit that is cut in two.
+NALS = """
+u AS (SELECT event_id, copy, ssrc, rtp_ts, CAST(event_id % 4 AS INT) AS form, CAST(event_id % 5 + 1 AS INT) AS t, CAST(event_id % 23 + 1 AS INT) AS v, hex(encode(props)) AS h FROM packets),
+nals AS (
+  SELECT event_id, copy, ssrc, rtp_ts, 0 AS idx, t AS nal_type, form <> 3 AS is_start, form <> 2 AS is_end, CASE WHEN form = 3 THEN h ELSE printf('%02X', 96 + t) || h END AS part FROM u
+  UNION ALL SELECT event_id, copy, ssrc, rtp_ts, 1, v, true, true, printf('%02X', 96 + v) || h FROM u WHERE form = 1)"""
+
+
+def video(spark, sf):
+    """event_id, copy, ssrc, rtp_ts, payload."""
+    p = packets(spark, sf)
+    body, t, v = F.encode("props", "UTF-8"), F.col("event_id") % 5 + 1, F.col("event_id") % 23 + 1
+    unit = lambda x: F.concat(be(96 + x, 1), body)
+    two = F.concat(be(96 + 24, 1), be(1 + F.octet_length(body), 2), unit(t), be(1 + F.octet_length(body), 2), unit(v))
+    cut = lambda bit: F.concat(be(96 + 28, 1), be(bit + t, 1), body)
+    form = F.col("event_id") % 4
+    return p.select("event_id", "copy", "ssrc", "rtp_ts", F.when(form == 0, unit(t)).when(form == 1, two).when(form == 2, cut(128)).otherwise(cut(64)).alias("payload"))
+
+
+@query("d19_h264_nals", " SELECT event_id, copy, idx, nal_type, is_start, is_end, part FROM nals", PACKETS, NALS)
+def d19(spark, sf):
+    return payloads.depacketize(video(spark, sf), "h264", keep=("event_id", "copy")).withColumn("part", F.hex("part"))
+
+
+@query("a12_key_frames", " SELECT ssrc, rtp_ts, bool_or(nal_type = 5) AS is_key, array_to_string(list_sort(list_distinct(list(nal_type))), ',') AS nal_types FROM nals GROUP BY 1, 2", PACKETS, NALS)
+def a12(spark, sf):
+    found = payloads.key_frames(payloads.depacketize(video(spark, sf), "h264", keep=("ssrc", "rtp_ts")), ["ssrc", "rtp_ts"])
+    return found.withColumn("nal_types", F.array_join(F.transform("nal_types", lambda x: x.cast("string")), ","))
+
+
+@query("p1_report_registry", """ SELECT compound_id, 200 AS rtcp_pt, packets_so_far AS sent_packets, octets_so_far AS sent_octets, NULL AS media_ssrc, NULL AS items FROM c
+UNION ALL SELECT compound_id, 202, NULL, NULL, NULL, 1 FROM c UNION ALL SELECT compound_id, CASE k WHEN 0 THEN 203 WHEN 1 THEN 204 WHEN 2 THEN 205 ELSE 206 END, NULL, NULL, CASE WHEN k >= 2 THEN ssrc + 2 END, NULL FROM c""", PACKETS + C.replace("{", "{{").replace("}", "}}"))
+def p1(spark, sf):
+    """Every body decoded by what is registered for its type; descriptions by an added decoder that counts their chunks."""
+    before = dict(rtcp.DECODERS)
+    rtcp.register(202, lambda raw: F.struct(F.col("bc").alias("items")))
+    bodies = rtcp.decode_bodies(parts(spark, sf))
+    rtcp.DECODERS.clear()
+    rtcp.DECODERS.update(before)
+    return bodies.select("compound_id", "rtcp_pt", F.col("body_200.packets").alias("sent_packets"), F.col("body_200.octets").alias("sent_octets"), F.coalesce("body_205.media_ssrc", "body_206.media_ssrc").alias("media_ssrc"), F.col("body_202.items").alias("items"))
+
+
+def _halves(data: bytes) -> list[tuple]:
+    return [(0, data[: len(data) // 2]), (1, data[len(data) // 2 :])]
+
+
+@query("p2_format_registry", """ SELECT event_id, copy, 0 AS idx, hex(encode(left(props, length(props) // 2))) AS part FROM packets UNION ALL SELECT event_id, copy, 1, hex(encode(substr(props, length(props) // 2 + 1))) FROM packets""", PACKETS)
+def p2(spark, sf):
+    """A payload format added to the registry, which cuts a payload in two."""
+    payloads.register("halves", _halves, "idx int, part binary")
+    p = packets(spark, sf).select("event_id", "copy", F.encode("props", "UTF-8").alias("payload"))
+    return payloads.depacketize(p, "halves", keep=("event_id", "copy")).withColumn("part", F.hex("part"))

@@ -258,9 +258,11 @@ def a10c(spark, sf):
     return decoded(spark, sf).select((F.col("ssrc") % 10).alias("stream"), F.explode(rtp.csrcs()).alias("source")).groupBy("stream").agg(F.count_distinct("source").alias("contributing"))
 
 
-@query("a10_approximate")
+@query("a10_approximate", duck(" SELECT ssrc % 10 AS stream, true AS within_bound FROM packets GROUP BY 1", PACKETS))
 def a10a(spark, sf):
-    return packets(spark, sf).groupBy((F.col("ssrc") % 10).alias("stream")).agg(F.approx_count_distinct("ssrc").alias("sources"))
+    """Whether the sketch's count is within three of its standard errors (5% each) of the exact one."""
+    counts = packets(spark, sf).groupBy((F.col("ssrc") % 10).alias("stream")).agg(F.approx_count_distinct("ssrc", 0.05).alias("sources"), F.count_distinct("ssrc").alias("exact"))
+    return counts.select("stream", (F.abs(F.col("sources") - F.col("exact")) <= 0.15 * F.col("exact")).alias("within_bound"))
 
 
 # -- routing -----------------------------------------------------------------------------------------------------------
@@ -289,6 +291,14 @@ def j3(spark, sf):
     return routing.conflicts(contexts(spark, sf))
 
 
+@query("j3_identity_classes", duck(""", k AS (SELECT session_id, pt, 'local' AS kind, 100000 + session_id % 700 AS ssrc FROM contexts UNION SELECT session_id, pt, 'remote', CASE WHEN session_id % 13 = 0 THEN 0 ELSE remote_ssrc END FROM contexts),
+g AS (SELECT kind, ssrc, pt, min(session_id) AS first FROM k WHERE ssrc <> 0 GROUP BY 1, 2, 3 HAVING count(*) > 1) SELECT kind, ssrc, pt, session_id, first FROM k JOIN g USING (kind, ssrc, pt)""", CONTEXTS))
+def j3i(spark, sf):
+    """Contexts whose local sources repeat, and some of whose remote ones aren't known yet."""
+    c = contexts(spark, sf).withColumns({"local_ssrc": 100000 + F.col("session_id") % 700, "remote_ssrc": F.when(F.col("session_id") % 13 == 0, 0).otherwise(F.col("remote_ssrc"))})
+    return routing.identity_classes(c)
+
+
 @query("j3_channel_clashes", duck(""", e AS (SELECT session_id % 97 AS client_id, session_id, data_ch AS channel FROM contexts UNION SELECT session_id % 97, session_id, ctrl_ch FROM contexts)
 SELECT client_id, channel, count(*) AS sessions FROM e GROUP BY 1, 2 HAVING count(*) > 1""", CONTEXTS))
 def j3c(spark, sf):

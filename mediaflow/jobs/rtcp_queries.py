@@ -108,6 +108,46 @@ def d16(spark, sf):
     return p.select("compound_id", rtcp.ntp_ms(msw, lsw).alias("ms"), rtcp.ntp_middle(msw, lsw).alias("middle"), rtcp.ntp_parts(rtcp.ntp_ms(msw, lsw))["msw"].alias("back_msw"))
 
 
+_SIZES = """, a AS (SELECT ssrc, 52 AS octets FROM c
+UNION ALL SELECT ssrc, 4 * (1 + (6 + 9 + length(CAST(ssrc AS VARCHAR)) + 4 - (11 + length(CAST(ssrc AS VARCHAR))) % 4) // 4) FROM c
+UNION ALL SELECT ssrc, CASE k WHEN 3 THEN 12 ELSE 16 END FROM c),
+ctl AS (SELECT ssrc, count(*) AS rtcp_packets, CAST(sum(octets) AS BIGINT) AS rtcp_octets FROM a GROUP BY 1),
+got AS (SELECT ssrc % 3 AS session_id, ssrc, count(*) AS packets, CAST(sum(payload_len) AS BIGINT) AS rfc_octets, CAST(sum(payload_len + 12 + event_id % 4 * 4) AS BIGINT) AS total_octets, min(arrival_ms) AS first_ms, max(arrival_ms) AS last_ms, count(*) FILTER (event_id % 23 = 0) AS failed FROM packets GROUP BY 1, 2),
+st AS (SELECT session_id, got.ssrc, packets, rfc_octets, total_octets, first_ms, last_ms, failed, rtcp_packets, rtcp_octets FROM got JOIN ctl USING (ssrc))"""
+
+
+def control_stats(spark, sf):
+    p = packets(spark, sf).withColumns({"session_id": F.col("ssrc") % 3, "failed": F.col("event_id") % 23 == 0})
+    got = reports.context_stats(p, octets=F.col("payload_len") + 12 + F.col("event_id") % 4 * 4, keep_failed=True)
+    return reports.with_control(got, reports.control_stats(parts(spark, sf)))
+
+
+@query("a1_control_stats", _SIZES + " SELECT * FROM st")
+def a1(spark, sf):
+    """Received packets (failed ones, too) of three sessions, with the control packets split from their sources' datagrams."""
+    return control_stats(spark, sf)
+
+
+@query("a3_control_bandwidth", _SIZES + ", r AS (SELECT session_id, CAST(sum(total_octets) AS BIGINT) AS received_octets, CAST(sum(rtcp_octets) AS BIGINT) AS rtcp_octets FROM st GROUP BY 1) SELECT *, received_octets > 0 AND rtcp_octets > 0 AND rtcp_octets >= received_octets / 4.96::DOUBLE AS exceeded FROM r")
+def a3(spark, sf):
+    per = control_stats(spark, sf).groupBy("session_id").agg(F.sum("total_octets").alias("received_octets"), F.sum("rtcp_octets").alias("rtcp_octets"))
+    return reports.rtcp_exceeded(per)
+
+
+@query("s4_control_text", """, t AS (SELECT compound_id, 1 AS idx, '(SDES ssrc=0x' || printf('%02X', ssrc) || ' p=0 count=1 len=' || ((6 + 9 + length(CAST(ssrc AS VARCHAR)) + 4 - (11 + length(CAST(ssrc AS VARCHAR))) % 4) // 4) || chr(10) || chr(10) || 'src=0x' || printf('%02X', ssrc) || ' CName="user' || ssrc || '@host")' AS line FROM c
+UNION ALL SELECT compound_id, 2, CASE k WHEN 0 THEN '(BYE ssrc=0x' || printf('%02X', ssrc) || ' p=0 count=1 len=3' || chr(10) || 'reason="' || rpad('b' || bucket, 7, '.') || '"ssrc=0x' || printf('%X', ssrc) || chr(10) || ')'
+  WHEN 1 THEN '(APP ssrc=0x' || printf('%02X', ssrc) || ' p=0 count=1 len=3' || chr(10) || ')' WHEN 2 THEN '(CD ssrc=0x' || printf('%02X', ssrc) || ' p=0 count=1 len=3' || chr(10) || ')' ELSE '(CE ssrc=0x' || printf('%02X', ssrc) || ' p=0 count=1 len=2' || chr(10) || ')' END FROM c
+UNION ALL SELECT compound_id, 3, '(RR ssrc=0x' || printf('%02X', ssrc) || ' p=0 count=1 len=7' || chr(10) || ' (ssrc=0x' || printf('%02X', ssrc + 1) || ' fraction=' || (bucket % 256) || ' lost=' || (bucket % 7 - 3) || ' last_seq=' || (packets_so_far + 65536) || chr(10) || ' jit=' || (bucket * 3) || ' lsr=' || ssrc || ' dlsr=' || bucket || ')' || chr(10) || ')' FROM c) SELECT * FROM t""")
+def s4(spark, sf):
+    """The datagrams' parts in expression form, with a receiver report of each sender report's blocks."""
+    from mediaflow.sources import capture
+
+    p = parts(spark, sf)
+    head = F.concat(be(128 + 1, 1), be(rtcp.RR, 1), be(7, 2), be(F.col("ssrc"), 4), F.substring("raw", 29, 24))
+    received = rtcp.decode_header(p.where("rtcp_pt = 200").select("compound_id", F.lit(3).alias("idx"), head.alias("raw")))
+    return capture.control_text(p.select(*received.columns).unionByName(received), ("compound_id", "idx"))
+
+
 @query("f2_valid_rtcp", _ALL + " SELECT compound_id, idx, pt IN (200, 201) AS valid FROM a")
 def f2(spark, sf):
     return parts(spark, sf).select("compound_id", "idx", rtcp.is_valid_first().alias("valid"))

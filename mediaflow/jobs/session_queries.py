@@ -66,6 +66,37 @@ def x3(spark, sf):
     return a.select("session_key", "media_idx", "idx", "name", "value", "pt", "encoding", "clock_rate", "encoding_params", F.col("params")["mode"].alias("mode"), F.col("params")["rate"].alias("rate"))
 
 
+#: Descriptions with source, control-port, packet-time and direction attributes, and with session attributes.
+SDP_MORE = SDP.replace("a=sendrecv\\r\\n'", """a=ssrc:', s, ' cname:u', p, ':x\\r\\na=ssrc:', s, ' mslabel\\r\\na=rtcp:', port + 1, CASE WHEN p % 2 = 0 THEN ' IN IP4 10.9.9.9' ELSE '' END,
+  '\\r\\na=ptime:', p % 60, '.5\\r\\na=maxptime:none', CASE p % 4 WHEN 0 THEN '\\r\\na=recvonly' WHEN 1 THEN '\\r\\na=inactive' ELSE '' END, '\\r\\n'""").replace("a=control:*\\r\\n'", "a=control:*\\r\\na=tool:maker ', c, CASE WHEN c % 2 = 0 THEN '\\r\\na=sendonly' ELSE '' END, '\\r\\n'")
+
+
+def descriptions_more(spark, sf):
+    return sql(spark, sf, f"WITH {MEDIA} {SDP_MORE}", "lineitem", "orders")
+
+
+@query("x3_attribute_fields", """, a AS (SELECT k, i, 3 AS idx, 'ssrc' AS name, s AS ssrc, 'cname' AS source_attribute, 'u' || p || ':x' AS source_value, CAST(NULL AS INT) AS rtcp_port, CAST(NULL AS VARCHAR) AS rtcp_host, CAST(NULL AS DOUBLE) AS packet_ms, CAST(NULL AS VARCHAR) AS direction FROM m
+UNION ALL SELECT k, i, 4, 'ssrc', s, 'mslabel', NULL, NULL, NULL, NULL, NULL FROM m
+UNION ALL SELECT k, i, 5, 'rtcp', NULL, NULL, NULL, port + 1, CASE WHEN p % 2 = 0 THEN '10.9.9.9' END, NULL, NULL FROM m
+UNION ALL SELECT k, i, 6, 'ptime', NULL, NULL, NULL, NULL, NULL, p % 60 + 0.5::DOUBLE, NULL FROM m
+UNION ALL SELECT k, i, 7, 'maxptime', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM m
+UNION ALL SELECT k, i, 8, d, NULL, NULL, NULL, NULL, NULL, NULL, d FROM (SELECT *, CASE WHEN p % 4 = 0 THEN 'recvonly' ELSE 'inactive' END AS d FROM m WHERE p % 4 < 2))
+SELECT k AS session_key, CAST(i AS INT) AS media_idx, idx, name, ssrc, source_attribute, source_value, rtcp_port, rtcp_host, packet_ms, CAST(NULL AS DOUBLE) AS most_packet_ms, direction FROM a WHERE k IN (SELECT k FROM o)""", MEDIA)
+def x3_fields(spark, sf):
+    a = sdp.attribute_fields(sdp.attributes(sdp.media(descriptions_more(spark, sf)))).where("name NOT IN ('rtpmap', 'fmtp', 'control')")
+    return a.select("session_key", "media_idx", "idx", "name", "ssrc", "source_attribute", "source_value", "rtcp_port", "rtcp_host", "packet_ms", "most_packet_ms", "direction")
+
+
+@query("x3_session_attributes", """ SELECT k AS session_key, 0 AS idx, 'control' AS name, '*' AS value FROM o UNION ALL SELECT k, 1, 'tool', 'maker ' || c FROM o UNION ALL SELECT k, 2, 'sendonly', NULL FROM o WHERE c % 2 = 0""", MEDIA)
+def x3_session(spark, sf):
+    return sdp.session_attributes(descriptions_more(spark, sf))
+
+
+@query("x3_directions", """ SELECT k AS session_key, CAST(i AS INT) AS media_idx, CASE WHEN p % 4 = 0 THEN 'recvonly' WHEN p % 4 = 1 THEN 'inactive' WHEN c % 2 = 0 THEN 'sendonly' ELSE 'sendrecv' END AS direction FROM m JOIN o USING (k)""", MEDIA)
+def x3_direction(spark, sf):
+    return sdp.directions(sdp.media(descriptions_more(spark, sf)))
+
+
 @query("x4_connection", " SELECT m.k AS session_key, CAST(i AS INT) AS media_idx, CASE WHEN p % 2 = 0 THEN '10.1.1.' || (s % 256) ELSE '232.0.' || (c % 256) || '.1' END AS host, CASE WHEN p % 2 = 0 THEN NULL ELSE 127 END AS ttl, CASE WHEN p % 2 = 0 THEN 1 ELSE 3 END AS addresses FROM m JOIN o USING (k)", MEDIA)
 def x4(spark, sf):
     return media(spark, sf).select("session_key", "media_idx", sdp.connection(F.col("connection")).alias("c")).select("session_key", "media_idx", "c.host", "c.ttl", "c.addresses")

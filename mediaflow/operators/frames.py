@@ -23,12 +23,15 @@ def frames(df: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def assemble(df: DataFrame, payload: str = "payload", keys=KEYS, complete_only: bool = True) -> DataFrame:
-    """keys, rtp_ts, pt, and the payload in sequence order. Frames hold MOST_PACKETS packets at most, which bounds a group."""
-    kept = cap(df.where("dup_rank = 1"), keys)
+    """keys, rtp_ts, pt, the payload in sequence order, and whether packets were left out (truncated). MOST_PACKETS packets of a
+    frame are put together at most, which bounds a group; a frame that has more isn't complete, and without complete_only its
+    payload is that of its first ones."""
+    held = frames(df, keys).select(*keys, "rtp_ts", "pt", (F.col("is_complete") & (F.col("packets") <= MOST_PACKETS)).alias("__whole__"), (F.col("packets") > MOST_PACKETS).alias("truncated"))
     if complete_only:
-        kept = kept.join(frames(df, keys).where("is_complete").select(*keys, "rtp_ts", "pt"), [*keys, "rtp_ts", "pt"], "left_semi")
-    parts = kept.groupBy(*keys, "rtp_ts", "pt").agg(F.sort_array(F.collect_list(F.struct("ext", F.hex(payload).alias("h")))).alias("p"))
-    return parts.select(*keys, "rtp_ts", "pt", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("payload"))
+        held = held.where("__whole__")
+    kept = cap(df.where("dup_rank = 1"), keys).join(held.drop("__whole__"), [*keys, "rtp_ts", "pt"])
+    parts = kept.groupBy(*keys, "rtp_ts", "pt").agg(F.first("truncated").alias("truncated"), F.sort_array(F.collect_list(F.struct("ext", F.hex(payload).alias("h")))).alias("p"))
+    return parts.select(*keys, "rtp_ts", "pt", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("payload"), "truncated")
 
 
 def cap(df: DataFrame, keys=KEYS, most: int = MOST_PACKETS, close_at_marker: bool = False) -> DataFrame:

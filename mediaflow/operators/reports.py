@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaflow.operators.sequence import KEYS, ORDER, by_source, running_counters
@@ -10,15 +10,30 @@ from mediaflow.operators.sequence import KEYS, ORDER, by_source, running_counter
 INTERVAL_MS, SHARE = 4960, 4.96
 
 
-def context_stats(packets: DataFrame, failed: str = "failed") -> DataFrame:
-    """By session and source: what was received, octets with and without headers, first and last arrival, failed receptions."""
-    ok = ~F.col(failed)
+def context_stats(packets: DataFrame, failed: str = "failed", octets: Column | None = None, keep_failed: bool = False) -> DataFrame:
+    """By session and source: what was received, octets with and without headers, first and last arrival, failed receptions.
+
+    octets: a packet's whole size (12 octets more than its payload, unless given). keep_failed: where order doesn't matter, a failed
+    packet counts as received, too."""
+    ok = F.lit(True) if keep_failed else ~F.col(failed)
+    whole = F.col("payload_len") + 12 if octets is None else octets
     return packets.groupBy("session_id", "ssrc").agg(
-        F.count(F.when(ok, 1)).alias("packets"), F.sum(F.when(ok, F.col("payload_len")).otherwise(0)).alias("rfc_octets"), F.sum(F.when(ok, F.col("payload_len") + 12).otherwise(0)).alias("total_octets"),
+        F.count(F.when(ok, 1)).alias("packets"), F.sum(F.when(ok, F.col("payload_len")).otherwise(0)).alias("rfc_octets"), F.sum(F.when(ok, whole).otherwise(0)).alias("total_octets"),
         F.min("arrival_ms").alias("first_ms"), F.max("arrival_ms").alias("last_ms"), F.count(F.when(F.col(failed), 1)).alias("failed"),
     )
 
 
+def control_stats(parts: DataFrame, raw: str = "raw") -> DataFrame:
+    """ssrc, rtcp_packets, rtcp_octets of split control packets."""
+    return parts.groupBy("ssrc").agg(F.count(F.lit(1)).alias("rtcp_packets"), F.sum(F.octet_length(raw)).cast("long").alias("rtcp_octets"))
+
+
+def with_control(stats: DataFrame, control: DataFrame) -> DataFrame:
+    """stats (session_id, ssrc, …) with their source's control packets and octets; 0 where there are none."""
+    none = F.lit(0).cast("long")
+    return stats.join(control, "ssrc", "left").select(*stats.columns, F.coalesce("rtcp_packets", none).alias("rtcp_packets"), F.coalesce("rtcp_octets", none).alias("rtcp_octets"))
+
+
 def totals(stats: DataFrame) -> DataFrame:
     """Per source, session and server; level 0, 1 and 3."""
     return stats.rollup("session_id", "ssrc").agg(F.sum("packets").alias("packets"), F.sum("total_octets").alias("octets"), F.sum("failed").alias("failed"), F.grouping_id().cast("int").alias("level"))

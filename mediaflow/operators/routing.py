@@ -36,12 +36,22 @@ def known_types(packets: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def conflicts(contexts: DataFrame) -> DataFrame:
-    """(a, b, kind) of contexts a < b that share a remote source and a payload type."""
+    """(a, b, kind) of contexts a < b that share a remote source and a payload type: every pair. Where a source may be shared by
+    many, use identity_classes."""
     one = contexts.select(F.col("session_id").alias("a"), "remote_ssrc", "pt").distinct()
     two = contexts.select(F.col("session_id").alias("b"), "remote_ssrc", "pt").distinct()
     return one.join(two, ["remote_ssrc", "pt"]).where("a < b").select("a", "b", F.lit("identity").alias("kind"))
 
 
+def identity_classes(contexts: DataFrame) -> DataFrame:
+    """(kind, ssrc, pt, session_id, first): the contexts that share a local source, or a known remote one, and a payload type with
+    others, each with the least session of its class. A class of any size gives one row for each of its members."""
+    kinds = F.array(F.struct(F.lit("local").alias("kind"), F.col("local_ssrc").alias("ssrc")), F.struct(F.lit("remote").alias("kind"), F.col("remote_ssrc").alias("ssrc")))
+    each = contexts.select("session_id", "pt", F.explode(kinds).alias("x")).select("x.kind", "x.ssrc", "pt", "session_id").where("ssrc IS NOT NULL AND ssrc <> 0").distinct()
+    least = each.groupBy("kind", "ssrc", "pt").agg(F.min("session_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return each.join(least, ["kind", "ssrc", "pt"])
+
+
 def channel_clashes(contexts: DataFrame, client: str = "client_id") -> DataFrame:
     """(client, channel, sessions): channels that more than one of a client's contexts uses. No pairs are made."""
     each = contexts.select(client, "session_id", F.explode(F.array("data_ch", "ctrl_ch")).alias("channel")).distinct()

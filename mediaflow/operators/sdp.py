@@ -23,13 +23,14 @@ def _field(text: Column, i: int) -> Column:
 
 def session_lines(df: DataFrame, text: str = "sdp") -> DataFrame:
     """df with all lines, those before the first media line, and the media sections (arrays of lines)."""
-    all_ = lines(F.col(text))
-    opened = df.withColumn("lines", all_).withColumn("starts", F.filter(F.transform("lines", lambda x, i: F.when(F.startswith(x, F.lit("m=")), i + 1)), lambda x: x.isNotNull()))
+    # held by generators, so that no later expression reads and splits the text again
+    held = df.withColumn("lines", F.explode(F.array(lines(F.col(text)))))
+    opened = held.withColumn("starts", F.explode(F.array(F.filter(F.transform("lines", lambda x, i: F.when(F.startswith(x, F.lit("m=")), i + 1)), lambda x: x.isNotNull()))))
     n = F.size("lines")
     head = F.slice("lines", F.lit(1), F.coalesce(F.get("starts", F.lit(0)) - 1, n))
     ends = F.concat(F.slice("starts", F.lit(2), F.greatest(F.size("starts") - 1, F.lit(0))), F.array(n + 1))
     sections = F.when(F.size("starts") > 0, F.transform(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b")), lambda z: F.slice("lines", z["a"], z["b"] - z["a"]))).otherwise(F.array().cast("array<array<string>>"))
-    return opened.withColumn("head", head).withColumn("sections", sections)
+    return opened.withColumn("head", F.explode(F.array(head))).withColumn("sections", sections)
 
 
 def sessions(df: DataFrame, key: str = "session_key", text: str = "sdp") -> DataFrame:
@@ -48,7 +49,7 @@ def media(df: DataFrame, key: str = "session_key", text: str = "sdp") -> DataFra
     d = session_lines(df, text).select(key, value(F.col("head"), "c").alias("c"), value(F.col("head"), "t").alias("t"), F.filter("head", lambda x: F.startswith(x, F.lit("a="))).alias("head_attributes"), F.posexplode("sections").alias("media_idx", "of"))
     m = value(F.col("of"), "m")
     port = _field(m, 1)
-    pts = F.transform(F.filter(F.slice(F.split(m, " "), F.lit(4), F.lit(1000)), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("int"))
+    pts = F.transform(F.filter(F.slice(F.split(m, " "), F.lit(4), F.size(F.split(m, " "))), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("int"))
     return d.select(key, "media_idx", _field(m, 0).alias("media"), F.split_part(port, F.lit("/"), F.lit(1)).cast("int").alias("port"), F.coalesce(F.expr("try_cast(nullif(split_part(split_part(substr(of[0], 3), ' ', 2), '/', 2), '') as int)"), F.lit(1)).alias("n_ports"), _field(m, 2).alias("proto"), pts.alias("pts"), F.coalesce(value(F.col("of"), "c"), F.col("c")).alias("connection"), F.col("t").alias("times"), F.col("of").alias("lines"), "head_attributes")
 
 
@@ -66,6 +67,39 @@ def attributes(media_rows: DataFrame, key: str = "session_key") -> DataFrame:
     return rows.withColumns({"pt": pt, "encoding": piece(1), "clock_rate": piece(2).cast("int"), "encoding_params": piece(3), "params": params})
 
 
+def session_attributes(df: DataFrame, key: str = "session_key", text: str = "sdp") -> DataFrame:
+    """key, idx, name, value (null for flags) of the attributes before the first media section."""
+    a = session_lines(df, text).select(key, F.posexplode(F.filter("head", lambda x: F.startswith(x, F.lit("a=")))).alias("idx", "a")).withColumn("a", F.substr("a", F.lit(3)))
+    return a.select(key, "idx", F.substring_index("a", ":", 1).alias("name"), F.when(F.instr("a", ":") > 0, F.substr("a", F.instr("a", ":") + 1)).alias("value"))
+
+
+#: The names of the directions.
+DIRECTIONS = ("sendrecv", "sendonly", "recvonly", "inactive")
+
+
+def attribute_fields(rows: DataFrame) -> DataFrame:
+    """Rows with name and value (of attributes() or session_attributes()), with the fields of source attributes (ssrc, its
+    attribute and that one's value), of the control port (and its host, if named), packet times in ms, frame rate, and direction.
+    A field is null where the attribute is another one or its value doesn't have the form."""
+    of = lambda name, x: F.when(F.col("name") == name, x)
+    part = lambda pattern, i: F.nullif(F.regexp_extract("value", pattern, i), F.lit(""))
+    source, control = r"^(\d+) ([^:]+)(?::(.*))?$", r"^(\d+)(?: IN IP[46] (\S+))?$"
+    number = lambda x: x.try_cast("double")
+    return rows.withColumns({
+        "ssrc": of("ssrc", part(source, 1).try_cast("long")), "source_attribute": of("ssrc", part(source, 2)), "source_value": of("ssrc", part(source, 3)),
+        "rtcp_port": of("rtcp", part(control, 1).try_cast("int")), "rtcp_host": of("rtcp", part(control, 2)),
+        "packet_ms": of("ptime", number(F.col("value"))), "most_packet_ms": of("maxptime", number(F.col("value"))), "frame_rate": of("framerate", number(F.col("value"))),
+        "direction": F.when(F.col("name").isin(*DIRECTIONS) & F.col("value").isNull(), F.col("name")),
+    })
+
+
+def directions(media_rows: DataFrame, key: str = "session_key") -> DataFrame:
+    """key, media_idx, direction: the section's last own one, else the session's, else both ways."""
+    last = lambda of: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(F.transform(of, lambda x: F.substr(x, F.lit(3))), lambda x: x.isin(*DIRECTIONS))), -1)
+    own = F.filter("lines", lambda x: F.startswith(x, F.lit("a=")))
+    return media_rows.select(key, "media_idx", F.coalesce(last(own), last(F.col("head_attributes")), F.lit("sendrecv")).alias("direction"))
+
+
 def connection(c: Column) -> Column:
     """struct(net, address_type, host, ttl, addresses) of `IN IP4 host/ttl/n`."""
     at = _field(c, 2)
@@ -115,7 +149,7 @@ def zone_adjustments(text: Column) -> Column:
 def repeat_times(text: Column) -> Column:
     """struct(interval, length, offsets) of a repeat line, in seconds."""
     all_ = zone_adjustments(text)
-    return F.struct(F.get(all_, F.lit(0)).alias("interval"), F.get(all_, F.lit(1)).alias("length"), F.slice(all_, F.lit(3), F.lit(1000)).alias("offsets"))
+    return F.struct(F.get(all_, F.lit(0)).alias("interval"), F.get(all_, F.lit(1)).alias("length"), F.slice(all_, F.lit(3), F.size(all_)).alias("offsets"))
 
 
 def bandwidth(media_rows: DataFrame, key: str = "session_key") -> DataFrame:

@@ -5,9 +5,14 @@ All windows share one key (the source) and one order (arrival), so one shuffle a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEYS, ORDER = ("ssrc",), ("arrival_ms", "event_id", "copy")
 MOD, DROPOUT, MISORDER, PROBATION = 1 << 16, 500, 100, 2
@@ -47,48 +52,75 @@ def unwrap_sliced(df: DataFrame, slice_ms: int, column: str = "seq", out: str =
     return own.join(shift, [*keys, "__slice__"]).withColumn(out, F.col("__own__") + F.col("__shift__")).drop("__own__", "__shift__", "__slice__")
 
 
-def _states(part: pd.DataFrame) -> pd.DataFrame:
-    """The sequential rules of RFC 3550 A.1 over one source's packets in order of arrival."""
-    rows = []
-    top, probation, bad, cycles = None, PROBATION, MOD + 1, 0
-    for seq in part["seq"].tolist():
-        if top is None:
-            top = seq - 1
-        if probation > 0:
-            ok = seq == top + 1 and probation == 1
-            probation = 0 if ok else PROBATION - 1
-            top = seq
+class Validation:
+    """The sequential rules of RFC 3550 A.1 for one source; `state` is all that must be kept between packets."""
+
+    def __init__(self, top: int | None = None, probation: int = PROBATION, bad: int = MOD + 1, cycles: int = 0):
+        self.top, self.probation, self.bad, self.cycles = top, probation, bad, cycles
+
+    @property
+    def state(self) -> tuple:
+        return self.top, self.probation, self.bad, self.cycles
+
+    def take(self, seq: int) -> bool:
+        """Whether the packet is accepted."""
+        if self.top is None:
+            self.top = seq - 1
+        if self.probation > 0:
+            ok = seq == self.top + 1 and self.probation == 1
+            self.probation, self.top = (0 if ok else PROBATION - 1), seq
             if ok:
-                bad, cycles = MOD + 1, 0
+                self.bad, self.cycles = MOD + 1, 0
+            return ok
+        step = (seq - self.top) % MOD
+        if step < DROPOUT:
+            self.cycles += MOD if seq < self.top else 0
+            self.top = seq
+            return True
+        if step > MOD - MISORDER:
+            return False
+        ok = seq == self.bad
+        if ok:
+            self.top, self.bad, self.cycles = seq, MOD + 1, 0
         else:
-            step = (seq - top) % MOD
-            if step < DROPOUT:
-                cycles += MOD if seq < top else 0
-                top, ok = seq, True
-            elif step <= MOD - MISORDER:
-                ok = seq == bad
-                if ok:
-                    top, bad, cycles = seq, MOD + 1, 0
-                else:
-                    bad = (seq + 1) % MOD
-            else:
-                ok = False
-        rows.append((ok, probation, top, bad, cycles))
-    state = pd.DataFrame(rows, columns=["accepted", "probation", "max_seq", "bad_seq", "cycles"], index=part.index)
-    return pd.concat([part, state], axis=1)
+            self.bad = (seq + 1) % MOD
+        return ok
 
 
 STATE = "accepted boolean, probation int, max_seq int, bad_seq int, cycles long"
 
 
+def along_sources(df: DataFrame, columns: list[str], keys, order, made: str, open_, step) -> DataFrame:
+    """`columns` of df with the columns `made` (DDL): step(held, batch) gives them for a run of rows of one source, where `held` is
+    what open_() made at the source's first row. A source's rows come in order, and only one batch and `held` are in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, held = None, None
+        for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            starts = [i for i, n in enumerate(names) if i == 0 or n != names[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(names)], strict=True):
+                if held is None or names[a] != source:
+                    source, held = names[a], open_()
+                part = batch.slice(a, b - a)
+                out = pa.Table.from_batches([part]).select(columns).to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*out.columns, *step(held, part)], [*columns, *added.fieldNames()])
+
+    added = T._parse_datatype_string(made)
+    schema = T.StructType([*(df.schema[c] for c in columns), *added.fields])
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def source_state(df: DataFrame, keys=KEYS, order=ORDER) -> DataFrame:
     """keys, order columns and seq with the validation state after each packet. Only these columns are shuffled: join the rest
     back by the order columns."""
-    from pyspark.sql import types as T
-
     columns = list(dict.fromkeys([*keys, *order, "seq"]))
-    schema = T.StructType([*(df.schema[c] for c in columns), *T._parse_datatype_string(STATE).fields])
-    return df.select(*columns).groupBy(*keys).applyInPandas(lambda part: _states(part.sort_values(list(order))), schema)
+
+    def step(rules: Validation, part: pa.RecordBatch) -> list[pa.Array]:
+        rows = [(rules.take(seq), rules.probation, rules.top, rules.bad, rules.cycles) for seq in part.column("seq").to_pylist()]
+        return [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+
+    return along_sources(df.select(*columns), columns, keys, order, STATE, Validation, step)
 
 
 def interarrival(df: DataFrame, keys=KEYS, order=ORDER) -> DataFrame:
@@ -96,20 +128,19 @@ def interarrival(df: DataFrame, keys=KEYS, order=ORDER) -> DataFrame:
 
 
 def jitter(df: DataFrame, clock: str = "clock_rate", keys=KEYS, order=ORDER) -> DataFrame:
-    """keys, order columns, jitter after each packet, in clock units: J += (|D| - J) / 16."""
-    from pyspark.sql import types as T
-
-    w = by_source(keys, order)
-    rows = df.withColumn("d", F.abs((F.col("arrival_ms") - F.lag("arrival_ms").over(w)) * F.col(clock) / 1000.0 - signed_step(F.col("rtp_ts"), F.lag("rtp_ts").over(w), 32)))
-    columns = list(dict.fromkeys([*keys, *order, "d"]))
-    schema = T.StructType([*(rows.schema[c] for c in columns if c != "d"), T.StructField("jitter", T.DoubleType())])
-
-    def smooth(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(list(order))
-        part["d"] = part["d"].fillna(0.0)  # the first packet has no D, and starts from 0
-        return part.assign(jitter=part["d"].ewm(alpha=1 / 16, adjust=False).mean()).drop(columns="d")
-
-    return rows.select(*columns).groupBy(*keys).applyInPandas(smooth, schema)
+    """keys, order columns, jitter after each packet, in clock units: J += (|D| - J) / 16, from 0 at a source's first packet."""
+    columns = list(dict.fromkeys([*keys, *order]))
+
+    def step(held: dict, part: pa.RecordBatch) -> list[pa.Array]:
+        at, media, rate = (part.column(c).to_numpy(zero_copy_only=False) for c in ("arrival_ms", "rtp_ts", clock))
+        before = held or {"at": at[0], "media": media[0], "jitter": 0.0}
+        ticks = (np.diff(media, prepend=before["media"]) + (1 << 31)) % (1 << 32) - (1 << 31)
+        d = np.abs(np.diff(at, prepend=before["at"]) * rate / 1000.0 - ticks)
+        out = pd.Series(np.concatenate([[before["jitter"]], d])).ewm(alpha=1 / 16, adjust=False).mean().to_numpy()[1:]
+        held.update(at=at[-1], media=media[-1], jitter=out[-1])
+        return [pa.array(out, pa.float64())]
+
+    return along_sources(df.select(*dict.fromkeys([*columns, "arrival_ms", "rtp_ts", clock])), columns, keys, order, "jitter double", dict, step)
 
 
 def cumulative_jitter(df: DataFrame, keys=KEYS, order=ORDER) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mediaflow.functions.bits import be, part
+from mediaflow.operators.rtcp import APP, BYE, RR, SDES, SR, description_items, goodbye, report_blocks
 from mediaflow.operators.walkers import capture_entries, interleaved, walk
 
 ENTRY = "start_us long, source string, port int, offset_ms long, is_rtcp boolean, file_offset long, raw binary"
@@ -86,14 +87,48 @@ def report_text(report: str = "i", blocks: str = "b") -> Column:
     return F.format_string("SR ssrc=%d p=%d count=%d ntp=%d.%d ts=%d psent=%d osent=%d %s", F.col("ssrc"), F.col("padding"), F.col("bc"), i["ntp_msw"], i["ntp_lsw"], i["rtp_ts"], i["packets"], i["octets"], F.array_join(F.transform(blocks, one), " "))
 
 
+#: What the items of a description are called.
+ITEM_NAMES = ("End", "CName", "Name", "Email", "Phone", "Location", "Tool", "Note", "Private")
+
+
+def _hex2(c: Column) -> Column:
+    return F.concat(F.lit("0x"), F.when(F.length(F.hex(c)) < 2, F.concat(F.lit("0"), F.hex(c))).otherwise(F.hex(c)))
+
+
+def description_texts(parts: DataFrame, keep: tuple[str, ...], raw: str = "raw") -> DataFrame:
+    """keep, items_text: the chunks of each source description, a line for each, with their items as name="text"."""
+    names = F.array(*(F.lit(n) for n in ITEM_NAMES))
+    walked = description_items(parts, keep, raw).withColumn("order", F.monotonically_increasing_id())
+    item = F.concat(F.coalesce(F.get(names, F.col("item_type")), F.lit("Unknown")), F.lit('="'), F.col("text"), F.lit('"'))
+    chunks = walked.groupBy(*keep, "chunk", "source").agg(F.array_sort(F.collect_list(F.struct("order", item.alias("i")))).alias("x"))
+    lines = chunks.select(*keep, "chunk", F.concat(F.lit("\nsrc="), _hex2(F.col("source")), F.lit(" "), F.array_join(F.transform("x", lambda x: x["i"]), " ")).alias("line"))
+    return lines.groupBy(*keep).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "line"))), lambda x: x["line"]), "").alias("items_text"))
+
+
+def control_text(parts: DataFrame, keep: tuple[str, ...], raw: str = "raw") -> DataFrame:
+    """keep, line: the expression form of control packets other than sender reports, `(RR ssrc=0x.. p=0 count=1 len=7\\n…)`: the
+    blocks of receiver reports, chunks of descriptions, reason and sources of goodbyes; application and other packets have no
+    body, and the others are named by their type in hexadecimal."""
+    block = lambda b: F.concat(F.lit(" (ssrc="), _hex2(b["source"]), F.format_string(" fraction=%d lost=%d last_seq=%d\n jit=%d lsr=%d dlsr=%d)\n", b["fraction"], b["lost"], b["highest"], b["jitter"], b["lsr"], b["dlsr"]))
+    bye = goodbye(raw)
+    left = F.concat(F.coalesce(F.concat(F.lit('reason="'), bye["reason"], F.lit('"')), F.lit("")), F.array_join(F.transform(bye["sources"], lambda x: F.concat(F.lit("ssrc=0x"), F.hex(x), F.lit("\n"))), ""))
+    pt = F.col("rtcp_pt")
+    name = F.when(pt == RR, "RR").when(pt == SDES, "SDES").when(pt == BYE, "BYE").when(pt == APP, "APP").otherwise(F.hex(pt))
+    body = F.when(pt == RR, F.coalesce(F.array_join(F.transform(report_blocks(raw), block), ""), F.lit(""))).when(pt == SDES, F.coalesce("items_text", F.lit(""))).when(pt == BYE, left).otherwise("")
+    rows = parts.where(pt != SR).join(description_texts(parts, keep, raw), list(keep), "left")
+    return rows.select(*keep, F.concat(F.lit("("), name, F.lit(" ssrc="), _hex2(F.col("ssrc")), F.format_string(" p=%d count=%d len=%d\n", F.col("padding"), F.col("bc"), F.col("words")), body, F.lit(")")).alias("line"))
+
+
 def split_interleaved(df: DataFrame, keep: tuple[str, ...], raw: str = "raw") -> DataFrame:
     """keep, idx, channel (-1: text between frames), at, part of each connection's bytes."""
     return walk(df, interleaved, "idx int, channel int, at long, part binary", raw, keep)
 
 
-def archive(packets: DataFrame, folder: str, key: str = "stream_id", most_rows: int = 5_000_000) -> None:
-    """Packets under one directory per stream; a stream's rows are brought together first, in files of bounded size."""
-    packets.repartition(key).write.option("maxRecordsPerFile", most_rows).partitionBy(key).mode("append").parquet(folder)
+def archive(packets: DataFrame, folder: str, key: str = "stream_id", most_rows: int = 5_000_000, spread: int = 16) -> None:
+    """Packets under one directory per stream, in files of bounded size. A stream's rows are dealt by their content to `spread` tasks
+    at most, so that a hot stream isn't one task's."""
+    salt = F.pmod(F.xxhash64(*[c for c in packets.columns if c != key]), F.lit(spread))
+    packets.repartition(F.col(key), salt).write.option("maxRecordsPerFile", most_rows).partitionBy(key).mode("append").parquet(folder)
 
 
 def merge(*captures: DataFrame) -> DataFrame:

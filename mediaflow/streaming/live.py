@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mediaflow.operators.sequence import DROPOUT, MISORDER, MOD, PROBATION
+from mediaflow.operators.frames import MOST_PACKETS
+from mediaflow.operators.sequence import MOD, Validation
 from mediaflow.sources.capture import PACKETS
 
 FRAME = "ssrc long, pt int, rtp_ts long, packets int, octets long, complete boolean"
@@ -21,9 +22,52 @@ def live_packets(spark: SparkSession, folder: str, files_per_trigger: int = 1) -
     return spark.readStream.schema(PACKETS).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def stream_frames(packets: DataFrame, late: str = "10 seconds", span: str = "30 seconds") -> DataFrame:
-    """Frames by source and media time, each emitted once when the watermark has passed; later packets are dropped."""
-    return packets.withWatermark("arrival", late).groupBy("ssrc", "rtp_ts", "pt", F.window("arrival", span)).agg(F.approx_count_distinct("seq", 0.01).alias("packets"), F.max("marker").alias("marker"), F.sum("payload_len").alias("octets"))
+def stream_frames(packets: DataFrame, idle_ms: int = 30_000, late: str = "10 seconds", most: int = MOST_PACKETS) -> DataFrame:
+    """Frames of each source, with its payload type and media time: at most two are open, the current one and the one before.
+    A packet of another media time opens a frame and ends the older of the two; `most` packets end a frame as well, and so do idle_ms
+    of event time without a packet. A number counts once in a frame. Packets of one batch are taken in order of arrival. A frame is
+    complete if its numbers have no hole and a marker came; a packet for a frame that has ended opens it anew."""
+    new = lambda pt, at: {"pt": pt, "at": at, "seqs": [], "octets": 0, "marker": False}
+
+    def take(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [dict(zip(("pt", "at", "seqs", "octets", "marker"), f, strict=True)) for f in (state.get[0] if state.exists else [])]
+        ended, last = [], 0
+        if state.hasTimedOut:
+            ended, held = held, []
+        else:
+            rows = pd.concat(list(parts)).sort_values(["arrival", "event_id", "copy"])
+            last = int(rows["arrival"].max().timestamp() * 1000)
+            for pt, at, seq, marker, size in zip(rows["pt"], rows["rtp_ts"], rows["seq"], rows["marker"], rows["payload_len"], strict=True):
+                own = next((f for f in held if (f["pt"], f["at"]) == (pt, at)), None)
+                if own is None:
+                    own = new(int(pt), int(at))
+                    held.append(own)
+                    if len(held) > 2:
+                        ended.append(held.pop(0))
+                if int(seq) in own["seqs"]:
+                    continue
+                own["seqs"] = [*own["seqs"], int(seq)]
+                own["octets"] += int(size)
+                own["marker"] = own["marker"] or int(marker) == 1
+                if len(own["seqs"]) >= most:
+                    held.remove(own)
+                    ended.append(own)
+        if held:
+            state.update(([tuple(f.values()) for f in held],))
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        elif state.exists:
+            state.remove()
+        if ended:
+            yield pd.DataFrame([(key[0], f["pt"], f["at"], len(f["seqs"]), f["octets"], f["marker"] and _gapless(f["seqs"])) for f in ended], columns=["ssrc", "pt", "rtp_ts", "packets", "octets", "complete"])
+
+    kept = "open array<struct<pt:int,at:long,seqs:array<int>,octets:long,marker:boolean>>"
+    return packets.withWatermark("arrival", late).groupBy("ssrc").applyInPandasWithState(take, FRAME, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _gapless(seqs: list[int]) -> bool:
+    """Numbers relative to the first, so that a wrap makes no hole."""
+    near = [(s - seqs[0] + MOD // 2) % MOD for s in seqs]
+    return max(near) - min(near) + 1 == len(near)
 
 
 def interval_reports(packets: DataFrame, interval: str = "4960 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -55,43 +99,31 @@ def match(requests: DataFrame, responses: DataFrame, within: str = "30 seconds",
     return a.join(b, on).select("conn_id", "cseq", "method", "status", (F.unix_millis("answered") - F.unix_millis("asked")).alias("rtt_ms"))
 
 
-def validated(packets: DataFrame) -> DataFrame:
+def validated(packets: DataFrame, idle_ms: int = 3_600_000, late: str = "10 seconds") -> DataFrame:
     """ssrc, event_id, copy, accepted: the rules of sequence.source_state across micro-batches, one small state per source.
-    A packet with a null seq is a goodbye and resets its source. Packets of one batch are taken in order of arrival."""
+    A packet with a null seq is a goodbye and resets its source, and so do idle_ms of event time without a packet. Packets of one
+    batch are taken in order of arrival."""
 
     def rules(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top, probation, bad, cycles = state.get if state.exists else (-1, PROBATION, MOD + 1, 0)
-        seen = state.exists
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = Validation(*state.get) if state.exists else Validation()
         rows = pd.concat(list(parts)).sort_values(["arrival", "event_id", "copy"])
         out = []
         for seq, event, copy in zip(rows["seq"], rows["event_id"], rows["copy"], strict=True):
             if pd.isna(seq):
-                top, probation, bad, cycles, seen = -1, PROBATION, MOD + 1, 0, False
-                continue
-            seq = int(seq)
-            if not seen:
-                top, seen = seq - 1, True
-            if probation > 0:
-                ok = seq == top + 1 and probation == 1
-                probation, top = (0 if ok else PROBATION - 1), seq
-                if ok:
-                    bad, cycles = MOD + 1, 0
-            elif (step := (seq - top) % MOD) < DROPOUT:
-                cycles += MOD if seq < top else 0
-                top, ok = seq, True
-            elif step <= MOD - MISORDER:
-                ok = seq == bad
-                top, bad, cycles = (seq, MOD + 1, 0) if ok else (top, (seq + 1) % MOD, cycles)
+                own = Validation()
             else:
-                ok = False
-            out.append((key[0], event, copy, ok))
-        if seen:
-            state.update((top, probation, bad, cycles))
+                out.append((key[0], event, copy, own.take(int(seq))))
+        if own.top is not None:
+            state.update(own.state)
+            state.setTimeoutTimestamp(max(int(rows["arrival"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["ssrc", "event_id", "copy", "accepted"])
 
-    return packets.groupBy("ssrc").applyInPandasWithState(rules, "ssrc long, event_id long, copy int, accepted boolean", "top long, probation long, bad long, cycles long", "append", GroupStateTimeout.NoTimeout)
+    return packets.withWatermark("arrival", late).groupBy("ssrc").applyInPandasWithState(rules, "ssrc long, event_id long, copy int, accepted boolean", "top long, probation long, bad long, cycles long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def jitter_buffer(packets: DataFrame, timeout_ms: int = 1000, late: str = "10 seconds") -> DataFrame:
@@ -117,9 +149,7 @@ def jitter_buffer(packets: DataFrame, timeout_ms: int = 1000, late: str = "10 se
                     seqs.append(int(seq))
                     octets += int(size)
                     marker = marker or int(m) == 1
-        # numbers relative to the first, so that a wrap makes no hole
-        near = [(s - seqs[0] + MOD // 2) % MOD for s in seqs]
-        if not done and marker and max(near) - min(near) + 1 == len(near):
+        if not done and marker and _gapless(seqs):
             yield frame(len(seqs), octets, True)
             seqs, done = [], True  # remembered until the timeout, for late copies
         state.update((seqs, octets, marker, done))

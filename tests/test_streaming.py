@@ -61,14 +61,43 @@ def test_goodbyes(spark, rows):
     assert sorted((r.ssrc, r.first, r.packets) for r in got.where("ssrc <> 999999").collect()) == sorted((r.ssrc, r.session_window.start, r.packets) for r in want.collect())
 
 
+def two_open(rows):
+    """(ssrc, rtp_ts, pt, packets, octets, complete) of each frame, packet by packet: at most two of a source are open."""
+    out, held = [], {}
+    for r in sorted(rows, key=lambda r: (r.arrival, r.event_id, r.copy)):
+        open_ = held.setdefault(r.ssrc, [])
+        own = next((f for f in open_ if f["key"] == (r.rtp_ts, r.pt)), None)
+        if own is None:
+            own = {"key": (r.rtp_ts, r.pt), "sizes": {}, "marker": 0}
+            open_.append(own)
+            if len(open_) > 2:
+                out.append((r.ssrc, open_.pop(0)))
+        own["sizes"].setdefault(r.seq, r.payload_len)
+        own["marker"] |= r.marker
+    out += [(ssrc, f) for ssrc, open_ in held.items() for f in open_]
+    whole = lambda seqs: any({(s + i) % 65536 for i in range(len(seqs))} == set(seqs) for s in seqs)
+    return sorted((ssrc, *f["key"], len(f["sizes"]), sum(f["sizes"].values()), bool(f["marker"]) and whole(f["sizes"])) for ssrc, f in out)
+
+
 def test_frames_and_duplicates(spark, rows):
-    got = run(spark, live.stream_frames(source(spark, rows), late="1 hour", span="10 minutes"), "t1")
-    want = rows.groupBy("ssrc", "rtp_ts", "pt").agg(F.count_distinct("seq").alias("n"), F.sum("payload_len").alias("o"))
-    assert sorted((r.ssrc, r.rtp_ts, r.pt, r.packets, r.octets) for r in got.where("ssrc <> 999999").collect()) == sorted((r.ssrc, r.rtp_ts, r.pt, r.n, r.o) for r in want.collect())
+    got = run(spark, live.stream_frames(source(spark, rows), idle_ms=600_000, late="1 hour"), "t1")
+    assert sorted((r.ssrc, r.rtp_ts, r.pt, r.packets, r.octets, r.complete) for r in got.where("ssrc <> 999999").collect()) == two_open(rows.collect())
     once = run(spark, live.without_duplicates(source(spark, rows), late="1 hour"), "t7")
     assert once.where("ssrc <> 999999").count() == rows.select("ssrc", "seq", "rtp_ts").distinct().count()
 
 
+def test_frame_across_half_minutes(spark, rows):
+    """With its defaults: four packets of one frame around second 30, in two files."""
+    one = [r.asDict() for r in rows.where("copy = 0").orderBy("ssrc", "seq").limit(1).drop("arrival_ms").collect()][0]
+    make = lambda i, s, **more: dict(one, seq=i, marker=int(i == 3), event_id=i, arrival=EPOCH + dt.timedelta(seconds=s), **more)
+    folder = tempfile.mkdtemp(prefix="spark-") + "/in"
+    late = dict(one, ssrc=999999, event_id=9)
+    for part in ([make(0, 29), make(1, 29.9)], [make(2, 30.1), make(3, 31)], [dict(late, arrival=EPOCH + dt.timedelta(minutes=5))], [dict(late, arrival=EPOCH + dt.timedelta(minutes=10))]):
+        spark.createDataFrame(part, PACKETS).coalesce(1).write.mode("append").parquet(folder)
+    got = run(spark, live.stream_frames(live.live_packets(spark, folder)), "t1b").where("ssrc <> 999999").collect()
+    assert [(r.packets, r.complete) for r in got] == [(4, True)]
+
+
 def test_validation_matches_batch(spark, rows):
     got = run(spark, live.validated(source(spark, rows, closing=False)), "t6")
     want = sequence.source_state(rows)

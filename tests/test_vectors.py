@@ -81,10 +81,9 @@ def test_truncated_bytes_do_not_crash():
 
 
 def test_source_state_case():
-    import pandas as pd
-
     seqs = [100, 101, 600, 1200, 1201, 1102, 1100]
-    got = sq._states(pd.DataFrame({"seq": seqs}))["accepted"].tolist()
+    rules = sq.Validation()
+    got = [rules.take(seq) for seq in seqs]
     assert got == [False, True, True, False, True, False, False]
 
 
@@ -228,3 +227,33 @@ def test_whole_fan_out_and_activity_against_brute_force(spark):
     want = Counter((s, a.event_id, a.copy, b.event_id, b.copy) for s, rows in own.items() for a in rows for b in rows if 0 <= a.arrival_ms - b.arrival_ms <= 4960)
     got = jobs.QUERIES["j8_activity_all"](spark, sf).select("session_id", "event_id", "copy", "active_event", "active_copy").collect()
     assert want and Counter(map(tuple, got)) == want
+
+
+def test_frame_beyond_the_cap_is_not_complete(spark):
+    """1,500 packets of two octets: more than a frame may hold."""
+    from mediaflow.operators import frames, sequence
+
+    rows = [(1, i, i, 3000, int(i == 1499), 96, i, i, 0, bytearray(b"ab"), 2) for i in range(1500)] + [(2, i, i, 3000, int(i == 2), 96, i, i, 0, bytearray(b"cd"), 2) for i in range(3)]
+    df = spark.createDataFrame(rows, "ssrc long, seq int, ext long, rtp_ts long, marker int, pt int, arrival_ms long, event_id long, copy int, payload binary, payload_len long")
+    ranked = sequence.duplicates(df)
+    assert [(r.ssrc, bytes(r.payload), r.truncated) for r in frames.assemble(ranked).collect()] == [(2, b"cdcdcd", False)]
+    all_ = {r.ssrc: (len(r.payload), r.truncated) for r in frames.assemble(ranked, complete_only=False).collect()}
+    assert all_ == {1: (2048, True), 2: (6, False)}
+
+
+def test_long_source_in_small_batches(spark):
+    """One source in Arrow batches of 100 rows gives the states and jitter of one batch."""
+    from mediaflow.operators import sequence
+
+    rows = [(7, i, (65000 + i * (1 if i % 97 else 3)) % 65536, i * 20 + i % 7, 0, i * 160, 8000) for i in range(2500)]
+    df = spark.createDataFrame(rows, "ssrc long, event_id long, seq int, arrival_ms long, copy int, rtp_ts long, clock_rate int")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    found = []
+    for size in (100, 10000):
+        before = spark.conf.get(key)
+        spark.conf.set(key, size)
+        try:
+            found.append((sorted(map(tuple, sequence.source_state(df).collect())), sorted((r.event_id, round(r.jitter, 9)) for r in sequence.jitter(df).collect())))
+        finally:
+            spark.conf.set(key, before)
+    assert found[0] == found[1] and len(found[0][0]) == 2500
