@@ -3,8 +3,8 @@
 The words of all documents are counted; the most frequent ones (at most `lexicon_words`) are compiled into
 an acyclic automaton whose equal suffixes are shared. The outputs along a word's path sum to the word's number, and that
 number points at its ids. The automaton is one flat file: it is broadcast (its size is bounded by `lexicon_words`), each
-executor writes it once beside its other scratch files, and its Python workers map it into memory. A word that is not in
-the lexicon is merged by the tokenizer's own merge rules, so the ids are those of the tokenizer for every text.
+executor writes it once beside its other scratch files, and its Python workers map it into memory. Words that are not in
+the lexicon are merged by the tokenizer's own merge rules (merges.py), so the ids are those of the tokenizer for every text.
 
 A text's words are what ASCII white space separates. The tokenizer must never merge across white space, which holds for
 tokenizers that drop it. Null and empty texts have no ids; a null id column decodes to the empty text. Other columns
@@ -19,7 +19,6 @@ import mmap
 import os
 import re
 import tempfile
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaflow.llm.common import Words, cut, drop_cut, ragged, slices
+from mediaflow.llm.common import Words, cut, drop_cut, ragged, slices, without
+from mediaflow.llm.merges import Merger
 
 LEXICON_WORDS = 1 << 16
-#: Unseen words that a Python worker remembers before it starts anew.
-REMEMBERED = 200_000
 
 
 # -- the automaton -----------------------------------------------------------------------------------------------------
@@ -167,7 +165,9 @@ def mapped(blob: bytes) -> Transducer:
     """The lexicon from a memory-mapped file; workers of one executor share it by its content's name. Earlier lexicons go
     (who has mapped one keeps it)."""
     path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(blob).hexdigest()[:32]}.bin")
-    if not os.path.exists(path):
+    while True:
+        with contextlib.suppress(FileNotFoundError), open(path, "rb") as f:  # a worker with another lexicon may remove it at any time
+            return Transducer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
         handle, part = tempfile.mkstemp(dir=tempfile.gettempdir())
         with os.fdopen(handle, "wb") as out:
             out.write(blob)
@@ -176,63 +176,6 @@ def mapped(blob: bytes) -> Transducer:
             if re.fullmatch(r"lexicon-[0-9a-f]{32}\.bin", name) and name != os.path.basename(path):
                 with contextlib.suppress(FileNotFoundError):  # another worker was first
                     os.unlink(os.path.join(tempfile.gettempdir(), name))
-    with open(path, "rb") as f:
-        return Transducer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-
-
-# -- merging one word --------------------------------------------------------------------------------------------------
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(other)) for b in range(256)]
-
-
-class Merger:
-    """ids of one white-space-free word, exactly as the tokenizer gives them; what has been merged is remembered."""
-
-    #: The tokenizer's own split for texts of these characters, by the pattern in its file.
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.letters = _byte_letters()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts = array("i"), array("q", [0])
-
-    def merge(self, word: str) -> list[int]:
-        if self.PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-            ids: list[int] = []
-            for piece in self.PIECES.findall(word.lower()):
-                if not piece.isascii():
-                    piece = "".join(self.letters[b] for b in piece.encode())
-                ids += [t.id for t in self.tokenizer.model.tokenize(piece)]
-            return ids
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """Each word's number in `starts`; unknown ones are merged first."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        get, out = self.known.get, []
-        for word in words:
-            k = get(word)
-            if k is None:
-                k = self.known[word] = len(self.known)
-                self.flat.extend(self.merge(word))
-                self.starts.append(len(self.flat))
-            out.append(k)
-        return np.array(out, np.int64)
 
 
 _WORKER: dict = {}
@@ -261,16 +204,13 @@ class Encoder:
         lengths, starts = np.zeros(n, np.int64), np.zeros(n, np.int64)
         number = self.lexicon.lookup(dictionary) if self.lexicon else np.full(n, -1)
         unseen = np.flatnonzero(number < 0)
-        own = self.merger.numbers(dictionary.take(pa.array(unseen)).to_pylist() if len(unseen) < n else dictionary.to_pylist())
-        flat, bounds = np.frombuffer(self.merger.flat, np.int32), np.frombuffer(self.merger.starts, np.int64)
-        starts[unseen], lengths[unseen] = bounds[own], bounds[own + 1] - bounds[own]
+        flat, bounds = self.merger(dictionary.take(pa.array(unseen)) if len(unseen) < n else dictionary)
+        starts[unseen], lengths[unseen] = bounds[:-1], np.diff(bounds)
         if self.lexicon:
             seen = np.flatnonzero(number >= 0)
             first, last = self.lexicon.starts[number[seen]], self.lexicon.starts[number[seen] + 1]
             starts[seen], lengths[seen] = first + len(flat), last - first
             flat = np.concatenate([flat, self.lexicon.ids])
-        else:
-            flat = flat.copy()
         each = lengths[words.codes]
         ids = flat[ragged(starts[words.codes], each)]
         before = np.concatenate([[0], np.cumsum(each)])
@@ -315,8 +255,8 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", lexicon_w
     counts = cut(count_words(docs, text))
     top = sorted(r.word for r in frequent(counts, lexicon_words).select("word").collect())
     drop_cut(counts)
-    merger = Merger(tokenizer)
-    return compile_lexicon(top, [merger.merge(w) for w in top])
+    ids, bounds = Merger(tokenizer)(pa.array(top, pa.string()))
+    return compile_lexicon(top, [ids[a:b].tolist() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
 
 
 def encode(docs: DataFrame, tokenizer: str, blob: bytes | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -353,7 +293,8 @@ def _texts(flat: np.ndarray, bounds: np.ndarray, tokenizer: str) -> pa.Array:
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """df with `text`: the tokens of the packed `ids`, one space between them, as a tokenizer without a decoder joins them."""
+    """df with `text` (in place of a column of that name): the tokens of the packed `ids`, one space between them, as a tokenizer without a decoder joins them."""
+    df = without(df, text)
     columns = df.columns
 
     def run(batches):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediaflow.functions.storage import new_folder
+
 # memory that Arrow frees goes back to the system, so that idle Python workers stay small
 pa.set_memory_pool(pa.system_memory_pool())
 
@@ -22,21 +22,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none (tests), a local one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="mediaflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = new_folder(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,6 +39,12 @@ def drop_cut(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs without columns of these names (in any letter case): those that an operator is about to add take their place."""
+    taken = {n.lower() for n in names}
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

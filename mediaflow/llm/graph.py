@@ -36,6 +36,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def joined(state: DataFrame, links: DataFrame) -> DataFrame:
     """state (id, c) with the chains joined that links (a, b) connect; the stored `state` is given up."""
+    if links.isEmpty():
+        return state
     of = lambda x: state.select(F.col("id").alias(x), F.col("c").alias(f"c{x}"))
     moved = components(links.join(of("a"), "a").join(of("b"), "b"), "ca", "cb").select(F.col("id").alias("c"), F.col("c").alias("to"))
     after = cut(state.join(moved, "c", "left").select("id", F.coalesce("to", "c").alias("c")))
@@ -79,10 +81,11 @@ def link(table: DataFrame, state: DataFrame, compare: Callable[[DataFrame], Data
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         tested.append(pairs)
-        links = cut(compare(pairs))
         drop_cut(live)
-        state = joined(state, links)
-        drop_cut(links)
+        if not pairs.isEmpty():
+            links = cut(compare(pairs))
+            state = joined(state, links)
+            drop_cut(links)
         turn += 1
         if turn > 1 and step ** (turn - 1) >= most:
             break

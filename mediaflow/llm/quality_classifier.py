@@ -9,8 +9,9 @@ share of the unlabelled text, so the prior is the least ratio of the two shares
 
 The fit uses at most `most_rows` positives and `most_rows` unlabelled documents, those with the smallest hashes of their ids
 (documented bound; the driver holds that many rows of about 20 numbers). Every document is scored over its whole text.
-Null and empty texts have the measures of a text without words. Repeated rows score alike. Without positives the model says
-0.5 for all. Other columns pass through, whatever their names.
+Null and empty texts have the measures of a text without words. Repeated rows score alike, and ids that repeat count once in the
+fit (the row with the least measures). Equal id hashes are told apart by the ids themselves. Without positives the model says
+0.5 for all, and an empty table gives an empty one. Other columns pass through; one with the new column's name is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaflow.llm.common import crc_mod, documents, slices
+from mediaflow.llm.common import crc_mod, documents, slices, without
 from mediaflow.llm.quality_rules import Measures
 
 MOST_ROWS = 20_000
@@ -123,14 +124,17 @@ class Model:
         return sigmoid(self.basis(features(texts)) @ self.weights)
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, x): the measures, one row for each id."""
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, text):
                 x = features(part.column(text))
-                yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))], ["x"])
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))], [key, "x"])
 
-    return docs.select(text).mapInArrow(run, "x array<float>")
+    schema = T.StructType([docs.schema[key], T.StructField("x", T.ArrayType(T.FloatType()))])
+    return docs.select(key, text).mapInArrow(run, schema).groupBy(key).agg(F.min("x").alias("x"))
 
 
 def fit(positives: DataFrame, unlabelled: DataFrame, key: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS) -> Model:
@@ -138,7 +142,7 @@ def fit(positives: DataFrame, unlabelled: DataFrame, key: str = "doc_id", text:
 
     def sample(df: DataFrame) -> np.ndarray:
         ids = df.select(key).distinct().orderBy(F.xxhash64(key), key).limit(most_rows)
-        rows = measured(df.join(F.broadcast(ids), key, "left_semi"), text).toPandas()["x"]
+        rows = measured(df.join(F.broadcast(ids), key, "left_semi"), key, text).select("x").toPandas()["x"]
         x = np.array([*rows], np.float64).reshape(len(rows), N_FEATURES)
         return x[np.lexsort(x.T)]  # the order rows arrive in doesn't matter
 
@@ -158,6 +162,7 @@ def fit(positives: DataFrame, unlabelled: DataFrame, key: str = "doc_id", text:
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """docs with the model's probability that each whole text is good."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = without(docs, column)
     columns = docs.columns
 
     def run(batches):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaflow.llm.common import Words, documents, slices, text_or_empty
+from mediaflow.llm.common import Words, documents, slices, text_or_empty, without
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -212,6 +212,7 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", measured: bool = False, sample_rows: int = 2000, verdict: str = "kept") -> DataFrame:
     """docs with a boolean `verdict`; with `measured`, also the base measures of every document and `base_failed`."""
     ordered = order_rules(rules, profile(docs, rules, text, sample_rows))
+    docs = without(docs, verdict, *([*BASE, "base_failed"] if measured else []))
     columns = docs.columns
     base_names = {r.name for r in BASE_RULES}
 

@@ -9,7 +9,9 @@ quoted hit, a second-person word raises it. A logistic model over the sums of bo
 
 Term counts are over all labelled documents given (the query gives at most `MOST_LABELLED`, those with the smallest id
 hashes); the logistic model fits at most `most_rows` of them, chosen in the same way. Null and empty texts have no hits and get the model's score for that. Without toxic labels the score
-is 0. Repeated rows score alike; other columns pass through.
+is 0, and an empty table gives an empty one. Repeated rows score alike, and ids that repeat count once in the model's fit (the row
+with the least features); ties between hashes go by the ids, between terms by the words. Other columns pass through; one with a
+new column's name is replaced.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaflow.llm.common import Words, crc_mod, documents, slices
+from mediaflow.llm.common import Words, crc_mod, documents, slices, without
 from mediaflow.llm.quality_classifier import adam, sigmoid
 
-MOST_LABELLED, MOST_ROWS, MOST_TERMS, WINDOW, FUZZY_LETTERS = 40_000, 20_000, 400, 8, 5
+MOST_LABELLED, MOST_ROWS, WINDOW, FUZZY_LETTERS = 40_000, 20_000, 8, 5
 EDGES = " .,;:!?\"'()[]{}*#$%&|<>«»„“”‘’…-_/\\"
 QUOTES = "\"'«»„“”‘’"
 #: Words that report speech, and words that address the reader.
@@ -230,7 +232,7 @@ def word_counts(labelled: DataFrame, most: int = 200_000) -> DataFrame:
     return labelled.select("text", "toxic").mapInArrow(tally, "word string, toxic long, other long").where("word <> ''").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def train(labelled: DataFrame, key: str = "doc_id", most_rows: int = MOST_ROWS, most_terms: int = MOST_TERMS) -> Scorer:
+def train(labelled: DataFrame, key: str = "doc_id", most_rows: int = MOST_ROWS) -> Scorer:
     """labelled: key, text, toxic (0/1)."""
     from mediaflow.llm.common import cut, drop_cut
 
@@ -246,7 +248,7 @@ def train(labelled: DataFrame, key: str = "doc_id", most_rows: int = MOST_ROWS,
     share = a / (a + b)
     surprise = 2 * (a * F.log(share / rate) + F.when(b > 0, b * F.log((1 - share) / (1 - rate))).otherwise(0.0))
     enough = 2 * math.log(n_words + 1) + 4
-    top = counts.where((a >= 3) & (share >= 0.6)).select("word", lean.alias("lean"), surprise.alias("g")).where(F.col("g") > enough).orderBy(F.desc("g"), "word").limit(most_terms).collect()
+    top = counts.where((a >= 3) & (share >= 0.6)).select("word", lean.alias("lean"), surprise.alias("g")).where(F.col("g") > enough).collect()  # all of them: the labelled documents given bound them
     terms = {r.word: r.lean for r in sorted(top, key=lambda r: r.word)}
     if not terms:
         drop_cut(counts)
@@ -273,9 +275,11 @@ def train(labelled: DataFrame, key: str = "doc_id", most_rows: int = MOST_ROWS,
         for batch in batches:
             for part in slices(batch, "text"):
                 x = worker.features(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), Scorer.NAMES).cast(pa.list_(pa.float64()))], ["toxic", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("toxic").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), Scorer.NAMES).cast(pa.list_(pa.float64()))], [key, "toxic", "x"])
 
-    rows = labelled.join(F.broadcast(ids), key, "left_semi").select("toxic", "text").mapInArrow(measure, "toxic int, x array<double>").toPandas()
+    schema = T.StructType([labelled.schema[key], *T._parse_datatype_string("toxic int, x array<double>").fields])
+    each = labelled.join(F.broadcast(ids), key, "left_semi").select(key, "toxic", "text").mapInArrow(measure, schema)
+    rows = each.groupBy(key).agg(F.min(F.struct("toxic", "x")).alias("r")).select("r.*").toPandas()
     x, y = np.array([*rows["x"]]).reshape(len(rows), -1), rows["toxic"].to_numpy().astype(float)
     order = np.lexsort([y, *x.T])
     x, y = x[order], y[order]
@@ -286,6 +290,7 @@ def train(labelled: DataFrame, key: str = "doc_id", most_rows: int = MOST_ROWS,
 def score(docs: DataFrame, scorer: Scorer, text: str = "text", column: str = "score", spans: bool = False) -> DataFrame:
     """docs with `column`, and with `spans` also `hits`: (word, weight, misspelled, quoted) of each."""
     shared = docs.sparkSession.sparkContext.broadcast((scorer.terms, scorer.own, scorer.weights))
+    docs = without(docs, column, *(["hits"] if spans else []))
     columns = docs.columns
     hit = pa.struct([("word", pa.string()), ("weight", pa.float64()), ("misspelled", pa.bool_()), ("quoted", pa.bool_())])
 
