@@ -317,12 +317,11 @@ def j4(spark, sf):
     return routing.by_channel(packets(spark, sf).select("event_id", "copy", (F.col("event_id") % 20).cast("int").alias("channel")), contexts(spark, sf))
 
 
-ATTACHED = ", attached AS (SELECT session_id, pt FROM contexts WHERE session_id % 50 = 1)"
-
-
-@query("j5_fan_out", duck(ATTACHED + " SELECT event_id, copy, session_id FROM packets JOIN attached USING (pt)", PACKETS, CONTEXTS))
+@query("j5_fan_out", duck(" SELECT event_id, copy, count(*) AS sessions, CAST(sum(session_id) AS BIGINT) AS session_sum, min(session_id) AS first_session, max(session_id) AS last_session FROM packets JOIN contexts USING (pt) GROUP BY 1, 2", PACKETS, CONTEXTS))
 def j5(spark, sf):
-    return routing.fan_out(packets(spark, sf), contexts(spark, sf).where("session_id % 50 = 1").select("session_id", "pt"), ["pt"]).select("event_id", "copy", "session_id")
+    """Every packet to every session of its type, told by packet."""
+    sent = routing.fan_out(packets(spark, sf), contexts(spark, sf).select("session_id", "pt"), ["pt"])
+    return sent.groupBy("event_id", "copy").agg(F.count(F.lit(1)).alias("sessions"), F.sum("session_id").alias("session_sum"), F.min("session_id").alias("first_session"), F.max("session_id").alias("last_session"))
 
 
 @query("j5_fan_out_all")
@@ -434,17 +433,19 @@ def j10(spark, sf):
     return measured.join(reported, ["ssrc", "bucket"], "left").select("ssrc", "bucket", F.col("lost").alias("measured"), F.last("r", ignorenulls=True).over(w).alias("reported"))
 
 
-@query("j8_activity", duck(ROUTED + """, c AS (SELECT session_id, arrival_ms AS active_ms, event_id AS active_event FROM routed WHERE event_id % 37 = 1 AND copy = 0), e AS (SELECT session_id, arrival_ms AS at_ms, event_id, copy FROM routed)
-SELECT e.session_id, event_id, copy, at_ms, active_ms, active_event FROM e JOIN c ON c.session_id = e.session_id AND at_ms >= active_ms AND at_ms - active_ms <= 4960""", PACKETS, CONTEXTS))
+_ACTIVE = ROUTED + """, c AS (SELECT session_id, arrival_ms AS active_ms, event_id AS active_event, copy AS active_copy FROM routed), e AS (SELECT session_id, arrival_ms AS at_ms, event_id, copy FROM routed),
+a AS (SELECT e.session_id, event_id, copy, at_ms, active_ms, active_event, active_copy FROM e JOIN c ON c.session_id = e.session_id AND at_ms >= active_ms AND at_ms - active_ms <= 4960)"""
+
+
+@query("j8_activity", duck(_ACTIVE + " SELECT session_id, event_id, copy, at_ms, count(*) AS active, min(active_ms) AS since_ms, max(active_ms) AS last_ms FROM a GROUP BY 1, 2, 3, 4", PACKETS, CONTEXTS))
 def j8(spark, sf):
-    r = routed(spark, sf)
-    active = r.where("event_id % 37 = 1 AND copy = 0").select("session_id", F.col("arrival_ms").alias("active_ms"), F.col("event_id").alias("active_event"))
-    return reports.activity(r.select("session_id", F.col("arrival_ms").alias("at_ms"), "event_id", "copy"), active, 4960)
+    """By routed packet: how much of its session's activity the interval before it holds, and from when to when."""
+    return j8_all(spark, sf).groupBy("session_id", "event_id", "copy", "at_ms").agg(F.count(F.lit(1)).alias("active"), F.min("active_ms").alias("since_ms"), F.max("active_ms").alias("last_ms"))
 
 
-@query("j8_activity_all")
+@query("j8_activity_all", duck(_ACTIVE + " SELECT * FROM a", PACKETS, CONTEXTS))
 def j8_all(spark, sf):
-    """As j8, with every routed packet as activity. Tests hold it against brute force."""
+    """Every routed packet with every one of its session within the interval before. Tests hold it against brute force, too."""
     r = routed(spark, sf)
     active = r.select("session_id", F.col("arrival_ms").alias("active_ms"), F.col("event_id").alias("active_event"), F.col("copy").alias("active_copy"))
     return reports.activity(r.select("session_id", F.col("arrival_ms").alias("at_ms"), "event_id", "copy"), active, 4960)
