@@ -3,7 +3,7 @@
 A document's set holds the hashes of its distinct 5-word shingles. Instead of rows * tables minhashes, 2 * `side` collections
 of `rows` minhashes each are computed, and a table key is a pair of one collection from each half: side**2 tables from
 2 * side * rows minhashes, so the hashing costs a square root of what the tables would. A pair of likeness J is missed with
-probability at most 2 * (1 - J**rows)**side, which is 2e-5 at J = 0.85 for the standing parameters.
+probability at most 2 * (1 - J**rows)**side; unless given, `side` is chosen for 2.2e-5 at the threshold (12 at 0.85, 16 at 0.8).
 
 1. Equal sets become one node. 2. Collections that no other node shares are left out, and with them their tables' keys.
 3. In each bucket all members are compared with one of them. That joins the copies of most groups into chains at one
@@ -11,7 +11,8 @@ comparison a copy. 4. Members of buckets that still hold several chains are told
 threshold if they share one of their rarest shingles (the prefix that the threshold leaves). Among these smaller buckets, some
 pivots at a time are compared with the members of other chains, many times as many each round, until every pair of a bucket
 is in one chain or compared. So no link between candidates is lost, and no group is expanded into all its pairs. 5. A pair to
-compare must have sizes that allow the threshold and share `agree` collections, then its whole sets decide.
+compare must have sizes that allow the threshold and, if it only met in tables, share `agree` collections; then its whole sets
+decide.
 
 Words are runs of anything but space and \\t to \\r, A-Z lowered. A text with fewer words than `words` has its whole sequence
 as the one shingle; a text without words (empty, null) has the empty set and no links. Rows with one id are one document with
@@ -20,6 +21,8 @@ several sets. Other columns stay with `keep_representatives`, whatever their nam
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,10 +33,15 @@ from pyspark.sql import types as T
 from mediaflow.llm.common import Words, cut, documents, drop_cut, ragged, slices
 from mediaflow.llm.graph import link
 
-SHINGLE, ROWS, SIDE, AGREE = 5, 3, 12, 4
+SHINGLE, ROWS, AGREE, MISS = 5, 3, 4, 1.1e-5
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+def side_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """The fewest collections on a side with which a pair at the threshold misses one side's with probability `miss` at most."""
+    return max(1, math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))) if percent < 100 else 1
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M2
     return (x ^ (x >> np.uint64(27))) * _M1
@@ -66,7 +74,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.n
     return np.concatenate(sets) if sets else out, np.array(ends)
 
 
-def collections(sets: np.ndarray, bounds: np.ndarray, rows: int = ROWS, side: int = SIDE, seed: int = 1) -> np.ndarray:
+def collections(sets: np.ndarray, bounds: np.ndarray, rows: int = ROWS, side: int = 12, seed: int = 1) -> np.ndarray:
     """For each text with shingles, 2 * side hashes of `rows` minhashes each."""
     factors = np.random.default_rng(seed).integers(0, 1 << 63, 2 * side * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     starts = bounds[:-1][bounds[:-1] < bounds[1:]]
@@ -77,7 +85,7 @@ def collections(sets: np.ndarray, bounds: np.ndarray, rows: int = ROWS, side: in
     return out
 
 
-def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, rows: int = ROWS, side: int = SIDE) -> DataFrame:
+def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, rows: int = ROWS, side: int = 12) -> DataFrame:
     """key, n_shingles, set_key (of the whole set; null if empty), bands (2 * side longs)."""
 
     def run(batches):
@@ -140,8 +148,9 @@ def compare(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, a
     return met.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, size: int = SHINGLE, rows: int = ROWS, side: int = SIDE, agree: int = AGREE) -> DataFrame:
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, size: int = SHINGLE, rows: int = ROWS, side: int | None = None, agree: int = AGREE) -> DataFrame:
     """key, n_shingles, component_id for every row: the smallest key that it reaches over links of likeness percent/100."""
+    side = side or side_for(percent, rows)
     sketches = cut(sketch(docs, key, text, size, rows, side))
     nodes = cut(sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min(key).alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
     table = cut(buckets(nodes, side))
@@ -151,19 +160,19 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     near = cut(nodes.join(ids, "id", "left_semi").drop("set_key"))
     state = cut(ids.select("id", F.col("id").alias("c")))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return compare(pairs, near, sets, percent, agree)
+    def linked(least: int):
+        return lambda pairs: compare(pairs, near, sets, percent, least)
 
     def able(one: str, two: str):
         """At most the shingles from the shared one on are common, if it is the first that both have."""
         n, m, i, j = (F.col(f"{x}{c}") for c in ("n", "at") for x in (one, two))
         return (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
 
-    state = link(table, state, linked, able, rounds=1)
+    state = link(table, state, linked(agree), able, rounds=1)
     chains = table.join(state, "id").groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     contested = table.join(chains, "key").select("id").distinct()
     rare = cut(prefixes(contested, sets, percent))
-    state = link(rare, state, linked, able)
+    state = link(rare, state, linked(0), able)
     owner = nodes.select("set_key", "id").join(state, "id", "left").select("set_key", F.coalesce("c", "id").alias("component_id"))
     out = cut(sketches.select(key, "n_shingles", "set_key").join(owner, "set_key", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id")))
     drop_cut(sketches, nodes, table, sets, near, rare, state)

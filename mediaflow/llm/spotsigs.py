@@ -19,6 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from mediaflow.llm.common import documents
@@ -95,9 +96,16 @@ def with_next(docs: DataFrame, key: str, derived: dict[str, Column], most_bucket
     Rows are dealt into key ranges, each ordered on its own; only the ranges' ends look across."""
     n = docs.count()
     k = max(1, min(most_buckets, n // rows_in_bucket))
-    bounds = sorted(set(docs.select(F.col(key).cast("double").alias("x")).approxQuantile("x", [i / k for i in range(1, k)], 0.1 / k))) if k > 1 else []
+    numeric = isinstance(docs.schema[key].dataType, T.NumericType)
+    at = F.col(key).cast("double") if numeric else F.col(key)
+    bounds = []
+    if k > 1 and numeric:
+        bounds = sorted(set(docs.select(at.alias("x")).approxQuantile("x", [i / k for i in range(1, k)], 0.1 / k)))
+    elif k > 1:  # keys without a number: bounds are told from about 20 keys a range, chosen by their hashes
+        some = docs.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(max(1, n // (20 * k)))) == 0)).select(key).distinct()
+        bounds = [r[0] for r in some.orderBy(key).collect()][20::20]
     order = [F.col(key).asc_nulls_first(), F.col("text").asc_nulls_first()]
-    place = F.size(F.filter(F.array(*(F.lit(float(b)) for b in bounds)), lambda b: b <= F.col(key).cast("double"))) if bounds else F.lit(0)
+    place = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= at)) if bounds else F.lit(0)
     dealt = docs.withColumn("__part__", F.when(F.col(key).isNull(), -1).otherwise(place))
     columns = ["text", *derived]
     # the first row of each range goes to the range before it

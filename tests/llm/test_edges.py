@@ -202,3 +202,84 @@ def test_cascade_order_is_free(spark, order):
     texts = pa.array(["a b c " * 30, " ".join(words(8, 80)), "%%% " * 60, "SHOUT " * 60, None])
     rules = quality_rules.RULES if order == 0 else quality_rules.RULES[::-1]
     assert quality_rules.cascade(texts, rules).tolist() == [False, True, False, False, False]
+
+
+def test_columns_with_the_operators_own_names(spark):
+    """Each new column takes the place of one of its name; the others stay."""
+    from mediaflow.llm import bpe, quality_classifier, toxicity
+
+    rows = [(1, "Some words, and more of them.", 7.5, "x", 3, "d"), (2, None, 1.0, "y", 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Score double, hits string, n_words int, decoded string")
+    scored = quality_classifier.score(docs, quality_classifier.Model(None, None, 0.5))
+    assert scored.columns == ["doc_id", "text", "hits", "n_words", "decoded", "score"] and [r.score for r in scored.collect()] == [0.5, 0.5]
+    toxic = toxicity.score(docs, toxicity.Scorer({}, {}), spans=True)
+    assert toxic.columns[-2:] == ["score", "hits"] and [(r.score, r.hits) for r in toxic.collect()] == [(0.0, []), (0.0, [])]
+    judged = quality_rules.judge(docs, measured=True).select("doc_id", "n_words", "Score", "kept").collect()
+    assert {(r.doc_id, r.n_words, r.Score) for r in judged} == {(1, 6, 7.5), (2, 0, 1.0)}
+    path = bpe.tokenizer_path()
+    coded = bpe.encode(docs, path, keep=("doc_id", "decoded"))
+    assert {r.doc_id: r.decoded for r in bpe.decode(coded, path).select("doc_id", "decoded").collect()}[2] == ""
+
+
+def test_next_of_text_ids_in_many_ranges(spark):
+    docs = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("doc_id"), F.concat(F.lit("the text "), F.col("id").cast("string")).alias("text"))
+    got = {r.doc_id: r.next_text for r in spotsigs.with_next(docs, "doc_id", {"n": F.length("text")}, rows_in_bucket=100).collect()}
+    keys = sorted(got)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got == {k: texts[keys[(i + 1) % len(keys)]] for i, k in enumerate(keys)}
+
+
+def test_pipeline_of_empty_and_odd_tables(spark):
+    """An empty table gives no pieces; nulls, empty texts and repeated ids pass the stages that keep them."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for docs in (table(spark, ROWS).where("false"), table(spark, ROWS)):
+        docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+        model = quality_classifier_of(docs, labels)
+        kept = docs.where("text IS NOT NULL")
+        for stage in (corpus_pipeline.rules, corpus_pipeline.lines, corpus_pipeline.near_duplicates):
+            kept = stage(spark, docs, None)
+            assert kept.columns == docs.columns and kept.count() <= docs.count()
+        pieces = corpus_pipeline.pack(spark, docs, None)
+        assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+        assert model.prior == 0.5
+
+
+def quality_classifier_of(docs, labels):
+    from mediaflow.llm import quality_classifier
+
+    return quality_classifier.train(docs, labels)
+
+
+def test_merges_match_the_tokenizer():
+    """Odd words of every kind, one by one and all together."""
+    import pyarrow as pa
+
+    from mediaflow.llm import bpe
+    from mediaflow.llm.merges import Merger
+
+    merger = Merger(bpe.tokenizer_path())
+    rng = random.Random(8)
+    odd = ["can't", "'s", "x'll", "''s", "a1b2", "ÀB!?", "<|endoftext|>", "a<|endoftext|>b", "日本語", "ﬁx", "İ", "a" * 9, "x" * 300, "éa", "--", "ß", "\x00a", "aÿ" * 80, "K", "n̈", "ab-cd", "!!!a"]
+    made = ["".join(rng.choice("abcdeétß'!.1-Zz") for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    words = [*odd, *made]
+    assert merger.own
+    ids, bounds = merger(pa.array(words))
+    for i, word in enumerate(words):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == merger.tokenizer.encode(word, add_special_tokens=False).ids, word
+
+
+def test_two_lexicons_on_one_host(tmp_path, monkeypatch):
+    import tempfile as tf
+
+    import pyarrow as pa
+
+    from mediaflow.llm import bpe
+
+    monkeypatch.setattr(tf, "tempdir", str(tmp_path))
+    one, two = (bpe.compile_lexicon([w], [[i]]) for i, w in enumerate(("one", "two")))
+    held = bpe.mapped(one)
+    other = bpe.mapped(two)
+    again = bpe.mapped(one)  # the other one has removed its file
+    assert [x.lookup(pa.array(["one", "two"])).tolist() for x in (held, other, again)] == [[0, -1], [-1, 0], [0, -1]]
