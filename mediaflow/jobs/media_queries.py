@@ -251,6 +251,22 @@ def p1(spark, sf):
     return bodies.select("compound_id", "rtcp_pt", F.col("body_200.packets").alias("sent_packets"), F.col("body_200.octets").alias("sent_octets"), F.coalesce("body_205.media_ssrc", "body_206.media_ssrc").alias("media_ssrc"), F.col("body_202.items").alias("items"))
 
 
+@query("p2_aac_units", """ SELECT event_id, copy, 0 AS idx, 0 AS au_index, CAST(payload_len AS INT) AS size, hex(encode(props)) AS part FROM packets
+UNION ALL SELECT event_id, copy, 1, CAST(event_id % 8 AS INT), CAST(payload_len // 2 AS INT), hex(encode(left(props, length(props) // 2))) FROM packets WHERE event_id % 3 <> 0
+UNION ALL SELECT event_id, copy, 2, 7, 900, '4142' FROM packets WHERE event_id % 3 = 1""", PACKETS)
+def p2_aac(spark, sf):
+    """Audio payloads of one to three access units; the third is a fragment."""
+    p = packets(spark, sf)
+    body, n = F.encode("props", "UTF-8"), F.octet_length("props")
+    half, kind = F.encode(F.expr("left(props, length(props) div 2)"), "UTF-8"), F.col("event_id") % 3
+    head = lambda size, index: be(size * 8 + index, 2)
+    second, third = head(F.octet_length(half), F.col("event_id") % 8), head(F.lit(900), F.lit(7))
+    one, two = F.concat(be(16, 2), head(n, F.lit(0)), body), F.concat(be(32, 2), head(n, F.lit(0)), second, body, half)
+    three = F.concat(be(48, 2), head(n, F.lit(0)), second, third, body, half, F.lit(b"AB"))
+    payload = F.when(kind == 0, one).when(kind == 1, three).otherwise(two)
+    return payloads.depacketize(p.select("event_id", "copy", payload.alias("payload")), "aac", keep=("event_id", "copy")).withColumn("part", F.hex("part"))
+
+
 def _halves(data: bytes) -> list[tuple]:
     return [(0, data[: len(data) // 2]), (1, data[len(data) // 2 :])]
 

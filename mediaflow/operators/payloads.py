@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaflow.functions.bits import be
-from mediaflow.operators.walkers import h264_nals, red_blocks, walk
+from mediaflow.operators.walkers import aac_units, h264_nals, red_blocks, walk
 
 #: Format → (walker over one payload, schema of its parts); register() adds to it.
 FORMATS: dict[str, tuple[Callable[[bytes], list[tuple]], str]] = {
     "generic": (lambda data: [(0, data)], "idx int, part binary"),
     "red": (red_blocks, "idx int, block_pt int, ts_offset int, part binary"),
+    "aac": (aac_units, "idx int, au_index int, size int, part binary"),
     "h264": (h264_nals, "idx int, nal_type int, is_start boolean, is_end boolean, part binary"),
 }
 

@@ -105,6 +105,24 @@ def h264_nals(data: bytes) -> list[tuple]:
     return [(0, kind, True, True, data)]
 
 
+def aac_units(data: bytes, size_bits: int = 13, index_bits: int = 3) -> list[tuple]:
+    """(idx, index, size, bytes) of the access units of an audio payload: 16 bits with the length of the headers in bits, a header of
+    size and index (or distance to the next) for each unit, then the units. The last unit may be cut short: a fragment."""
+    if len(data) < 2:
+        return []
+    bits = int.from_bytes(data[:2], "big")
+    width = size_bits + index_bits
+    count, at = bits // width, 2 + -(-bits // 8)
+    heads = int.from_bytes(data[2:at].ljust(at - 2, b"\0"), "big") >> (8 * (at - 2) - count * width) if count else 0
+    units = []
+    for k in range(count):
+        head = heads >> (count - 1 - k) * width & (1 << width) - 1
+        size = head >> index_bits
+        units.append((k, head & (1 << index_bits) - 1, size, data[at : at + size]))
+        at += size
+    return units
+
+
 def interleaved(data: bytes) -> list[tuple]:
     """(idx, channel, offset, bytes) of a connection's bytes: `$` frames with their channel; channel -1 for text between them.
 

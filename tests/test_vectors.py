@@ -76,7 +76,7 @@ def test_truncated_bytes_do_not_crash():
     for n in range(0, 60):
         for _ in range(30):
             data = bytes(rng.randrange(256) for _ in range(n))
-            for walker in (walkers.rtcp_parts, walkers.sdes_items, walkers.red_blocks, walkers.h264_nals, walkers.interleaved, walkers.capture_entries, walkers.ts_units, walkers.pat_programs):
+            for walker in (walkers.rtcp_parts, walkers.sdes_items, walkers.red_blocks, walkers.h264_nals, walkers.aac_units, walkers.interleaved, walkers.capture_entries, walkers.ts_units, walkers.pat_programs):
                 walker(data)
 
 
