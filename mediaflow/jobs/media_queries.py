@@ -53,14 +53,11 @@ def d21(spark, sf):
 
 @query("s8_ts_files", " SELECT CAST(f AS VARCHAR) AS path, unit_idx, pid, cc FROM t", UNITS)
 def s8(spark, sf):
-    """The units of each path as the bytes of files of 4,096 units at most, walked back into units."""
-    from mediaflow.operators.walkers import ts_units, walk
-
-    cut = units(spark, sf).withColumn("file", F.floor(F.col("unit_idx") / 4096))
-    whole = cut.groupBy("path", "file").agg(F.sort_array(F.collect_list(F.struct("unit_idx", F.hex("raw").alias("h")))).alias("u"))
-    files = whole.select("path", "file", F.unhex(F.array_join(F.transform("u", lambda x: x["h"]), "")).alias("content"))
-    found = walk(files, ts_units, "unit_idx long, unit binary", "content", ("path", "file")).withColumnRenamed("unit", "raw")
-    return mpegts.decode(found.withColumn("unit_idx", F.col("file") * 4096 + F.col("unit_idx"))).select("path", "unit_idx", "pid", "cc")
+    """The units of each path written as a file, and the files read in ranges of a megabyte."""
+    folder = new_folder(spark, "units")
+    mpegts.write(units(spark, sf), folder)
+    found = mpegts.numbered(mpegts.read(spark, folder, range_bytes=1 << 20), slice_octets=1 << 20)
+    return mpegts.decode(found.withColumn("path", F.regexp_extract("path", r"([^/]+)\.ts$", 1))).select("path", "unit_idx", "pid", "cc")
 
 
 @query("d22_adaptation", " SELECT CAST(f AS VARCHAR) AS path, unit_idx, CASE afc WHEN 2 THEN 183 ELSE 14 END AS af_length, 1 AS discontinuity, 0 AS random_access, pcr, pcr + 7 AS opcr, CAST(CASE WHEN s % 256 >= 128 THEN s % 256 - 256 ELSE s % 256 END AS INT) AS splice_countdown FROM t WHERE afc >= 2", UNITS)
@@ -122,13 +119,24 @@ def entries(spark, sf):
 
 @query("s1_capture_files", " SELECT CAST(ssrc % 7 AS VARCHAR) AS stream_id, 844525727800600 AS start_us, '10.0.0.4' AS source, 5004 AS port, arrival_ms AS offset_ms, false AS is_rtcp, hex(encode(props)) AS payload FROM packets", PACKETS)
 def s1(spark, sf):
-    """Packets written as capture files of ten seconds of a stream, and walked back into entries."""
-    from mediaflow.operators.walkers import capture_entries, walk
+    """Packets written as a capture file a stream, and the files read in ranges of a megabyte."""
+    rows = rtp.decode_header(written(spark, sf, "full"))
+    return rows.select("stream_id", "start_us", "source", "port", "offset_ms", "is_rtcp", F.hex(rtp.payload()).alias("payload"))
+
+
+def written(spark, sf, form, slice_ms=None):
+    """The packets' entries, written as files of that form and read back, with their stream_id."""
+    folder = new_folder(spark, "captures")
+    capture.write_captures(entries(spark, sf), folder, form=form, order=("offset_ms", "event_id", "copy"), slice_ms=slice_ms)
+    return capture.read_capture(spark, folder, range_bytes=1 << 20).withColumn("stream_id", F.regexp_extract("path", r"(\d+)(?:-\d+)?\.rtp$", 1))
+
 
-    timed = entries(spark, sf).withColumn("stream_id", F.concat_ws("/", "stream_id", F.floor(F.col("offset_ms") / 10_000)))
-    files = capture.write_capture(timed, order=("offset_ms", "event_id", "copy"))
-    rows = walk(files, capture_entries, capture.ENTRY, "content", ("stream_id",))
-    return rtp.decode_header(rows).select(F.split_part("stream_id", F.lit("/"), F.lit(1)).alias("stream_id"), "start_us", "source", "port", "offset_ms", "is_rtcp", F.hex(rtp.payload()).alias("payload"))
+@query("s2_capture_forms", """, e AS (SELECT CAST(ssrc % 7 AS VARCHAR) AS stream_id, arrival_ms AS offset_ms, printf('80%02X%04X%08X%08X', marker * 128 + pt, seq, rtp_ts, ssrc) AS head, hex(encode(props)) AS body FROM packets)
+SELECT 'header' AS form, stream_id, offset_ms, head AS raw FROM e UNION ALL SELECT 'payload', stream_id, offset_ms, body FROM e UNION ALL SELECT 'sliced', stream_id, offset_ms, head || body FROM e""", PACKETS)
+def s2(spark, sf):
+    """What files hold that keep the headers alone, the payloads alone, or all of ten seconds each."""
+    forms = [written(spark, sf, form, slice_ms).withColumn("form", F.lit(name)) for name, form, slice_ms in (("header", "header", None), ("payload", "payload", None), ("sliced", "full", 10_000))]
+    return forms[0].unionByName(forms[1]).unionByName(forms[2]).select("form", "stream_id", "offset_ms", F.hex("raw").alias("raw"))
 
 
 @query("f7_seek", ", e AS (SELECT CAST(ssrc % 7 AS VARCHAR) AS stream_id, arrival_ms AS offset_ms, event_id, copy FROM packets) SELECT stream_id, offset_ms, event_id, copy FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY offset_ms, event_id, copy) AS k FROM e WHERE offset_ms >= 1500) WHERE k = 1", PACKETS)

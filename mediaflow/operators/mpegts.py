@@ -7,16 +7,37 @@ from pyspark.sql import functions as F
 
 from mediaflow.functions.bits import bits, part, u8, u16, u32
 from mediaflow.operators.walkers import pat_programs, ts_units, walk
+from mediaflow.sources import ranges
 
 UNIT = 188
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """path, unit_idx, raw of transport-stream files; one task reads a file, many files are read side by side."""
+def read(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """path, file_offset, raw of transport-stream files; files are read in ranges of octets, by many tasks. file_offset orders a file's units."""
+    return ranges.read_ranges(spark, ranges.UnitSource, path, range_bytes)
+
+
+def numbered(units: DataFrame, slice_octets: int = 64 << 20) -> DataFrame:
+    """units of read() with unit_idx, their number in the file from 0 on. Units are numbered within stretches of the file, to which
+    the counts of the stretches before are added: no file is one task's."""
+    parts = units.withColumn("__part__", F.floor(F.col("file_offset") / slice_octets))
+    counts = parts.groupBy("path", "__part__").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("__before__", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("__part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy("path", "__part__").orderBy("file_offset"))
+    return parts.withColumn("__own__", own).join(before, ["path", "__part__"]).withColumn("unit_idx", (F.col("__before__") + F.col("__own__") - 1).cast("long")).drop("__part__", "__own__", "__before__")
+
+
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """path, unit_idx, raw by Spark's own file systems, for paths that only they open: a file is one task's, of 2 GB at most."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("raw"))
     return walk(files, ts_units, "unit_idx long, unit binary", "raw", ("path",)).withColumnRenamed("unit", "raw")
 
 
+def write(df: DataFrame, folder: str, key: str = "path", order: tuple[str, ...] = ("unit_idx",)) -> None:
+    """Writes the units (raw) of each key as a file `key`.ts in the folder, in order."""
+    ranges.write_files(df, folder, ranges.UnitSource, F.col(key), F.lit(b""), F.col("raw"), order, ".ts")
+
+
 def decode(df: DataFrame, raw: str = "raw") -> DataFrame:
     """df with tei, pusi, priority, pid, scrambling, afc, cc; a unit holds payload if afc's low bit is set."""
     two, four = u16(raw, 1), u8(raw, 3)

@@ -169,10 +169,11 @@ def capture_entries(data: bytes) -> list[tuple]:
 
 
 def ts_units(data: bytes) -> list[tuple]:
-    """(unit_idx, bytes) of the 188-octet units of a transport stream. Units may carry up to 20 octets more, in steps of 4;
-    the distance of the sync octets tells how many. Octets before a sync octet are skipped."""
-    size = next((n for n in range(188, 212, 4) if len(data) >= n and all(data[k] == 0x47 for k in range(0, min(len(data), 8 * n), n))), 188)
-    units, at = [], 0
+    """(unit_idx, bytes) of the 188-octet units of a transport stream. Units may carry up to 20 octets more, in steps of 4; the first
+    place and distance at which eight sync octets follow (or all there are) tell. Later octets that aren't sync are passed over."""
+    grids = ((a, n) for a in range(min(212, len(data))) if data[a] == 0x47 for n in range(188, 212, 4) if len(data) >= a + n and all(data[k] == 0x47 for k in range(a, min(len(data), a + 8 * n), n)))
+    at, size = next(grids, (0, 188))
+    units = []
     while at + 188 <= len(data):
         if data[at] != 0x47:
             at += 1

@@ -9,12 +9,18 @@ from pyspark.sql import types as T
 from mediaflow.functions.bits import be, part
 from mediaflow.operators.rtcp import APP, BYE, RR, SDES, SR, description_items, goodbye, report_blocks
 from mediaflow.operators.walkers import capture_entries, interleaved, walk
+from mediaflow.sources import ranges
 
 ENTRY = "start_us long, source string, port int, offset_ms long, is_rtcp boolean, file_offset long, raw binary"
 
 
-def read_capture(spark: SparkSession, path: str) -> DataFrame:
-    """One row per entry of binary capture files; files are read side by side, entries of one in order."""
+def read_capture(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """One row per entry of binary capture files: path and ENTRY's columns. Files are read in ranges of octets, by many tasks."""
+    return ranges.read_ranges(spark, ranges.CaptureSource, path, range_bytes)
+
+
+def read_capture_whole(spark: SparkSession, path: str) -> DataFrame:
+    """The same by Spark's own file systems, for paths that only they open: a file is one task's, of 2 GB at most."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("file"))
     return walk(files, capture_entries, ENTRY, "file", ("path",))
 
@@ -26,25 +32,19 @@ def entry_bytes(form: str = "full") -> Column:
     return F.concat(be(F.octet_length(body) + 8, 2), be(F.when(F.col("is_rtcp"), 0).otherwise(F.octet_length("raw")), 2), be(F.col("offset_ms"), 4), body)
 
 
-def write_capture(df: DataFrame, key: str = "stream_id", form: str = "full", order: tuple[str, ...] = ("offset_ms",)) -> DataFrame:
-    """key, content: each stream's file (columns start_us, source, port and entry_bytes'). A file is one row, as it is one file."""
+def file_head() -> Column:
+    """What a capture file starts with (columns start_us, source, port): a line of text, then 16 octets."""
     octets = F.transform(F.split("source", r"\."), lambda x: F.lpad(F.hex(x.cast("long")), 2, "0"))
-    head = F.concat(F.encode(F.concat(F.lit("#!rtpplay1.0 "), F.col("source"), F.lit("/"), F.col("port").cast("string"), F.lit("\n")), "UTF-8"), be(F.floor(F.col("start_us") / 1000000), 4), be(F.col("start_us") % 1000000, 4), F.unhex(F.array_join(octets, "")), be(F.col("port"), 2), be(0, 2))
-    rows = df.select(key, head.alias("head"), F.struct(*order, F.hex(entry_bytes(form)).alias("h")).alias("e"))
-    files = rows.groupBy(key).agg(F.min("head").alias("head"), F.sort_array(F.collect_list("e")).alias("es"))
-    return files.select(key, F.concat("head", F.unhex(F.array_join(F.transform("es", lambda e: e["h"]), ""))).alias("content"))
-
-
-def save_captures(files: DataFrame, folder: str, key: str = "stream_id") -> None:
-    """Writes each row of write_capture as a file of its own, from the executors, by Hadoop's file systems through `folder`."""
-    files.select(F.regexp_replace(F.base64("content"), "\\s", "").alias("value"), key).write.partitionBy(key).text(folder)
+    return F.concat(F.encode(F.concat(F.lit("#!rtpplay1.0 "), F.col("source"), F.lit("/"), F.col("port").cast("string"), F.lit("\n")), "UTF-8"), be(F.floor(F.col("start_us") / 1000000), 4), be(F.col("start_us") % 1000000, 4), F.unhex(F.array_join(octets, "")), be(F.col("port"), 2), be(0, 2))
 
 
-def load_captures(spark: SparkSession, folder: str) -> DataFrame:
-    """What save_captures wrote: key column of the folder, and the entries."""
-    rows = spark.read.text(folder)
-    keys = tuple(c for c in rows.columns if c != "value")
-    return walk(rows.withColumn("file", F.unbase64(F.regexp_replace("value", "\\s", ""))), capture_entries, ENTRY, "file", keys)
+def write_captures(df: DataFrame, folder: str, key: str = "stream_id", form: str = "full", order: tuple[str, ...] = ("offset_ms",), slice_ms: int | None = None) -> None:
+    """Writes each stream (columns start_us, source, port and entry_bytes') as a binary capture file `key`.rtp in the folder, entries in
+    order. slice_ms: a stream's time slices are files of their own (`key`-slice.rtp), so that a hot stream is many tasks'."""
+    name = F.col(key).cast("string")
+    if slice_ms:
+        name = F.concat_ws("-", name, F.floor(F.col("offset_ms") / slice_ms).cast("string"))
+    ranges.write_files(df, folder, ranges.CaptureSource, name, file_head(), entry_bytes(form), order, ".rtp")
 
 
 def text_line() -> Column:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import os
 import struct
 import tempfile
 
@@ -146,16 +147,18 @@ def test_capture_files(spark):
     rows = [("a", 844525727800600, "10.0.0.4", 5004, i * 10, i == 2, bytearray([0x80, 0, 0, i] + [0] * 8 + [i] * i)) for i in range(4)]
     df = spark.createDataFrame(rows, "stream_id string, start_us long, source string, port int, offset_ms long, is_rtcp boolean, raw binary")
     folder = tempfile.mkdtemp(prefix="spark-")
-    files = capture.write_capture(df)
-    content = bytes(files.first().content)
-    with open(f"{folder}/one.rtp", "wb") as f:
-        f.write(content)
-    got = capture.read_capture(spark, f"{folder}/one.rtp").orderBy("file_offset").collect()
+    capture.write_captures(df, f"{folder}/all")
+    assert os.listdir(f"{folder}/all") == ["a.rtp"]
+    with open(f"{folder}/all/a.rtp", "rb") as f:
+        content = f.read()
+    got = capture.read_capture(spark, f"{folder}/all/a.rtp").orderBy("file_offset").collect()
     assert [(r.start_us, r.source, r.port, r.offset_ms, r.is_rtcp, bytes(r.raw)) for r in got] == [(s, a, p, o, c, bytes(b)) for _, s, a, p, o, c, b in rows]
-    capture.save_captures(files, f"{folder}/saved")
-    assert sorted(r.offset_ms for r in capture.load_captures(spark, f"{folder}/saved").collect()) == [0, 10, 20, 30]
-    sizes = lambda form: [len(e[-1]) for e in walkers.capture_entries(bytes(capture.write_capture(df, form=form).first().content))]
-    assert sizes("header") == [12, 12, 4, 12] and sizes("payload") == [0, 1, 14, 3]
+    assert [(r.offset_ms, r.file_offset, bytes(r.raw)) for r in capture.read_capture_whole(spark, f"{folder}/all/a.rtp").collect()] == [(e[3], e[5], e[6]) for e in walkers.capture_entries(content)]
+    for form, sizes in (("header", [12, 12, 4, 12]), ("payload", [0, 1, 14, 3])):
+        capture.write_captures(df, f"{folder}/{form}", form=form)
+        assert [len(r.raw) for r in capture.read_capture(spark, f"{folder}/{form}").orderBy("file_offset").collect()] == sizes
+    capture.write_captures(df, f"{folder}/sliced", slice_ms=20)
+    assert sorted(os.listdir(f"{folder}/sliced")) == ["a-0.rtp", "a-1.rtp"] and capture.read_capture(spark, f"{folder}/sliced/*.rtp").count() == 4
     short = spark.createDataFrame([("-844525727.800600 954849217 30667",), ("1.5 7",), ("x",)], "value string")
     assert [(r.marker, r.arrival_ms, r.rtp_ts, r.seq) for r in capture.parse_short(short).collect()] == [(1, 844525727800, 954849217, 30667), (0, 1500, 7, None)]
 
