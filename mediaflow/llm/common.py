@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,8 @@ from mediaflow.functions.storage import new_folder
 
 # memory that Arrow frees goes back to the system, so that idle Python workers stay small
 pa.set_memory_pool(pa.system_memory_pool())
+# and so does what numpy frees: arrays of a megabyte or more are mapped on their own (-3: the C library's name for that bound)
+getattr(ctypes.CDLL(None), "mallopt", lambda *_: None)(-3, 1 << 20)
 
 #: Words are runs of anything but these six bytes.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
