@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, kind: str) -> str:
     """The path of a folder that doesn't exist yet."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, kind: str = "part") -> DataFrame:
+    """df written as Parquet to the shared folder and read again: lineage ends there."""
+    path = new_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -94,6 +94,16 @@ def s3(spark, sf):
     return capture.parse_text(written).select("arrival_ms", "source", "length", "version", "marker", "pt", "seq", "rtp_ts", "ssrc", F.hex("payload").alias("payload"))
 
 
+@query("s3_malformed", """ SELECT arrival_ms, CASE WHEN event_id % 3 > 0 THEN seq END AS seq, CASE WHEN event_id % 4 > 0 THEN rtp_ts END AS rtp_ts, CASE WHEN event_id % 5 > 0 THEN pt END AS pt, concat_ws(',', CASE WHEN event_id % 5 = 0 THEN 'pt' END, CASE WHEN event_id % 3 = 0 THEN 'seq' END, CASE WHEN event_id % 4 = 0 THEN 'rtp_ts' END) AS problems FROM packets""", PACKETS)
+def s3_odd(spark, sf):
+    """Text lines in which numbers are too large or no numbers now and then, with what can't be read."""
+    line = capture.text_line()
+    for n, name, bad in ((3, "seq", "99999999999"), (4, "ts", "99999999999999999999"), (5, "pt", "x1")):
+        line = F.when(F.col("event_id") % n == 0, F.regexp_replace(line, rf" {name}=\d+", f" {name}={bad}")).otherwise(line)
+    written = lines(spark, sf).select(line.alias("value"))
+    return capture.parse_text(written, problems="problems").select("arrival_ms", "seq", "rtp_ts", "pt", F.array_join("problems", ",").alias("problems"))
+
+
 @query("s4_to_text", """ SELECT event_id, copy, (arrival_ms // 1000) || '.' || printf('%06d', arrival_ms % 1000 * 1000) || ' RTP len=' || (12 + payload_len) || ' from=10.0.0.' || (ssrc % 250) || ':5004 v=2 p=0 x=0 cc=0 m=' || marker || ' pt=' || pt || ' seq=' || seq || ' ts=' || rtp_ts || ' ssrc=0x' || printf('%x', ssrc) || ' data=' || hex(encode(props)) AS line FROM packets""", PACKETS)
 def s4(spark, sf):
     return lines(spark, sf).select("event_id", "copy", capture.text_line().alias("line"))

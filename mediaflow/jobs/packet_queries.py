@@ -149,18 +149,34 @@ def w2(spark, sf):
     return sq.source_state(packets(spark, sf)).drop("arrival_ms", "seq")
 
 
+@query("w2_sliced_state", duck(W2_SQL, PACKETS))
+def w2s(spark, sf):
+    """The same, each source walked in slices of ten seconds."""
+    return sq.source_state_sliced(packets(spark, sf), 10_000).drop("arrival_ms")
+
+
 @query("w3_interarrival", duck(f" SELECT event_id, copy, arrival_ms - lag(arrival_ms) OVER {W} AS gap_ms FROM packets", PACKETS))
 def w3(spark, sf):
     return sq.interarrival(packets(spark, sf)).select("event_id", "copy", "gap_ms")
 
 
-@query("w4_jitter", duck(f""", d AS (SELECT *, abs((arrival_ms - lag(arrival_ms) OVER {W}) * ({CLOCK}) / 1000.0::DOUBLE - ((rtp_ts - lag(rtp_ts) OVER {W} + 6442450944) % 4294967296 - 2147483648)) AS d FROM packets)
-SELECT ssrc, round(list_reduce([0.0::DOUBLE] || list(d ORDER BY arrival_ms, event_id, copy) FILTER (d IS NOT NULL), lambda a, b: a + (b - a) / 16), 4) AS jitter FROM d GROUP BY ssrc""", PACKETS))
+W4_SQL = f""", d AS (SELECT *, abs((arrival_ms - lag(arrival_ms) OVER {W}) * ({CLOCK}) / 1000.0::DOUBLE - ((rtp_ts - lag(rtp_ts) OVER {W} + 6442450944) % 4294967296 - 2147483648)) AS d FROM packets)
+SELECT ssrc, round(list_reduce([0.0::DOUBLE] || list(d ORDER BY arrival_ms, event_id, copy) FILTER (d IS NOT NULL), lambda a, b: a + (b - a) / 16), 4) AS jitter FROM d GROUP BY ssrc"""
+
+
+@query("w4_jitter", duck(W4_SQL, PACKETS))
 def w4(spark, sf):
     rows = sq.jitter(clocked(spark, sf))
     return rows.groupBy("ssrc").agg(F.round(F.max_by("jitter", F.struct("arrival_ms", "event_id", "copy")), 4).alias("jitter"))
 
 
+@query("w4_sliced_jitter", duck(W4_SQL, PACKETS))
+def w4s(spark, sf):
+    """The same, each source walked in slices of ten seconds."""
+    rows = sq.jitter_sliced(clocked(spark, sf), 10_000)
+    return rows.groupBy("ssrc").agg(F.round(F.max_by("jitter", F.struct("arrival_ms", "event_id", "copy")), 4).alias("jitter"))
+
+
 @query("w4_cumulative_jitter", duck(f", g AS (SELECT *, coalesce(arrival_ms - lag(arrival_ms) OVER {W}, 0) AS d FROM packets) SELECT event_id, copy, CAST(sum(d - ((d + 8) >> 4)) OVER {W} AS BIGINT) AS jitter FROM g", PACKETS))
 def w4c(spark, sf):
     return sq.cumulative_jitter(packets(spark, sf)).select("event_id", "copy", "jitter")
@@ -286,7 +302,7 @@ def j2(spark, sf):
     return routing.unaddressed(packets(spark, sf), contexts(spark, sf)).select("event_id", "copy", "ssrc")
 
 
-@query("j3_conflicts", duck(" SELECT a.session_id AS a, b.session_id AS b, 'identity' AS kind FROM contexts a JOIN contexts b ON a.remote_ssrc = b.remote_ssrc AND a.pt = b.pt AND a.session_id < b.session_id", CONTEXTS))
+@query("j3_conflicts", duck(" SELECT a, session_id AS b, 'identity' AS kind FROM (SELECT *, min(session_id) OVER (PARTITION BY remote_ssrc, pt) AS a FROM contexts) WHERE a < session_id", CONTEXTS))
 def j3(spark, sf):
     return routing.conflicts(contexts(spark, sf))
 
@@ -320,8 +336,8 @@ def j4(spark, sf):
 @query("j5_fan_out", duck(" SELECT event_id, copy, count(*) AS sessions, CAST(sum(session_id) AS BIGINT) AS session_sum, min(session_id) AS first_session, max(session_id) AS last_session FROM packets JOIN contexts USING (pt) GROUP BY 1, 2", PACKETS, CONTEXTS))
 def j5(spark, sf):
     """Every packet to every session of its type, told by packet."""
-    sent = routing.fan_out(packets(spark, sf), contexts(spark, sf).select("session_id", "pt"), ["pt"])
-    return sent.groupBy("event_id", "copy").agg(F.count(F.lit(1)).alias("sessions"), F.sum("session_id").alias("session_sum"), F.min("session_id").alias("first_session"), F.max("session_id").alias("last_session"))
+    sent = routing.fan_out_summary(packets(spark, sf), contexts(spark, sf).select("session_id", "pt"), ["pt"])
+    return sent.select("event_id", "copy", "sessions", "session_sum", "first_session", "last_session")
 
 
 @query("j5_fan_out_all")
@@ -440,7 +456,8 @@ a AS (SELECT e.session_id, event_id, copy, at_ms, active_ms, active_event, activ
 @query("j8_activity", duck(_ACTIVE + " SELECT session_id, event_id, copy, at_ms, count(*) AS active, min(active_ms) AS since_ms, max(active_ms) AS last_ms FROM a GROUP BY 1, 2, 3, 4", PACKETS, CONTEXTS))
 def j8(spark, sf):
     """By routed packet: how much of its session's activity the interval before it holds, and from when to when."""
-    return j8_all(spark, sf).groupBy("session_id", "event_id", "copy", "at_ms").agg(F.count(F.lit(1)).alias("active"), F.min("active_ms").alias("since_ms"), F.max("active_ms").alias("last_ms"))
+    r = routed(spark, sf).where("session_id IS NOT NULL")
+    return reports.activity_counts(r.select("session_id", F.col("arrival_ms").alias("at_ms"), "event_id", "copy"), r.select("session_id", F.col("arrival_ms").alias("active_ms")), 4960, ids=("event_id", "copy"))
 
 
 @query("j8_activity_all", duck(_ACTIVE + " SELECT * FROM a", PACKETS, CONTEXTS))

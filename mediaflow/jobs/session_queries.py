@@ -15,7 +15,7 @@ def query(name, text=None, *parts):
     def add(f):
         QUERIES[name] = f
         if text:
-            SQL[name] = duck(text, *parts)
+            SQL[name] = duck(text, *parts) if parts else text
         return f
 
     return add
@@ -158,7 +158,10 @@ def raw_messages(spark, sf):
 
 
 def parsed(spark, sf):
-    p = ms.parse(raw_messages(spark, sf))
+    return with_ids(ms.parse(raw_messages(spark, sf)))
+
+
+def with_ids(p):
     own = ms.session(ms.header("session"))
     return p.withColumns({"cseq": ms.cseq(), "session_id": own["id"], "timeout": own["timeout"]})
 
@@ -208,9 +211,11 @@ def j6u(spark, sf):
     return ms.unanswered(parsed(spark, sf)).select("conn_id", "turn")
 
 
-@query("f8_request_check", ' SELECT conv_id AS conn_id, turn, CASE WHEN conv_id % 11 = 4 OR turn % 6 = 2 THEN 400 WHEN conv_id % 5 = 2 THEN 454 ELSE 200 END AS "check" FROM q WHERE ask', MESSAGES)
+@query("f8_request_check", ' SELECT conv_id AS conn_id, turn, CASE WHEN conv_id % 11 = 4 OR turn % 6 = 2 THEN 400 WHEN conv_id % 5 = 2 THEN 454 WHEN conv_id % 13 = 6 THEN 505 ELSE 200 END AS "check" FROM q WHERE ask', MESSAGES)
 def f8(spark, sf):
-    p = parsed(spark, sf)
+    """Some of the requests are of a later version of the protocol."""
+    raw = F.when(F.col("conn_id") % 13 == 6, F.replace("raw", F.lit(" RTSP/1.0"), F.lit(" RTSP/2.0"))).otherwise(F.col("raw"))
+    p = with_ids(ms.parse(raw_messages(spark, sf).withColumn("raw", raw)))
     known = p.where("conn_id % 5 <> 2 AND session_id IS NOT NULL").select("session_id")
     return ms.check(p, known).select("conn_id", "turn", "check")
 
@@ -234,3 +239,50 @@ SELECT conv_id AS conn_id, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, count(
 def t5(spark, sf):
     p = parsed(spark, sf).withColumn("timeout", ((F.col("turn") % 4 + 1) * 0.2).cast("decimal(9,3)"))
     return ms.sessions(p)
+
+
+# -- malformed texts ---------------------------------------------------------------------------------------------------
+def odd_descriptions(spark, sf):
+    """session_key, sdp: of every order a description, in which numbers are malformed now and then."""
+    k, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    number = lambda n, bad, other: F.when(k % n == 0, bad).when(k % n == 1, "18446744073709551615").otherwise(other)
+    lines = [
+        F.lit("v=0"), F.concat(F.lit("o=u "), number(7, "0xAB", text), F.lit(" "), number(11, "-", text), F.lit(" IN IP4 h")), F.lit("s=n"), F.concat(F.lit("t="), number(5, "soon", text), F.lit(" 0")),
+        F.concat(F.lit("m=audio "), number(6, "any", (k % 60000).cast("string")), F.lit(" RTP/AVP 0 99999999999")), F.concat(F.lit("c=IN IP4 h/"), number(9, "x", F.lit("127"))), F.concat(F.lit("b=AS:"), number(4, "", text)),
+        F.concat(F.lit("a=rtpmap:0 X/"), number(3, "8k", F.lit("8000"))), F.concat(F.lit("a=fmtp:0 a=1;a="), text),
+    ]
+    return spark.read.parquet(f"{sf}/orders.parquet").select(k.alias("session_key"), F.concat_ws("\r\n", *lines).alias("sdp"))
+
+
+@query("x1_malformed", """SELECT o_orderkey AS session_key, CASE WHEN o_orderkey % 7 > 1 THEN o_orderkey END AS origin_id, CASE WHEN o_orderkey % 11 > 1 THEN o_orderkey END AS origin_version, CASE WHEN o_orderkey % 5 > 1 THEN o_orderkey END AS start, 0 AS stop,
+  concat_ws(',', CASE WHEN o_orderkey % 7 < 2 THEN 'origin_id' END, CASE WHEN o_orderkey % 11 < 2 THEN 'origin_version' END, CASE WHEN o_orderkey % 5 < 2 THEN 'start' END) AS problems FROM orders""")
+def x1_odd(spark, sf):
+    """Descriptions whose numbers can't all be read, with what can't."""
+    s = sdp.sessions(odd_descriptions(spark, sf), problems="problems")
+    return s.select("session_key", "origin_id", "origin_version", "start", "stop", F.array_join("problems", ",").alias("problems"))
+
+
+@query("x3_malformed", """SELECT o_orderkey AS session_key, CASE WHEN o_orderkey % 6 > 1 THEN CAST(o_orderkey % 60000 AS INT) END AS port, CASE WHEN o_orderkey % 6 < 2 THEN 'port' ELSE '' END AS media_problems, '0' AS pts,
+  CASE WHEN o_orderkey % 9 > 1 THEN 127 END AS ttl, CASE WHEN o_orderkey % 3 > 1 THEN 8000 END AS clock_rate, CAST(o_orderkey AS VARCHAR) AS a, CASE WHEN o_orderkey % 3 < 2 THEN 'clock_rate' ELSE '' END AS problems, CASE WHEN o_orderkey % 4 > 1 THEN o_orderkey END AS most FROM orders""")
+def x3_odd(spark, sf):
+    """The media sections and attributes of such descriptions; of a parameter that is there twice the last value counts."""
+    m = sdp.media(odd_descriptions(spark, sf), problems="media_problems")
+    a = sdp.attributes(m, problems="problems").groupBy("session_key").agg(F.max("clock_rate").alias("clock_rate"), F.max(F.try_element_at("params", F.lit("a"))).alias("a"), F.array_join(F.flatten(F.collect_list("problems")), ",").alias("problems"))
+    own = m.select("session_key", "port", F.array_join("media_problems", ",").alias("media_problems"), F.array_join(F.transform("pts", lambda x: x.cast("string")), ",").alias("pts"), sdp.connection(F.col("connection"))["ttl"].alias("ttl"))
+    return own.join(a, "session_key").join(sdp.bandwidth(m).select("session_key", F.col("AS").alias("most")), "session_key", "left")
+
+
+@query("x8_malformed", """SELECT conv_id AS conn_id, turn, CASE WHEN turn % 5 > 0 THEN turn END AS cseq, CASE WHEN conv_id % 3 > 0 THEN 30 ELSE 60 END AS timeout, CASE WHEN conv_id % 7 > 0 THEN 1.5::DOUBLE END AS at, CASE WHEN turn % 4 > 0 THEN 4000 END AS client_low,
+  CASE WHEN conv_id % 2 = 0 THEN 11 END AS ssrc, CASE WHEN turn % 3 > 0 THEN 5 END AS seq,
+  concat_ws(',', CASE WHEN turn % 5 = 0 THEN 'cseq' END, CASE WHEN conv_id % 3 = 0 THEN 'session' END, CASE WHEN conv_id % 7 = 0 THEN 'timestamp' END, CASE WHEN turn % 4 = 0 OR conv_id % 2 = 1 THEN 'transport' END, CASE WHEN turn % 3 = 0 THEN 'rtp-info' END) AS problems FROM conversations""")
+def x8_odd(spark, sf):
+    """Messages of every turn, in whose headers numbers are malformed and names are repeated now and then."""
+    c, t = F.col("conv_id"), F.col("turn")
+    either = lambda ok, good, bad: F.when(ok, good).otherwise(bad)
+    lines = [
+        F.lit("SETUP rtsp://h/x RTSP/1.0"), F.concat(F.lit("CSeq: "), either(t % 5 > 0, t.cast("string"), "99999999999")), F.concat(F.lit("Session: a;timeout="), either(c % 3 > 0, "30", "99999999999")), F.concat(F.lit("Timestamp: "), either(c % 7 > 0, "1.5", "1.2.3")),
+        F.concat(F.lit("Transport: RTP/AVP;unicast;ssrc=1;client_port="), either(t % 4 > 0, "4000-4001", "99999999999"), F.lit(";ssrc="), either(c % 2 == 0, "0b", "123456789")), F.concat(F.lit("RTP-Info: url=u;seq="), either(t % 3 > 0, "5", "12345678901234567890"), F.lit(";rtptime=7")),
+    ]
+    p = ms.parse(spark.read.parquet(f"{sf}/conversations.parquet").select(c.alias("conn_id"), "turn", F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n")).alias("raw")))
+    moved = ms.transport(ms.header("transport"))
+    return p.select("conn_id", "turn", ms.cseq().alias("cseq"), ms.session(ms.header("session"))["timeout"].alias("timeout"), ms.timestamp_delay(ms.header("timestamp"))["at"].alias("at"), moved["client_low"].alias("client_low"), moved["ssrc"].cast("int").alias("ssrc"), F.get(ms.rtp_info(ms.header("rtp-info")), F.lit(0))["seq"].cast("int").alias("seq"), F.array_join(ms.header_problems(), ",").alias("problems"))

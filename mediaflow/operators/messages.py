@@ -1,10 +1,14 @@
-"""Session messages (RTSP, HTTP, SIP): parsing, headers, matching of responses to requests, order, sessions."""
+"""Session messages (RTSP, HTTP, SIP): parsing, headers, matching of responses to requests, order, sessions.
+
+Header values that can't be read are null, and header_problems() names their headers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediaflow.functions.permissive import last_of_each, parameters, unread
+
 REQUEST = r"^([A-Z_]+) (\S+) ([A-Za-z]+/\d\.\d)$"
 RESPONSE = r"^([A-Za-z]+/\d\.\d) (\d{3}) ?(.*)$"
 
@@ -18,14 +22,13 @@ def parse(df: DataFrame, raw: str = "raw") -> DataFrame:
     rest = F.regexp_replace(F.when(F.instr("__head__", "\n") > 0, F.substr("__head__", F.instr("__head__", "\n") + 1)).otherwise(""), "\n[ \t]+", " ")
     fields = F.filter(F.split(rest, "\n"), lambda x: F.instr(x, ":") > 1)
     pairs = F.transform(fields, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("v")))
-    lasts = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda y: y["k"] == x["k"]))
     request, response = first.rlike(REQUEST), first.rlike(RESPONSE)
     return d.withColumns({
         "kind": F.when(request, "request").when(response, "response").otherwise("invalid"),
         "method": F.when(request, F.regexp_extract(first, REQUEST, 1)), "uri": F.when(request, F.regexp_extract(first, REQUEST, 2)),
         "protocol": F.when(request, F.regexp_extract(first, REQUEST, 3)).when(response, F.regexp_extract(first, RESPONSE, 1)),
         "status": F.when(response, F.regexp_extract(first, RESPONSE, 2).cast("int")), "reason": F.when(response, F.regexp_extract(first, RESPONSE, 3)),
-        "headers": F.map_from_entries(lasts), "body": F.col("__body__"),
+        "headers": last_of_each(pairs), "body": F.col("__body__"),
     }).drop("__head__", "__body__")
 
 
@@ -34,38 +37,56 @@ def header(name: str) -> Column:
 
 
 def cseq(headers: Column | None = None) -> Column:
-    return F.nullif(F.regexp_extract(header("cseq"), r"(\d+)", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(header("cseq"), r"(\d+)", 1), F.lit("")).try_cast("int")
 
 
 def session(value: Column) -> Column:
     """struct(id, timeout) of a Session header; 60 s where none is given."""
-    return F.struct(F.nullif(F.trim(F.split_part(value, F.lit(";"), F.lit(1))), F.lit("")).alias("id"), F.coalesce(F.nullif(F.regexp_extract(value, r"timeout *= *(\d+)", 1), F.lit("")).cast("int"), F.lit(60)).alias("timeout"))
+    return F.struct(F.nullif(F.trim(F.split_part(value, F.lit(";"), F.lit(1))), F.lit("")).alias("id"), F.coalesce(F.nullif(F.regexp_extract(value, r"timeout *= *(\d+)", 1), F.lit("")).try_cast("int"), F.lit(60)).alias("timeout"))
 
 
 def timestamp_delay(value: Column) -> Column:
     """struct(at, delay) of a Timestamp header, in seconds; no delay is 0."""
-    number = lambda i: F.nullif(F.regexp_extract(value, r"^ *([0-9.]+)(?: +([0-9.]+))?", i), F.lit("")).cast("double")
+    number = lambda i: F.nullif(F.regexp_extract(value, r"^ *([0-9.]+)(?: +([0-9.]+))?", i), F.lit("")).try_cast("double")
     return F.struct(number(1).alias("at"), F.coalesce(number(2), F.lit(0.0)).alias("delay"))
 
 
 def transport(value: Column) -> Column:
     """The parts of a Transport header; one port or channel stands for both of a pair."""
-    m = F.str_to_map(F.lower(value), F.lit(";"), F.lit("="))
+    m = parameters(F.lower(value))
     get = lambda k: F.regexp_replace(F.try_element_at(m, F.lit(k)), '"', "")
-    low = lambda k: F.nullif(F.regexp_extract(get(k), r"^(\d+)", 1), F.lit("")).cast("int")
-    high = lambda k: F.coalesce(F.nullif(F.regexp_extract(get(k), r"-(\d+)", 1), F.lit("")).cast("int"), low(k))
+    low = lambda k: F.nullif(F.regexp_extract(get(k), r"^(\d+)", 1), F.lit("")).try_cast("int")
+    high = lambda k: F.coalesce(F.nullif(F.regexp_extract(get(k), r"-(\d+)", 1), F.lit("")).try_cast("int"), low(k))
     pair = lambda k, n: [low(k).alias(f"{n}_low"), high(k).alias(f"{n}_high")]
-    ssrc = F.conv(F.nullif(F.regexp_extract(get("ssrc"), "^([0-9a-f]+)$", 1), F.lit("")), 16, 10).cast("long")
+    ssrc = F.conv(F.nullif(F.regexp_extract(get("ssrc"), "^([0-9a-f]{1,8})$", 1), F.lit("")), 16, 10).cast("long")
     return F.struct(F.split_part(value, F.lit(";"), F.lit(1)).alias("profile"), F.map_contains_key(m, F.lit("multicast")).alias("multicast"), *pair("client_port", "client"), *pair("server_port", "server"), *pair("port", "port"), *pair("interleaved", "channel"), ssrc.alias("ssrc"), get("mode").alias("mode"), get("source").alias("source"), get("destination").alias("destination"), F.coalesce(low("ttl"), F.lit(127)).alias("ttl"))
 
 
 def rtp_info(value: Column) -> Column:
     """The entries (url, seq, rtptime, ssrc) of an RTP-Info header."""
-    number = lambda x, k: F.nullif(F.regexp_extract(x, rf"(?:^|;) *{k}=(\d+)", 1), F.lit("")).cast("long")
-    ssrc = lambda x: F.conv(F.nullif(F.regexp_extract(x, r"(?:^|;) *ssrc=([0-9A-Fa-f]+)", 1), F.lit("")), 16, 10).cast("long")
+    number = lambda x, k: F.nullif(F.regexp_extract(x, rf"(?:^|;) *{k}=(\d+)", 1), F.lit("")).try_cast("long")
+    ssrc = lambda x: F.conv(F.nullif(F.regexp_extract(x, r"(?:^|;) *ssrc=([0-9A-Fa-f]{1,8})(?![0-9A-Fa-f])", 1), F.lit("")), 16, 10).cast("long")
     return F.transform(F.split(value, ", *(?=url=)"), lambda x: F.struct(F.regexp_extract(x, r"url=([^;]*)", 1).alias("url"), number(x, "seq").alias("seq"), number(x, "rtptime").alias("rtptime"), ssrc(x).alias("ssrc")))
 
 
+def header_problems(headers: str = "headers") -> Column:
+    """The names of the headers of parsed messages that are there, but in which a number can't be read."""
+    at = timestamp_delay(header("timestamp"))
+    told = lambda name, pattern: F.nullif(F.regexp_extract(F.lower(header(name)), pattern, 1), F.lit(""))
+    lost = lambda ok: F.when(ok, 1)  # noqa: E731  a value stands for a readable header
+    moved = transport(header("transport"))
+    read = {"client_port": "client_low", "server_port": "server_low", "port": "port_low", "interleaved": "channel_low", "ssrc": "ssrc"}
+    fine = F.lit(True)
+    for name, field in read.items():
+        fine = fine & (told("transport", rf"(?:^|;) *{name}=([^;]*)").isNull() | moved[field].isNotNull())
+    info = F.coalesce(F.forall(rtp_info(header("rtp-info")), lambda x: x["seq"].isNotNull() & x["rtptime"].isNotNull()), F.lit(True))
+    timeout = told("session", r"timeout *= *([^;]*)")
+    return unread(
+        cseq=(header("cseq"), cseq()), session=(timeout, F.regexp_extract(timeout, r"^(\d+)", 1).try_cast("int")), timestamp=(header("timestamp"), lost(at["at"].isNotNull())),
+        transport=(header("transport"), lost(fine)), **{"rtp-info": (header("rtp-info"), lost(info))},
+    )
+
+
 KEY = ("conn_id", "session_id", "cseq")
 
 

@@ -69,6 +69,33 @@ def activity(events: DataFrame, contexts: DataFrame, interval_ms: int) -> DataFr
     return e.join(c, ["session_id", "bucket"]).where((F.col("at_ms") >= F.col("active_ms")) & (F.col("at_ms") - F.col("active_ms") <= interval_ms)).drop("bucket")
 
 
+def activity_counts(events: DataFrame, contexts: DataFrame, interval_ms: int, ids: tuple[str, ...], slice_ms: int | None = None, key: str = "session_id") -> DataFrame:
+    """key, ids, at_ms of the events (key, ids, at_ms) that activity() finds anything for, with active, since_ms and last_ms: how many
+    contexts (key, active_ms) the interval before it holds, the first and the last one's time.
+
+    No pairs are made: contexts, events and the starts of the events' intervals are swept in one order of time, with running counts;
+    the two counts of an event then meet. Sessions are swept in slices of time (16 intervals unless given), which hold the last
+    interval of the slice before as well, so that no session is one task's."""
+    width = slice_ms or 16 * interval_ms
+    if width < interval_ms:
+        raise ValueError("a slice can't be shorter than the interval")
+    no = F.lit(None)
+    kinds = {c: events.schema[c].dataType for c in ids}
+    slice_of = lambda t: F.floor(t / width)
+    near = F.when(slice_of(F.col("active_ms") + interval_ms) != slice_of(F.col("active_ms")), F.array(slice_of(F.col("active_ms")), slice_of(F.col("active_ms")) + 1)).otherwise(F.array(slice_of(F.col("active_ms"))))
+    active = contexts.select(key, F.explode(near).alias("slice"), F.col("active_ms").alias("t"), F.lit(1).alias("kind"), *(no.cast(t).alias(c) for c, t in kinds.items()), no.cast("long").alias("at_ms"))
+    # at one time, an interval starts before what is active then, and an event comes after it
+    probes = events.select(key, slice_of(F.col("at_ms")).alias("slice"), F.explode(F.array(F.struct((F.col("at_ms") - interval_ms).alias("t"), F.lit(0).alias("kind")), F.struct(F.col("at_ms").alias("t"), F.lit(2).alias("kind")))).alias("x"), *ids, "at_ms")
+    rows = active.unionByName(probes.select(key, "slice", "x.t", "x.kind", *ids, "at_ms"))
+    here = F.when(F.col("kind") == 1, F.col("t"))
+    onward = Window.partitionBy(key, "slice").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(key, "slice").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    swept = rows.withColumns({"n": F.count(here).over(onward), "last": F.last(here, ignorenulls=True).over(onward), "next": F.last(here, ignorenulls=True).over(back)}).where("kind <> 1")
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    met = swept.groupBy(key, *ids, "at_ms").agg((of(2, "n") - of(0, "n")).alias("active"), of(0, "next").alias("since_ms"), of(2, "last").alias("last_ms"))
+    return met.where("active > 0")
+
+
 def tumbling(packets: DataFrame, interval_ms: int = INTERVAL_MS, keys=KEYS) -> DataFrame:
     """Packets and octets of each interval (the batch form of the streaming reports)."""
     return packets.groupBy(*keys, F.floor(F.col("arrival_ms") / interval_ms).alias("bucket")).agg(F.count(F.lit(1)).alias("packets"), F.sum("payload_len").alias("octets"))

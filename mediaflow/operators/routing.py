@@ -36,11 +36,11 @@ def known_types(packets: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def conflicts(contexts: DataFrame) -> DataFrame:
-    """(a, b, kind) of contexts a < b that share a remote source and a payload type: every pair. Where a source may be shared by
-    many, use identity_classes."""
-    one = contexts.select(F.col("session_id").alias("a"), "remote_ssrc", "pt").distinct()
-    two = contexts.select(F.col("session_id").alias("b"), "remote_ssrc", "pt").distinct()
-    return one.join(two, ["remote_ssrc", "pt"]).where("a < b").select("a", "b", F.lit("identity").alias("kind"))
+    """(a, b, kind): each context b that shares its remote source and payload type with others, beside the least of them, a. A class of
+    any size gives one row for each of its other members."""
+    one = contexts.select("session_id", "remote_ssrc", "pt").distinct()
+    least = one.groupBy("remote_ssrc", "pt").agg(F.min("session_id").alias("a"))
+    return one.join(least, ["remote_ssrc", "pt"]).where("a < session_id").select("a", F.col("session_id").alias("b"), F.lit("identity").alias("kind"))
 
 
 def identity_classes(contexts: DataFrame) -> DataFrame:
@@ -81,6 +81,13 @@ def fan_out_totals(packets: DataFrame, attachments: DataFrame, keys: list[str])
     return sums.join(attachments, keys).groupBy("session_id").agg(F.sum("packets").alias("packets"), F.sum("octets").alias("octets"))
 
 
+def fan_out_summary(packets: DataFrame, attachments: DataFrame, keys: list[str]) -> DataFrame:
+    """packets with how many sessions get each, their sum, least and greatest; packets that none gets are left out. Attachments are
+    summed by key before the join, so a packet stays one row."""
+    per = attachments.groupBy(*keys).agg(F.count(F.lit(1)).alias("sessions"), F.sum("session_id").alias("session_sum"), F.min("session_id").alias("first_session"), F.max("session_id").alias("last_session"))
+    return packets.join(per, keys)
+
+
 def find_stream(urls: DataFrame, streams: DataFrame) -> DataFrame:
     """urls (url_id, url) with the stream that the last path segment names (the one before it, if that is a track or a media
     type): by name, then id, then alias, without regard to case."""

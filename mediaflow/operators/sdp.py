@@ -1,10 +1,14 @@
-"""Session descriptions: text to sessions, media sections and attributes, by array functions within one row (no shuffle)."""
+"""Session descriptions: text to sessions, media sections and attributes, by array functions within one row (no shuffle).
+
+Malformed values are null; where a `problems` column is asked for, it names the fields whose text gave no value."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediaflow.functions.permissive import parameters, unread
+
 
 def lines(text) -> Column:
     """The lines `x=value`, without line ends."""
@@ -33,38 +37,46 @@ def session_lines(df: DataFrame, text: str = "sdp") -> DataFrame:
     return opened.withColumn("head", F.explode(F.array(head))).withColumn("sections", sections)
 
 
-def sessions(df: DataFrame, key: str = "session_key", text: str = "sdp") -> DataFrame:
+def _with(problems: str | None, **fields: tuple[Column, Column]) -> list[Column]:
+    return [unread(**fields).alias(problems)] if problems else []
+
+
+def sessions(df: DataFrame, key: str = "session_key", text: str = "sdp", problems: str | None = None) -> DataFrame:
     """key and the session's own lines; descriptions of fewer than three lines are left out."""
     d = session_lines(df, text).where(F.size("lines") >= 3)
     h = F.col("head")
     o, t = value(h, "o"), value(h, "t")
+    read = {"version": (value(h, "v"), value(h, "v").try_cast("int")), **{n: (_field(o, i), _field(o, i).try_cast("long")) for n, i in (("origin_id", 1), ("origin_version", 2))}, **{n: (_field(t, i), _field(t, i).try_cast("long")) for n, i in (("start", 0), ("stop", 1))}}
+    one = lambda name: read[name][1].alias(name)
     return d.select(
-        key, value(h, "v").cast("int").alias("version"), _field(o, 0).alias("user"), _field(o, 1).cast("long").alias("origin_id"), _field(o, 2).cast("long").alias("origin_version"), _field(o, 3).alias("net"), _field(o, 4).alias("address_type"), _field(o, 5).alias("address"),
-        value(h, "s").alias("name"), value(h, "c").alias("connection"), _field(t, 0).cast("long").alias("start"), _field(t, 1).cast("long").alias("stop"), F.size("sections").alias("n_media"),
+        key, one("version"), _field(o, 0).alias("user"), one("origin_id"), one("origin_version"), _field(o, 3).alias("net"), _field(o, 4).alias("address_type"), _field(o, 5).alias("address"),
+        value(h, "s").alias("name"), value(h, "c").alias("connection"), one("start"), one("stop"), F.size("sections").alias("n_media"), *_with(problems, **read),
     )
 
 
-def media(df: DataFrame, key: str = "session_key", text: str = "sdp") -> DataFrame:
+def media(df: DataFrame, key: str = "session_key", text: str = "sdp", problems: str | None = None) -> DataFrame:
     """key, media_idx, media, port, n_ports, proto, pts, connection (the media's own or the session's), its lines."""
     d = session_lines(df, text).select(key, value(F.col("head"), "c").alias("c"), value(F.col("head"), "t").alias("t"), F.filter("head", lambda x: F.startswith(x, F.lit("a="))).alias("head_attributes"), F.posexplode("sections").alias("media_idx", "of"))
     m = value(F.col("of"), "m")
-    port = _field(m, 1)
-    pts = F.transform(F.filter(F.slice(F.split(m, " "), F.lit(4), F.size(F.split(m, " "))), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("int"))
-    return d.select(key, "media_idx", _field(m, 0).alias("media"), F.split_part(port, F.lit("/"), F.lit(1)).cast("int").alias("port"), F.coalesce(F.expr("try_cast(nullif(split_part(split_part(substr(of[0], 3), ' ', 2), '/', 2), '') as int)"), F.lit(1)).alias("n_ports"), _field(m, 2).alias("proto"), pts.alias("pts"), F.coalesce(value(F.col("of"), "c"), F.col("c")).alias("connection"), F.col("t").alias("times"), F.col("of").alias("lines"), "head_attributes")
+    port = F.split_part(_field(m, 1), F.lit("/"), F.lit(1))
+    ports = F.nullif(F.split_part(_field(m, 1), F.lit("/"), F.lit(2)), F.lit(""))
+    pts = F.transform(F.filter(F.slice(F.split(m, " "), F.lit(4), F.size(F.split(m, " "))), lambda x: x.rlike("^[0-9]{1,9}$")), lambda x: x.cast("int"))
+    return d.select(key, "media_idx", _field(m, 0).alias("media"), port.try_cast("int").alias("port"), F.coalesce(ports.try_cast("int"), F.lit(1)).alias("n_ports"), _field(m, 2).alias("proto"), pts.alias("pts"), F.coalesce(value(F.col("of"), "c"), F.col("c")).alias("connection"), F.col("t").alias("times"), F.col("of").alias("lines"), "head_attributes", *_with(problems, port=(port, port.try_cast("int")), n_ports=(ports, ports.try_cast("int"))))
 
 
-def attributes(media_rows: DataFrame, key: str = "session_key") -> DataFrame:
+def attributes(media_rows: DataFrame, key: str = "session_key", problems: str | None = None) -> DataFrame:
     """key, media_idx, name, value (null for flags), and the parts of rtpmap and fmtp values."""
     a = media_rows.select(key, "media_idx", F.posexplode(F.filter("lines", lambda x: F.startswith(x, F.lit("a=")))).alias("idx", "a")).withColumn("a", F.substr("a", F.lit(3)))
     name = F.substring_index("a", ":", 1)
     val = F.when(F.instr("a", ":") > 0, F.substr("a", F.instr("a", ":") + 1))
     rows = a.select(key, "media_idx", "idx", name.alias("name"), val.alias("value"))
     mapped = F.col("name") == "rtpmap"
-    pt = F.when(F.col("name").isin("rtpmap", "fmtp"), F.regexp_extract("value", r"^(\d+)", 1).cast("int"))
+    pt_text = F.when(F.col("name").isin("rtpmap", "fmtp"), F.substring_index("value", " ", 1))
+    pt = F.when(F.col("name").isin("rtpmap", "fmtp"), F.regexp_extract("value", r"^(\d+)", 1).try_cast("int"))
     rest = F.regexp_extract("value", r"^\d+ (.*)$", 1)
-    params = F.when(F.col("name") == "fmtp", F.str_to_map(F.regexp_replace(rest, "; *", ";"), F.lit(";"), F.lit("=")))
+    params = F.when(F.col("name") == "fmtp", parameters(F.regexp_replace(rest, "; *", ";")))
     piece = lambda i: F.when(mapped, F.nullif(F.split_part(rest, F.lit("/"), F.lit(i)), F.lit("")))
-    return rows.withColumns({"pt": pt, "encoding": piece(1), "clock_rate": piece(2).cast("int"), "encoding_params": piece(3), "params": params})
+    return rows.withColumns({"pt": pt, "encoding": piece(1), "clock_rate": piece(2).try_cast("int"), "encoding_params": piece(3), "params": params} | ({problems: unread(pt=(pt_text, pt), clock_rate=(piece(2), piece(2).try_cast("int")))} if problems else {}))
 
 
 def session_attributes(df: DataFrame, key: str = "session_key", text: str = "sdp") -> DataFrame:
@@ -103,7 +115,7 @@ def directions(media_rows: DataFrame, key: str = "session_key") -> DataFrame:
 def connection(c: Column) -> Column:
     """struct(net, address_type, host, ttl, addresses) of `IN IP4 host/ttl/n`."""
     at = _field(c, 2)
-    number = lambda i: F.nullif(F.split_part(at, F.lit("/"), F.lit(i)), F.lit("")).cast("int")
+    number = lambda i: F.nullif(F.split_part(at, F.lit("/"), F.lit(i)), F.lit("")).try_cast("int")
     return F.struct(_field(c, 0).alias("net"), _field(c, 1).alias("address_type"), F.split_part(at, F.lit("/"), F.lit(1)).alias("host"), number(2).alias("ttl"), F.coalesce(number(3), F.lit(1)).alias("addresses"))
 
 
@@ -137,8 +149,8 @@ def media_range(text: Column) -> Column:
 
 def duration(text: Column) -> Column:
     """Seconds of `7d 1h -30m 10s` summed; a bare number counts seconds."""
-    one = lambda x: F.regexp_extract(x, r"^(-?\d+)", 1).cast("long") * F.when(x.rlike("d$"), 86400).when(x.rlike("h$"), 3600).when(x.rlike("m$"), 60).otherwise(1)
-    return F.aggregate(F.filter(F.split(F.trim(text), " +"), lambda x: x.rlike(r"^-?\d+[dhms]?$")), F.lit(0).cast("long"), lambda s, x: s + one(x))
+    one = lambda x: F.regexp_extract(x, r"^(-?\d+)", 1).try_cast("long") * F.when(x.rlike("d$"), 86400).when(x.rlike("h$"), 3600).when(x.rlike("m$"), 60).otherwise(1)
+    return F.aggregate(F.filter(F.split(F.trim(text), " +"), lambda x: x.rlike(r"^-?\d{1,12}[dhms]?$")), F.lit(0).cast("long"), lambda s, x: s + one(x))
 
 
 def zone_adjustments(text: Column) -> Column:
@@ -155,7 +167,7 @@ def repeat_times(text: Column) -> Column:
 def bandwidth(media_rows: DataFrame, key: str = "session_key") -> DataFrame:
     """key, media_idx and the bandwidth directives RR, RS, AS, TIAS."""
     b = media_rows.select(key, "media_idx", F.explode(F.filter("lines", lambda x: F.startswith(x, F.lit("b=")))).alias("b"))
-    pair = b.select(key, "media_idx", F.regexp_extract("b", "^b=([^:]+):", 1).alias("token"), F.regexp_extract("b", r":(\d+)", 1).cast("long").alias("n"))
+    pair = b.select(key, "media_idx", F.regexp_extract("b", "^b=([^:]+):", 1).alias("token"), F.regexp_extract("b", r":(\d+)", 1).try_cast("long").alias("n"))
     return pair.groupBy(key, "media_idx").pivot("token", ["RR", "RS", "AS", "TIAS"]).agg(F.max("n"))
 
 

@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from mediaflow.functions.storage import written
 
 KEYS, ORDER = ("ssrc",), ("arrival_ms", "event_id", "copy")
 MOD, DROPOUT, MISORDER, PROBATION = 1 << 16, 500, 100, 2
@@ -143,6 +146,154 @@ def jitter(df: DataFrame, clock: str = "clock_rate", keys=KEYS, order=ORDER) ->
     return along_sources(df.select(*dict.fromkeys([*columns, "arrival_ms", "rtp_ts", clock])), columns, keys, order, "jitter double", dict, step)
 
 
+# -- hot sources: the time slices of a source walked by many tasks -----------------------------------------------------
+def _slices(df: DataFrame, slice_ms: int) -> DataFrame:
+    return df.withColumn("__slice__", F.floor(F.col("arrival_ms") / slice_ms))
+
+
+def _along_slices(df: DataFrame, starts: DataFrame, keys, order, open_, made: str, ends: bool) -> DataFrame:
+    """Walks each slice of a source from the state in starts (keys, __slice__, start): a slice's state is a row before its packets.
+
+    open_(start) gives a walker; take(batch) gives the columns `made` (DDL) of a run of packets, end() those of a whole slice. With
+    ends, a row for each slice (keys, __slice__ and made), else one for each packet (keys, order columns and made)."""
+    at = [*keys, "__slice__"]
+    columns = at if ends else list(dict.fromkeys([*keys, *order]))
+    none = F.lit(None)
+    packets = df.withColumn("start", none.cast(starts.schema["start"].dataType)).withColumn("__packet__", F.lit(1))
+    heads = starts.select(*at, *(none.cast(df.schema[c].dataType).alias(c) for c in df.columns if c not in at), "start", F.lit(0).alias("__packet__"))
+    added = T._parse_datatype_string(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_, walker, done = None, None, []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if done:
+                rows = list(zip(*done, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], [*at, *added.fieldNames()])
+                done.clear()
+
+        for batch in batches:
+            kinds = [*(batch.schema.field(c).type for c in at), *to_arrow_schema(added).types]
+            names = list(zip(*(batch.column(k).to_pylist() for k in at), strict=True))
+            runs = [i for i, n in enumerate(names) if i == 0 or n != names[i - 1]]
+            for a, b in zip(runs, [*runs[1:], len(names)], strict=True):
+                part = batch.slice(a, b - a)
+                if names[a] != slice_:
+                    if ends and slice_ is not None:
+                        done.append((*slice_, *walker.end()))
+                    slice_, walker = names[a], open_(part.column("start")[0].as_py())
+                part = part.slice(1) if part.column("__packet__")[0].as_py() == 0 else part
+                if part.num_rows:
+                    made_ = walker.take(part)
+                    if not ends:
+                        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *made_], [*columns, *added.fieldNames()])
+            if len(done) > 10_000:
+                yield from told()
+        if ends and slice_ is not None:
+            done.append((*slice_, *walker.end()))
+            yield from told()
+
+    schema = T.StructType([*(df.schema[c] for c in columns), *added.fields])
+    return packets.unionByName(heads).repartition(*at).sortWithinPartitions(*at, "__packet__", *order).mapInArrow(run, schema)
+
+
+class _JitterSlice:
+    """The jitter of a slice's packets, after the packet and the jitter before it."""
+
+    def __init__(self, start: dict | None):
+        self.at, self.media, self.jitter, self.n = (start["at"], start["media"], start["jitter"], 0) if start else (None, None, 0.0, 0)
+
+    def take(self, part: pa.RecordBatch) -> list[pa.Array]:
+        at, media, rate = (part.column(c).to_numpy(zero_copy_only=False) for c in ("arrival_ms", "rtp_ts", "__rate__"))
+        if self.at is None:
+            self.at, self.media = at[0], media[0]
+        ticks = (np.diff(media, prepend=self.media) + (1 << 31)) % (1 << 32) - (1 << 31)
+        d = np.abs(np.diff(at, prepend=self.at) * rate / 1000.0 - ticks)
+        out = pd.Series(np.concatenate([[self.jitter], d])).ewm(alpha=1 / 16, adjust=False).mean().to_numpy()[1:]
+        self.at, self.media, self.jitter, self.n = at[-1], media[-1], float(out[-1]), self.n + len(at)
+        return [pa.array(out, pa.float64())]
+
+    def end(self) -> tuple:
+        return self.jitter, self.n
+
+
+def jitter_sliced(df: DataFrame, slice_ms: int, clock: str = "clock_rate", keys=KEYS, order=ORDER) -> DataFrame:
+    """jitter() for hot sources: the time slices of a source are walked by as many tasks. A slice of n packets maps the jitter before
+    it, J, to (15/16)^n J + b; these maps, a row for each slice, are composed along the source, and every slice is then walked from
+    its own start. Slices know the last packet before them from an aggregation."""
+    at = [*keys, "__slice__"]
+    rows = _slices(df, slice_ms).withColumn("__rate__", F.col(clock)).select(*dict.fromkeys([*at, *order, "arrival_ms", "rtp_ts", "__rate__"]))
+    along = Window.partitionBy(*keys).orderBy("__slice__")
+    last = rows.groupBy(*at).agg(F.max_by(F.struct("arrival_ms", "rtp_ts"), F.struct(*order)).alias("last")).withColumn("p", F.lag("last").over(along))
+    state = lambda jitter: F.when(F.col("p").isNotNull(), F.struct(F.col("p.arrival_ms").cast("long").alias("at"), F.col("p.rtp_ts").cast("long").alias("media"), jitter.cast("double").alias("jitter"))).alias("start")
+    before = written(last.select(*at, "p"))
+    maps = written(_along_slices(rows, before.select(*at, state(F.lit(0.0))), keys, order, _JitterSlice, "b double, n long", ends=True))
+
+    def compose(held: dict, part: pa.RecordBatch) -> list[pa.Array]:
+        out = []
+        for b, n in zip(part.column("b").to_pylist(), part.column("n").to_pylist(), strict=True):
+            out.append(held.setdefault("j", 0.0))
+            held["j"] = (15 / 16) ** n * held["j"] + b
+        return [pa.array(out, pa.float64())]
+
+    composed = along_sources(maps, at, keys, ("__slice__",), "j double", dict, compose)
+    starts = before.join(composed, at).select(*at, state(F.col("j")))
+    return _along_slices(rows, starts, keys, order, _JitterSlice, "jitter double", ends=False)
+
+
+class _ValidationSlice:
+    """The rules over a slice's packets. Cycles never decide anything; while they count from ONWARD they go on from those before."""
+
+    ONWARD = -(1 << 48)
+
+    def __init__(self, start: dict | None):
+        self.begun = start
+        given = (start["top"], start["probation"], start["bad"], self.ONWARD) if start else ()
+        self.rules, self.cycles = Validation(*given), (start["cycles"] if start else 0)
+
+    def _cycles(self) -> int:
+        return self.rules.cycles if self.rules.cycles >= 0 else self.rules.cycles - self.ONWARD + self.cycles
+
+    def take(self, part: pa.RecordBatch) -> list[pa.Array]:
+        rules = self.rules
+        rows = [(rules.take(seq), rules.probation, rules.top, rules.bad, self._cycles()) for seq in part.column("seq").to_pylist()]
+        return [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+
+    def end(self) -> tuple:
+        """The state after the slice, whether its bad number and its cycles go on from those before, and the state it was walked from."""
+        r, on = self.rules, self.rules.cycles < 0
+        b = self.begun or {}
+        return r.top, r.probation, r.bad, r.cycles - self.ONWARD if on else r.cycles, on, bool(b) and r.bad == b["bad"], b.get("top"), b.get("probation"), b.get("bad")
+
+
+def source_state_sliced(df: DataFrame, slice_ms: int, keys=KEYS, order=ORDER) -> DataFrame:
+    """source_state() for hot sources: the time slices of a source are walked by as many tasks, speculatively. First every slice is
+    walked as if its source began there; then from the state in which the slice before it ended, until no start changes any more.
+    The rules forget: two packets in sequence end a probation, so nearly always the second round's starts are the last. A row for
+    each slice is what goes along the source in between."""
+    at = [*keys, "__slice__"]
+    rows = _slices(df, slice_ms).select(*dict.fromkeys([*at, *order, "seq"]))
+    ends_ddl = "top int, probation int, bad int, cycles long, go_on boolean, same_bad boolean, top0 int, probation0 int, bad0 int"
+    start_ddl = "top int, probation int, bad int, cycles long"
+    starts = rows.select(*at).distinct().withColumn("start", F.lit(None).cast(f"struct<{start_ddl.replace(' ', ':').replace(',:', ',')}>"))
+
+    def onward(held: dict, part: pa.RecordBatch) -> list[pa.Array]:
+        out = []
+        for r in part.to_pylist():
+            now = held.get("state")
+            out.append((*(now or (None,) * 4), (now[:3] if now else (None,) * 3) != (r["top0"], r["probation0"], r["bad0"])))
+            bad = now[2] if now and r["same_bad"] else r["bad"]
+            held["state"] = (r["top"], r["probation"], bad, r["cycles"] + (now[3] if now and r["go_on"] else 0))
+        return [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True)]
+
+    while True:
+        ended = _along_slices(rows, starts, keys, order, _ValidationSlice, ends_ddl, ends=True)
+        told = written(along_sources(ended, at, keys, ("__slice__",), f"{start_ddl}, changed boolean", dict, onward))
+        starts = told.select(*at, F.when(F.col("probation").isNotNull(), F.struct("top", "probation", "bad", "cycles")).alias("start"))
+        if told.where("changed").isEmpty():
+            return _along_slices(rows, starts, keys, order, _ValidationSlice, STATE, ends=False)
+
+
 def cumulative_jitter(df: DataFrame, keys=KEYS, order=ORDER) -> DataFrame:
     """The growing form: the sum of d - ((d + 8) >> 4) over arrival gaps d in milliseconds."""
     gaps = interarrival(df, keys, order)

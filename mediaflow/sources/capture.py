@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mediaflow.functions.bits import be, part
+from mediaflow.functions.permissive import unread
 from mediaflow.operators.rtcp import APP, BYE, RR, SDES, SR, description_items, goodbye, report_blocks
 from mediaflow.operators.walkers import capture_entries, interleaved, walk
 from mediaflow.sources import ranges
@@ -53,15 +54,17 @@ def text_line() -> Column:
     return F.concat_ws(" ", F.format_string("%d.%06d", F.floor(F.col("arrival_ms") / 1000), F.col("arrival_ms") % 1000 * 1000), F.lit("RTP"), F.concat(F.lit("len="), F.octet_length("raw").cast("string")), F.concat(F.lit("from="), F.col("source")), *(F.concat(F.lit(f"{k}="), n(c)) for k, c in (("v", "version"), ("p", "padding"), ("x", "extension"), ("cc", "cc"), ("m", "marker"), ("pt", "pt"), ("seq", "seq"), ("ts", "rtp_ts"))), F.concat(F.lit("ssrc=0x"), F.lower(F.hex("ssrc"))), F.concat(F.lit("data="), F.hex("payload")))
 
 
-def parse_text(lines: DataFrame, column: str = "value") -> DataFrame:
-    """The packets of text lines; comment lines and others are left out."""
+def parse_text(lines: DataFrame, column: str = "value", problems: str | None = None) -> DataFrame:
+    """The packets of text lines; comment lines and others are left out. Fields that can't be read are null, and `problems` names them."""
     v = F.col(column)
     rows = lines.where(~v.startswith("#") & v.rlike(r"^\d+\.\d+ RTP "))
     field = lambda k, p=r"\d+": F.nullif(F.regexp_extract(v, rf"(?:^| ){k}=({p})", 1), F.lit(""))
     clock = F.regexp_extract(v, r"^(\d+)\.(\d+)", 1).try_cast("long") * 1000 + F.floor(F.rpad(F.regexp_extract(v, r"^(\d+)\.(\d+)", 2), 6, "0").try_cast("long") / 1000)
+    numbers = {"length": ("len", "int"), "pt": ("pt", "int"), "seq": ("seq", "int"), "rtp_ts": ("ts", "long")}
+    told = [unread(arrival_ms=(v, clock), **{n: (field(k, r"\S+"), field(k, r"\d+(?= |$)").try_cast(t)) for n, (k, t) in numbers.items()}).alias(problems)] if problems else []
     return rows.select(
-        clock.alias("arrival_ms"), field("from", r"\S+").alias("source"), field("len").cast("int").alias("length"), *(field(k).cast("int").alias(c) for k, c in (("v", "version"), ("p", "padding"), ("x", "extension"), ("cc", "cc"), ("m", "marker"), ("pt", "pt"), ("seq", "seq"))),
-        field("ts").cast("long").alias("rtp_ts"), F.conv(field("ssrc", "0x[0-9a-fA-F]+").substr(3, 8), 16, 10).cast("long").alias("ssrc"), F.unhex(F.coalesce(field("data", "[0-9a-fA-F]+"), F.lit(""))).alias("payload"),
+        clock.alias("arrival_ms"), field("from", r"\S+").alias("source"), field("len").try_cast("int").alias("length"), *(field(k).try_cast("int").alias(c) for k, c in (("v", "version"), ("p", "padding"), ("x", "extension"), ("cc", "cc"), ("m", "marker"), ("pt", "pt"), ("seq", "seq"))),
+        field("ts").try_cast("long").alias("rtp_ts"), F.conv(field("ssrc", "0x[0-9a-fA-F]+").substr(3, 8), 16, 10).cast("long").alias("ssrc"), F.unhex(F.coalesce(field("data", "[0-9a-fA-F]+"), F.lit(""))).alias("payload"), *told,
     )
 
 
@@ -77,7 +80,7 @@ def short_line() -> Column:
 def parse_short(lines: DataFrame, column: str = "value") -> DataFrame:
     p = r"^(-?)(\d+)\.(\d+) (\d+)(?: (\d+))?$"
     x = lambda i: F.regexp_extract(column, p, i)
-    return lines.where(F.col(column).rlike(p)).select((x(1) == "-").cast("int").alias("marker"), (x(2).try_cast("long") * 1000 + F.floor(F.rpad(x(3), 6, "0").try_cast("long") / 1000)).alias("arrival_ms"), x(4).try_cast("long").alias("rtp_ts"), F.nullif(x(5), F.lit("")).cast("int").alias("seq"))
+    return lines.where(F.col(column).rlike(p)).select((x(1) == "-").cast("int").alias("marker"), (x(2).try_cast("long") * 1000 + F.floor(F.rpad(x(3), 6, "0").try_cast("long") / 1000)).alias("arrival_ms"), x(4).try_cast("long").alias("rtp_ts"), F.nullif(x(5), F.lit("")).try_cast("int").alias("seq"))
 
 
 def report_text(report: str = "i", blocks: str = "b") -> Column:
