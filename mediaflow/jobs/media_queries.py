@@ -218,7 +218,7 @@ pieces AS (
 
 @query("s6_interleaved", " SELECT ssrc, second, CAST(row_number() OVER w - 1 AS INT) AS idx, channel, CAST(coalesce(sum(octets) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at, hex(encode(part)) AS part FROM pieces WINDOW w AS (PARTITION BY ssrc, second ORDER BY arrival_ms, event_id, copy, after)", PACKETS, CONNECTIONS)
 def s6(spark, sf):
-    """The bytes of each connection, frames and messages mixed, taken apart."""
+    """The bytes of each connection, frames and messages mixed, in segments of 1,000 octets, put together and taken apart."""
     p = packets(spark, sf)
     size = F.octet_length("props")
     frame = F.concat(be(0x24, 1), be(F.col("event_id") % 4, 1), be(size, 2), F.encode("props", "UTF-8"))
@@ -226,7 +226,10 @@ def s6(spark, sf):
     ping = F.encode(F.concat(F.lit("PING "), F.col("event_id").cast("string"), F.lit("\r\n"), F.when(even, "Content-Length: 3\r\n").otherwise(""), F.lit("\r\n"), F.when(even, "$$$").otherwise("")), "UTF-8")
     each = p.select("ssrc", F.floor(F.col("arrival_ms") / 1000).alias("second"), F.struct("arrival_ms", "event_id", "copy", F.hex(F.when(F.col("event_id") % 5 == 0, F.concat(frame, ping)).otherwise(frame)).alias("h")).alias("x"))
     sent = each.groupBy("ssrc", "second").agg(F.sort_array(F.collect_list("x")).alias("x")).select("ssrc", "second", F.unhex(F.array_join(F.transform("x", lambda x: x["h"]), "")).alias("raw"))
-    return capture.split_interleaved(sent, ("ssrc", "second")).withColumn("part", F.hex("part"))
+    n = F.ceil(F.octet_length("raw") / 1000).cast("int")
+    cut = sent.select("ssrc", "second", "raw", F.explode(F.sequence(F.lit(1), n)).alias("segment"))
+    segments = cut.select("ssrc", "second", "segment", F.substring("raw", (F.col("segment") - 1) * 1000 + 1, F.lit(1000)).alias("raw"))
+    return capture.split_interleaved(segments, ("ssrc", "second"), order=("segment",)).withColumn("part", F.hex("part"))
 
 
 #: Payloads of video: single units, two units in one packet, and both ends of a unit that is cut in two.

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediaflow.functions.bits import be
-from mediaflow.operators.walkers import aac_units, h264_nals, red_blocks, walk
+from mediaflow.operators.walkers import Octets, Together, aac_units, h264_nals, red_blocks, walk, walk_together
 
+#: Formats whose payloads are walked together, a batch at a time.
+TOGETHER: dict[str, tuple[Together, str]] = {
+    "red": (red_blocks, "idx int, block_pt int, ts_offset int, part binary"),
+    "h264": (h264_nals, "idx int, nal_type int, is_start boolean, is_end boolean, part binary"),
+}
 #: Format → (walker over one payload, schema of its parts); register() adds to it.
 FORMATS: dict[str, tuple[Callable[[bytes], list[tuple]], str]] = {
     "generic": (lambda data: [(0, data)], "idx int, part binary"),
-    "red": (red_blocks, "idx int, block_pt int, ts_offset int, part binary"),
     "aac": (aac_units, "idx int, au_index int, size int, part binary"),
-    "h264": (h264_nals, "idx int, nal_type int, is_start boolean, is_end boolean, part binary"),
 }
 
 
@@ -26,8 +30,9 @@ def register(name: str, walker: Callable[[bytes], list[tuple]], schema: str) ->
 
 
 def depacketize(df: DataFrame, name: str, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
-    walker, schema = FORMATS[name]
-    return walk(df, walker, schema, payload, keep)
+    if name in FORMATS:
+        return walk(df, *FORMATS[name], payload, keep)
+    return walk_together(df, *TOGETHER[name], payload, keep)
 
 
 def red_pack(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,13 +64,22 @@ def g711_table(law: str) -> np.ndarray:
 
 
 def g711_levels(df: DataFrame, keys: list[str], payload: str = "payload", pt: str = "pt") -> DataFrame:
-    """keys, samples, peak, rms of G.711 payloads (type 0 µ-law, 8 A-law)."""
-    tables = {0: g711_table("mu"), 8: g711_table("a")}
-
-    @F.pandas_udf("n long, peak int, squares double")
-    def measure(data: pd.Series, kind: pd.Series) -> pd.DataFrame:
-        samples = [tables[k][np.frombuffer(bytes(x), np.uint8)].astype(np.int64) if x is not None else np.zeros(0, np.int64) for x, k in zip(data, kind, strict=True)]
-        return pd.DataFrame({"n": [len(s) for s in samples], "peak": [int(np.abs(s).max(initial=0)) for s in samples], "squares": [float((s * s).sum()) for s in samples]})
-
-    m = df.where(F.col(pt).isin(0, 8)).select(*keys, measure(payload, pt).alias("m"))
-    return m.groupBy(*keys).agg(F.sum("m.n").alias("samples"), F.max("m.peak").alias("peak"), F.sqrt(F.sum("m.squares") / F.sum("m.n")).alias("rms"))
+    """keys, samples, peak, rms (null without samples) of G.711 payloads (type 0 µ-law, 8 A-law)."""
+    tables = np.stack([g711_table("mu"), g711_table("a")]).astype(np.int64)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = Octets(batch.column(payload))
+            n = x.ends - x.starts
+            law = np.repeat((batch.column(pt).to_numpy(zero_copy_only=False) == 8).astype(np.int64), n)
+            samples = tables[law, x.data[x.starts[0] : x.ends[-1]] if len(n) else x.data[:0]]
+            some = n > 0  # reduceat gives an element, not nothing, for an empty run
+            peak, squares = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+            if some.any():
+                at = (x.starts - x.starts[0])[some]
+                peak[some], squares[some] = np.maximum.reduceat(np.abs(samples), at), np.add.reduceat(samples * samples, at)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(n), pa.array(peak), pa.array(squares)], [*keys, "n", "peak", "squares"])
+
+    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(c, T.LongType()) for c in ("n", "peak", "squares"))])
+    m = df.where(F.col(pt).isin(0, 8)).select(*keys, payload, pt).mapInArrow(measure, schema)
+    return m.groupBy(*keys).agg(F.sum("n").alias("samples"), F.max("peak").cast("int").alias("peak"), F.sqrt(F.try_divide(F.sum("squares"), F.sum("n"))).alias("rms"))

