@@ -5,13 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mediaflow.operators.frames import MOST_PACKETS
-from mediaflow.operators.sequence import MOD, Validation
+from mediaflow.operators.sequence import MOD, ORDER, Validation, source_state
 from mediaflow.sources.capture import PACKETS
 
 FRAME = "ssrc long, pt int, rtp_ts long, packets int, octets long, complete boolean"
@@ -22,46 +21,128 @@ def live_packets(spark: SparkSession, folder: str, files_per_trigger: int = 1) -
     return spark.readStream.schema(PACKETS).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+class InOrder(StatefulProcessor):
+    """Rows of a key in order of event time, whatever batches they come in. Rows wait in state, in buckets of event time, until the
+    watermark has passed their bucket's end; a timer then hands the bucket's rows, sorted, to a walker, which keeps a small state.
+    Only one bucket of a key is in memory at a time. Rows later than the watermark are dropped, as Spark does."""
+
+    BUCKET_MS, AT_ONCE = 1000, 5000
+    #: The columns of a row, the first three of which order rows, and the state between rows, as DDL.
+    COLUMNS, ROW, STATE = (), "", ""
+
+    def open(self, key: tuple, state: tuple | None):
+        """A walker: take(row) and rest(now) yield rows; state is what it keeps (None: nothing), due when rest() has something to do."""
+        raise NotImplementedError
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "bucket long", f"rows array<struct<{self.ROW}>>")
+        self.kept = handle.getValueState("kept", self.STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        buckets, n = {}, 0
+        for r in rows:
+            row = tuple(r[c] for c in self.COLUMNS)
+            buckets.setdefault(row[0] // self.BUCKET_MS, []).append(row)
+            n += 1
+            if n >= self.AT_ONCE:
+                self._hold(buckets)
+                buckets, n = {}, 0
+        self._hold(buckets)
+        return iter(())
+
+    def _hold(self, buckets: dict[int, list[tuple]]) -> None:
+        for b, rows in buckets.items():
+            before = self.held.getValue((b,)) if self.held.containsKey((b,)) else None
+            self.held.updateValue((b,), ([*(tuple(r) for r in before[0]), *rows] if before else rows,))
+            if not before:
+                self.handle.registerTimer((b + 1) * self.BUCKET_MS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() // self.BUCKET_MS * self.BUCKET_MS  # all rows before are here: a key's first timer sees to them all
+        walker = self.open(key, self.kept.get() if self.kept.exists() else None)
+        for b in sorted(k[0] for k in self.held.keys() if (k[0] + 1) * self.BUCKET_MS <= now):
+            rows = sorted((tuple(r) for r in self.held.getValue((b,))[0]), key=lambda r: r[:3])
+            self.held.removeKey((b,))
+            for row in rows:
+                yield from walker.take(row)
+        yield from walker.rest(now)
+        if walker.state is None:
+            self.kept.clear()
+        else:
+            self.kept.update(walker.state)
+            self.handle.registerTimer(-(-walker.due // self.BUCKET_MS) * self.BUCKET_MS)
+
+
+def in_order(packets: DataFrame, keys: tuple[str, ...], processor: InOrder, schema: str, late: str, initial: DataFrame | None = None) -> DataFrame:
+    """The rows that processor gives for packets (with arrival). State is kept in RocksDB, which this form of state needs."""
+    spark = packets.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = packets.withWatermark("arrival", late).withColumn("at_ms", F.unix_millis("arrival")).select(*dict.fromkeys([*keys, *processor.COLUMNS, "arrival"]))
+    return rows.groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime", initial.groupBy(*keys) if initial is not None else None)
+
+
+class _Frames:
+    """At most two open frames of a source."""
+
+    def __init__(self, ssrc: int, state: tuple | None, idle_ms: int, most: int):
+        self.ssrc, self.idle_ms, self.most = ssrc, idle_ms, most
+        self.last, self.held = (state[0], [list(f) for f in state[1]]) if state else (None, [])
+
+    def _ended(self, f: list) -> Row:
+        pt, at, seqs, octets, marker = f
+        return Row(ssrc=self.ssrc, pt=pt, rtp_ts=at, packets=len(seqs), octets=octets, complete=marker and _gapless(seqs))
+
+    def rest(self, now: int) -> Iterator[Row]:
+        if self.held and self.last + self.idle_ms <= now:
+            yield from map(self._ended, self.held)
+            self.held = []
+
+    def take(self, row: tuple) -> Iterator[Row]:
+        at_ms, _, _, pt, at, seq, marker, size = row
+        yield from self.rest(at_ms)
+        self.last = at_ms
+        own = next((f for f in self.held if (f[0], f[1]) == (pt, at)), None)
+        if own is None:
+            own = [pt, at, [], 0, False]
+            self.held.append(own)
+            if len(self.held) > 2:
+                yield self._ended(self.held.pop(0))
+        if seq not in own[2]:
+            own[2] = [*own[2], seq]
+            own[3] += size
+            own[4] = own[4] or marker == 1
+            if len(own[2]) >= self.most:
+                self.held.remove(own)
+                yield self._ended(own)
+
+    @property
+    def state(self) -> tuple | None:
+        return (self.last, [tuple(f) for f in self.held]) if self.held else None
+
+    @property
+    def due(self) -> int:
+        return self.last + self.idle_ms
+
+
+class FrameProcessor(InOrder):
+    COLUMNS = ("at_ms", "event_id", "copy", "pt", "rtp_ts", "seq", "marker", "payload_len")
+    ROW = "at_ms: long, event_id: long, copy: int, pt: int, rtp_ts: long, seq: int, marker: int, payload_len: long"
+    STATE = "last long, open array<struct<pt:int,at:long,seqs:array<int>,octets:long,marker:boolean>>"
+
+    def __init__(self, idle_ms: int, most: int):
+        self.idle_ms, self.most = idle_ms, most
+
+    def open(self, key, state):
+        return _Frames(key[0], state, self.idle_ms, self.most)
+
+
 def stream_frames(packets: DataFrame, idle_ms: int = 30_000, late: str = "10 seconds", most: int = MOST_PACKETS) -> DataFrame:
     """Frames of each source, with its payload type and media time: at most two are open, the current one and the one before.
     A packet of another media time opens a frame and ends the older of the two; `most` packets end a frame as well, and so do idle_ms
-    of event time without a packet. A number counts once in a frame. Packets of one batch are taken in order of arrival. A frame is
-    complete if its numbers have no hole and a marker came; a packet for a frame that has ended opens it anew."""
-    new = lambda pt, at: {"pt": pt, "at": at, "seqs": [], "octets": 0, "marker": False}
-
-    def take(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [dict(zip(("pt", "at", "seqs", "octets", "marker"), f, strict=True)) for f in (state.get[0] if state.exists else [])]
-        ended, last = [], 0
-        if state.hasTimedOut:
-            ended, held = held, []
-        else:
-            rows = pd.concat(list(parts)).sort_values(["arrival", "event_id", "copy"])
-            last = int(rows["arrival"].max().timestamp() * 1000)
-            for pt, at, seq, marker, size in zip(rows["pt"], rows["rtp_ts"], rows["seq"], rows["marker"], rows["payload_len"], strict=True):
-                own = next((f for f in held if (f["pt"], f["at"]) == (pt, at)), None)
-                if own is None:
-                    own = new(int(pt), int(at))
-                    held.append(own)
-                    if len(held) > 2:
-                        ended.append(held.pop(0))
-                if int(seq) in own["seqs"]:
-                    continue
-                own["seqs"] = [*own["seqs"], int(seq)]
-                own["octets"] += int(size)
-                own["marker"] = own["marker"] or int(marker) == 1
-                if len(own["seqs"]) >= most:
-                    held.remove(own)
-                    ended.append(own)
-        if held:
-            state.update(([tuple(f.values()) for f in held],))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-        elif state.exists:
-            state.remove()
-        if ended:
-            yield pd.DataFrame([(key[0], f["pt"], f["at"], len(f["seqs"]), f["octets"], f["marker"] and _gapless(f["seqs"])) for f in ended], columns=["ssrc", "pt", "rtp_ts", "packets", "octets", "complete"])
-
-    kept = "open array<struct<pt:int,at:long,seqs:array<int>,octets:long,marker:boolean>>"
-    return packets.withWatermark("arrival", late).groupBy("ssrc").applyInPandasWithState(take, FRAME, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    of event time without a packet. A number counts once in a frame. Packets are taken in order of arrival. A frame is complete if its
+    numbers have no hole and a marker came; a packet for a frame that has ended opens it anew."""
+    return in_order(packets, ("ssrc",), FrameProcessor(idle_ms, most), FRAME, late)
 
 
 def _gapless(seqs: list[int]) -> bool:
@@ -99,63 +180,123 @@ def match(requests: DataFrame, responses: DataFrame, within: str = "30 seconds",
     return a.join(b, on).select("conn_id", "cseq", "method", "status", (F.unix_millis("answered") - F.unix_millis("asked")).alias("rtt_ms"))
 
 
-def validated(packets: DataFrame, idle_ms: int = 3_600_000, late: str = "10 seconds") -> DataFrame:
+class _Rules:
+    """The validation of a source, between whose packets idle_ms may not pass."""
+
+    def __init__(self, ssrc: int, state: tuple | None, idle_ms: int):
+        self.ssrc, self.idle_ms = ssrc, idle_ms
+        self.last, self.own = (state[4], Validation(*state[:4])) if state else (None, Validation())
+
+    def rest(self, now: int) -> Iterator[Row]:
+        if self.last is not None and self.last + self.idle_ms <= now:
+            self.own = Validation()
+        return iter(())
+
+    def take(self, row: tuple) -> Iterator[Row]:
+        at_ms, event, copy, seq = row
+        self.rest(at_ms)
+        self.last = at_ms
+        if seq is None:
+            self.own = Validation()
+        else:
+            yield Row(ssrc=self.ssrc, event_id=event, copy=copy, accepted=self.own.take(seq))
+
+    @property
+    def state(self) -> tuple | None:
+        return (*self.own.state, self.last) if self.own.top is not None else None
+
+    @property
+    def due(self) -> int:
+        return self.last + self.idle_ms
+
+
+class ValidationProcessor(InOrder):
+    COLUMNS = ("at_ms", "event_id", "copy", "seq")
+    ROW = "at_ms: long, event_id: long, copy: int, seq: int"
+    STATE = "top long, probation long, bad long, cycles long, last long"
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def open(self, key, state):
+        return _Rules(key[0], state, self.idle_ms)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        r = initialState
+        self.kept.update((r["top"], r["probation"], r["bad"], r["cycles"], r["last"]))
+        self.handle.registerTimer(-(-(r["last"] + self.idle_ms) // self.BUCKET_MS) * self.BUCKET_MS)
+
+
+def validated(packets: DataFrame, idle_ms: int = 3_600_000, late: str = "10 seconds", initial: DataFrame | None = None) -> DataFrame:
     """ssrc, event_id, copy, accepted: the rules of sequence.source_state across micro-batches, one small state per source.
-    A packet with a null seq is a goodbye and resets its source, and so do idle_ms of event time without a packet. Packets of one
-    batch are taken in order of arrival."""
-
-    def rules(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        own = Validation(*state.get) if state.exists else Validation()
-        rows = pd.concat(list(parts)).sort_values(["arrival", "event_id", "copy"])
-        out = []
-        for seq, event, copy in zip(rows["seq"], rows["event_id"], rows["copy"], strict=True):
-            if pd.isna(seq):
-                own = Validation()
-            else:
-                out.append((key[0], event, copy, own.take(int(seq))))
-        if own.top is not None:
-            state.update(own.state)
-            state.setTimeoutTimestamp(max(int(rows["arrival"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["ssrc", "event_id", "copy", "accepted"])
-
-    return packets.withWatermark("arrival", late).groupBy("ssrc").applyInPandasWithState(rules, "ssrc long, event_id long, copy int, accepted boolean", "top long, probation long, bad long, cycles long", "append", GroupStateTimeout.EventTimeTimeout)
+    A packet with a null seq is a goodbye and resets its source, and so do idle_ms of event time without a packet. Packets are taken in
+    order of arrival. initial: states to begin with, ssrc, top, probation, bad, cycles, last (ms of the last packet), a row a source,
+    such as validation_states() gives of a batch."""
+    return in_order(packets, ("ssrc",), ValidationProcessor(idle_ms), "ssrc long, event_id long, copy int, accepted boolean", late, initial)
+
+
+def validation_states(packets: DataFrame) -> DataFrame:
+    """The validation state of each source after a batch of packets (ssrc, seq, arrival_ms, event_id, copy), for validated()."""
+    at = F.struct(*ORDER)
+    last = F.struct(F.col("max_seq").cast("long").alias("top"), F.col("probation").cast("long").alias("probation"), F.col("bad_seq").cast("long").alias("bad"), "cycles", F.col("arrival_ms").cast("long").alias("last"))
+    return source_state(packets).groupBy(F.col("ssrc").cast("long").alias("ssrc")).agg(F.max_by(last, at).alias("s")).select("ssrc", "s.*")
+
+
+class _Held:
+    """One frame in the jitter buffer."""
+
+    def __init__(self, key: tuple, state: tuple | None, timeout_ms: int):
+        self.key, self.timeout_ms = key, timeout_ms
+        self.seqs, self.octets, self.marker, self.done, self.last = (list(state[0]), *state[1:]) if state else ([], 0, False, False, None)
+
+    def _frame(self, ok: bool) -> Row:
+        ssrc, pt, rtp_ts = self.key
+        return Row(ssrc=ssrc, pt=pt, rtp_ts=rtp_ts, packets=len(self.seqs), octets=self.octets, complete=ok)
+
+    def rest(self, now: int) -> Iterator[Row]:
+        if self.last is not None and self.last + self.timeout_ms <= now:
+            if self.seqs and not self.done:
+                yield self._frame(False)
+            self.seqs, self.octets, self.marker, self.done, self.last = [], 0, False, False, None
+
+    def take(self, row: tuple) -> Iterator[Row]:
+        at_ms, _, _, seq, marker, size = row
+        yield from self.rest(at_ms)
+        self.last = at_ms
+        if not self.done and seq not in self.seqs:
+            self.seqs.append(seq)
+            self.octets += size
+            self.marker = self.marker or marker == 1
+            if self.marker and _gapless(self.seqs):
+                yield self._frame(True)
+                self.seqs, self.done = [], True  # remembered until the timeout, for late copies
+
+    @property
+    def state(self) -> tuple | None:
+        return (self.seqs, self.octets, self.marker, self.done, self.last) if self.last is not None else None
+
+    @property
+    def due(self) -> int:
+        return self.last + self.timeout_ms
+
+
+class BufferProcessor(InOrder):
+    COLUMNS = ("at_ms", "event_id", "copy", "seq", "marker", "payload_len")
+    ROW = "at_ms: long, event_id: long, copy: int, seq: int, marker: int, payload_len: long"
+    STATE = "seqs array<int>, octets long, marker boolean, done boolean, last long"
+
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
+
+    def open(self, key, state):
+        return _Held(key, state, self.timeout_ms)
 
 
 def jitter_buffer(packets: DataFrame, timeout_ms: int = 1000, late: str = "10 seconds") -> DataFrame:
-    """One frame for each (ssrc, pt, rtp_ts): emitted when its numbers have no hole and a marker came, or incomplete once
-    timeout_ms of event time have passed since its last packet. The first packet opens the frame."""
-
-    def hold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def frame(n, octets, ok):
-            return pd.DataFrame([(*key, n, octets, ok)], columns=["ssrc", "pt", "rtp_ts", "packets", "octets", "complete"])
-
-        if state.hasTimedOut:
-            seqs, octets, *_ = state.get
-            state.remove()
-            if seqs:
-                yield frame(len(seqs), octets, False)
-            return
-        seqs, octets, marker, done = state.get if state.exists else ([], 0, False, False)
-        seqs, last = list(seqs), 0
-        for part in parts:
-            last = max(last, int(part["arrival"].max().timestamp() * 1000))
-            for seq, m, size in zip(part["seq"], part["marker"], part["payload_len"], strict=True):
-                if not done and int(seq) not in seqs:
-                    seqs.append(int(seq))
-                    octets += int(size)
-                    marker = marker or int(m) == 1
-        if not done and marker and _gapless(seqs):
-            yield frame(len(seqs), octets, True)
-            seqs, done = [], True  # remembered until the timeout, for late copies
-        state.update((seqs, octets, marker, done))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + timeout_ms)
-
-    return packets.withWatermark("arrival", late).groupBy("ssrc", "pt", "rtp_ts").applyInPandasWithState(hold, FRAME, "seqs array<int>, octets long, marker boolean, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    """One frame for each (ssrc, pt, rtp_ts): given as soon as its numbers, in order of arrival, have no hole and a marker came, or
+    incomplete once timeout_ms of event time have passed since its last packet. The first packet opens the frame; packets for a frame
+    that is complete are late copies until that time has passed."""
+    return in_order(packets, ("ssrc", "pt", "rtp_ts"), BufferProcessor(timeout_ms), FRAME, late)
 
 
 def archive(packets: DataFrame, folder: str, checkpoint: str, key: str = "stream_id"):
