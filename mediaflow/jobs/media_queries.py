@@ -266,11 +266,7 @@ def a12(spark, sf):
 UNION ALL SELECT compound_id, 202, NULL, NULL, NULL, 1 FROM c UNION ALL SELECT compound_id, CASE k WHEN 0 THEN 203 WHEN 1 THEN 204 WHEN 2 THEN 205 ELSE 206 END, NULL, NULL, CASE WHEN k >= 2 THEN ssrc + 2 END, NULL FROM c""", PACKETS + C.replace("{", "{{").replace("}", "}}"))
 def p1(spark, sf):
     """Every body decoded by what is registered for its type; descriptions by an added decoder that counts their chunks."""
-    before = dict(rtcp.DECODERS)
-    rtcp.register(202, lambda raw: F.struct(F.col("bc").alias("items")))
-    bodies = rtcp.decode_bodies(parts(spark, sf))
-    rtcp.DECODERS.clear()
-    rtcp.DECODERS.update(before)
+    bodies = rtcp.decode_bodies(parts(spark, sf), decoders={**rtcp.DECODERS, 202: lambda raw: F.struct(F.col("bc").alias("items"))})
     return bodies.select("compound_id", "rtcp_pt", F.col("body_200.packets").alias("sent_packets"), F.col("body_200.octets").alias("sent_octets"), F.coalesce("body_205.media_ssrc", "body_206.media_ssrc").alias("media_ssrc"), F.col("body_202.items").alias("items"))
 
 
@@ -297,6 +293,5 @@ def _halves(data: bytes) -> list[tuple]:
 @query("p2_format_registry", """ SELECT event_id, copy, 0 AS idx, hex(encode(left(props, length(props) // 2))) AS part FROM packets UNION ALL SELECT event_id, copy, 1, hex(encode(substr(props, length(props) // 2 + 1))) FROM packets""", PACKETS)
 def p2(spark, sf):
     """A payload format added to the registry, which cuts a payload in two."""
-    payloads.register("halves", _halves, "idx int, part binary")
     p = packets(spark, sf).select("event_id", "copy", F.encode("props", "UTF-8").alias("payload"))
-    return payloads.depacketize(p, "halves", keep=("event_id", "copy")).withColumn("part", F.hex("part"))
+    return payloads.depacketize(p, "halves", keep=("event_id", "copy"), formats={**payloads.FORMATS, "halves": (_halves, "idx int, part binary")}).withColumn("part", F.hex("part"))

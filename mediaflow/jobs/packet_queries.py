@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediaflow.functions.storage import written
 from mediaflow.operators import frames as fr
 from mediaflow.operators import reports, routing, rtp
 from mediaflow.operators import sequence as sq
@@ -281,6 +282,18 @@ def a10a(spark, sf):
     return counts.select("stream", (F.abs(F.col("sources") - F.col("exact")) <= 0.15 * F.col("exact")).alias("within_bound"))
 
 
+@query("a10_sketches", duck(""", i AS (SELECT ssrc % 10 AS stream, arrival_ms // 4960 AS bucket, count(DISTINCT ssrc) AS sources FROM packets GROUP BY 1, 2),
+m AS (SELECT ssrc % 10 AS stream, arrival_ms // 4960 // 12 AS bucket, count(DISTINCT ssrc) AS sources FROM packets GROUP BY 1, 2), a AS (SELECT ssrc % 10 AS stream, NULL AS bucket, count(DISTINCT ssrc) AS sources FROM packets GROUP BY 1)
+SELECT 'interval' AS level, * FROM i UNION ALL SELECT 'dozen', * FROM m UNION ALL SELECT 'all', * FROM a""", PACKETS))
+def a10s(spark, sf):
+    """Sources of each interval, of a dozen and of all, the longer ones from the written sketches of the shortest. Sketches of so few
+    sources as a stream has here hold them all, so the estimates are the exact counts."""
+    held = written(reports.source_sketches(packets(spark, sf).withColumn("stream", F.col("ssrc") % 10), 4960, ("stream",)))
+    levels = [("interval", held), ("dozen", reports.roll_up(held, "stream", F.floor(F.col("bucket") / 12).alias("bucket"))), ("all", reports.roll_up(held, "stream").withColumn("bucket", F.lit(None).cast("long")))]
+    one, two, three = (reports.estimated(x).select(F.lit(n).alias("level"), "stream", "bucket", "sources") for n, x in levels)
+    return one.unionByName(two).unionByName(three)
+
+
 # -- routing -----------------------------------------------------------------------------------------------------------
 ROUTED = """,
 ends AS (SELECT ssrc, max(session_id) AS s FROM (SELECT session_id, local_ssrc AS ssrc FROM contexts UNION ALL SELECT session_id, remote_ssrc FROM contexts) GROUP BY ssrc),

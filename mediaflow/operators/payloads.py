@@ -29,9 +29,11 @@ def register(name: str, walker: Callable[[bytes], list[tuple]], schema: str) ->
     FORMATS[name] = (walker, schema)
 
 
-def depacketize(df: DataFrame, name: str, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
-    if name in FORMATS:
-        return walk(df, *FORMATS[name], payload, keep)
+def depacketize(df: DataFrame, name: str, payload: str = "payload", keep: tuple[str, ...] = (), formats: dict | None = None) -> DataFrame:
+    """keep and the parts of each payload of a format: one of `formats` (the registered ones, unless given), or one of TOGETHER."""
+    found = FORMATS if formats is None else formats
+    if name in found:
+        return walk(df, *found[name], payload, keep)
     return walk_together(df, *TOGETHER[name], payload, keep)
 
 

@@ -96,6 +96,22 @@ def activity_counts(events: DataFrame, contexts: DataFrame, interval_ms: int, id
     return met.where("active > 0")
 
 
+def source_sketches(packets: DataFrame, interval_ms: int, keys: tuple[str, ...], source: str = "ssrc", lg_k: int = 12) -> DataFrame:
+    """keys, bucket, sketch: the sources of each interval as a mergeable sketch of bounded size (2^lg_k registers). Stored, they answer
+    for any longer time without the packets."""
+    return packets.groupBy(*keys, F.floor(F.col("arrival_ms") / interval_ms).alias("bucket")).agg(F.hll_sketch_agg(source, lg_k).alias("sketch"))
+
+
+def roll_up(sketches: DataFrame, *keys) -> DataFrame:
+    """keys (names or columns), sketch: the union of the sketches of each key; sources in several of them count once."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def estimated(sketches: DataFrame) -> DataFrame:
+    """sketches with `sources`, how many each stands for."""
+    return sketches.withColumn("sources", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
 def tumbling(packets: DataFrame, interval_ms: int = INTERVAL_MS, keys=KEYS) -> DataFrame:
     """Packets and octets of each interval (the batch form of the streaming reports)."""
     return packets.groupBy(*keys, F.floor(F.col("arrival_ms") / interval_ms).alias("bucket")).agg(F.count(F.lit(1)).alias("packets"), F.sum("payload_len").alias("octets"))

@@ -70,9 +70,10 @@ def register(pt: int, decoder: Callable[[str], Column]) -> None:
     DECODERS[pt] = decoder
 
 
-def decode_bodies(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """df with one struct column body_<pt> for each registered type, null in rows of other types."""
-    return df.withColumns({f"body_{pt}": F.when(F.col("rtcp_pt") == pt, decoder(raw)) for pt, decoder in DECODERS.items()})
+def decode_bodies(df: DataFrame, raw: str = "raw", decoders: dict[int, Callable[[str], Column]] | None = None) -> DataFrame:
+    """df with one struct column body_<pt> for each type of decoders (the registered ones, unless given), null in rows of other types."""
+    found = dict(DECODERS if decoders is None else decoders)
+    return df.withColumns({f"body_{pt}": F.when(F.col("rtcp_pt") == pt, decoder(raw)) for pt, decoder in found.items()})
 
 
 def description_items(df: DataFrame, keep: tuple[str, ...], raw: str = "raw") -> DataFrame:

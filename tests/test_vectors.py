@@ -261,3 +261,29 @@ def test_long_source_in_small_batches(spark):
         finally:
             spark.conf.set(key, before)
     assert found[0] == found[1] and len(found[0][0]) == 2500
+
+
+def test_malformed_texts_are_told_not_fatal(spark):
+    """Numbers that are none or too large, and names that are there twice: nulls with reasons."""
+    text = "v=x\r\no=- 0xAB 18446744073709551615 IN IP4 h\r\ns=n\r\nt=now 99999999999999999999\r\nm=audio any RTP/AVP 0 99999999999\r\nc=IN IP4 h/x\r\nb=AS:12345678901234567890\r\na=rtpmap:0 X/8k\r\na=rtpmap:99999999999 Y/8000\r\na=fmtp:0 a=1;a=2;b\r\nr=99999999999999999999d 1h"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "session_key int, sdp string")
+    s = sdp.sessions(df, problems="problems").collect()
+    assert [(r.version, r.origin_id, r.origin_version, r.start, r.stop, r.problems) for r in s] == [(None, None, None, None, None, ["version", "origin_id", "origin_version", "start", "stop"])]
+    m = sdp.media(df, problems="problems")
+    one_ = m.select("port", "pts", "problems", sdp.connection(F.col("connection")).alias("c")).first()
+    assert (one_.port, one_.pts, one_.problems, one_.c.ttl, one_.c.host) == (None, [0], ["port"], None, "h")
+    a = [(r.name, r.pt, r.clock_rate, r.params, r.problems) for r in sdp.attributes(m, problems="problems").orderBy("idx").collect()]
+    assert a == [("rtpmap", 0, None, None, ["clock_rate"]), ("rtpmap", None, 8000, None, ["pt"]), ("fmtp", 0, None, {"a": "2", "b": None}, [])]
+    assert sdp.bandwidth(m).first().AS is None
+    r = spark.range(1).select(sdp.repeat_times(F.lit("99999999999999999999d 1h 0")).alias("r"), sdp.duration(F.lit("9223372036854775807d")).alias("d")).first()
+    assert (r.r.interval, r.r.length, r.d) == (0, 3600, 0)
+    raw = "PLAY rtsp://h RTSP/1.0\r\nCSeq: 99999999999\r\nSession: a;timeout=99999999999\r\nTransport: RTP/AVP;client_port=99999999999;ssrc=1;ssrc=2\r\nTimestamp: 1.2.3\r\nRTP-Info: url=u;seq=12345678901234567890;ssrc=123456789ab\r\n\r\n"
+    p = messages.parse(spark.createDataFrame([(raw,), ("",), (None,)], "raw string"))
+    h = messages.header
+    got = p.select(messages.cseq().alias("cseq"), messages.session(h("session")).alias("s"), messages.transport(h("transport")).alias("t"), messages.timestamp_delay(h("timestamp")).alias("at"), messages.rtp_info(h("rtp-info")).alias("i"), messages.header_problems().alias("problems")).collect()
+    assert (got[0].cseq, got[0].s.timeout, got[0].t.client_low, got[0].t.ssrc, got[0]["at"]["at"], got[0].i[0].seq, got[0].i[0].ssrc) == (None, 60, None, 2, None, None, None)
+    assert got[0].problems == ["cseq", "session", "timestamp", "transport", "rtp-info"] and got[1].problems == []
+    lines = spark.createDataFrame([("1.5 RTP len=99999999999 from=h seq=99999999999 ts=x ssrc=0x1",), ("99999999999999999999.5 RTP seq=1",)], "value string")
+    told = capture.parse_text(lines, problems="problems").collect()
+    assert [(r.seq, r.rtp_ts, r.problems) for r in told] == [(None, None, ["length", "seq", "rtp_ts"]), (1, None, ["arrival_ms"])]
+    assert capture.parse_short(spark.createDataFrame([("1.5 7 99999999999",)], "value string")).first().seq is None
