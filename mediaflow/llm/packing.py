@@ -1,7 +1,7 @@
 """Packing by the dot-product heuristic of vector bin packing.
 
 A piece of a document weighs (tokens, 1 segment, loss-bearing tokens); a sequence holds at most `max_tokens`,
-`max_segments` and `max_loss` of them. Which tokens bear loss a column says (`loss`): how many of the text's last tokens, the
+`max_segments` and `max_loss` of them. Without `max_segments` (None) only the tokens bound the segments. Which tokens bear loss a column says (`loss`): how many of the text's last tokens, the
 end id among them; null or no column means all. The open sequence takes, among the waiting pieces that fit, the one whose weight has
 the largest dot product with the room that is left, all as parts of the limits. When none fits and more than `slack` tokens
 of room are left, the longest waiting piece is cut to fill it (`cut=False` forbids that, and then a longer document alone is
@@ -11,7 +11,9 @@ which need no padding.
 Each task packs the rows of its own partition and hands on finished sequences, holding at most `window` tokens: nothing is
 shuffled, and a task that runs again over the same rows gives the same sequences. Read the documents from stored files, or
 order them within partitions, where that must hold. `sequence_id` is the partition's number times 2^32 plus a count. Null
-texts are empty documents: one piece that holds the end id alone. Repeated ids are packed as documents of their own.
+texts are empty documents: one piece that holds the end id alone. Repeated ids are packed as documents of their own; equal weights
+are taken in the order in which they came, last first. An empty table gives no rows. The result has the key's column and its own,
+no other of docs.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ MAX_TOKENS, END_ID = 4096, 2
 class Packer:
     """Packs pieces (row, start, length, loss) that arrive in any order. take() yields (sequence, [pieces])."""
 
-    def __init__(self, max_tokens=MAX_TOKENS, max_segments=128, max_loss=MAX_TOKENS, cut=True, slack=4):
-        self.limits = np.array([max_tokens, max_segments, max_loss], float)
+    def __init__(self, max_tokens=MAX_TOKENS, max_segments=None, max_loss=MAX_TOKENS, cut=True, slack=4):
+        self.limits = np.array([max_tokens, max_segments or max_tokens, max_loss], float)  # a segment has a token at least
         self.cut, self.slack = cut, slack
         self.kinds: dict[tuple[int, int], list] = {}  # (tokens, loss) → waiting pieces
         self.order: list[tuple[int, int]] = []
@@ -121,7 +123,7 @@ def binary_runs(pieces: list[tuple]) -> list[list[tuple]]:
     return runs
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, max_segments: int = 128, max_loss: int = MAX_TOKENS, end_id: int = END_ID, window: int = 6_000_000, cut: bool = True, slack: int = 4, with_ids: bool = False, loss: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, max_segments: int | None = None, max_loss: int = MAX_TOKENS, end_id: int = END_ID, window: int = 6_000_000, cut: bool = True, slack: int = 4, with_ids: bool = False, loss: str | None = None) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset (and `ids`, packed)."""
     fields = [("start", T.LongType(), pa.int64()), ("length", T.LongType(), pa.int64()), ("ids_crc32", T.LongType(), pa.int64()), ("doc_tokens", T.LongType(), pa.int64()), ("loss_tokens", T.LongType(), pa.int64()), ("sequence_id", T.LongType(), pa.int64()), ("offset", T.LongType(), pa.int64())]
     if with_ids:

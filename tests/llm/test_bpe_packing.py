@@ -119,3 +119,33 @@ def test_query_digests(spark, reference):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(reference.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_many_tiny_texts_leave_no_room(spark):
+    docs = spark.createDataFrame([(i, "the of") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    lengths = {}
+    for r in packing.pack(docs, bpe.tokenizer_path()).collect():
+        lengths[r.sequence_id] = lengths.get(r.sequence_id, 0) + r.length
+    assert sum(lengths.values()) == 9000
+    assert all(n >= 4092 or n & (n - 1) == 0 for n in lengths.values())
+
+
+def test_three_limits_on_instruction_data(spark):
+    """Conversations with their replies as loss: each of the limits binds somewhere, and none is broken."""
+    from pyspark.sql import functions as F
+
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"), F.max_by("text", "turn").alias("reply"))
+    size = {r.conv_id: len(r.ids) // 4 for r in bpe.encode(whole.select("conv_id", F.col("reply").alias("text")), bpe.tokenizer_path(), keep=("conv_id",)).collect()}
+    data = [(r.conv_id, r.text, size[r.conv_id] + 1) for r in whole.collect()] + [(-i, "a", 1) for i in range(1, 60)]
+    docs = spark.createDataFrame(data, "conv_id long, text string, reply_tokens int").coalesce(1)
+    most = {"length": 1024, "segments": 9, "loss_tokens": 300}
+    held = {}
+    for r in packing.pack(docs, bpe.tokenizer_path(), key="conv_id", max_tokens=1024, max_segments=9, max_loss=300, loss="reply_tokens").collect():
+        own = held.setdefault(r.sequence_id, dict.fromkeys(most, 0))
+        own["length"] += r.length
+        own["segments"] += 1
+        own["loss_tokens"] += r.loss_tokens
+    assert all(own[k] <= most[k] for own in held.values() for k in most)
+    assert all(any(own[k] >= 0.97 * most[k] for own in held.values()) for k in most)
+    assert sum(own["loss_tokens"] for own in held.values()) == sum(n for _, _, n in data)
