@@ -1,6 +1,7 @@
 """SpotSigs fingerprints, in DataFrame functions alone.
 
-Common words are anchors, and so is the start of a text. An anchor's signature is the anchor with the chain of the first
+Common words are anchors, and so are the start of a text and every place after `STRETCH` words in a row that aren't, so that texts
+of any language have signatures from their start to their end. An anchor's signature is the anchor with the chain of the first
 `CHAIN` other words after it (looked for up to the third anchor from there). A text's fingerprint is the set of its
 signatures, written as sorted 8-digit hashes with spaces between; likeness is the Jaccard likeness of two such sets.
 
@@ -9,7 +10,7 @@ much can't be alike), and within neighbouring partitions meet through their rare
 any alike pair must share), before the exact comparison.
 
 Words are runs of letters and digits, in lower case. Null and empty texts have the empty fingerprint; two empty
-fingerprints are alike (1). A text without anchors still has the signature of its start. Repeated rows get equal results;
+fingerprints are alike (1). Repeated rows get equal results;
 for the next document, rows with one id follow each other by text.
 """
 
@@ -25,6 +26,8 @@ from pyspark.sql.window import Window
 from mediaflow.llm.common import documents
 
 CHAIN = 3
+#: Words in a row without an anchor after which one is set.
+STRETCH = 8
 #: Common words of four languages.
 ANCHORS = (
     "the a an and of to in is that it for on as with was be at by this are from or not "  # English
@@ -39,6 +42,7 @@ def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -
     bare = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     mark = lambda w: F.when(w.isin(*anchors), F.concat(F.lit("\x01"), w, F.lit("\x02"))).otherwise(F.concat(F.lit(" "), w, F.lit(" ")))
     marked = F.concat(F.lit("\x02"), F.array_join(F.transform(F.split(bare, " "), mark), ""))
+    marked = F.regexp_replace(marked, f"((?: [^ \x01\x02]+ ){{{STRETCH}}})", "$1\x01\x02")
     spots = F.array_distinct(_spots(F.split(marked, "\x01"), chain))
     number = lambda s: (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") - F.lit(1 << 31)).cast("int")
     return F.sort_array(F.array_distinct(F.transform(F.filter(spots, lambda s: ~F.endswith(s, F.lit(" "))), number)))
@@ -148,9 +152,9 @@ e AS (
   FROM d a JOIN d b ON b.r = a.r % a.c + 1),
 x AS (SELECT r, 0 AS k, text AS t FROM e UNION ALL SELECT r, 1, edited FROM e),
 p AS (
-  SELECT r, k, string_split(chr(2) || array_to_string(list_transform(
+  SELECT r, k, string_split(regexp_replace(chr(2) || array_to_string(list_transform(
            string_split(trim(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), ' '),
-           lambda w: CASE WHEN w IN ({_LIST}) THEN chr(1) || w || chr(2) ELSE ' ' || w || ' ' END), ''), chr(1)) AS ps FROM x),
+           lambda w: CASE WHEN w IN ({_LIST}) THEN chr(1) || w || chr(2) ELSE ' ' || w || ' ' END), ''), '((?: [^ \x01\x02]+ ){{{STRETCH}}})', '\1' || chr(1) || chr(2), 'g'), chr(1)) AS ps FROM x),
 b AS (SELECT r, k, ps, list_transform(ps, lambda q: string_split(q, chr(2))) AS qs FROM p),
 s AS (
   SELECT r, k, unnest(list_transform(range(1, len(qs) + 1), lambda i: {{

@@ -283,3 +283,13 @@ def test_two_lexicons_on_one_host(tmp_path, monkeypatch):
     other = bpe.mapped(two)
     again = bpe.mapped(one)  # the other one has removed its file
     assert [x.lookup(pa.array(["one", "two"])).tolist() for x in (held, other, again)] == [[0, -1], [-1, 0], [0, -1]]
+
+
+def test_every_stretch_of_a_text_counts_for_its_signatures(spark):
+    """Texts without one of the fixed anchor words: a change in any eighth of one changes its fingerprint."""
+    own = [f"zz{w}" for w in words(11, 400)]
+    texts = [" ".join(own)] + [" ".join(own[:i] + [f"yy{w}" for w in words(i, 50)] + own[i + 50 :]) for i in range(0, 400, 50)] + [" ".join(own[:3]) + " " + " ".join(f"xx{w}" for w in words(5, 500))]
+    got = [r.f for r in spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(1).sortWithinPartitions("i").select(spotsigs.fingerprint(F.col("text")).alias("f")).collect()]
+    assert len(set(got)) == len(texts) and all(len(f.split()) >= 45 for f in got)
+    alike = [len(set(got[0].split()) & set(f.split())) / len(set(got[0].split()) | set(f.split())) for f in got[1:]]
+    assert all(0.7 < x < 1 for x in alike[:-1]) and alike[-1] < 0.1
