@@ -17,7 +17,7 @@ new column's name is replaced.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import numpy as np
 import pyarrow as pa
@@ -90,9 +90,9 @@ class FuzzyLexicon:
             return closed(items)
 
         start = closed([(0, 0)])
-        number, queue, self.accept, rows = {start: 0}, [start], [], []
+        number, queue, self.accept, rows = {start: 0}, deque([start]), [], []
         while queue:
-            state = queue.pop(0)
+            state = queue.popleft()
             hit = min(((e, ends[n]) for n, e in state if n in ends), default=None)
             self.accept.append(-1 if hit is None else hit[1] * (edits + 1) + hit[0])
 
@@ -147,9 +147,9 @@ class Scorer:
 
     NAMES = 7
 
-    def __init__(self, terms: dict[str, float], own: dict[str, float], weights: np.ndarray | None = None):
-        self.terms, self.own, self.weights = terms, own, weights
-        self.lexicon = FuzzyLexicon(list(terms)) if terms else None
+    def __init__(self, terms: dict[str, float], own: dict[str, float], lexicon: FuzzyLexicon | None = None):
+        self.terms, self.own, self.weights = terms, own, None
+        self.lexicon = lexicon or (FuzzyLexicon(list(terms)) if terms else None)
         self.values = np.array(list(terms.values()))
 
     def hits(self, texts: pa.Array) -> list[tuple[int, str, float, bool, bool]]:
@@ -254,27 +254,26 @@ def train(labelled: DataFrame, key: str = "doc_id", most_rows: int = MOST_ROWS)
         drop_cut(counts)
         return Scorer({}, {})
     # words within reach of a term, with weights of their own: at most the terms' neighbours, which the alphabet bounds
-    probe = labelled.sparkSession.sparkContext.broadcast(terms)
+    lexicon = FuzzyLexicon(list(terms))  # compiled once; tasks get its tables
+    probe = labelled.sparkSession.sparkContext.broadcast(lexicon)
 
     def within(batches):
-        lexicon = FuzzyLexicon(list(probe.value))
         for batch in batches:
             words = batch.column("word")
-            term, _ = lexicon.match(pa.concat_arrays([words]) if words.offset else words)
+            term, _ = probe.value.match(pa.concat_arrays([words]) if words.offset else words)
             yield batch.filter(pa.array(term >= 0))
 
     near = counts.where(a + b >= 3).select("word", lean.alias("lean")).mapInArrow(within, "word string, lean double").collect()
     own = {r.word: r.lean if r.word in terms else min(r.lean, 4.0) for r in near}
     drop_cut(counts)
-    scorer = Scorer(terms, own)
+    scorer = Scorer(terms, own, lexicon)
     ids = labelled.select(key).distinct().orderBy(F.xxhash64(key), key).limit(most_rows)
-    shared = labelled.sparkSession.sparkContext.broadcast((terms, own))
+    shared = labelled.sparkSession.sparkContext.broadcast(scorer)
 
     def measure(batches):
-        worker = Scorer(*shared.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                x = worker.features(part.column("text"))
+                x = shared.value.features(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column(key), part.column("toxic").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), Scorer.NAMES).cast(pa.list_(pa.float64()))], [key, "toxic", "x"])
 
     schema = T.StructType([labelled.schema[key], *T._parse_datatype_string("toxic int, x array<double>").fields])
@@ -289,13 +288,13 @@ def train(labelled: DataFrame, key: str = "doc_id", most_rows: int = MOST_ROWS)
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text", column: str = "score", spans: bool = False) -> DataFrame:
     """docs with `column`, and with `spans` also `hits`: (word, weight, misspelled, quoted) of each."""
-    shared = docs.sparkSession.sparkContext.broadcast((scorer.terms, scorer.own, scorer.weights))
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
     docs = without(docs, column, *(["hits"] if spans else []))
     columns = docs.columns
     hit = pa.struct([("word", pa.string()), ("weight", pa.float64()), ("misspelled", pa.bool_()), ("quoted", pa.bool_())])
 
     def run(batches):
-        worker = Scorer(*shared.value)
+        worker = shared.value
         for batch in batches:
             for part in slices(batch, text):
                 texts = part.column(text)
