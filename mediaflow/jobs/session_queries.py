@@ -138,6 +138,36 @@ def f6(spark, sf):
     return s.where(sdp.playable(F.col("start"), F.col("stop"), F.lit(3000300000))).select("session_key")
 
 
+@query("x1_written", """, t AS (SELECT k, i, 'm=' || media || ' ' || port || CASE WHEN n_ports > 1 THEN '/2' ELSE '' END || ' RTP/AVP ' || pt || ' 101' || e || CASE WHEN p % 2 = 0 THEN 'c=IN IP4 10.1.1.' || (s % 256) || e ELSE '' END || 'b=AS:' || (p % 1000) || e || 'b=RR:' || s || e ||
+    'a=rtpmap:' || pt || ' ' || enc || '/' || clock || CASE WHEN pt = 98 THEN '/2' ELSE '' END || e || 'a=fmtp:' || pt || ' mode=' || (p % 7) || ';rate=' || s || e || 'a=control:' || CASE WHEN p % 5 = 0 THEN 'rtsp://abs/x' ELSE 'track' || i END || e || 'a=sendrecv' || e AS x FROM m, (SELECT chr(13) || chr(10) AS e)),
+  b AS (SELECT k, string_agg(x, '' ORDER BY i) AS x FROM t GROUP BY k)
+SELECT k AS session_key, md5('v=0' || e || 'o=user' || c || ' ' || k || ' ' || (k + CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END) || ' IN IP4 10.0.' || (c % 256) || '.1' || e || 's=Order ' || k || e || 'c=IN IP4 232.0.' || (c % 256) || '.1/127/3' || e || 't=' || start || ' ' || stop || e || 'a=control:*' || e || coalesce(x, '') ||
+  CASE WHEN k % 3 = 0 THEN 'm=text 9 RTP/AVP 98' || e || 'a=rtpmap:98 t140/1000' || e ELSE '' END) AS digest FROM o LEFT JOIN b USING (k), (SELECT chr(13) || chr(10) AS e)""", MEDIA)
+def x1_written(spark, sf):
+    """Descriptions read into rows and written again; every third gets one more media section and with it a new version."""
+    d = descriptions(spark, sf)
+    s, m = sdp.sessions(d), sdp.media(d)
+    third = F.col("session_key") % 3 == 0
+    new = s.where(third).select("session_key", F.col("n_media").alias("media_idx"))
+    own = m.withColumn("bandwidth", F.transform(F.filter("lines", lambda x: F.startswith(x, F.lit("b="))), lambda x: F.substr(x, F.lit(3))))
+    more = new.select("session_key", "media_idx", F.lit("text").alias("media"), F.lit(9).alias("port"), F.lit(1).alias("n_ports"), F.lit("RTP/AVP").alias("proto"), F.array(F.lit(98)).alias("pts"), F.lit(None).cast("string").alias("connection"), F.lit(None).cast("array<string>").alias("bandwidth"))
+    a = sdp.attributes(m).select("session_key", "media_idx", "idx", "name", "value").unionByName(sdp.session_attributes(d).withColumn("media_idx", F.lit(None).cast("int"))).unionByName(new.select("session_key", "media_idx", F.lit(0).alias("idx"), F.lit("rtpmap").alias("name"), F.lit("98 t140/1000").alias("value")))
+    out = sdp.write(sdp.changed(s, third), own.select(*more.columns).unionByName(more), a)
+    return out.select("session_key", F.md5("sdp").alias("digest"))
+
+
+@query("x3_negotiation", """, a AS (SELECT k, i, 0 AS idx, CASE WHEN p % 4 = 0 THEN NULL ELSE pt END AS feedback_pt, 'nack' AS feedback, CASE WHEN p % 3 = 0 THEN 'pli' END AS feedback_parameter, NULL::BIGINT AS priority, NULL::VARCHAR AS candidate_address, NULL::VARCHAR AS candidate_kind, NULL::INT AS related_port, NULL::VARCHAR AS ice_user FROM m
+UNION ALL SELECT k, i, 1, NULL, NULL, NULL, 1694498815 + s, '192.0.2.3', CASE WHEN p % 2 = 0 THEN 'srflx' ELSE 'host' END, CASE WHEN p % 2 = 0 THEN port END, NULL FROM m
+UNION ALL SELECT k, i, 2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'u' || s FROM m)
+SELECT k AS session_key, CAST(i AS INT) AS media_idx, idx, feedback_pt, feedback, feedback_parameter, priority, candidate_address, candidate_kind, related_port, ice_user FROM a WHERE k IN (SELECT k FROM o)""", MEDIA)
+def x3_negotiated(spark, sf):
+    """Feedback and connectivity attributes of every media section."""
+    text = SDP.replace("a=sendrecv\\r\\n'", "a=rtcp-fb:', CASE WHEN p % 4 = 0 THEN '*' ELSE pt END, ' nack', CASE WHEN p % 3 = 0 THEN ' pli' ELSE '' END, '\\r\\na=candidate:2 1 UDP ', 1694498815 + s, ' 192.0.2.3 45664 typ ', CASE WHEN p % 2 = 0 THEN concat('srflx raddr 10.0.1.1 rport ', port) ELSE 'host' END, '\\r\\na=ice-ufrag:u', s, '\\r\\n'")
+    a = sdp.attributes(sdp.media(sql(spark, sf, f"WITH {MEDIA} {text}", "lineitem", "orders"))).where("name IN ('rtcp-fb', 'candidate', 'ice-ufrag')")
+    f = sdp.negotiation_fields(a)
+    return f.select("session_key", "media_idx", (F.col("idx") - 3).alias("idx"), "feedback_pt", "feedback", "feedback_parameter", "priority", "candidate_address", "candidate_kind", "related_port", "ice_user")
+
+
 # -- messages ----------------------------------------------------------------------------------------------------------
 #: Turn pairs of conversations are requests and responses; some responses are missing, some numbers step back.
 MESSAGES = """

@@ -105,6 +105,53 @@ def attribute_fields(rows: DataFrame) -> DataFrame:
     })
 
 
+CANDIDATE = r"^(\S+) (\d+) (\S+) (\d+) (\S+) (\d+) typ (\S+)(?: raddr (\S+))?(?: rport (\d+))?"
+
+
+def negotiation_fields(rows: DataFrame) -> DataFrame:
+    """Rows with name and value, with the fields of feedback attributes (rtcp-fb: the payload type, null for all of them, what is sent
+    and its parameter) and of connectivity ones (candidate: foundation, component, transport, priority, address, port, kind, and what
+    it relates to; ice-ufrag and ice-pwd). A field is null where the attribute is another one or its value doesn't have the form."""
+    of = lambda name, x: F.when(F.col("name") == name, x)
+    part = lambda pattern, i: F.nullif(F.regexp_extract("value", pattern, i), F.lit(""))
+    feedback = r"^(\d+|\*) (\S+)(?: (.*))?$"
+    own = lambda i, kind="string": of("candidate", part(CANDIDATE, i).try_cast(kind))
+    return rows.withColumns({
+        "feedback_pt": of("rtcp-fb", part(feedback, 1).try_cast("int")), "feedback": of("rtcp-fb", part(feedback, 2)), "feedback_parameter": of("rtcp-fb", part(feedback, 3)),
+        "foundation": own(1), "component": own(2, "int"), "transport": own(3), "priority": own(4, "long"), "candidate_address": own(5), "candidate_port": own(6, "int"), "candidate_kind": own(7), "related_address": own(8), "related_port": own(9, "int"),
+        "ice_user": of("ice-ufrag", F.col("value")), "ice_password": of("ice-pwd", F.col("value")),
+    })
+
+
+def changed(session_rows: DataFrame, which: Column, by: int = 1) -> DataFrame:
+    """session_rows in which the version of those that `which` holds for has gone up, as it must when a description changes."""
+    return session_rows.withColumn("origin_version", F.when(which, F.col("origin_version") + by).otherwise(F.col("origin_version")))
+
+
+def write(session_rows: DataFrame, media_rows: DataFrame, attribute_rows: DataFrame, key: str = "session_key") -> DataFrame:
+    """key, sdp: the descriptions of rows as sessions(), media() and attributes() give them, lines ended by \\r\\n. Media sections are in
+    the order of media_idx and hold their own lines alone: a connection that isn't the session's, `bandwidth` (an array of texts such as
+    `AS:64`, if there is such a column), and attributes (rows of a null media_idx are the session's) in the order of idx."""
+    end = "\r\n"
+    line = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts), F.lit(end))
+    text = lambda c: F.col(c).cast("string")
+    attribute = line("a=", F.col("name"), F.coalesce(F.concat(F.lit(":"), F.col("value")), F.lit("")))
+    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(c, "line"))), lambda x: x["line"]), "")
+    attributes_ = attribute_rows.select(key, "media_idx", "idx", attribute.alias("line"))
+    of_media = attributes_.where("media_idx IS NOT NULL").groupBy(key, "media_idx").agg(in_order("idx").alias("own_lines"))
+    of_session = attributes_.where("media_idx IS NULL").groupBy(key).agg(in_order("idx").alias("session_lines"))
+    ports = F.concat(text("port"), F.when(F.col("n_ports") > 1, F.concat(F.lit("/"), text("n_ports"))).otherwise(""))
+    more = F.array_join(F.transform("bandwidth", lambda b: F.concat(F.lit("b="), b, F.lit(end))), "") if "bandwidth" in media_rows.columns else F.lit("")
+    head = line("m=", F.col("media"), " ", ports, " ", F.col("proto"), " ", F.array_join(F.transform("pts", lambda x: x.cast("string")), " "))
+    shared = session_rows.select(key, F.col("connection").alias("shared"))
+    place = F.when(F.col("connection").isNotNull() & ~F.col("connection").eqNullSafe(F.col("shared")), line("c=", F.col("connection"))).otherwise("")
+    sections = media_rows.join(shared, key).join(of_media, [key, "media_idx"], "left").select(key, "media_idx", F.concat(head, place, F.coalesce(more, F.lit("")), F.coalesce("own_lines", F.lit(""))).alias("line"))
+    bodies = sections.groupBy(key).agg(in_order("media_idx").alias("body"))
+    optional = lambda mark, c: F.coalesce(line(mark, F.col(c)), F.lit(""))
+    top = F.concat(line("v=", text("version")), line("o=", F.concat_ws(" ", "user", text("origin_id"), text("origin_version"), "net", "address_type", "address")), line("s=", F.coalesce("name", F.lit(" "))), optional("c=", "connection"), line("t=", text("start"), " ", text("stop")))
+    return session_rows.join(of_session, key, "left").join(bodies, key, "left").select(key, F.concat(top, F.coalesce("session_lines", F.lit("")), F.coalesce("body", F.lit(""))).alias("sdp"))
+
+
 def directions(media_rows: DataFrame, key: str = "session_key") -> DataFrame:
     """key, media_idx, direction: the section's last own one, else the session's, else both ways."""
     last = lambda of: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(F.transform(of, lambda x: F.substr(x, F.lit(3))), lambda x: x.isin(*DIRECTIONS))), -1)
