@@ -162,7 +162,7 @@ UNION ALL SELECT k, i, 2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'u' || s FRO
 SELECT k AS session_key, CAST(i AS INT) AS media_idx, idx, feedback_pt, feedback, feedback_parameter, priority, candidate_address, candidate_kind, related_port, ice_user FROM a WHERE k IN (SELECT k FROM o)""", MEDIA)
 def x3_negotiated(spark, sf):
     """Feedback and connectivity attributes of every media section."""
-    text = SDP.replace("a=sendrecv\\r\\n'", "a=rtcp-fb:', CASE WHEN p % 4 = 0 THEN '*' ELSE pt END, ' nack', CASE WHEN p % 3 = 0 THEN ' pli' ELSE '' END, '\\r\\na=candidate:2 1 UDP ', 1694498815 + s, ' 192.0.2.3 45664 typ ', CASE WHEN p % 2 = 0 THEN concat('srflx raddr 10.0.1.1 rport ', port) ELSE 'host' END, '\\r\\na=ice-ufrag:u', s, '\\r\\n'")
+    text = SDP.replace("a=sendrecv\\r\\n'", "a=rtcp-fb:', CASE WHEN p % 4 = 0 THEN '*' ELSE CAST(pt AS STRING) END, ' nack', CASE WHEN p % 3 = 0 THEN ' pli' ELSE '' END, '\\r\\na=candidate:2 1 UDP ', 1694498815 + s, ' 192.0.2.3 45664 typ ', CASE WHEN p % 2 = 0 THEN concat('srflx raddr 10.0.1.1 rport ', port) ELSE 'host' END, '\\r\\na=ice-ufrag:u', s, '\\r\\n'")
     a = sdp.attributes(sdp.media(sql(spark, sf, f"WITH {MEDIA} {text}", "lineitem", "orders"))).where("name IN ('rtcp-fb', 'candidate', 'ice-ufrag')")
     f = sdp.negotiation_fields(a)
     return f.select("session_key", "media_idx", (F.col("idx") - 3).alias("idx"), "feedback_pt", "feedback", "feedback_parameter", "priority", "candidate_address", "candidate_kind", "related_port", "ice_user")

@@ -95,19 +95,22 @@ STATE = "accepted boolean, probation int, max_seq int, bad_seq int, cycles long"
 
 def along_sources(df: DataFrame, columns: list[str], keys, order, made: str, open_, step) -> DataFrame:
     """`columns` of df with the columns `made` (DDL): step(held, batch) gives them for a run of rows of one source, where `held` is
-    what open_() made at the source's first row. A source's rows come in order, and only one batch and `held` are in memory."""
+    what open_() made at the source's first row. A source's rows come in order, and only one batch and `held` are in memory; the
+    runs of a batch are put together again, so that many short sources don't make many small batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, held = None, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
             starts = [i for i, n in enumerate(names) if i == 0 or n != names[i - 1]]
+            runs = []
             for a, b in zip(starts, [*starts[1:], len(names)], strict=True):
                 if held is None or names[a] != source:
                     source, held = names[a], open_()
-                part = batch.slice(a, b - a)
-                out = pa.Table.from_batches([part]).select(columns).to_batches()[0]
-                yield pa.RecordBatch.from_arrays([*out.columns, *step(held, part)], [*columns, *added.fieldNames()])
+                runs.append(step(held, batch.slice(a, b - a)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.concat_arrays(c) for c in zip(*runs, strict=True))], [*columns, *added.fieldNames()])
 
     added = T._parse_datatype_string(made)
     schema = T.StructType([*(df.schema[c] for c in columns), *added.fields])
