@@ -89,3 +89,37 @@ def test_edge_rows(spark, rows):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
     assert pu.score(docs, pu.train(docs, labels)).count() == len(rows)
     assert toxicity.score(docs, toxicity.train(docs.join(labels, "doc_id")), spans=True).count() == len(rows)
+
+
+def plain_risk(w, xp, xu, prior, ridge=1e-3):
+    """The unbiased risk of the logistic loss, sample by sample, and its negative part (what unlabelled rows show of negatives)."""
+    import math
+
+    loss = lambda x, sign: math.log1p(math.exp(-sign * sum(a * b for a, b in zip(x, w, strict=True))))
+    mean = lambda rows, sign: sum(loss(x, sign) for x in rows) / len(rows)
+    negative = mean(xu, -1) - prior * mean(xp, -1)
+    return prior * mean(xp, 1) + negative + ridge / 2 * sum(v * v for v in w), negative
+
+
+def test_weights_minimise_the_risk():
+    """Against the risk written out: no slope is left at the fitted weights, no neighbour is better, and the negative part isn't below zero."""
+    rng = np.random.default_rng(3)
+    for prior in (0.3, 0.6):
+        one = np.ones((1, 1))
+        positive = lambda n: np.concatenate([rng.normal([1, 0.5], 1, (n, 2)), one.repeat(n, 0)], 1)
+        xp, xn = positive(150), np.concatenate([rng.normal([-1, -0.5], 1, (200, 2)), one.repeat(200, 0)], 1)
+        xu = np.concatenate([positive(int(200 * prior / (1 - prior))), xn])
+        prior = 0.7 * prior  # well below the share, so that the negative part stays above zero
+        w = pu.fit_nnpu(xp, xu, prior, steps=1500)
+        risk, negative = plain_risk(w, xp.tolist(), xu.tolist(), prior)
+        assert negative >= 0
+        for k in range(3):
+            step = np.eye(3)[k] * 1e-4
+            slope = (plain_risk(w + step, xp.tolist(), xu.tolist(), prior)[0] - plain_risk(w - step, xp.tolist(), xu.tolist(), prior)[0]) / 2e-4
+            assert abs(slope) < 0.03  # the steps of the descent stay of one size
+        for _ in range(20):
+            assert plain_risk(w + rng.normal(0, 0.2, 3), xp.tolist(), xu.tolist(), prior)[0] >= risk - 1e-3
+    # few rows told apart by many features: the unbiased risk alone would fall without bound, the non-negative one doesn't
+    xp, xu = rng.normal(0, 1, (6, 40)), rng.normal(0, 1, (8, 40))
+    w = pu.fit_nnpu(xp, xu, 0.7, steps=400)
+    assert np.isfinite(w).all() and plain_risk(w, xp.tolist(), xu.tolist(), 0.7)[1] > -0.5
