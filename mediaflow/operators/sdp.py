@@ -70,13 +70,17 @@ def attributes(media_rows: DataFrame, key: str = "session_key", problems: str |
     name = F.substring_index("a", ":", 1)
     val = F.when(F.instr("a", ":") > 0, F.substr("a", F.instr("a", ":") + 1))
     rows = a.select(key, "media_idx", "idx", name.alias("name"), val.alias("value"))
-    mapped = F.col("name") == "rtpmap"
+    # a column of its own, so that it is read once for all that use it
+    rest = F.when(F.col("name").isin("rtpmap", "fmtp"), F.regexp_extract("value", r"^\d+ (.*)$", 1))
+    read = rows.withColumn("__rest__", rest)
     pt_text = F.when(F.col("name").isin("rtpmap", "fmtp"), F.substring_index("value", " ", 1))
     pt = F.when(F.col("name").isin("rtpmap", "fmtp"), F.regexp_extract("value", r"^(\d+)", 1).try_cast("int"))
-    rest = F.regexp_extract("value", r"^\d+ (.*)$", 1)
-    params = F.when(F.col("name") == "fmtp", parameters(F.regexp_replace(rest, "; *", ";")))
-    piece = lambda i: F.when(mapped, F.nullif(F.split_part(rest, F.lit("/"), F.lit(i)), F.lit("")))
-    return rows.withColumns({"pt": pt, "encoding": piece(1), "clock_rate": piece(2).try_cast("int"), "encoding_params": piece(3), "params": params} | ({problems: unread(pt=(pt_text, pt), clock_rate=(piece(2), piece(2).try_cast("int")))} if problems else {}))
+    params = F.when(F.col("name") == "fmtp", parameters(F.regexp_replace("__rest__", "; *", ";")))
+    piece = lambda i: F.when(F.col("name") == "rtpmap", F.nullif(F.split_part("__rest__", F.lit("/"), F.lit(i)), F.lit("")))
+    columns = {"pt": pt, "encoding": piece(1), "clock_rate": piece(2).try_cast("int"), "encoding_params": piece(3), "params": params}
+    if problems:
+        columns[problems] = unread(pt=(pt_text, pt), clock_rate=(piece(2), piece(2).try_cast("int")))
+    return read.withColumns(columns).drop("__rest__")
 
 
 def session_attributes(df: DataFrame, key: str = "session_key", text: str = "sdp") -> DataFrame:
