@@ -8,7 +8,9 @@ the lexicon are merged by the tokenizer's own merge rules (merges.py), so the id
 
 A text's words are what ASCII white space separates. The tokenizer must never merge across white space, which holds for
 tokenizers that drop it. Null and empty texts have no ids; a null id column decodes to the empty text. Other columns
-aren't touched: `keep` names those to carry along.
+aren't touched: `keep` names those to carry along. Rows are independent, so repeated rows get the same ids; words that are
+equally frequent go into the lexicon together or stay out together; an empty table gives no rows, and an empty lexicon in which
+every word is unseen. Long texts are encoded whole, a slice of rows of some megabytes at a time.
 """
 
 from __future__ import annotations

@@ -3,6 +3,8 @@
 All words of a batch are merged together, a merge of each in every step: the pair of the least rank, the leftmost of equal ones,
 as one word alone would be. Words that the fixed patterns below don't cover, and tokenizer files of another make, go through the
 tokenizer itself, so the ids are always those that it gives.
+
+Words aren't null and hold no white space; an empty word has no ids, repeated words have the same ones, no words give none.
 """
 
 from __future__ import annotations

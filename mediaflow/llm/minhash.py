@@ -16,7 +16,8 @@ decide.
 
 Words are runs of anything but space and \\t to \\r, A-Z lowered. A text with fewer words than `words` has its whole sequence
 as the one shingle; a text without words (empty, null) has the empty set and no links. Rows with one id are one document with
-several sets. Other columns stay with `keep_representatives`, whatever their names.
+several sets. Other columns stay with `keep_representatives`, whatever their names. An empty table has no groups; a text's set
+is made of the whole text, however long.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from mediaflow.llm import chat, line_dedup, minhash, quality_rules, spotsigs
+from mediaflow.llm import bpe, chat, line_dedup, minhash, packing, quality_rules, spotsigs
 from mediaflow.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, id string, c string, n string, kept string"
@@ -33,6 +33,9 @@ def test_empty_tables(spark):
     assert minhash.near_components(none).count() == 0 and minhash.keep_representatives(none).count() == 0
     assert line_dedup.dedup(none).count() == 0
     assert spotsigs.with_next(none.select("doc_id", "text"), "doc_id", {"s": spotsigs.signatures(F.col("text"))}).count() == 0
+    lexicon = bpe.build_lexicon(none, bpe.tokenizer_path())
+    assert bpe.encode(none, bpe.tokenizer_path(), lexicon).count() == 0 and packing.pack(none, bpe.tokenizer_path()).count() == 0
+    assert [len(r.ids) > 0 for r in bpe.encode(table(spark, [(1, "a b"), (1, "a b"), (2, None)]), bpe.tokenizer_path(), lexicon).collect()] == [True, True, False]
     assert chat.expand(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
