@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`. Between
 stages the rows are written as Parquet to the folder in spark.checkpoint.dir and read again.
+
+Documents with null or empty texts go with the first stage, as texts of too few words. Rows repeated under one id stay or
+go together. Ties go to the lesser id. An empty table gives an empty result.
+Long texts are read whole by every stage.
 """
 
 from __future__ import annotations
