@@ -433,22 +433,36 @@ def j7(spark, sf):
     return reports.latest_report(p, reports.sender_reports(p).select("ssrc", "arrival_ms", F.col("arrival_ms").alias("ntp_ms"), "rtp_ts"))
 
 
-@query("a6_receiver_reports", duck(INTERVAL + f""", jit AS (SELECT ssrc, arrival_ms, event_id, copy, abs((arrival_ms - lag(arrival_ms) OVER {W}) * ({CLOCK}) / 1000.0::DOUBLE - ((rtp_ts - lag(rtp_ts) OVER {W} + 6442450944) % 4294967296 - 2147483648)) AS d, row_number() OVER {W} AS k FROM packets),
+A6_SQL = INTERVAL + f""", jit AS (SELECT ssrc, arrival_ms, event_id, copy, abs((arrival_ms - lag(arrival_ms) OVER {W}) * ({CLOCK}) / 1000.0::DOUBLE - ((rtp_ts - lag(rtp_ts) OVER {W} + 6442450944) % 4294967296 - 2147483648)) AS d, row_number() OVER {W} AS k FROM packets),
 jr(ssrc, k, arrival_ms, event_id, copy, j) AS (SELECT ssrc, k, arrival_ms, event_id, copy, 0.0::DOUBLE FROM jit WHERE k = 1 UNION ALL SELECT n.ssrc, n.k, n.arrival_ms, n.event_id, n.copy, r.j + (n.d - r.j) / 16 FROM jr r JOIN jit n ON n.ssrc = r.ssrc AND n.k = r.k + 1),
 jl AS (SELECT ssrc, arrival_ms // 4960 AS bucket, arg_max(j, k) AS j FROM jr GROUP BY 1, 2),
 rc AS (SELECT *, arrival_ms // 4960 AS bucket FROM packets), s AS (SELECT ssrc, bucket, max(arrival_ms) AS sent FROM rc GROUP BY 1, 2)
 SELECT il.ssrc, il.bucket, fraction, lost, bucket_max AS highest, CAST(floor(j) AS BIGINT) AS jitter, lag(sent) OVER (PARTITION BY il.ssrc ORDER BY il.bucket) AS lsr_ms,
   CAST(floor((sent - lag(sent) OVER (PARTITION BY il.ssrc ORDER BY il.bucket)) * 65536 / 1000.0::DOUBLE) AS BIGINT) AS dlsr
-FROM il JOIN jl USING (ssrc, bucket) JOIN s USING (ssrc, bucket)""", PACKETS, EXT))
-def a6(spark, sf):
+FROM il JOIN jl USING (ssrc, bucket) JOIN s USING (ssrc, bucket)"""
+
+
+def receiver_reports(numbered, jitter):
     """Fraction and loss of each interval, highest number, jitter, and the time of the last sender report with the delay since."""
     from pyspark.sql import Window
 
-    p = clocked(spark, sf)
-    part = sq.interval_loss(sq.unwrap(p), 4960)
-    jitter = sq.jitter(p).withColumn("bucket", F.floor(F.col("arrival_ms") / 4960)).groupBy("ssrc", "bucket").agg(F.max_by("jitter", F.struct("arrival_ms", "event_id", "copy")).alias("jitter"), F.max("arrival_ms").alias("sent"))
+    part = sq.interval_loss(numbered, 4960)
+    latest = jitter.withColumn("bucket", F.floor(F.col("arrival_ms") / 4960)).groupBy("ssrc", "bucket").agg(F.max_by("jitter", F.struct("arrival_ms", "event_id", "copy")).alias("jitter"), F.max("arrival_ms").alias("sent"))
     before = F.lag("sent").over(Window.partitionBy("ssrc").orderBy("bucket"))
-    return part.join(jitter, ["ssrc", "bucket"]).select("ssrc", "bucket", "fraction", "lost", F.col("bucket_max").alias("highest"), F.floor("jitter").alias("jitter"), before.alias("lsr_ms"), F.floor((F.col("sent") - before) * 65536 / 1000.0).alias("dlsr"))
+    return part.join(latest, ["ssrc", "bucket"]).select("ssrc", "bucket", "fraction", "lost", F.col("bucket_max").alias("highest"), F.floor("jitter").alias("jitter"), before.alias("lsr_ms"), F.floor((F.col("sent") - before) * 65536 / 1000.0).alias("dlsr"))
+
+
+@query("a6_receiver_reports", duck(A6_SQL, PACKETS, EXT))
+def a6(spark, sf):
+    p = clocked(spark, sf)
+    return receiver_reports(sq.unwrap(p), sq.jitter(p))
+
+
+@query("a6_sliced_reports", duck(A6_SQL, PACKETS, EXT))
+def a6s(spark, sf):
+    """The same, each source walked in slices of ten seconds."""
+    p = clocked(spark, sf)
+    return receiver_reports(sq.unwrap_sliced(p, 10_000), sq.jitter_sliced(p, 10_000))
 
 
 @query("j10_reported_loss", duck(INTERVAL + """, rep AS (SELECT ssrc, bucket, lost FROM il WHERE bucket % 2 = 0), m AS (SELECT il.ssrc, il.bucket, il.lost AS measured, max(CASE WHEN rep.bucket IS NOT NULL THEN il.bucket END) OVER (PARTITION BY il.ssrc ORDER BY il.bucket) AS rb FROM il LEFT JOIN rep USING (ssrc, bucket))
