@@ -18,13 +18,24 @@ from mediaflow.llm.bpe import tokenizer_path
 from mediaflow.llm.common import cut
 
 
+#: Rows that Spark hands to a Python worker at once. Texts are long, and after many stages an executor's memory is mostly the JVM's.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For the session's stages that run Python, from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
+    small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier, learnt on what the rules kept, scores 0.3 or more."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.train(docs, labels)
     scored = quality_classifier.score(docs, model, column="__score__")
@@ -38,11 +49,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked at 0.8 on 5-word shingles."""
+    small_batches(spark)
     return minhash.keep_representatives(docs, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences of 4096 tokens."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
