@@ -36,11 +36,11 @@ def known_types(packets: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def conflicts(contexts: DataFrame) -> DataFrame:
-    """(a, b, kind): each context b that shares its remote source and payload type with others, beside the least of them, a. A class of
-    any size gives one row for each of its other members."""
+    """(a, b, kind): every pair of contexts, the lesser session first, that share their remote source and payload type. The pairs of a
+    class grow with its square; identity_classes() tells the same classes in a row for each member."""
     one = contexts.select("session_id", "remote_ssrc", "pt").distinct()
-    least = one.groupBy("remote_ssrc", "pt").agg(F.min("session_id").alias("a"))
-    return one.join(least, ["remote_ssrc", "pt"]).where("a < session_id").select("a", F.col("session_id").alias("b"), F.lit("identity").alias("kind"))
+    a, b = (one.select("remote_ssrc", "pt", F.col("session_id").alias(x)) for x in ("a", "b"))
+    return a.join(b, ["remote_ssrc", "pt"]).where("a < b").select("a", "b", F.lit("identity").alias("kind"))
 
 
 def identity_classes(contexts: DataFrame) -> DataFrame:
