@@ -286,11 +286,11 @@ def a10a(spark, sf):
 m AS (SELECT ssrc % 10 AS stream, arrival_ms // 4960 // 12 AS bucket, count(DISTINCT ssrc) AS sources FROM packets GROUP BY 1, 2), a AS (SELECT ssrc % 10 AS stream, NULL AS bucket, count(DISTINCT ssrc) AS sources FROM packets GROUP BY 1)
 SELECT 'interval' AS level, * FROM i UNION ALL SELECT 'dozen', * FROM m UNION ALL SELECT 'all', * FROM a""", PACKETS))
 def a10s(spark, sf):
-    """Sources of each interval, of a dozen and of all, the longer ones from the written sketches of the shortest. Sketches of so few
-    sources as a stream has here hold them all, so the estimates are the exact counts."""
-    held = written(reports.source_sketches(packets(spark, sf).withColumn("stream", F.col("ssrc") % 10), 4960, ("stream",)))
-    levels = [("interval", held), ("dozen", reports.roll_up(held, "stream", F.floor(F.col("bucket") / 12).alias("bucket"))), ("all", reports.roll_up(held, "stream").withColumn("bucket", F.lit(None).cast("long")))]
-    one, two, three = (reports.estimated(x).select(F.lit(n).alias("level"), "stream", "bucket", "sources") for n, x in levels)
+    """Sources of each interval, of a dozen and of all, the longer ones from what is written of the shortest: exact sets, since sketches
+    are exact for a few hundred sources only."""
+    held = written(reports.source_sets(packets(spark, sf).withColumn("stream", F.col("ssrc") % 10), 4960, ("stream",)))
+    levels = [("interval", reports.counted(held, "stream", "bucket")), ("dozen", reports.counted(held, "stream", F.floor(F.col("bucket") / 12).alias("bucket"))), ("all", reports.counted(held, "stream").withColumn("bucket", F.lit(None).cast("long")))]
+    one, two, three = (x.select(F.lit(n).alias("level"), "stream", "bucket", "sources") for n, x in levels)
     return one.unionByName(two).unionByName(three)
 
 

@@ -9,3 +9,12 @@ def test_conflicts_are_all_pairs(spark):
     rows = [(1, 7, 0), (2, 7, 0), (3, 7, 0), (3, 7, 0), (4, 7, 8), (5, 9, 0)]
     got = routing.conflicts(spark.createDataFrame(rows, "session_id long, remote_ssrc long, pt int")).collect()
     assert sorted((r.a, r.b, r.kind) for r in got) == [(1, 2, "identity"), (1, 3, "identity"), (2, 3, "identity")]
+
+
+def test_sources_of_many_are_counted_exactly(spark):
+    """7,000 sources in an interval, some in the next one too: beyond what a sketch tells exactly."""
+    rows = spark.range(9000).selectExpr("id % 7000 AS ssrc", "CASE WHEN id < 7000 THEN 5 ELSE 5000 END AS arrival_ms", "0 AS stream")
+    held = reports.source_sets(rows, 4960, ("stream",))
+    assert sorted(map(tuple, reports.counted(held, "stream", "bucket").collect())) == [(0, 0, 7000), (0, 1, 2000)]
+    assert reports.counted(held, "stream").first().sources == 7000
+    assert reports.estimated(reports.roll_up(reports.source_sketches(rows, 4960, ("stream",)), "stream")).where(F.abs(F.col("sources") - 7000) > 400).count() == 0
