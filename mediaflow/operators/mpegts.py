@@ -17,12 +17,13 @@ def read(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BYTES)
     return ranges.read_ranges(spark, ranges.UnitSource, path, range_bytes)
 
 
-def numbered(units: DataFrame, slice_octets: int = 64 << 20) -> DataFrame:
-    """units of read() with unit_idx, their number in the file from 0 on. Units are numbered within stretches of the file, to which
-    the counts of the stretches before are added: no file is one task's."""
+def numbered(units: DataFrame, slice_octets: int = 64 << 20, stream: str = "path") -> DataFrame:
+    """units of read() with unit_idx, their number in the stream from 0 on: in their file, or in all files of a stream (a column), which
+    come in the order of their paths. Units are numbered within stretches of a file, to which the counts of the stretches before are
+    added: no file is one task's."""
     parts = units.withColumn("__part__", F.floor(F.col("file_offset") / slice_octets))
-    counts = parts.groupBy("path", "__part__").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("__before__", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("__part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    counts = parts.groupBy(*dict.fromkeys([stream, "path"]), "__part__").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("__before__", F.coalesce(F.sum("n").over(Window.partitionBy(stream).orderBy("path", "__part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("path", "__part__", "__before__")
     own = F.row_number().over(Window.partitionBy("path", "__part__").orderBy("file_offset"))
     return parts.withColumn("__own__", own).join(before, ["path", "__part__"]).withColumn("unit_idx", (F.col("__before__") + F.col("__own__") - 1).cast("long")).drop("__part__", "__own__", "__before__")
 
@@ -33,9 +34,13 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
     return walk(files, ts_units, "unit_idx long, unit binary", "raw", ("path",)).withColumnRenamed("unit", "raw")
 
 
-def write(df: DataFrame, folder: str, key: str = "path", order: tuple[str, ...] = ("unit_idx",)) -> None:
-    """Writes the units (raw) of each key as a file `key`.ts in the folder, in order."""
-    ranges.write_files(df, folder, ranges.UnitSource, F.col(key), F.lit(b""), F.col("raw"), order, ".ts")
+def write(df: DataFrame, folder: str, key: str = "path", order: tuple[str, ...] = ("unit_idx",), segment_units: int | None = None) -> None:
+    """Writes the units (raw) of each key as a file `key`.ts in the folder, in order. segment_units: every so many numbers (unit_idx) of
+    a key are a file of their own, `key`-segment.ts, whose names are in the order of the segments, so that a long stream is many tasks'."""
+    name = F.col(key).cast("string")
+    if segment_units:
+        name = F.concat_ws("-", name, F.lpad(F.floor(F.col("unit_idx") / segment_units).cast("string"), 12, "0"))
+    ranges.write_files(df, folder, ranges.UnitSource, name, F.lit(b""), F.col("raw"), order, ".ts")
 
 
 def decode(df: DataFrame, raw: str = "raw") -> DataFrame:

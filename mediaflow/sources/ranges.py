@@ -26,14 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 RANGE_BYTES = 128 << 20
-#: Octets that a range first looks back; doubled while more than one chain is left.
-LOOK_BACK = 1 << 20
+#: Octets that a range first looks back at most (two units' reach, where that is less); doubled while more than one chain is left.
+LOOK_BACK, LEAST_BACK = 1 << 20, 1 << 13
 #: Beyond this, a range that still can't tell walks the file's units from the first on.
 FARTHEST = 64 << 20
 #: Octets that tell a file's kind and the distance of its units.
@@ -165,7 +166,7 @@ class Units:
 
 def first_unit(kind: Captures | Units, read, start: int) -> int:
     """The place of the first unit at `start` or after it. read(a, b) gives the file's octets from a to b."""
-    back = LOOK_BACK
+    back = min(LOOK_BACK, max(LEAST_BACK, 2 * kind.REACH))
     while start > kind.first and back <= FARTHEST:
         low = max(kind.first, start - back)
         steps = kind.steps(np.frombuffer(read(low, min(kind.size, start + kind.REACH)), np.uint8), low)
@@ -215,34 +216,48 @@ def stretches(kind: Captures | Units, read, at: int, stop: int) -> Iterator[tupl
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     size: int
     start: int
     stop: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads: a range of a large file, or several small files."""
+
+    parts: list[Range]
+
+
 class RangeReader(DataSourceReader):
     def __init__(self, options: dict, kind: type):
         self.path, self.bytes, self.kind = options["path"], int(options.get("rangebytes") or RANGE_BYTES), kind
 
-    def partitions(self) -> list[Range]:
-        return [Range(p, size, a, min(size, a + self.bytes)) for p, size in files(self.path) for a in range(0, size, self.bytes)]
+    def partitions(self) -> list[Ranges]:
+        out, octets = [], self.bytes
+        for r in (Range(p, size, a, min(size, a + self.bytes)) for p, size in files(self.path) for a in range(0, size, self.bytes)):
+            own = r.stop - r.start
+            if octets + own > self.bytes:
+                out.append(Ranges([]))
+                octets = 0
+            out[-1].parts.append(r)
+            octets += own
+        return out
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # there are no files
-            return
-        fs, inner = opened(partition.path)
-        with fs.open_input_file(inner) as f:
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
+        for r in partition.parts if partition else ():  # without files there is no partition
+            fs, inner = opened(r.path)
+            with fs.open_input_file(inner) as f:
 
-            def read(a: int, b: int) -> bytes:
-                return f.read_at(b - a, a)
+                def read(a: int, b: int, f=f) -> bytes:
+                    return f.read_at(b - a, a)
 
-            kind = self.kind(read(0, min(partition.size, HEAD)), partition.size)
-            if kind.ok:
-                for base, data, starts, ends, _ in stretches(kind, read, first_unit(kind, read, partition.start), partition.stop):
-                    if starts:
-                        yield kind.rows(partition.path, data, base, starts, ends)
+                kind = self.kind(read(0, min(r.size, HEAD)), r.size)
+                if kind.ok:
+                    for base, data, starts, ends, _ in stretches(kind, read, first_unit(kind, read, r.start), r.stop):
+                        if starts:
+                            yield kind.rows(r.path, data, base, starts, ends)
 
 
 class CaptureSource(DataSource):
@@ -286,6 +301,14 @@ class Written(WriterCommitMessage):
     moves: list[tuple[str, str]]
 
 
+def _octets(bodies: pa.Array) -> bytes | memoryview:
+    """The bodies one after another, as they lie in the array."""
+    bodies = (bodies.fill_null(b"") if bodies.null_count else bodies).cast(pa.large_binary())
+    _, offsets, data = bodies.buffers()
+    at = np.frombuffer(offsets, np.int64)[bodies.offset : bodies.offset + len(bodies) + 1]
+    return memoryview(data)[at[0] : at[-1]] if data is not None else b""
+
+
 class FileWriter(DataSourceArrowWriter):
     """Rows (name, head, body) in runs of one name: the first row's head and every body, in order, as one file of that name."""
 
@@ -302,8 +325,9 @@ class FileWriter(DataSourceArrowWriter):
         attempt, moves, name, out = uuid.uuid4().hex, [], None, None
         try:
             for batch in iterator:
-                names = batch.column(0).to_pylist()
-                for i, own in enumerate(names):
+                ran = pc.run_end_encode(batch.column(0))
+                stops = ran.run_ends.to_pylist()
+                for i, stop, own in zip([0, *stops], stops, ran.values.to_pylist(), strict=False):
                     if out is None or own != name:
                         if out is not None:
                             out.close()
@@ -312,7 +336,7 @@ class FileWriter(DataSourceArrowWriter):
                         fs.create_dir(inner, recursive=True)
                         out = fs.open_output_stream(moves[-1][0])
                         out.write(batch.column(1)[i].as_py() or b"")
-                    out.write(batch.column(2)[i].as_py() or b"")
+                    out.write(_octets(batch.column(2).slice(i, stop - i)))
         finally:
             if out is not None:
                 out.close()
