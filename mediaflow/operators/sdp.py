@@ -56,12 +56,14 @@ def sessions(df: DataFrame, key: str = "session_key", text: str = "sdp", problem
 
 def media(df: DataFrame, key: str = "session_key", text: str = "sdp", problems: str | None = None) -> DataFrame:
     """key, media_idx, media, port, n_ports, proto, pts, connection (the media's own or the session's), its lines."""
-    d = session_lines(df, text).select(key, value(F.col("head"), "c").alias("c"), value(F.col("head"), "t").alias("t"), F.filter("head", lambda x: F.startswith(x, F.lit("a="))).alias("head_attributes"), F.posexplode("sections").alias("media_idx", "of"))
-    m = value(F.col("of"), "m")
-    port = F.split_part(_field(m, 1), F.lit("/"), F.lit(1))
-    ports = F.nullif(F.split_part(_field(m, 1), F.lit("/"), F.lit(2)), F.lit(""))
-    pts = F.transform(F.filter(F.slice(F.split(m, " "), F.lit(4), F.size(F.split(m, " "))), lambda x: x.rlike("^[0-9]{1,9}$")), lambda x: x.cast("int"))
-    return d.select(key, "media_idx", _field(m, 0).alias("media"), port.try_cast("int").alias("port"), F.coalesce(ports.try_cast("int"), F.lit(1)).alias("n_ports"), _field(m, 2).alias("proto"), pts.alias("pts"), F.coalesce(value(F.col("of"), "c"), F.col("c")).alias("connection"), F.col("t").alias("times"), F.col("of").alias("lines"), "head_attributes", *_with(problems, port=(port, port.try_cast("int")), n_ports=(ports, ports.try_cast("int"))))
+    # a section starts with its media line; its fields are split once, inside the generator
+    opened = lambda x: F.struct(x.alias("of"), F.split(F.substr(F.get(x, F.lit(0)), F.lit(3)), " ").alias("m"), value(x, "c").alias("own"))
+    d = session_lines(df, text).select(key, value(F.col("head"), "c").alias("c"), value(F.col("head"), "t").alias("t"), F.filter("head", lambda x: F.startswith(x, F.lit("a="))).alias("head_attributes"), F.posexplode(F.transform("sections", opened)).alias("media_idx", "x"))
+    d = d.select("*", F.col("x.of").alias("of"), F.col("x.m").alias("m"), F.col("x.own").alias("own"))
+    port = F.split_part(F.get("m", F.lit(1)), F.lit("/"), F.lit(1))
+    ports = F.nullif(F.split_part(F.get("m", F.lit(1)), F.lit("/"), F.lit(2)), F.lit(""))
+    pts = F.transform(F.filter(F.slice("m", F.lit(4), F.size("m")), lambda x: x.rlike("^[0-9]{1,9}$")), lambda x: x.cast("int"))
+    return d.select(key, "media_idx", F.get("m", F.lit(0)).alias("media"), port.try_cast("int").alias("port"), F.coalesce(ports.try_cast("int"), F.lit(1)).alias("n_ports"), F.get("m", F.lit(2)).alias("proto"), pts.alias("pts"), F.coalesce("own", "c").alias("connection"), F.col("t").alias("times"), F.col("of").alias("lines"), "head_attributes", *_with(problems, port=(port, port.try_cast("int")), n_ports=(ports, ports.try_cast("int"))))
 
 
 def attributes(media_rows: DataFrame, key: str = "session_key", problems: str | None = None) -> DataFrame:
