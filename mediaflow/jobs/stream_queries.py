@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaflow.functions.storage import new_folder
+from mediaflow.functions.storage import new_folder, written
 from mediaflow.jobs.packet_queries import EXT, W2_SQL
 from mediaflow.jobs.session_queries import MESSAGES, parsed
 from mediaflow.sources import capture
@@ -32,6 +32,7 @@ def query(name: str, text: str, *parts: str):
 def replay(rows: DataFrame, at: Column, build: Callable[[DataFrame], DataFrame], slices: int = 3, closing: DataFrame | None = None) -> DataFrame:
     """What build(stream) gives, when rows arrive in slices of `at` (a timestamp), and then each row of `closing`."""
     spark = rows.sparkSession
+    rows = written(rows, "arrived")  # read once for each slice
     feed, out, state = (new_folder(spark, k) for k in ("feed", "drained", "state"))
     held = rows.withColumn("__at__", at.cast("double"))
     low, high = held.agg(F.min("__at__"), F.max("__at__")).first()

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,12 +22,20 @@ def live_packets(spark: SparkSession, folder: str, files_per_trigger: int = 1) -
     return spark.readStream.schema(PACKETS).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-class InOrder(StatefulProcessor):
-    """Rows of a key in order of event time, whatever batches they come in. Rows wait in state, in buckets of event time, until the
-    watermark has passed their bucket's end; a timer then hands the bucket's rows, sorted, to a walker, which keeps a small state.
-    Only one bucket of a key is in memory at a time. Rows later than the watermark are dropped, as Spark does."""
+def _plain(value):
+    """value, with tuples for rows: state takes no rows within rows."""
+    return tuple(map(_plain, value)) if isinstance(value, tuple) else [_plain(v) for v in value] if isinstance(value, list) else value
+
 
-    BUCKET_MS, AT_ONCE = 1000, 5000
+class InOrder(StatefulProcessor):
+    """Rows of a key in order of event time, whatever batches they come in. Rows wait in state until the watermark has passed the end
+    of their bucket of event time; a timer then hands them, sorted, to a walker, which keeps a small state. What a key holds is one
+    value, read and written once a batch, and it has one timer; more rows than FEW wait in a map by bucket, of which one is in memory
+    at a time. Rows later than the watermark are dropped, as Spark does."""
+
+    AT_ONCE, FEW = 5000, 100
+    #: The width of a bucket; in_order() widens it with the lateness.
+    bucket_ms = 1000
     #: The columns of a row, the first three of which order rows, and the state between rows, as DDL.
     COLUMNS, ROW, STATE = (), "", ""
 
@@ -37,46 +46,78 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getMapState("held", "bucket long", f"rows array<struct<{self.ROW}>>")
-        self.kept = handle.getValueState("kept", self.STATE)
+        self.kept = handle.getValueState("kept", f"timer long, buckets array<long>, few array<struct<{self.ROW}>>, walker struct<{self.STATE}>")
+
+    def _kept(self) -> tuple[int | None, set[int], list[tuple], tuple | None]:
+        """The time of the key's timer, the buckets in the map, the rows that aren't there, and the walker's state."""
+        timer, buckets, few, state = self.kept.get() or (None, (), (), None)
+        return timer, set(buckets), [tuple(r) for r in few], _plain(state)
+
+    def _keep(self, timer: int | None, due: int | None, buckets: set[int], few: list[tuple], state: tuple | None) -> None:
+        if due is None:
+            self.kept.clear()
+            return
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.kept.update((due, sorted(buckets), few, state))
+
+    def _until(self, at_ms: int) -> int:
+        """The end of the bucket that at_ms is in."""
+        return (at_ms // self.bucket_ms + 1) * self.bucket_ms
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        buckets, n = {}, 0
+        timer, buckets, few, state = self._kept()
+        due = timer
         for r in rows:
             row = tuple(r[c] for c in self.COLUMNS)
-            buckets.setdefault(row[0] // self.BUCKET_MS, []).append(row)
-            n += 1
-            if n >= self.AT_ONCE:
-                self._hold(buckets)
-                buckets, n = {}, 0
-        self._hold(buckets)
+            end = self._until(row[0])
+            due = end if due is None or end < due else due
+            few.append(row)
+            if len(few) >= self.AT_ONCE:
+                self._hold(buckets, few)
+        if buckets or len(few) > self.FEW:
+            self._hold(buckets, few)
+        self._keep(timer, due, buckets, few, state)
         return iter(())
 
-    def _hold(self, buckets: dict[int, list[tuple]]) -> None:
-        for b, rows in buckets.items():
-            before = self.held.getValue((b,)) if self.held.containsKey((b,)) else None
-            self.held.updateValue((b,), ([*(tuple(r) for r in before[0]), *rows] if before else rows,))
-            if not before:
-                self.handle.registerTimer((b + 1) * self.BUCKET_MS)
+    def _hold(self, buckets: set[int], few: list[tuple]) -> None:
+        parts = {}
+        for row in few:
+            parts.setdefault(row[0] // self.bucket_ms, []).append(row)
+        for b, rows in parts.items():
+            before = [tuple(r) for r in self.held.getValue((b,))[0]] if b in buckets else []
+            self.held.updateValue((b,), (before + rows,))
+            buckets.add(b)
+        few.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs() // self.BUCKET_MS * self.BUCKET_MS  # all rows before are here: a key's first timer sees to them all
-        walker = self.open(key, self.kept.get() if self.kept.exists() else None)
-        for b in sorted(k[0] for k in self.held.keys() if (k[0] + 1) * self.BUCKET_MS <= now):
+        now = timerValues.getCurrentWatermarkInMs() // self.bucket_ms * self.bucket_ms  # all rows before are here
+        _, buckets, few, state = self._kept()
+        walker = self.open(key, state)
+        for b in sorted(b for b in buckets if (b + 1) * self.bucket_ms <= now):
             rows = sorted((tuple(r) for r in self.held.getValue((b,))[0]), key=lambda r: r[:3])
             self.held.removeKey((b,))
+            buckets.remove(b)
             for row in rows:
                 yield from walker.take(row)
+        for row in sorted((r for r in few if r[0] < now), key=lambda r: r[:3]):
+            yield from walker.take(row)
         yield from walker.rest(now)
-        if walker.state is None:
-            self.kept.clear()
-        else:
-            self.kept.update(walker.state)
-            self.handle.registerTimer(-(-walker.due // self.BUCKET_MS) * self.BUCKET_MS)
+        few = [r for r in few if r[0] >= now]
+        state = walker.state
+        ends = [(b + 1) * self.bucket_ms for b in buckets] + [self._until(r[0]) for r in few]
+        if state is not None:
+            ends.append(-(-walker.due // self.bucket_ms) * self.bucket_ms)
+        self._keep(None, min(ends, default=None), buckets, few, state)  # the timer that has come is removed by Spark
 
 
 def in_order(packets: DataFrame, keys: tuple[str, ...], processor: InOrder, schema: str, late: str, initial: DataFrame | None = None) -> DataFrame:
-    """The rows that processor gives for packets (with arrival). State is kept in RocksDB, which this form of state needs."""
+    """The rows that processor gives for packets (with arrival). State is kept in RocksDB, which this form of state needs. Buckets
+    are a sixtieth of the lateness wide, a second at least: rows wait so much longer at most."""
     spark = packets.sparkSession
+    processor.bucket_ms = max(InOrder.bucket_ms, int(pd.Timedelta(late.removeprefix("interval ")).total_seconds() * 1000) // 60)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = packets.withWatermark("arrival", late).withColumn("at_ms", F.unix_millis("arrival")).select(*dict.fromkeys([*keys, *processor.COLUMNS, "arrival"]))
     return rows.groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime", initial.groupBy(*keys) if initial is not None else None)
@@ -223,8 +264,8 @@ class ValidationProcessor(InOrder):
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         r = initialState
-        self.kept.update((r["top"], r["probation"], r["bad"], r["cycles"], r["last"]))
-        self.handle.registerTimer(-(-(r["last"] + self.idle_ms) // self.BUCKET_MS) * self.BUCKET_MS)
+        due = -(-(r["last"] + self.idle_ms) // self.bucket_ms) * self.bucket_ms
+        self._keep(None, due, set(), [], (r["top"], r["probation"], r["bad"], r["cycles"], r["last"]))
 
 
 def validated(packets: DataFrame, idle_ms: int = 3_600_000, late: str = "10 seconds", initial: DataFrame | None = None) -> DataFrame:
@@ -242,61 +283,66 @@ def validation_states(packets: DataFrame) -> DataFrame:
     return source_state(packets).groupBy(F.col("ssrc").cast("long").alias("ssrc")).agg(F.max_by(last, at).alias("s")).select("ssrc", "s.*")
 
 
-class _Held:
-    """One frame in the jitter buffer."""
+class _Buffer:
+    """The frames of a source in the jitter buffer, until their timeout: numbers, octets, marker, whether it was given, last packet."""
 
-    def __init__(self, key: tuple, state: tuple | None, timeout_ms: int):
-        self.key, self.timeout_ms = key, timeout_ms
-        self.seqs, self.octets, self.marker, self.done, self.last = (list(state[0]), *state[1:]) if state else ([], 0, False, False, None)
+    def __init__(self, ssrc: int, state: tuple | None, timeout_ms: int):
+        self.ssrc, self.timeout_ms = ssrc, timeout_ms
+        self.frames = {(f[0], f[1]): [list(f[2]), *f[3:]] for f in state[0]} if state else {}
 
-    def _frame(self, ok: bool) -> Row:
-        ssrc, pt, rtp_ts = self.key
-        return Row(ssrc=ssrc, pt=pt, rtp_ts=rtp_ts, packets=len(self.seqs), octets=self.octets, complete=ok)
+    def _frame(self, key: tuple, f: list, ok: bool) -> Row:
+        return Row(ssrc=self.ssrc, pt=key[0], rtp_ts=key[1], packets=len(f[0]), octets=f[1], complete=ok)
+
+    def _over(self, key: tuple) -> Iterator[Row]:
+        f = self.frames.pop(key)
+        if not f[3]:
+            yield self._frame(key, f, False)
 
     def rest(self, now: int) -> Iterator[Row]:
-        if self.last is not None and self.last + self.timeout_ms <= now:
-            if self.seqs and not self.done:
-                yield self._frame(False)
-            self.seqs, self.octets, self.marker, self.done, self.last = [], 0, False, False, None
+        for key in [k for k, f in self.frames.items() if f[4] + self.timeout_ms <= now]:
+            yield from self._over(key)
 
     def take(self, row: tuple) -> Iterator[Row]:
-        at_ms, _, _, seq, marker, size = row
-        yield from self.rest(at_ms)
-        self.last = at_ms
-        if not self.done and seq not in self.seqs:
-            self.seqs.append(seq)
-            self.octets += size
-            self.marker = self.marker or marker == 1
-            if self.marker and _gapless(self.seqs):
-                yield self._frame(True)
-                self.seqs, self.done = [], True  # remembered until the timeout, for late copies
+        at_ms, _, _, pt, rtp_ts, seq, marker, size = row
+        key = pt, rtp_ts
+        if key in self.frames and self.frames[key][4] + self.timeout_ms <= at_ms:
+            yield from self._over(key)
+        f = self.frames.setdefault(key, [[], 0, False, False, at_ms])
+        f[4] = at_ms
+        if not f[3] and seq not in f[0]:
+            f[0].append(seq)
+            f[1] += size
+            f[2] = f[2] or marker == 1
+            if f[2] and _gapless(f[0]):
+                yield self._frame(key, f, True)
+                f[0], f[3] = [], True  # remembered until the timeout, for late copies
 
     @property
     def state(self) -> tuple | None:
-        return (self.seqs, self.octets, self.marker, self.done, self.last) if self.last is not None else None
+        return ([(*key, *f) for key, f in self.frames.items()],) if self.frames else None
 
     @property
     def due(self) -> int:
-        return self.last + self.timeout_ms
+        return min(f[4] for f in self.frames.values()) + self.timeout_ms
 
 
 class BufferProcessor(InOrder):
-    COLUMNS = ("at_ms", "event_id", "copy", "seq", "marker", "payload_len")
-    ROW = "at_ms: long, event_id: long, copy: int, seq: int, marker: int, payload_len: long"
-    STATE = "seqs array<int>, octets long, marker boolean, done boolean, last long"
+    COLUMNS = ("at_ms", "event_id", "copy", "pt", "rtp_ts", "seq", "marker", "payload_len")
+    ROW = "at_ms: long, event_id: long, copy: int, pt: int, rtp_ts: long, seq: int, marker: int, payload_len: long"
+    STATE = "frames array<struct<pt:int,at:long,seqs:array<int>,octets:long,marker:boolean,done:boolean,last:long>>"
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
     def open(self, key, state):
-        return _Held(key, state, self.timeout_ms)
+        return _Buffer(key[0], state, self.timeout_ms)
 
 
 def jitter_buffer(packets: DataFrame, timeout_ms: int = 1000, late: str = "10 seconds") -> DataFrame:
     """One frame for each (ssrc, pt, rtp_ts): given as soon as its numbers, in order of arrival, have no hole and a marker came, or
     incomplete once timeout_ms of event time have passed since its last packet. The first packet opens the frame; packets for a frame
-    that is complete are late copies until that time has passed."""
-    return in_order(packets, ("ssrc", "pt", "rtp_ts"), BufferProcessor(timeout_ms), FRAME, late)
+    that is complete are late copies until that time has passed. A source's frames within timeout_ms are one value in state."""
+    return in_order(packets, ("ssrc",), BufferProcessor(timeout_ms), FRAME, late)
 
 
 def archive(packets: DataFrame, folder: str, checkpoint: str, key: str = "stream_id"):
