@@ -157,64 +157,72 @@ def _slices(df: DataFrame, slice_ms: int) -> DataFrame:
 def _along_slices(df: DataFrame, starts: DataFrame, keys, order, open_, made: str, ends: bool) -> DataFrame:
     """Walks each slice of a source from the state in starts (keys, __slice__, start): a slice's state is a row before its packets.
 
-    open_(start) gives a walker; take(batch) gives the columns `made` (DDL) of a run of packets, end() those of a whole slice. With
-    ends, a row for each slice (keys, __slice__ and made), else one for each packet (keys, order columns and made)."""
+    open_(start) gives a walker; take(*values) gives the columns `made` (DDL), a tuple a packet, for the values of open_.COLUMNS, end()
+    those of a whole slice. With ends, a row for each slice (keys, __slice__ and made), else one for each packet (keys, order columns
+    and made). A batch is turned into values once and gives one batch, however short its slices; the walk is dealt to as many tasks
+    as shuffles have, since it needs more time than its few octets tell."""
     at = [*keys, "__slice__"]
     columns = at if ends else list(dict.fromkeys([*keys, *order]))
     none = F.lit(None)
     packets = df.withColumn("start", none.cast(starts.schema["start"].dataType)).withColumn("__packet__", F.lit(1))
     heads = starts.select(*at, *(none.cast(df.schema[c].dataType).alias(c) for c in df.columns if c not in at), "start", F.lit(0).alias("__packet__"))
     added = T._parse_datatype_string(made)
+    schema = T.StructType([*(df.schema[c] for c in columns), *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slice_, walker, done = None, None, []
+        kinds = to_arrow_schema(schema).types
+        slice_, walker = None, None
 
-        def told() -> Iterator[pa.RecordBatch]:
-            if done:
-                rows = list(zip(*done, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], [*at, *added.fieldNames()])
-                done.clear()
+        def batch_of(rows: list[tuple], own: list[pa.Array]) -> pa.RecordBatch:
+            values = list(zip(*rows, strict=True)) or [()] * (len(kinds) - len(own))
+            return pa.RecordBatch.from_arrays([*own, *(pa.array(x, t) for x, t in zip(values, kinds[len(own) :], strict=True))], schema.fieldNames())
 
         for batch in batches:
-            kinds = [*(batch.schema.field(c).type for c in at), *to_arrow_schema(added).types]
             names = list(zip(*(batch.column(k).to_pylist() for k in at), strict=True))
+            values = [batch.column(c).to_pylist() for c in open_.COLUMNS]
+            packet = batch.column("__packet__").to_pylist()
+            state, done = batch.column("start"), []
             runs = [i for i, n in enumerate(names) if i == 0 or n != names[i - 1]]
             for a, b in zip(runs, [*runs[1:], len(names)], strict=True):
-                part = batch.slice(a, b - a)
                 if names[a] != slice_:
                     if ends and slice_ is not None:
                         done.append((*slice_, *walker.end()))
-                    slice_, walker = names[a], open_(part.column("start")[0].as_py())
-                part = part.slice(1) if part.column("__packet__")[0].as_py() == 0 else part
-                if part.num_rows:
-                    made_ = walker.take(part)
+                    slice_, walker = names[a], open_(state[a].as_py())
+                a += packet[a] == 0
+                if a < b:
+                    rows = walker.take(*(v[a:b] for v in values))
                     if not ends:
-                        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *made_], [*columns, *added.fieldNames()])
-            if len(done) > 10_000:
-                yield from told()
+                        done += rows
+            if ends:
+                yield batch_of(done, [])
+            else:
+                yield batch_of(done, [c.filter(pa.array([p == 1 for p in packet])) for c in (batch.column(c) for c in columns)])
         if ends and slice_ is not None:
-            done.append((*slice_, *walker.end()))
-            yield from told()
+            yield batch_of([(*slice_, *walker.end())], [])
 
-    schema = T.StructType([*(df.schema[c] for c in columns), *added.fields])
-    return packets.unionByName(heads).repartition(*at).sortWithinPartitions(*at, "__packet__", *order).mapInArrow(run, schema)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packets.unionByName(heads).repartition(tasks, *at).sortWithinPartitions(*at, "__packet__", *order).mapInArrow(run, schema)
 
 
 class _JitterSlice:
     """The jitter of a slice's packets, after the packet and the jitter before it."""
 
+    COLUMNS = ("arrival_ms", "rtp_ts", "__rate__")
+
     def __init__(self, start: dict | None):
         self.at, self.media, self.jitter, self.n = (start["at"], start["media"], start["jitter"], 0) if start else (None, None, 0.0, 0)
 
-    def take(self, part: pa.RecordBatch) -> list[pa.Array]:
-        at, media, rate = (part.column(c).to_numpy(zero_copy_only=False) for c in ("arrival_ms", "rtp_ts", "__rate__"))
+    def take(self, at: list, media: list, rate: list) -> list[tuple]:
         if self.at is None:
             self.at, self.media = at[0], media[0]
-        ticks = (np.diff(media, prepend=self.media) + (1 << 31)) % (1 << 32) - (1 << 31)
-        d = np.abs(np.diff(at, prepend=self.at) * rate / 1000.0 - ticks)
-        out = pd.Series(np.concatenate([[self.jitter], d])).ewm(alpha=1 / 16, adjust=False).mean().to_numpy()[1:]
-        self.at, self.media, self.jitter, self.n = at[-1], media[-1], float(out[-1]), self.n + len(at)
-        return [pa.array(out, pa.float64())]
+        before, sent, jitter, out = self.at, self.media, self.jitter, []
+        for now, ts, r in zip(at, media, rate, strict=True):
+            d = abs((now - before) * r / 1000.0 - ((ts - sent + (1 << 31)) % (1 << 32) - (1 << 31)))
+            jitter = jitter * (15 / 16) + d / 16
+            out.append((jitter,))
+            before, sent = now, ts
+        self.at, self.media, self.jitter, self.n = before, sent, jitter, self.n + len(at)
+        return out
 
     def end(self) -> tuple:
         return self.jitter, self.n
@@ -225,7 +233,7 @@ def jitter_sliced(df: DataFrame, slice_ms: int, clock: str = "clock_rate", keys=
     it, J, to (15/16)^n J + b; these maps, a row for each slice, are composed along the source, and every slice is then walked from
     its own start. Slices know the last packet before them from an aggregation."""
     at = [*keys, "__slice__"]
-    rows = _slices(df, slice_ms).withColumn("__rate__", F.col(clock)).select(*dict.fromkeys([*at, *order, "arrival_ms", "rtp_ts", "__rate__"]))
+    rows = written(_slices(df, slice_ms).withColumn("__rate__", F.col(clock)).select(*dict.fromkeys([*at, *order, "arrival_ms", "rtp_ts", "__rate__"])))
     along = Window.partitionBy(*keys).orderBy("__slice__")
     last = rows.groupBy(*at).agg(F.max_by(F.struct("arrival_ms", "rtp_ts"), F.struct(*order)).alias("last")).withColumn("p", F.lag("last").over(along))
     state = lambda jitter: F.when(F.col("p").isNotNull(), F.struct(F.col("p.arrival_ms").cast("long").alias("at"), F.col("p.rtp_ts").cast("long").alias("media"), jitter.cast("double").alias("jitter"))).alias("start")
@@ -247,7 +255,7 @@ def jitter_sliced(df: DataFrame, slice_ms: int, clock: str = "clock_rate", keys=
 class _ValidationSlice:
     """The rules over a slice's packets. Cycles never decide anything; while they count from ONWARD they go on from those before."""
 
-    ONWARD = -(1 << 48)
+    ONWARD, COLUMNS = -(1 << 48), ("seq",)
 
     def __init__(self, start: dict | None):
         self.begun = start
@@ -257,10 +265,9 @@ class _ValidationSlice:
     def _cycles(self) -> int:
         return self.rules.cycles if self.rules.cycles >= 0 else self.rules.cycles - self.ONWARD + self.cycles
 
-    def take(self, part: pa.RecordBatch) -> list[pa.Array]:
+    def take(self, seqs: list) -> list[tuple]:
         rules = self.rules
-        rows = [(rules.take(seq), rules.probation, rules.top, rules.bad, self._cycles()) for seq in part.column("seq").to_pylist()]
-        return [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+        return [(rules.take(seq), rules.probation, rules.top, rules.bad, self._cycles()) for seq in seqs]
 
     def end(self) -> tuple:
         """The state after the slice, whether its bad number and its cycles go on from those before, and the state it was walked from."""
@@ -275,7 +282,7 @@ def source_state_sliced(df: DataFrame, slice_ms: int, keys=KEYS, order=ORDER) ->
     The rules forget: two packets in sequence end a probation, so nearly always the second round's starts are the last. A row for
     each slice is what goes along the source in between."""
     at = [*keys, "__slice__"]
-    rows = _slices(df, slice_ms).select(*dict.fromkeys([*at, *order, "seq"]))
+    rows = written(_slices(df, slice_ms).select(*dict.fromkeys([*at, *order, "seq"])))
     ends_ddl = "top int, probation int, bad int, cycles long, go_on boolean, same_bad boolean, top0 int, probation0 int, bad0 int"
     start_ddl = "top int, probation int, bad int, cycles long"
     starts = rows.select(*at).distinct().withColumn("start", F.lit(None).cast(f"struct<{start_ddl.replace(' ', ':').replace(',:', ',')}>"))

@@ -127,3 +127,18 @@ def test_a_frame_stays_open_over_batches_that_bring_more_rows(spark):
         q.stop()
         frames.append([(r.packets, r.octets, r.complete) for r in spark.table(name).where("ssrc = 1").collect()])
     assert frames == [[(4, 40, True)], [(4, 40, True)]]
+
+
+def test_short_slices_share_batches_and_all_tasks(spark):
+    """Slices of a packet or two: one batch of output for each of input, and as many tasks as shuffles have."""
+    from pyspark.sql import functions as F
+
+    from mediaflow.operators import sequence
+
+    rows = spark.range(4000).selectExpr("id % 100 AS ssrc", "CAST(id DIV 100 AS INT) AS seq", "id * 40 AS rtp_ts", "id * 5 AS arrival_ms", "id AS event_id", "0 AS copy", "8000 AS clock_rate")
+    batches = lambda df: df.mapInArrow(lambda got: (__import__("pyarrow").RecordBatch.from_pydict({"n": [b.num_rows]}) for b in got), "n long").collect()
+    for df, plain in ((sequence.jitter_sliced(rows, 500), sequence.jitter(rows)), (sequence.source_state_sliced(rows, 500), sequence.source_state(rows))):
+        told = batches(df)
+        assert sum(r.n for r in told) == 4000 and len(told) == 8 == df.rdd.getNumPartitions()
+        key = [F.round(c, 9).alias(c) if c == "jitter" else c for c in sorted(df.columns)]
+        assert sorted(map(str, df.select(key).collect())) == sorted(map(str, plain.select(key).collect()))
