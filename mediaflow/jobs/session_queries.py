@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mediaflow.functions.storage import written
 from mediaflow.operators import messages as ms
 from mediaflow.operators import sdp
 from mediaflow.sources.derived import duck, sql
@@ -145,8 +146,9 @@ SELECT k AS session_key, md5('v=0' || e || 'o=user' || c || ' ' || k || ' ' || (
   CASE WHEN k % 3 = 0 THEN 'm=text 9 RTP/AVP 98' || e || 'a=rtpmap:98 t140/1000' || e ELSE '' END) AS digest FROM o LEFT JOIN b USING (k), (SELECT chr(13) || chr(10) AS e)""", MEDIA)
 def x1_written(spark, sf):
     """Descriptions read into rows and written again; every third gets one more media section and with it a new version."""
-    d = descriptions(spark, sf)
-    s, m = sdp.sessions(d), sdp.media(d)
+    # written once, since each of them is read for several columns of the result
+    d = written(descriptions(spark, sf), "descriptions")
+    s, m = written(sdp.sessions(d), "sessions"), written(sdp.media(d).drop("times", "head_attributes"), "media")
     third = F.col("session_key") % 3 == 0
     new = s.where(third).select("session_key", F.col("n_media").alias("media_idx"))
     own = m.withColumn("bandwidth", F.transform(F.filter("lines", lambda x: F.startswith(x, F.lit("b="))), lambda x: F.substr(x, F.lit(3))))

@@ -142,3 +142,11 @@ def test_short_slices_share_batches_and_all_tasks(spark):
         assert sum(r.n for r in told) == 4000 and len(told) == 8 == df.rdd.getNumPartitions()
         key = [F.round(c, 9).alias(c) if c == "jitter" else c for c in sorted(df.columns)]
         assert sorted(map(str, df.select(key).collect())) == sorted(map(str, plain.select(key).collect()))
+
+
+def test_descriptions_are_parsed_once_to_be_written_again(spark):
+    """The plan of the result reads sessions, media and descriptions that were written: it numbers no lines and derives no texts."""
+    from mediaflow.jobs import session_queries
+
+    plan = session_queries.QUERIES["x1_written"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "l_orderkey" not in plan
