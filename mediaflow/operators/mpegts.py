@@ -90,9 +90,11 @@ def pid_histogram(df: DataFrame, key: str = "path") -> DataFrame:
     return df.groupBy(key, "pid").agg(F.count(F.lit(1)).alias("units"), F.count(F.when(F.col("scrambling") > 0, 1)).alias("scrambled"), F.count(F.when(F.col("tei") == 1, 1)).alias("errors"))
 
 
-def continuity(df: DataFrame, key: str = "path") -> DataFrame:
-    """Units with payload whose counter doesn't follow the one before, of their PID; a repeated counter is a duplicate."""
+def continuity(df: DataFrame, key: str = "path", tasks: int | None = None) -> DataFrame:
+    """Units with payload whose counter doesn't follow the one before, of their PID; a repeated counter is a duplicate. tasks: to how
+    many the PIDs of all keys are dealt (the session's number of shuffle partitions, unless given)."""
     w = Window.partitionBy(key, "pid").orderBy("unit_idx")
-    d = df.where(F.col("afc").bitwiseAND(F.lit(1)) == 1).withColumn("before", F.lag("cc").over(w))
+    d = df.where(F.col("afc").bitwiseAND(F.lit(1)) == 1).select(key, "unit_idx", "pid", "cc")
+    d = (d.repartition(tasks, key, "pid") if tasks else d).withColumn("before", F.lag("cc").over(w))
     step = F.pmod(F.col("cc") - F.col("before"), F.lit(16))
     return d.where(F.col("before").isNotNull() & (step != 1)).select(key, "unit_idx", "pid", "before", "cc", F.when(step == 0, "duplicate").otherwise("lost").alias("kind"))

@@ -15,3 +15,21 @@ def test_fan_out_of_few_keys_is_many_tasks(spark):
     sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert len(sizes) > 10 and max(sizes) < sum(sizes) / 4
     assert routing.fan_out(packets.limit(0), sessions, ["pt"]).count() == 0
+
+
+def test_tasks_of_units_grow_with_the_lines(spark, monkeypatch):
+    """A task has a bounded number of lines, however few shuffle partitions there are; a unit is put together once."""
+    from mediaflow.jobs import media_queries as jobs
+    from mediaflow.operators import mpegts
+
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert jobs.unit_tasks(spark, sf, task_rows=1000) == n // 1000 and jobs.unit_tasks(spark, sf) == 8
+    monkeypatch.setattr(jobs, "unit_tasks", lambda *_: 30)
+    assert jobs.shaped(spark, sf, block_keys=500).rdd.getNumPartitions() == 30
+    units = jobs.decoded(spark, sf)
+    got = mpegts.continuity(units, tasks=50)
+    assert got.rdd.getNumPartitions() == 50
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mpegts.continuity(units).collect()))
+    plan = jobs.QUERIES["w10_continuity"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("repeat(AB") == 1
