@@ -258,6 +258,10 @@ def interleaved(data: bytes) -> list[tuple]:
     return Interleaved().feed(data, last=True)
 
 
+#: Parts that along_segments holds before it gives them out.
+OUT_ROWS = 10_000
+
+
 def along_segments(df: DataFrame, open_: Callable[[], Interleaved], schema: str, raw: str, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """keys and the columns of `schema`: the parts of connections (keys) whose octets come in segments (rows, by order), whatever
     the cuts between them. A connection's segments are read one after another; only what isn't whole yet is in memory."""
@@ -265,26 +269,29 @@ def along_segments(df: DataFrame, open_: Callable[[], Interleaved], schema: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
+        kinds = to_arrow_schema(T.StructType(fields)).types
+        held: list[tuple] = []  # key and part, of all connections of a batch
 
-        def rows(key: tuple, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-            if parts:
-                kinds = [*head, *to_arrow_schema(T.StructType(fields)).types]
-                columns = [*([k] * len(parts) for k in key), *zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*keys, *(f.name for f in fields)])
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), [*head, *kinds], strict=True)], [*keys, *(f.name for f in fields)])
+                held.clear()
 
         for batch in batches:
             head = [batch.schema.field(k).type for k in keys]
-            names, data = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)), batch.column(raw)
-            parts = []
+            names, data = zip(*(batch.column(k).to_pylist() for k in keys), strict=True), batch.column(raw)
             for i, name in enumerate(names):
                 if state is None or name != key:
                     if state is not None:
-                        yield from rows(key, parts + state.feed(b"", last=True))
-                    key, state, parts = name, open_(), []
-                parts += state.feed(data[i].as_py() or b"")
-            yield from rows(key, parts)
+                        held.extend((*key, *p) for p in state.feed(b"", last=True))
+                    key, state = name, open_()
+                held.extend((*key, *p) for p in state.feed(data[i].as_py() or b""))
+                if len(held) >= OUT_ROWS:
+                    yield from out()
+            yield from out()
         if state is not None:
-            yield from rows(key, state.feed(b"", last=True))
+            held.extend((*key, *p) for p in state.feed(b"", last=True))
+            yield from out()
 
     laid = df.select(*dict.fromkeys([*keys, *order, raw])).repartition(*keys).sortWithinPartitions(*keys, *order)
     return laid.mapInArrow(run, T.StructType([*(df.schema[c] for c in keys), *fields]))
