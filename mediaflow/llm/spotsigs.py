@@ -37,13 +37,18 @@ ANCHORS = (
 ).split()
 
 
+def _once(value: Column, of) -> Column:
+    """of(value), with the value worked out once however often it is named (within higher-order functions Spark doesn't see repeats)."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Column:
     """The sorted distinct signatures of a text: 32-bit hashes, as integers from -2^31 on."""
     bare = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     mark = lambda w: F.when(w.isin(*anchors), F.concat(F.lit("\x01"), w, F.lit("\x02"))).otherwise(F.concat(F.lit(" "), w, F.lit(" ")))
     marked = F.concat(F.lit("\x02"), F.array_join(F.transform(F.split(bare, " "), mark), ""))
     marked = F.regexp_replace(marked, f"((?: [^ \x01\x02]+ ){{{STRETCH}}})", "$1\x01\x02")
-    spots = F.array_distinct(_spots(F.split(marked, "\x01"), chain))
+    spots = F.array_distinct(_once(F.split(marked, "\x01"), lambda pieces: _spots(pieces, chain)))
     number = lambda s: (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") - F.lit(1 << 31)).cast("int")
     return F.sort_array(F.array_distinct(F.transform(F.filter(spots, lambda s: ~F.endswith(s, F.lit(" "))), number)))
 
@@ -51,9 +56,8 @@ def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -
 def _spots(pieces: Column, chain: int) -> Column:
     """Of pieces `anchor \\2 words`: each anchor, a space, and the chain that follows (nothing, where no word does)."""
     body = lambda x: F.substring_index(x, "\x02", -1)
-    bodies = F.concat(F.transform(pieces, body), F.array(F.lit(""), F.lit("")))
-    join = lambda a, b: F.concat(a, b)
-    after = F.zip_with(F.slice(bodies, 2, F.size(pieces)), F.slice(bodies, 3, F.size(pieces)), join)
+    joins = lambda bodies: F.zip_with(F.slice(bodies, 2, F.size(pieces)), F.slice(bodies, 3, F.size(pieces)), lambda a, b: F.concat(a, b))
+    after = _once(F.concat(F.transform(pieces, body), F.array(F.lit(""), F.lit(""))), joins)
 
     def spot(x: Column, y: Column) -> Column:
         follows = F.trim(F.replace(F.concat(body(x), y), F.lit("  "), F.lit(" ")))

@@ -59,3 +59,13 @@ def test_a_line_is_written_once_for_all_its_fields(spark):
 
     plan = jobs.QUERIES["s3_malformed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(", RTP, ") == 1
+
+
+def test_signatures_mark_a_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from mediaflow.llm import spotsigs
+
+    df = spark.createDataFrame([(1, "the cat sat on the mat")], "doc_id long, text string")
+    plan = df.select(spotsigs.signatures(F.col("text")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{8}") == 1
