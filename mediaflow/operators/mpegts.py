@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mediaflow.functions.bits import bits, part, u8, u16, u32
+from mediaflow.functions.bits import bits, part, u8, u16, unsigned
 from mediaflow.operators.walkers import pat_programs, ts_units, walk
 from mediaflow.sources import ranges
 
@@ -58,7 +58,11 @@ def adaptation(df: DataFrame, raw: str = "raw") -> DataFrame:
     length = F.when(there, u8(raw, 4))
     flags = F.when(length > 0, u8(raw, 5))
     flag = lambda k: bits(flags, k, 1).cast("int")
-    clock = lambda at: (u32(raw, at) * 2 + bits(u8(raw, at + 4), 7, 1)) * 300 + bits(u16(raw, at + 4), 0, 9)
+
+    def clock(at):
+        six = unsigned(raw, at, 6)  # 33 bits of 90 kHz, six reserved, nine of 27 MHz
+        return F.shiftright(six, 15) * 300 + bits(six, 0, 9)
+
     has = lambda k: F.coalesce(bits(flags, k, 1) == 1, F.lit(False))
     after_pcr = F.when(has(4), 12).otherwise(6)
     after = F.when(has(3), after_pcr + 6).otherwise(after_pcr)
