@@ -2,14 +2,15 @@
 
 Tokens are words (runs of anything but space and \\t to \\r, A-Z lowered) and one end per text. All training texts are counted.
 The frequent words, the end and an escape for all other words are symbols. A symbol's code starts with the first DEPTH binary
-digits of its place in the cumulative distribution of symbols; these bits are predicted one by one, in the order of the text:
+digits of its place in the cumulative distribution of symbols (its class), and goes on by a Huffman code among those of its class, so
+that codes are whole and take few bits. All bits are predicted, in the order of the text:
   * Predictors: the symbols' own shares, and counters of both bits under hashed contexts: the previous word, the classes (codes)
     of the last three, and the word before the previous. Every token of every training text is counted.
   * Mixer: predictions are added in the logistic domain with weights from two sets, one chosen by how much the previous word's and
     the classes' counters have seen, one by the bit's place and what the third has seen. They learn online: each run of tokens is
     predicted before it is counted. Tasks learn on their shares of the texts, and their weights are averaged.
   * Refinement: an adaptive map from (bit's place, prediction) to what came true, averaged with the prediction.
-What follows a symbol's first bits is its share among the symbols with the same ones. After an escape, a word seen c times of the R
+After an escape, a word seen c times of the R
 escaped ones has (c - D) / (R + 1), and what the discount D frees is spread by a model of the same kind that spells new words by
 byte bits, learnt from all distinct training words. All parts are probabilities, so the score of a text is the log10 probability
 of its tokens in their order, and bits per byte follow.
@@ -23,6 +24,7 @@ texts all tokens are spelled by an unlearnt model; an empty table gives an empty
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -35,13 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mediaflow.llm.bpe import frequent
-from mediaflow.llm.common import Words, crc_mod, cut, documents, drop_cut, slices
+from mediaflow.llm.common import Words, crc_mod, cut, documents, drop_cut, ragged, slices
 
 DISCOUNT, FREQUENT_WORDS = 0.75, 1 << 17
 ORDERS = 5
 SPACE, END = 0x20, 0x0A
 BLOCK = 4096
-#: Mixed bits of a symbol, slots of a context's counters (as a power of two), tokens to a step, octets of text to a task.
+#: First bits of a symbol's code (its class), slots of a context's counters (as a power of two), tokens to a step, octets of text to a task.
 DEPTH, TABLE_BITS, STEP_TOKENS, TASK_OCTETS = 5, 21, 8192, 64 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -256,6 +258,38 @@ def gathered(rows: DataFrame, shape: tuple) -> tuple[np.ndarray, np.ndarray | No
     return tables, weights
 
 
+def codes_within(classes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Huffman codes of symbols among those of their class: (starts, nodes, bits, share). Symbol i's code is nodes and bits
+    starts[i]:starts[i + 1], from the root on; a node's share are its upper half's odds."""
+    n = len(classes)
+    parent, side, share = np.full(2 * n, -1), np.zeros(2 * n, np.int8), np.zeros(n)
+    made = 0
+    order = np.argsort(classes, kind="stable")
+    for members in np.split(order, np.flatnonzero(np.diff(classes[order])) + 1):
+        heap = [(w, i) for w, i in zip(weights[members].tolist(), members.tolist(), strict=True)]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (low, a), (high, b) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[a] = parent[b] = n + made
+            side[b] = 1
+            share[made] = math.log((high + 1e-3) / (low + 1e-3))
+            heapq.heappush(heap, (low + high, n + made))
+            made += 1
+    symbol, at, steps = np.arange(n), np.arange(n), []
+    while True:
+        up = parent[at] >= 0
+        symbol, at = symbol[up], at[up]
+        if not len(at):
+            break
+        steps.append((symbol, np.full(len(at), -len(steps)), parent[at] - n, side[at]))
+        at = parent[at]
+    if not steps:
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8), share
+    symbol, depth, nodes, bits = (np.concatenate(x) for x in zip(*steps, strict=True))
+    first = np.lexsort((depth, symbol))
+    return np.concatenate([[0], np.cumsum(np.bincount(symbol, minlength=n))]), nodes[first], bits[first], share
+
+
 # -- words in context --------------------------------------------------------------------------------------------------
 class Symbols:
     """Codes of symbols: the listed words that were counted, then the end, then the escape. counts: of the listed words (0: an
@@ -279,6 +313,7 @@ class Symbols:
         for node in range((1 << DEPTH) - 1, 0, -1):
             at[node] = at[2 * node] + at[2 * node + 1]
         self.share = np.log((at[1 : 2 << DEPTH : 2] + 1e-3) / (at[0 : 2 << DEPTH : 2] + 1e-3))  # of node k: its upper half's odds
+        self.starts, self.nodes, self.bits, self.odds = codes_within(self.classes, weights)
 
 
 class Context:
@@ -300,18 +335,18 @@ class Context:
         one, two = back(hashes, 1), back(hashes, 2)
         k = (kinds + 1).astype(np.uint64)
         three = back(k, 1) | back(k, 2) << np.uint64(10) | back(k, 3) << np.uint64(20)
-        self.kinds, self.contexts = kinds, [one, three + np.uint64(1), two * _B + np.uint64(2)]
+        self.ids, self.kinds, self.contexts = ids, kinds, [one, three + np.uint64(1), two * _B + np.uint64(2)]
 
     def part(self, a: int, b: int) -> Context:
         out = object.__new__(Context)
-        out.kinds, out.contexts = self.kinds[a:b], [c[a:b] for c in self.contexts]
+        out.ids, out.kinds, out.contexts = self.ids[a:b], self.kinds[a:b], [c[a:b] for c in self.contexts]
         return out
 
 
 class WordModel:
-    """Counters of the contexts, and what mixes them."""
+    """Counters of the contexts, and what mixes them: of the classes' bits; within its class a symbol has its share."""
 
-    CONTEXTS = 3
+    CONTEXTS, PLACES = 3, DEPTH + 3
 
     def __init__(self, symbols: Symbols, bits: int, tables: np.ndarray | None = None, weights: np.ndarray | None = None):
         self.symbols, self.bits = symbols, bits
@@ -320,32 +355,37 @@ class WordModel:
         plain = np.zeros((64, self.CONTEXTS + 1), np.float32)
         plain[:, 0] = 0.5
         self.by_count, self.by_place = plain.copy(), plain.copy()
-        self.map = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, 33))), (DEPTH, 1))
+        self.map = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, 33))), (self.PLACES, 1))
         if weights is not None:
             size = plain.size
             self.by_count, self.by_place = (weights[a : a + size].reshape(plain.shape).astype(np.float32) for a in (0, size))
-            self.map = weights[2 * size :].reshape(DEPTH, 33)
+            self.map = weights[2 * size :].reshape(self.PLACES, 33)
 
     @property
     def weights(self) -> np.ndarray:
         return np.concatenate([self.by_count.ravel(), self.by_place.ravel(), self.map.ravel()]).astype(float)
 
+    def _read(self, share: np.ndarray, salt: np.ndarray, contexts: list[np.ndarray]):
+        """The predictions of bits, their slots, and how much the contexts have seen (as a level)."""
+        x, slots, level = np.empty((len(share), self.CONTEXTS + 1), np.float32), [], []
+        x[:, 0] = share
+        for o, context in enumerate(contexts):
+            h = (context ^ salt) * _A
+            at = ((h ^ (h >> np.uint64(31))) * _A >> np.uint64(64 - self.bits)).astype(np.int64)
+            n = self.tables[o].take(at, 0)
+            logs = np.log(n + np.float32(0.4))
+            np.subtract(logs[:, 1], logs[:, 0], out=x[:, o + 1])
+            slots.append(at)
+            # the exponent of the count of both, plus one
+            level.append(np.minimum(((n[:, 0] + n[:, 1] + np.float32(1)).view(np.int32) >> 23) - 127, 7))
+        return x, slots, level
+
     def _inputs(self, tokens: Context):
+        """Bits to predict: (their tokens, or None if one each; places in the code; bits; predictions; slots; two gates)."""
         for k in range(DEPTH):
             node, bit = 1 << k | tokens.kinds >> (DEPTH - k), tokens.kinds >> (DEPTH - 1 - k) & 1
-            x, slots, level = np.empty((len(node), self.CONTEXTS + 1), np.float32), [], []
-            x[:, 0] = self.symbols.share[node]
-            salt = (np.arange(2 << k, dtype=np.uint64) * _B)[node]
-            for o, context in enumerate(tokens.contexts):
-                h = (context ^ salt) * _A
-                at = ((h ^ (h >> np.uint64(31))) * _A >> np.uint64(64 - self.bits)).astype(np.int64)
-                n = self.tables[o].take(at, 0)
-                logs = np.log(n + np.float32(0.4))
-                np.subtract(logs[:, 1], logs[:, 0], out=x[:, o + 1])
-                slots.append(at)
-                # the exponent of the count of both, plus one
-                level.append(np.minimum(((n[:, 0] + n[:, 1] + np.float32(1)).view(np.int32) >> 23) - 127, 7))
-            yield k, bit, x, slots, level[0] * 8 + level[1], k * 8 + level[2]
+            x, slots, level = self._read(self.symbols.share[node], (np.arange(2 << k, dtype=np.uint64) * _B)[node], tokens.contexts)
+            yield None, k, bit, x, slots, level[0] * 8 + level[1], k * 8 + level[2]
 
     def _mixed(self, x, g, h):
         z = np.clip(np.einsum("no,no->n", self.by_count.take(g, 0) + self.by_place.take(h, 0), x), -12, 12)
@@ -353,29 +393,53 @@ class WordModel:
 
     def learn(self, tokens: Context, rate: float) -> None:
         """One online step: the tokens are predicted, the weights corrected, and then the tokens counted."""
-        for k, bit, x, slots, g, h in list(self._inputs(tokens)):
+        for _, k, bit, x, slots, g, h in list(self._inputs(tokens)):
             z, p = self._mixed(x, g, h)
             step = x * (bit - p)[:, None]
             for weights, gate in ((self.by_count, g), (self.by_place, h)):
                 n = np.maximum(np.bincount(gate, minlength=64), 20)
                 for o in range(self.CONTEXTS + 1):
                     weights[:, o] += rate * np.bincount(gate, step[:, o], minlength=64) / n
-            cell = Model._cell(z)
-            n, hits = np.bincount(cell, minlength=33), np.bincount(cell, bit, minlength=33)
-            self.map[k] += n / (n + 50) * (np.divide(hits, np.maximum(n, 1)) - self.map[k]) * (n > 0)
+            cell = k * 33 + Model._cell(z)
+            n, hits = np.bincount(cell, minlength=self.map.size), np.bincount(cell, bit, minlength=self.map.size)
+            flat = self.map.reshape(-1)
+            flat += n / (n + 50) * (np.divide(hits, np.maximum(n, 1)) - flat) * (n > 0)
             for o, at in enumerate(slots):
                 np.add.at(self.tables[o].reshape(-1), 2 * at + bit, np.float32(1))
 
+    def _known(self, ids: np.ndarray) -> np.ndarray:
+        """log10 of what isn't mixed of each token."""
+        return self.symbols.rest[ids].copy()
+
     def log10(self, tokens: Context, ids: np.ndarray) -> np.ndarray:
         """log10 probability of each token."""
-        total = self.symbols.rest[ids].copy()
-        for k, bit, x, _, g, h in self._inputs(tokens):
+        total = self._known(ids)
+        for owner, k, bit, x, _, g, h in self._inputs(tokens):
             z, p = self._mixed(x, g, h)
             p = np.clip((p + self.map[k, Model._cell(z)]) / 2, 1e-5, 1 - 1e-5)
-            total += np.log10(np.where(bit == 1, p, 1 - p))
+            each = np.log10(np.where(bit == 1, p, 1 - p))
+            total += each if owner is None else np.bincount(owner, each, minlength=len(total))
         return total
 
 
+class WholeModel(WordModel):
+    """All bits of a symbol's code are mixed, those within its class too."""
+
+    def _inputs(self, tokens: Context):
+        yield from super()._inputs(tokens)
+        s = self.symbols
+        lengths = np.diff(s.starts)[tokens.ids]
+        owner, first = np.repeat(np.arange(len(lengths)), lengths), s.starts[tokens.ids]
+        at = ragged(first, lengths)
+        node, place = s.nodes[at], DEPTH + np.minimum((at - first[owner]) // 3, self.PLACES - DEPTH - 1)
+        salt = (node + (2 << DEPTH)).astype(np.uint64) * _B
+        x, slots, level = self._read(s.odds[node], salt, [c[owner] for c in tokens.contexts])
+        yield owner, place, s.bits[at], x, slots, level[0] * 8 + level[1], place * 8 + level[2]
+
+    def _known(self, ids: np.ndarray) -> np.ndarray:
+        return np.zeros(len(ids))
+
+
 def tokens_of(words: Words, listed: pa.Array, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, hashes, starts of texts, place in `listed` or -1 of each distinct word): the texts' words with an end after each."""
     distinct = words.dictionary
@@ -391,14 +455,14 @@ def tokens_of(words: Words, listed: pa.Array, symbols: Symbols) -> tuple[np.ndar
     return ids, hashes, words.bounds[:-1] + np.arange(n), at
 
 
-def gather_words(texts: DataFrame, listed, n_tokens: int, octets: int) -> WordModel:
+def gather_words(texts: DataFrame, listed, n_tokens: int, octets: int) -> WholeModel:
     """The model learnt from all texts. listed: a broadcast of (words, symbols)."""
     bits = int(min(TABLE_BITS, max(12, math.ceil(math.log2(n_tokens + 1)))))
     tasks = max(1, -(-octets // TASK_OCTETS))
 
     def learn(batches):
         words_, symbols = listed.value
-        names, model, steps = pa.array(words_, pa.string()), WordModel(symbols, bits), 0
+        names, model, steps = pa.array(words_, pa.string()), WholeModel(symbols, bits), 0
         for batch in batches:
             for part in slices(batch):
                 ids, hashes, starts, _ = tokens_of(Words(part.column("text"), lower=True), names, symbols)
@@ -411,7 +475,7 @@ def gather_words(texts: DataFrame, listed, n_tokens: int, octets: int) -> WordMo
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.concatenate([[steps], model.weights]).tobytes()], pa.binary())], ["block", "data"])
 
     tables, weights = gathered(texts.coalesce(tasks).mapInArrow(learn, "block int, data binary"), (2, WordModel.CONTEXTS, 1 << bits))
-    return WordModel(listed.value[1], bits, np.ascontiguousarray(np.moveaxis(tables, 0, 2)), weights[1:] if weights is not None else None)
+    return WholeModel(listed.value[1], bits, np.ascontiguousarray(np.moveaxis(tables, 0, 2)), weights[1:] if weights is not None else None)
 
 
 def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", frequent_words: int = FREQUENT_WORDS) -> DataFrame:
@@ -459,14 +523,14 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", frequ
         words_, symbols = listed.value
         seen, base, lp = known.value
         bits, tables, weights = read.value
-        reader, names_ = WordModel(symbols, bits, tables.astype(np.float32), weights), pa.array(words_, pa.string())
+        reader, names_ = WholeModel(symbols, bits, tables.astype(np.float32), weights), pa.array(words_, pa.string())
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"), lower=True)
                 ids, hashes, starts, of_word = tokens_of(words, names_, symbols)
                 tokens = Context(symbols, ids, hashes, starts)
-                each = np.concatenate([reader.log10(tokens.part(k, k + (1 << 16)), ids[k : k + (1 << 16)]) for k in range(0, len(ids), 1 << 16)]) if len(ids) else np.zeros(0)
+                each = np.concatenate([reader.log10(tokens.part(k, k + (1 << 15)), ids[k : k + (1 << 15)]) for k in range(0, len(ids), 1 << 15)]) if len(ids) else np.zeros(0)
                 told = np.bincount(np.repeat(np.arange(part.num_rows), words.counts + 1), each, minlength=part.num_rows)
                 at = of_word[words.codes]
                 n = part.num_rows
