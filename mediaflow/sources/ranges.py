@@ -18,6 +18,7 @@ Files are opened by pyarrow's file systems (local paths, file://, hdfs://, s3://
 
 from __future__ import annotations
 
+import json
 import posixpath
 import struct
 import uuid
@@ -164,19 +165,34 @@ class Units:
         return pa.RecordBatch.from_arrays([pa.array([path]).take(pa.array(np.zeros(len(at), np.int32))), pa.array(at + base), binary], ["path", "file_offset", "raw"])
 
 
+def reaching(kind: Captures | Units, read, low: int, start: int) -> np.ndarray:
+    """The first places at `start` or after it of all chains that may be the true one, followed from `low` on (the file's first unit, or
+    any place after it); none if all break."""
+    n = start - low
+    steps = kind.steps(np.frombuffer(read(low, min(kind.size, start + 8)), np.uint8), low)[:n].tolist()
+    passed = bytearray(n + kind.REACH)
+    may = 1 if low == kind.first else min(kind.REACH, n)  # where the chain may be
+    passed[:may] = b"\1" * may
+    at = 0
+    while 0 <= at < n:
+        if steps[at]:
+            passed[at + steps[at]] = 1
+        at = passed.find(1, at + 1)
+    return np.flatnonzero(np.frombuffer(passed, np.uint8)[n:]) + start
+
+
+def least_back(kind: Captures | Units) -> int:
+    return min(LOOK_BACK, max(LEAST_BACK, 2 * kind.REACH))
+
+
 def first_unit(kind: Captures | Units, read, start: int) -> int:
     """The place of the first unit at `start` or after it. read(a, b) gives the file's octets from a to b."""
-    back = min(LOOK_BACK, max(LEAST_BACK, 2 * kind.REACH))
+    back = least_back(kind)
     while start > kind.first and back <= FARTHEST:
         low = max(kind.first, start - back)
-        steps = kind.steps(np.frombuffer(read(low, min(kind.size, start + kind.REACH)), np.uint8), low)
-        at = np.arange(1 if low == kind.first else min(kind.REACH, start - low), dtype=np.int64)  # where the chain may be
-        while len(at) and at[0] < start - low:
-            behind = at < start - low
-            step = steps[at[behind]]
-            at = np.unique(np.concatenate([(at[behind] + step)[step > 0], at[~behind]]))
+        at = reaching(kind, read, low, start)
         if len(at) == 1:
-            return low + int(at[0])
+            return int(at[0])
         if low == kind.first:
             break
         back *= 2
@@ -186,6 +202,32 @@ def first_unit(kind: Captures | Units, read, start: int) -> int:
     return at
 
 
+def onward(kind: Captures | Units, read, places: list[int], stop: int) -> dict[int, int]:
+    """For chains from these places the first place at `stop` or after it; those that break are left out. Chains that meet are
+    followed once from there on."""
+    now = {p: p for p in places}
+    low = min(places, default=stop)
+    while low < stop:
+        high = min(stop, low + LOOK_BACK)
+        steps = kind.steps(np.frombuffer(read(low, min(kind.size, high + 8)), np.uint8), low).tolist()
+        ends: list[int | None] = []
+        passed: dict[int, int] = {}
+        left: dict[int, int | None] = {}
+        for place in sorted({p for p in now.values() if p < high}):
+            at = place
+            while at < high and at not in passed:
+                passed[at] = len(ends)
+                step = steps[at - low]
+                if not step:
+                    break
+                at += step
+            ends.append(at if at >= high else ends[passed[at]] if passed[at] < len(ends) else None)
+            left[place] = ends[-1]
+        now = {origin: end for origin, p in now.items() if (end := left.get(p, p)) is not None}
+        low = high
+    return now
+
+
 def resumed(kind: Captures | Units, read, at: int) -> int:
     """The first place at `at` or after it from which PROOF units follow one another, as far as the octets at hand tell."""
     while at < kind.size:
@@ -221,6 +263,40 @@ class Range:
     size: int
     start: int
     stop: int
+    #: The place of its first unit, where that is known.
+    first: int | None = None
+
+
+def ranges_of(path: str, octets: int) -> list[Range]:
+    return [Range(p, size, a, min(size, a + octets)) for p, size in files(path) for a in range(0, size, octets)]
+
+
+def at_range(kind: type, r: Range, ask):
+    """ask(the file's kind, a function that reads from it), or none if it isn't such a file."""
+    fs, inner = opened(r.path)
+    with fs.open_input_file(inner) as f:
+        read = lambda a, b: f.read_at(b - a, a)
+        of = kind(read(0, min(r.size, HEAD)), r.size)
+        return ask(of, read) if of.ok else None
+
+
+def first_units(spark: SparkSession, kind: type, path: str, octets: int) -> dict[str, list[int | None]]:
+    """The first units of the ranges of all files that have several, by path; none where a chain breaks before."""
+    several = [r for r in ranges_of(path, octets) if r.size > octets]
+    each = lambda asked, ask: spark.sparkContext.parallelize(asked, max(1, min(len(asked), 4 * spark.sparkContext.defaultParallelism))).map(ask).collect() if asked else []
+
+    def starts(r: Range) -> list[int]:
+        return at_range(kind, r, lambda of, read: [of.first] if r.start <= of.first else reaching(of, read, max(of.first, r.start - least_back(of)), r.start).tolist()) or []
+
+    own = each(several, starts)
+    # where a range's chains lead matters if the one after it can't tell by itself
+    open_ = [(r, places) for r, places, after, next_ in zip(several, own, several[1:], own[1:], strict=False) if after.start and len(next_) > 1]
+    ways = dict(zip(((r.path, r.stop) for r, _ in open_), each(open_, lambda x: at_range(kind, x[0], lambda of, read: onward(of, read, x[1], x[0].stop)) or {}), strict=True))
+    out: dict[str, list[int | None]] = {}
+    for r, places in zip(several, own, strict=True):
+        known = out.setdefault(r.path, [])
+        known.append(places[0] if len(places) == 1 else ways.get((r.path, r.start), {}).get(known[-1]) if known else None)
+    return out
 
 
 @dataclass
@@ -233,10 +309,15 @@ class Ranges(InputPartition):
 class RangeReader(DataSourceReader):
     def __init__(self, options: dict, kind: type):
         self.path, self.bytes, self.kind = options["path"], int(options.get("rangebytes") or RANGE_BYTES), kind
+        #: The first units of ranges, by path (first_units).
+        self.first = json.loads(options.get("firstunits") or "{}")
 
     def partitions(self) -> list[Ranges]:
         out, octets = [], self.bytes
-        for r in (Range(p, size, a, min(size, a + self.bytes)) for p, size in files(self.path) for a in range(0, size, self.bytes)):
+        for r in ranges_of(self.path, self.bytes):
+            known = self.first.get(r.path, ())
+            if len(known) == -(-r.size // self.bytes):
+                r.first = known[r.start // self.bytes]
             own = r.stop - r.start
             if octets + own > self.bytes:
                 out.append(Ranges([]))
@@ -255,7 +336,8 @@ class RangeReader(DataSourceReader):
 
                 kind = self.kind(read(0, min(r.size, HEAD)), r.size)
                 if kind.ok:
-                    for base, data, starts, ends, _ in stretches(kind, read, first_unit(kind, read, r.start), r.stop):
+                    first = first_unit(kind, read, r.start) if r.first is None else r.first
+                    for base, data, starts, ends, _ in stretches(kind, read, first, r.stop):
                         if starts:
                             yield kind.rows(r.path, data, base, starts, ends)
 
@@ -291,7 +373,8 @@ class UnitSource(CaptureSource):
 
 def read_ranges(spark: SparkSession, source: type[CaptureSource], path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     spark.dataSource.register(source)
-    return spark.read.format(source.name()).option("rangeBytes", range_bytes).load(path)
+    known = json.dumps(first_units(spark, source.KIND, path, range_bytes))
+    return spark.read.format(source.name()).option("rangeBytes", range_bytes).option("firstUnits", known).load(path)
 
 
 # -- writing -----------------------------------------------------------------------------------------------------------
