@@ -29,6 +29,9 @@ m AS (SELECT *, CASE p % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'video' ELSE 'applica
   CASE p % 3 WHEN 0 THEN 0 WHEN 1 THEN 96 ELSE 98 END AS pt, CASE p % 3 WHEN 0 THEN 'PCMU' WHEN 1 THEN 'H264' ELSE 'L16' END AS enc, CASE p % 3 WHEN 0 THEN 8000 WHEN 1 THEN 90000 ELSE 44100 END AS clock FROM ln),
 o AS (SELECT o_orderkey AS k, o_custkey AS c, 3000000000 + o_orderkey * 60 AS start, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 3000003600 + o_orderkey * 60 END AS stop FROM {orders})"""
 
+#: MEDIA as Spark runs it: lines are numbered before they are renamed, so that Spark sees that they are dealt by k already.
+DEALT = MEDIA.replace("row_number()", "i FROM (SELECT *, row_number()").replace("FROM {lineitem})", "FROM {lineitem}))")
+
 SDP = """SELECT o.k AS session_key, concat('v=0\\r\\no=user', c, ' ', o.k, ' ', o.k + 1, ' IN IP4 10.0.', c % 256, '.1\\r\\ns=Order ', o.k, '\\r\\nc=IN IP4 232.0.', c % 256, '.1/127/3\\r\\nt=', start, ' ', stop, '\\r\\na=control:*\\r\\n', coalesce(b, '')) AS sdp
 FROM o LEFT JOIN (SELECT k, array_join(transform(array_sort(collect_list(struct(i, concat('m=', media, ' ', port, CASE WHEN n_ports > 1 THEN '/2' ELSE '' END, ' RTP/AVP ', pt, ' 101\\r\\n',
   CASE WHEN p % 2 = 0 THEN concat('c=IN IP4 10.1.1.', s % 256, '\\r\\n') ELSE '' END, 'b=AS:', p % 1000, '\\r\\nb=RR:', s, '\\r\\na=rtpmap:', pt, ' ', enc, '/', clock, CASE WHEN pt = 98 THEN '/2' ELSE '' END,
@@ -36,7 +39,7 @@ FROM o LEFT JOIN (SELECT k, array_join(transform(array_sort(collect_list(struct(
 
 
 def descriptions(spark, sf):
-    return sql(spark, sf, f"WITH {MEDIA} {SDP}".replace("\\\\", "\\"), "lineitem", "orders")
+    return sql(spark, sf, f"WITH {DEALT} {SDP}".replace("\\\\", "\\"), "lineitem", "orders")
 
 
 def media(spark, sf):
@@ -73,7 +76,7 @@ SDP_MORE = SDP.replace("a=sendrecv\\r\\n'", """a=ssrc:', s, ' cname:u', p, ':x\\
 
 
 def descriptions_more(spark, sf):
-    return sql(spark, sf, f"WITH {MEDIA} {SDP_MORE}", "lineitem", "orders")
+    return sql(spark, sf, f"WITH {DEALT} {SDP_MORE}", "lineitem", "orders")
 
 
 @query("x3_attribute_fields", """, a AS (SELECT k, i, 3 AS idx, 'ssrc' AS name, s AS ssrc, 'cname' AS source_attribute, 'u' || p || ':x' AS source_value, CAST(NULL AS INT) AS rtcp_port, CAST(NULL AS VARCHAR) AS rtcp_host, CAST(NULL AS DOUBLE) AS packet_ms, CAST(NULL AS VARCHAR) AS direction FROM m
@@ -145,17 +148,15 @@ def f6(spark, sf):
 SELECT k AS session_key, md5('v=0' || e || 'o=user' || c || ' ' || k || ' ' || (k + CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END) || ' IN IP4 10.0.' || (c % 256) || '.1' || e || 's=Order ' || k || e || 'c=IN IP4 232.0.' || (c % 256) || '.1/127/3' || e || 't=' || start || ' ' || stop || e || 'a=control:*' || e || coalesce(x, '') ||
   CASE WHEN k % 3 = 0 THEN 'm=text 9 RTP/AVP 98' || e || 'a=rtpmap:98 t140/1000' || e ELSE '' END) AS digest FROM o LEFT JOIN b USING (k), (SELECT chr(13) || chr(10) AS e)""", MEDIA)
 def x1_written(spark, sf):
-    """Descriptions read into rows and written again; every third gets one more media section and with it a new version."""
-    # written once, since each of them is read for several columns of the result
-    d = written(descriptions(spark, sf), "descriptions")
-    s, m = written(sdp.sessions(d), "sessions"), written(sdp.media(d).drop("times", "head_attributes"), "media")
+    """Descriptions read and written again; every third gets one more media section and with it a new version. A description stays one
+    row all the way, so nothing is shuffled but what its text is derived from."""
+    read = sdp.whole(written(descriptions(spark, sf), "descriptions"))
     third = F.col("session_key") % 3 == 0
-    new = s.where(third).select("session_key", F.col("n_media").alias("media_idx"))
-    own = m.withColumn("bandwidth", F.transform(F.filter("lines", lambda x: F.startswith(x, F.lit("b="))), lambda x: F.substr(x, F.lit(3))))
-    more = new.select("session_key", "media_idx", F.lit("text").alias("media"), F.lit(9).alias("port"), F.lit(1).alias("n_ports"), F.lit("RTP/AVP").alias("proto"), F.array(F.lit(98)).alias("pts"), F.lit(None).cast("string").alias("connection"), F.lit(None).cast("array<string>").alias("bandwidth"))
-    a = sdp.attributes(m).select("session_key", "media_idx", "idx", "name", "value").unionByName(sdp.session_attributes(d).withColumn("media_idx", F.lit(None).cast("int"))).unionByName(new.select("session_key", "media_idx", F.lit(0).alias("idx"), F.lit("rtpmap").alias("name"), F.lit("98 t140/1000").alias("value")))
-    out = sdp.write(sdp.changed(s, third), own.select(*more.columns).unionByName(more), a)
-    return out.select("session_key", F.md5("sdp").alias("digest"))
+    given = {"media": F.lit("text"), "port": F.lit(9), "n_ports": F.lit(1), "proto": F.lit("RTP/AVP"), "pts": F.array(F.lit(98)), "attributes": F.array(F.struct(F.lit("rtpmap").alias("name"), F.lit("98 t140/1000").alias("value")))}
+    section = read.schema["sections"].dataType.elementType
+    new = F.struct(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in section))
+    changed = sdp.changed(read, third).withColumn("sections", F.when(third, F.concat("sections", F.array(new))).otherwise(F.col("sections")))
+    return sdp.texts(changed).select("session_key", F.md5("sdp").alias("digest"))
 
 
 @query("x3_negotiation", """, a AS (SELECT k, i, 0 AS idx, CASE WHEN p % 4 = 0 THEN NULL ELSE pt END AS feedback_pt, 'nack' AS feedback, CASE WHEN p % 3 = 0 THEN 'pli' END AS feedback_parameter, NULL::BIGINT AS priority, NULL::VARCHAR AS candidate_address, NULL::VARCHAR AS candidate_kind, NULL::INT AS related_port, NULL::VARCHAR AS ice_user FROM m
@@ -165,7 +166,7 @@ SELECT k AS session_key, CAST(i AS INT) AS media_idx, idx, feedback_pt, feedback
 def x3_negotiated(spark, sf):
     """Feedback and connectivity attributes of every media section."""
     text = SDP.replace("a=sendrecv\\r\\n'", "a=rtcp-fb:', CASE WHEN p % 4 = 0 THEN '*' ELSE CAST(pt AS STRING) END, ' nack', CASE WHEN p % 3 = 0 THEN ' pli' ELSE '' END, '\\r\\na=candidate:2 1 UDP ', 1694498815 + s, ' 192.0.2.3 45664 typ ', CASE WHEN p % 2 = 0 THEN concat('srflx raddr 10.0.1.1 rport ', port) ELSE 'host' END, '\\r\\na=ice-ufrag:u', s, '\\r\\n'")
-    a = sdp.attributes(sdp.media(sql(spark, sf, f"WITH {MEDIA} {text}", "lineitem", "orders"))).where("name IN ('rtcp-fb', 'candidate', 'ice-ufrag')")
+    a = sdp.attributes(sdp.media(sql(spark, sf, f"WITH {DEALT} {text}", "lineitem", "orders"))).where("name IN ('rtcp-fb', 'candidate', 'ice-ufrag')")
     f = sdp.negotiation_fields(a)
     return f.select("session_key", "media_idx", (F.col("idx") - 3).alias("idx"), "feedback_pt", "feedback", "feedback_parameter", "priority", "candidate_address", "candidate_kind", "related_port", "ice_user")
 

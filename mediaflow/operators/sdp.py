@@ -4,6 +4,8 @@ Malformed values are null; where a `problems` column is asked for, it names the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +45,19 @@ def _with(problems: str | None, **fields: tuple[Column, Column]) -> list[Column]
 
 def sessions(df: DataFrame, key: str = "session_key", text: str = "sdp", problems: str | None = None) -> DataFrame:
     """key and the session's own lines; descriptions of fewer than three lines are left out."""
-    d = session_lines(df, text).where(F.size("lines") >= 3)
+    return _sessions(session_lines(df, text), key, problems)
+
+
+def _sessions(opened: DataFrame, key: str, problems: str | None = None, more: tuple[str, ...] = (), read: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """sessions() of session_lines(), with more columns that `read` adds."""
+    d = read(opened.where(F.size("lines") >= 3).withColumn("n_media", F.size("sections")))
     h = F.col("head")
     o, t = value(h, "o"), value(h, "t")
-    read = {"version": (value(h, "v"), value(h, "v").try_cast("int")), **{n: (_field(o, i), _field(o, i).try_cast("long")) for n, i in (("origin_id", 1), ("origin_version", 2))}, **{n: (_field(t, i), _field(t, i).try_cast("long")) for n, i in (("start", 0), ("stop", 1))}}
-    one = lambda name: read[name][1].alias(name)
+    fields = {"version": (value(h, "v"), value(h, "v").try_cast("int")), **{n: (_field(o, i), _field(o, i).try_cast("long")) for n, i in (("origin_id", 1), ("origin_version", 2))}, **{n: (_field(t, i), _field(t, i).try_cast("long")) for n, i in (("start", 0), ("stop", 1))}}
+    one = lambda name: fields[name][1].alias(name)
     return d.select(
         key, one("version"), _field(o, 0).alias("user"), one("origin_id"), one("origin_version"), _field(o, 3).alias("net"), _field(o, 4).alias("address_type"), _field(o, 5).alias("address"),
-        value(h, "s").alias("name"), value(h, "c").alias("connection"), one("start"), one("stop"), F.size("sections").alias("n_media"), *_with(problems, **read),
+        value(h, "s").alias("name"), value(h, "c").alias("connection"), one("start"), one("stop"), "n_media", *more, *_with(problems, **fields),
     )
 
 
@@ -134,28 +141,69 @@ def changed(session_rows: DataFrame, which: Column, by: int = 1) -> DataFrame:
     return session_rows.withColumn("origin_version", F.when(which, F.col("origin_version") + by).otherwise(F.col("origin_version")))
 
 
+#: Lines end with it in what is written.
+END = "\r\n"
+
+
+def _line(*parts) -> Column:
+    return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts), F.lit(END))
+
+
+def _attribute(name: Column, value_: Column) -> Column:
+    return _line("a=", name, F.coalesce(F.concat(F.lit(":"), value_), F.lit("")))
+
+
+def whole(df: DataFrame, key: str = "session_key", text: str = "sdp") -> DataFrame:
+    """What sessions(), media() and attributes() read, a row for each description: sessions()' columns, the session's own attributes
+    (an array of name and value) and its sections (an array of media()'s fields, bandwidth texts and attributes). Nothing is shuffled."""
+    of_kind = lambda x, kind: F.transform(F.filter(x, lambda y: F.startswith(y, F.lit(kind))), lambda y: F.substr(y, F.lit(3)))
+    split = lambda x: F.transform(of_kind(x, "a="), lambda y: F.struct(F.substring_index(y, ":", 1).alias("name"), F.when(F.instr(y, ":") > 0, F.substr(y, F.instr(y, ":") + 1)).alias("value")))
+    opened = lambda x: F.struct(x.alias("of"), F.split(F.substr(F.get(x, F.lit(0)), F.lit(3)), " ").alias("m"))
+
+    def section(x: Column) -> Column:
+        m, of = x["m"], x["of"]
+        port = lambda i: F.nullif(F.split_part(F.get(m, F.lit(1)), F.lit("/"), F.lit(i)), F.lit("")).try_cast("int")
+        pts = F.transform(F.filter(F.slice(m, F.lit(4), F.size(m)), lambda y: y.rlike("^[0-9]{1,9}$")), lambda y: y.cast("int"))
+        return F.struct(F.get(m, F.lit(0)).alias("media"), port(1).alias("port"), F.coalesce(port(2), F.lit(1)).alias("n_ports"), F.get(m, F.lit(2)).alias("proto"), pts.alias("pts"), F.coalesce(value(of, "c"), value(F.col("head"), "c")).alias("connection"), of_kind(of, "b=").alias("bandwidth"), split(of).alias("attributes"))
+
+    def read(d: DataFrame) -> DataFrame:
+        return d.withColumns({"attributes": split(F.col("head")), "sections": F.transform(F.transform("sections", opened), section)})
+
+    return _sessions(session_lines(df, text), key, more=("attributes", "sections"), read=read)
+
+
+def texts(rows: DataFrame, key: str = "session_key") -> DataFrame:
+    """key, sdp: the descriptions of rows as whole() gives them, lines ended by \\r\\n. Media sections hold their own lines alone: a
+    connection that isn't the session's, bandwidth and attributes, in their order."""
+    text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+    optional = lambda mark, c: F.coalesce(_line(mark, F.col(c)), F.lit(""))
+    of_attributes = lambda x: F.coalesce(F.array_join(F.transform(x, lambda y: _attribute(y["name"], y["value"])), ""), F.lit(""))
+
+    def section(x: Column) -> Column:
+        ports = F.concat(text(x["port"]), F.when(x["n_ports"] > 1, F.concat(F.lit("/"), text(x["n_ports"]))).otherwise(""))
+        head = _line("m=", x["media"], " ", ports, " ", x["proto"], " ", F.array_join(F.transform(x["pts"], lambda y: y.cast("string")), " "))
+        place = F.when(x["connection"].isNotNull() & ~x["connection"].eqNullSafe(F.col("connection")), _line("c=", x["connection"])).otherwise("")
+        more = F.array_join(F.transform(x["bandwidth"], lambda y: _line("b=", y)), "")
+        return F.concat(head, place, F.coalesce(more, F.lit("")), of_attributes(x["attributes"]))
+
+    top = F.concat(_line("v=", text("version")), _line("o=", F.concat_ws(" ", "user", text("origin_id"), text("origin_version"), "net", "address_type", "address")), _line("s=", F.coalesce("name", F.lit(" "))), optional("c=", "connection"), _line("t=", text("start"), " ", text("stop")))
+    body = F.array_join(F.transform("sections", section), "")
+    return rows.select(key, F.concat(top, of_attributes(F.col("attributes")), F.coalesce(body, F.lit(""))).alias("sdp"))
+
+
 def write(session_rows: DataFrame, media_rows: DataFrame, attribute_rows: DataFrame, key: str = "session_key") -> DataFrame:
-    """key, sdp: the descriptions of rows as sessions(), media() and attributes() give them, lines ended by \\r\\n. Media sections are in
-    the order of media_idx and hold their own lines alone: a connection that isn't the session's, `bandwidth` (an array of texts such as
-    `AS:64`, if there is such a column), and attributes (rows of a null media_idx are the session's) in the order of idx."""
-    end = "\r\n"
-    line = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts), F.lit(end))
-    text = lambda c: F.col(c).cast("string")
-    attribute = line("a=", F.col("name"), F.coalesce(F.concat(F.lit(":"), F.col("value")), F.lit("")))
-    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(c, "line"))), lambda x: x["line"]), "")
-    attributes_ = attribute_rows.select(key, "media_idx", "idx", attribute.alias("line"))
-    of_media = attributes_.where("media_idx IS NOT NULL").groupBy(key, "media_idx").agg(in_order("idx").alias("own_lines"))
-    of_session = attributes_.where("media_idx IS NULL").groupBy(key).agg(in_order("idx").alias("session_lines"))
-    ports = F.concat(text("port"), F.when(F.col("n_ports") > 1, F.concat(F.lit("/"), text("n_ports"))).otherwise(""))
-    more = F.array_join(F.transform("bandwidth", lambda b: F.concat(F.lit("b="), b, F.lit(end))), "") if "bandwidth" in media_rows.columns else F.lit("")
-    head = line("m=", F.col("media"), " ", ports, " ", F.col("proto"), " ", F.array_join(F.transform("pts", lambda x: x.cast("string")), " "))
-    shared = session_rows.select(key, F.col("connection").alias("shared"))
-    place = F.when(F.col("connection").isNotNull() & ~F.col("connection").eqNullSafe(F.col("shared")), line("c=", F.col("connection"))).otherwise("")
-    sections = media_rows.join(shared, key).join(of_media, [key, "media_idx"], "left").select(key, "media_idx", F.concat(head, place, F.coalesce(more, F.lit("")), F.coalesce("own_lines", F.lit(""))).alias("line"))
-    bodies = sections.groupBy(key).agg(in_order("media_idx").alias("body"))
-    optional = lambda mark, c: F.coalesce(line(mark, F.col(c)), F.lit(""))
-    top = F.concat(line("v=", text("version")), line("o=", F.concat_ws(" ", "user", text("origin_id"), text("origin_version"), "net", "address_type", "address")), line("s=", F.coalesce("name", F.lit(" "))), optional("c=", "connection"), line("t=", text("start"), " ", text("stop")))
-    return session_rows.join(of_session, key, "left").join(bodies, key, "left").select(key, F.concat(top, F.coalesce("session_lines", F.lit("")), F.coalesce("body", F.lit(""))).alias("sdp"))
+    """key, sdp: the descriptions of rows as sessions(), media() and attributes() give them, as texts() writes them. Media sections are in
+    the order of media_idx; `bandwidth` is an array of texts such as `AS:64`, if there is such a column; attributes (rows of a null
+    media_idx are the session's) are in the order of idx."""
+    values = lambda *c: F.transform(F.array_sort(F.collect_list(F.struct(*c))), lambda x: x["of"])
+    attributes_ = attribute_rows.select(key, "media_idx", "idx", F.struct("name", "value").alias("of"))
+    of_media = attributes_.where("media_idx IS NOT NULL").groupBy(key, "media_idx").agg(values("idx", "of").alias("attributes"))
+    of_session = attributes_.where("media_idx IS NULL").groupBy(key).agg(values("idx", "of").alias("attributes"))
+    bandwidth_ = F.col("bandwidth") if "bandwidth" in media_rows.columns else F.lit(None).cast("array<string>").alias("bandwidth")
+    own = media_rows.select(key, "media_idx", "media", "port", "n_ports", "proto", "pts", "connection", bandwidth_)
+    each = own.join(of_media, [key, "media_idx"], "left").select(key, "media_idx", F.struct("media", "port", "n_ports", "proto", "pts", "connection", "bandwidth", "attributes").alias("of"))
+    sections = each.groupBy(key).agg(values("media_idx", "of").alias("sections"))
+    return texts(session_rows.join(of_session, key, "left").join(sections, key, "left"), key)
 
 
 def directions(media_rows: DataFrame, key: str = "session_key") -> DataFrame:

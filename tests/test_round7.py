@@ -60,3 +60,22 @@ def test_files_of_headers_are_told_apart_range_by_range(spark, tmp_path, monkeyp
     assert list(known.values()) == [[of.first + max(0, -(-(s - of.first) // 20)) * 20 for s in starts]]
     got = capture.read_capture(spark, str(tmp_path / "x.rtp"), range_bytes=100_000)
     assert sorted((r.file_offset, r.offset_ms, bytes(r.raw)) for r in got.collect()) == [(e[5], e[3], e[6]) for e in walkers.capture_entries(data)]
+
+
+def test_descriptions_are_written_again_without_a_shuffle(spark):
+    """What is written of rows that stay whole is what tables of sessions, media and attributes give; no exchange is made for it."""
+    from mediaflow.jobs import session_queries as jobs
+    from mediaflow.operators import sdp
+
+    plan = jobs.QUERIES["x1_written"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "md5" in plan
+    texts = [
+        "v=0\r\no=u 7 8 IN IP4 h\r\ns=A\r\nc=IN IP4 1.2.3.4\r\nt=1 2\r\na=x\r\nm=audio 10/2 RTP/AVP 0 98 y\r\nb=AS:5\r\na=rtpmap:0 PCMU/8000\r\na=recvonly\r\nm=video 12 RTP/AVP 96\r\nc=IN IP4 9.9.9.9\r\n",
+        "v=0\no=u x 8 IN IP4 h\ns=B\nt=1 2\n", "v=0\ns=C\nm=audio\n", "m=audio 1 RTP/AVP 0\nv=0\ns=D", "v=0\r\no=u\r\n", "", None,
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "session_key int, sdp string")
+    m = sdp.media(d).withColumn("bandwidth", F.transform(F.filter("lines", lambda x: F.startswith(x, F.lit("b="))), lambda x: F.substr(x, F.lit(3))))
+    a = sdp.attributes(m).select("session_key", "media_idx", "idx", "name", "value").unionByName(sdp.session_attributes(d).withColumn("media_idx", F.lit(None).cast("int")))
+    got = {r.session_key: r.sdp for r in sdp.texts(sdp.whole(d)).collect()}
+    assert got == {r.session_key: r.sdp for r in sdp.write(sdp.sessions(d), m, a).collect()}
+    assert got[0] == texts[0].replace(" y\r\n", "\r\n") and sorted(got) == [0, 1, 2, 3]
