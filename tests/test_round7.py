@@ -79,3 +79,34 @@ def test_descriptions_are_written_again_without_a_shuffle(spark):
     got = {r.session_key: r.sdp for r in sdp.texts(sdp.whole(d)).collect()}
     assert got == {r.session_key: r.sdp for r in sdp.write(sdp.sessions(d), m, a).collect()}
     assert got[0] == texts[0].replace(" y\r\n", "\r\n") and sorted(got) == [0, 1, 2, 3]
+
+
+def test_letters_show_no_more_than_the_distance(spark):
+    """The bound is never over the edit distance, whatever the letters; lines whose letters differ give no pair, and none is lost."""
+    import random
+
+    from mediaflow.llm import line_dedup as L
+
+    rng = random.Random(11)
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789 äßαж中\U0001d400"
+
+    def edited(x):
+        x = list(x)
+        for _ in range(rng.randrange(30)):
+            i = rng.randrange(len(x) + 1)
+            x[i : i + rng.randrange(2)] = rng.choice(["", rng.choice(signs)])
+        return "".join(x)
+
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice(signs) for _ in range(rng.choice([1, 40, 100, 254, 255, 256, 300])))
+        pairs.append((a, rng.choice([edited(a), "".join(rng.sample(a, len(a))), "".join(rng.choice(signs) for _ in a)])))
+    df = spark.createDataFrame(pairs, "a string, b string").where("a <> '' AND b <> ''")
+    of = lambda x: [F.length(x).alias(f"{x}_n"), *(c.alias(f"{x}_{n}") for c, n in zip(L.letters(x, "5"), "pq", strict=True))]
+    got = df.select("a", "b", *of("a"), *of("b")).select(L.letters_apart("a_", "b_").alias("least"), F.levenshtein("a", "b").alias("d"), "a_n", "b_n").collect()
+    assert all(r.least is None for r in got if r.a_n > 254 or r.b_n > 254)
+    told = [r for r in got if r.least is not None]
+    assert all(r.least <= r.d for r in told) and sum(r.least > 20 for r in told) > 30
+    rows = spark.createDataFrame([("a" * 30 + " b",), ("c" * 30 + " b",)], "line string").select(F.length("line").alias("n"), *L.letters("line", "2")).collect()
+    apart = spark.createDataFrame([(*rows[0], *rows[1])], "x_n int, x_p long, x_q long, y_n int, y_p long, y_q long")
+    assert apart.select(L.letters_apart("x_", "y_")).first()[0] == 30
